@@ -84,3 +84,21 @@ def word_token(w: Column) -> Column:
 def tokenize_text(text) -> Column:
     """text -> ARRAY<INT> of token ids (no special tokens)."""
     return F.transform(words(text), word_token)
+
+
+def utf8_window(text, start, length: int, strip_head: bool = True, strip_tail: bool = True) -> Column:
+    """Text of bytes ``[start, start+length)`` (1-based ``start``) of the UTF-8
+    encoding of ``text``, with characters cut by the window dropped.
+
+    Like decoding a byte slice with ``errors='ignore'``: partial characters at
+    the edges are removed (via their hex form, so it stays JVM-side).  With
+    ``strip_tail`` a complete non-ASCII character at the very end is removed
+    too, which never changes a search for an ASCII pattern.
+    """
+    b = F.substring(F.encode(col(text), "UTF-8"), start, length)
+    h = F.hex(b)
+    if strip_head:
+        h = F.regexp_replace(h, "^([89AB][0-9A-F])+", "")
+    if strip_tail:
+        h = F.regexp_replace(h, "([C-F][0-9A-F])([89AB][0-9A-F])*$", "")
+    return F.decode(F.unhex(h), "UTF-8")
