@@ -46,41 +46,7 @@ def q_merge_changes(spark, d):
     return merge.change_counts(fx.metric_lines(spark, d))
 
 
-SUMMARY_SQL = """
-WITH agg AS (
-  SELECT experiment_id,
-    arg_max({'step': step, 'total': total_steps}, step) AS progress,
-    arg_max({'step': step, 'loss': val_loss, 't': train_time_ms, 'avg': step_avg_ms}, step)
-      FILTER (WHERE val_loss IS NOT NULL) AS lv,
-    arg_max({'step': step, 'loss': train_loss, 't': train_time_ms, 'avg': step_avg_ms}, step)
-      FILTER (WHERE train_loss IS NOT NULL) AS lt,
-    arg_max({'step': step, 'loss': val_loss, 't': train_time_ms}, step)
-      FILTER (WHERE is_final_step AND val_loss IS NOT NULL) AS fv,
-    arg_max({'step': step, 'loss': train_loss, 't': train_time_ms}, step)
-      FILTER (WHERE is_final_step AND train_loss IS NOT NULL) AS ft
-  FROM metrics GROUP BY experiment_id),
-s AS (
-  SELECT r.*, a.progress.step AS current_step, a.progress.total AS total_steps,
-    a.lv.loss AS val_loss, a.lt.loss AS train_loss,
-    CASE WHEN a.lv IS NOT NULL THEN a.lv.loss WHEN a.lt IS NOT NULL THEN a.lt.loss END AS latest_loss,
-    CASE WHEN a.lv IS NOT NULL THEN a.lv.step WHEN a.lt IS NOT NULL THEN a.lt.step END AS latest_loss_step,
-    CASE WHEN a.lv IS NOT NULL THEN 'val_loss' WHEN a.lt IS NOT NULL THEN 'train_loss' END AS loss_metric,
-    concat_ws(',', CASE WHEN a.lv IS NOT NULL THEN 'val_loss' END,
-                   CASE WHEN a.lt IS NOT NULL THEN 'train_loss' END) AS available_loss_metrics,
-    CASE WHEN a.lv IS NOT NULL THEN a.lv.t WHEN a.lt IS NOT NULL THEN a.lt.t END AS train_time_ms,
-    CASE WHEN a.lv IS NOT NULL THEN a.lv.avg WHEN a.lt IS NOT NULL THEN a.lt.avg END AS step_avg_ms,
-    CASE WHEN a.lv IS NOT NULL THEN a.fv.loss WHEN a.lt IS NOT NULL THEN a.ft.loss END AS final_loss,
-    CASE WHEN a.lv IS NOT NULL THEN a.fv.step WHEN a.lt IS NOT NULL THEN a.ft.step END AS final_loss_step,
-    CASE WHEN a.lv IS NOT NULL THEN a.fv.t WHEN a.lt IS NOT NULL THEN a.ft.t END AS final_time
-  FROM runs r LEFT JOIN agg a ON a.experiment_id = r.id
-  WHERE coalesce(r.deleted, 0) = 0)
-SELECT id, name, track, status, gpus, coalesce(nullif(gpu_type, ''), 'H100') AS gpu_type,
-       CAST(revision AS BIGINT) AS revision, CAST(metrics_revision AS BIGINT) AS metrics_revision,
-       started_at, current_step, total_steps, val_loss, train_loss, latest_loss, latest_loss_step,
-       loss_metric, available_loss_metrics, train_time_ms, step_avg_ms, final_loss, final_loss_step,
-       latest_loss AS final_val_loss,
-       CASE WHEN final_loss IS NOT NULL THEN final_time ELSE train_time_ms END AS final_train_time_ms
-FROM s"""
+SUMMARY_SQL = "SELECT * FROM summaries"
 
 SUMMARY_COLUMNS = ["id", "name", "track", "status", "gpus", "gpu_type", "revision", "metrics_revision",
                    "started_at", "current_step", "total_steps", "val_loss", "train_loss", "latest_loss",
@@ -98,7 +64,7 @@ def flat_summary(df):
                          F.array_join("available_loss_metrics", ",")).select(*SUMMARY_COLUMNS)
 
 
-@register("run_summaries", SUMMARY_SQL, ("runs", "metrics"))
+@register("run_summaries", SUMMARY_SQL, ("summaries",))
 def q_run_summaries(spark, d):
     return flat_summary(summaries(spark, d))
 

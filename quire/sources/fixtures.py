@@ -216,3 +216,17 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
                                   "gpus:int,gpu_type:string,name:string,track:string,cmd_prefix:string>>")).alias("queue"),
         F.col("event_id").alias("snapshot_id"),
     )
+
+
+def crash_events(runs_df: DataFrame) -> DataFrame:
+    """Crash-log arrivals: failed runs with id % 3 = 0 report one crash text,
+    those with id % 9 = 0 a second, later one (first-wins vs replace)."""
+    f = runs_df.where((F.col("status") == "failed") & (F.col("id") % 3 == 0))
+    first = f.select(F.col("id").alias("experiment_id"),
+                     F.concat(F.lit("Traceback: "), F.col("name"), F.lit(" A")).alias("content"),
+                     F.lit(1).cast("bigint").alias("seq"), F.col("started_at").alias("created_at"))
+    second = f.where(F.col("id") % 9 == 0).select(
+        F.col("id").alias("experiment_id"),
+        F.concat(F.lit("Traceback: "), F.col("name"), F.lit(" B")).alias("content"),
+        F.lit(2).cast("bigint").alias("seq"), F.col("finished_at").alias("created_at"))
+    return first.unionByName(second)
