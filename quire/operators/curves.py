@@ -77,7 +77,7 @@ def downsample_index(curve: DataFrame, max_points: int, run: str = "experiment_i
         raise ValueError("max_points must be at least 4")
     bcount = (max_points - 2) // 2
     w = Window.partitionBy(run).orderBy(order)
-    c = curve.select("*", (F.row_number().over(w) - 1).alias("_i"),
+    c = curve.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("_i"),
                      F.count(F.lit(1)).over(Window.partitionBy(run)).alias("_n"))
     m = F.col("_n") - 2
     # greatest b with b*m < i*B  <=>  b = floor((i*B - 1) / m)
@@ -171,7 +171,7 @@ def early_stop_screen(curves: DataFrame, ref: DataFrame, run: str = "experiment_
     hit = g.where(F.col("_cat") | (F.col("_streak") >= patience))
     reason = F.when(F.col("_cat"), "catastrophic_gap").otherwise("patience_gap")
     first = hit.groupBy(run).agg(F.min_by(F.struct(F.col("step"), reason.alias("reason"),
-                                                   F.col("gap"), F.col("_streak").alias("bad_points")),
+                                                   F.col("gap"), F.col("_streak").cast("bigint").alias("bad_points")),
                                           F.col("step")).alias("s"))
     return first.select(run, "s.step", "s.reason", "s.gap", "s.bad_points")
 
@@ -184,7 +184,7 @@ def target_reached(curves: DataFrame, target: float, run: str = "experiment_id")
 def recent_metrics(metrics: DataFrame, n: int = 20, run: str = "experiment_id") -> DataFrame:
     """The last ``n`` metric rows of each run, newest first (``rank`` 1 = newest)."""
     w = Window.partitionBy(run).orderBy(F.col("step").desc())
-    return metrics.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return metrics.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= n)
 
 
 def event_retention(feed: DataFrame, now: Column, max_rows: int = 10_000, max_age_days: int = 7,

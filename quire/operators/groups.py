@@ -151,7 +151,7 @@ def discover_groups(runs: DataFrame, track: str | None = None, status: str | Non
             g = g.where((F.col("max_started") < cs) | ((F.col("max_started") == cs) & (F.col("max_id") < c_id)))
     order = [F.col("max_started").desc_nulls_last(), F.col("max_id").desc()]
     look = g.orderBy(*order).limit(limit + 1)  # one look-ahead row tells "more"
-    look = look.withColumn("group_rank", F.row_number().over(Window.orderBy(*order)))  # <= limit+1 rows
+    look = look.withColumn("group_rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # <= limit+1 rows
     page = look.where(F.col("group_rank") <= limit)
     members = page.join(vis, list(GROUP_KEYS), "inner").select(
         *GROUP_KEYS, "group_rank", F.col("max_started").alias("page_started"),
@@ -204,7 +204,7 @@ def tracks_by_recency(tracks: DataFrame, runs: DataFrame) -> DataFrame:
            .groupBy("track").agg(F.max("started_at").alias("latest")))
     t = tracks.join(rec, tracks["name"] == rec["track"], "left").drop("track")
     w = Window.orderBy(F.col("latest").desc_nulls_last(), F.col("name"))
-    return t.withColumn("position", F.row_number().over(w))  # one row per track: tiny
+    return t.withColumn("position", F.row_number().over(w).cast("bigint"))  # one row per track: tiny
 
 
 def group_cards(summaries: DataFrame) -> DataFrame:
@@ -291,4 +291,4 @@ def runs_table(summaries: DataFrame, sort_col: str = "val_loss", ascending: bool
     top = summaries.withColumn("sort_key", key).orderBy(*order).limit(limit)
     return top.withColumn("position", F.row_number().over(
         Window.orderBy(F.col("sort_key").asc() if ascending else F.col("sort_key").desc(),
-                       F.col("started_at").desc_nulls_last(), F.col("id").desc())))
+                       F.col("started_at").desc_nulls_last(), F.col("id").desc())).cast("bigint"))

@@ -122,8 +122,7 @@ SELECT experiment_id, min(step) AS step,
 FROM h GROUP BY experiment_id""", ("dense", "ref_curve"))
 def q_early_stop_screen(spark, d):
     dn = fx.dense(spark, d)
-    return curves.early_stop_screen(curves.loss_curve(dn), fx.ref_curve(dn), **SCREEN).withColumn(
-        "bad_points", F.col("bad_points").cast("bigint"))
+    return curves.early_stop_screen(curves.loss_curve(dn), fx.ref_curve(dn), **SCREEN)
 
 
 @register("target_reached", CURVE_VIEW + f"""
