@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import curves, groups, logs, sweeps, telemetry  # noqa: F401
+from quire.plans import corpus, curves, groups, logs, sweeps, telemetry  # noqa: F401
 from quire.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
