@@ -186,3 +186,56 @@ def q_batch_seqlens(spark, d):
     _, seg = packed_segments(spark, d)
     return bt.batch_seqlens(seg, L, [*KEY, "batch", "rank"]).withColumn(
         "cum_seqlens", F.array_join("cum_seqlens", ","))
+
+
+# ---- token_bin shards (K1 write, S3 read, S4 header inventory) -------------
+
+def land_shards(spark, d):
+    from quire.sources import token_bin
+    from quire.sources.logs import landing_dir
+    p, _ = pieces_and_sizes(spark, d)
+    named = p.withColumn("name", cp.shard_name(F.col("split"), F.col("domain"), F.col("shard")))
+    dest = landing_dir(spark, "shards")
+    token_bin.write_shards(named, dest)
+    return dest
+
+
+NAME_RX = r"dolma_([^_]+)_(.+)_(\d{4})\.bin$"
+SHARD_SIZES_SQL = SHARD_TOKENS_SQL + """
+SELECT split, domain, shard, count(*) AS n, CAST(sum(token) AS BIGINT) AS tok_sum,
+       printf('dolma_%s_%s_%04d.bin', split, domain, shard) AS name
+FROM st GROUP BY split, domain, shard"""
+
+
+@register("shard_write", "SELECT name, n AS num_tokens, true AS valid FROM (" + SHARD_SIZES_SQL.replace(
+    "WITH ", "WITH ", 1) + ")", ("corpus",))
+def q_shard_write(spark, d):
+    from quire.sources import token_bin
+    dest = land_shards(spark, d)
+    inv = token_bin.shard_inventory(spark, dest)
+    return inv.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "num_tokens", "valid")
+
+
+@register("shard_read", "SELECT split, domain, shard, n, tok_sum FROM (" + SHARD_SIZES_SQL + ")", ("corpus",))
+def q_shard_read(spark, d):
+    from quire.sources import token_bin
+    dest = land_shards(spark, d)
+    rows = token_bin.read_shards(spark, dest, chunk_tokens=1000, row_tokens=300)
+    per = rows.groupBy("path").agg(
+        F.sum(F.size("tokens")).cast("bigint").alias("n"),
+        F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)).cast("bigint").alias("tok_sum"))
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return per.select(F.regexp_extract(name, NAME_RX, 1).alias("split"), F.regexp_extract(name, NAME_RX, 2).alias("domain"),
+                      F.regexp_extract(name, NAME_RX, 3).cast("bigint").alias("shard"), "n", "tok_sum")
+
+
+@register("shard_inventory", "SELECT split, domain, CAST(sum(n) AS BIGINT) AS total_tokens, count(*) AS n_files FROM ("
+          + SHARD_SIZES_SQL + ") GROUP BY split, domain", ("corpus",))
+def q_shard_inventory(spark, d):
+    from quire.sources import token_bin
+    dest = land_shards(spark, d)
+    inv = token_bin.shard_inventory(spark, dest)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return inv.groupBy(F.regexp_extract(name, NAME_RX, 1).alias("split"),
+                       F.regexp_extract(name, NAME_RX, 2).alias("domain")).agg(
+        F.sum("num_tokens").cast("bigint").alias("total_tokens"), F.count(F.lit(1)).alias("n_files"))
