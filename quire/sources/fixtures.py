@@ -230,3 +230,54 @@ def crash_events(runs_df: DataFrame) -> DataFrame:
         F.concat(F.lit("Traceback: "), F.col("name"), F.lit(" B")).alias("content"),
         F.lit(2).cast("bigint").alias("seq"), F.col("finished_at").alias("created_at"))
     return first.unionByName(second)
+
+
+def mapping_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Run lifecycle feed as JSON text lines (session, file, line_no, line).
+
+    Per run: a 'running' record at start; a final record (with a crash tail
+    for failed runs with id % 3 = 0) unless still running; a stale 'failed'
+    record after 'completed' for id % 11 = 0.  Noise: an invalid line for id %
+    97 = 0 and a record without id for id % 89 = 0.  Each session's first 100
+    lines go to the legacy file ``mappings.jsonl``, the rest to 500-line
+    segments ``mappings/mappings-NNNNNN.jsonl``."""
+    r = runs(spark, d)
+    base = dict(
+        experiment_id=F.col("id"), run_id=F.col("id").cast("string"), script=F.col("script"),
+        code_hash=F.col("code_hash"), env_vars=F.col("env_vars"), gpus=F.col("gpus"),
+        gpu_type=F.col("gpu_type"), started_at=F.col("started_at").cast("string"), track=F.col("track"),
+        name=F.col("name"))
+    rec = lambda **kv: F.to_json(F.struct(*[v.alias(k) for k, v in {**base, **kv}.items()]))
+    fin = F.col("finished_at").cast("string")
+    crash = F.when((F.col("status") == "failed") & (F.col("id") % 3 == 0),
+                   F.concat(F.lit("Traceback (most recent call last): "), F.col("name")))
+    rows = [
+        r.select("session_name", "id", F.lit(1).alias("k"), rec(status=F.lit("running")).alias("line")),
+        r.where(F.col("status") != "running").select(
+            "session_name", "id", F.lit(2).alias("k"),
+            rec(status=F.col("status"), finished_at=fin, crash_log=crash).alias("line")),
+        r.where((F.col("status") == "completed") & (F.col("id") % 11 == 0)).select(
+            "session_name", "id", F.lit(3).alias("k"),
+            rec(status=F.lit("failed"), finished_at=fin).alias("line")),
+        r.where(F.col("id") % 97 == 0).select("session_name", "id", F.lit(4).alias("k"),
+                                             F.lit('{"experiment_id": ').alias("line")),
+        r.where(F.col("id") % 89 == 0).select("session_name", "id", F.lit(5).alias("k"),
+                                             F.lit('{"status": "running"}').alias("line")),
+    ]
+    u = rows[0]
+    for x in rows[1:]:
+        u = u.unionByName(x)
+    w = Window.partitionBy("session_name").orderBy(F.col("id"), F.col("k"))
+    u = u.withColumn("rn", F.row_number().over(w) - 1)
+    file = F.when(F.col("rn") < 100, F.lit("mappings.jsonl")).otherwise(
+        F.format_string("mappings/mappings-%06d.jsonl", ((F.col("rn") - 100) / 500).cast("int")))
+    line_no = F.when(F.col("rn") < 100, F.col("rn")).otherwise((F.col("rn") - 100) % 500) + 1
+    return u.select(F.col("session_name").alias("session"), file.alias("file"),
+                    line_no.cast("bigint").alias("line_no"), "line")
+
+
+def snapshot_lines(snaps: DataFrame) -> DataFrame:
+    """Queue snapshots as JSON lines in ``queue/queue-NNNNNN.jsonl`` files."""
+    line = F.to_json(F.struct("ts", "session", "queue"))
+    return snaps.select("session", F.format_string("queue/queue-%06d.jsonl", F.col("segment")).alias("file"),
+                        "segment", (F.col("line_no") + 1).alias("line_no"), line.alias("line"), "snapshot_id", "ts")

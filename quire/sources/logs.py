@@ -62,3 +62,46 @@ def scan_logs(spark: SparkSession, folder: str) -> DataFrame:
     body = F.regexp_replace("value", r"\n\z", "")
     return raw.select(run_id.alias("run_id"), F.posexplode(F.split(body, "\n")).alias("pos", "line")) \
         .select("run_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def land_text(lines: DataFrame, dest: str, path_col: str = "relpath", order: str = "line_no") -> DataFrame:
+    """Write text files ``<dest>/<relpath>`` from (relpath, line_no, line) rows,
+    lines in ``line_no`` order, one writer per hash partition of files."""
+    df = lines.select(F.col(path_col).alias("relpath"), F.col(order).alias("line_no"), "line")
+    df = df.repartition("relpath").sortWithinPartitions("relpath", "line_no")
+
+    def write(batches):
+        buf: dict[str, list[str]] = {}
+        for pdf in batches:
+            for rel, grp in pdf.groupby("relpath", sort=False):
+                buf.setdefault(rel, []).extend(grp["line"].tolist())
+        out = []
+        for rel, ls in buf.items():
+            path = os.path.join(dest, rel)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            tmp = path + f".tmp-{uuid.uuid4().hex[:8]}"
+            with open(tmp, "w", encoding="utf-8") as fh:
+                fh.write("\n".join(ls) + "\n")
+            os.replace(tmp, path)
+            out.append((rel, len(ls)))
+        yield pd.DataFrame(out, columns=["relpath", "n_lines"])
+
+    return df.mapInPandas(write, "relpath string, n_lines long")
+
+
+def scan_text_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
+    """(relpath, line_no, line) of every matching file under ``folder``
+    (recursive), line numbers from ``wholetext`` + ``posexplode``."""
+    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+           .text(folder, wholetext=True)
+           .select("value", F.col("_metadata.file_path").alias("path")))
+    root = folder.rstrip("/") + "/"
+    rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + _re_escape(root), "")
+    body = F.regexp_replace("value", r"\n\z", "")
+    return raw.select(rel.alias("relpath"), F.posexplode(F.split(body, "\n")).alias("pos", "line")) \
+        .select("relpath", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def _re_escape(s: str) -> str:
+    import re
+    return re.escape(s)
