@@ -31,7 +31,9 @@ def merge_metrics(lines: DataFrame, seq: str = "seq", key=KEY) -> DataFrame:
     _require_seq(lines, seq)
     aggs = [_last_non_null(c, seq).alias(c) for c in VALUE_COLUMNS if c in lines.columns]
     aggs.append(F.coalesce(F.bool_or("is_final_step"), F.lit(False)).alias("is_final_step"))
-    aggs.append(F.count(F.lit(1)).alias("arrivals"))
+    # a stored row re-entering the merge carries the arrivals it already counts
+    n = F.sum(F.coalesce(F.col("arrivals"), F.lit(1))) if "arrivals" in lines.columns else F.count(F.lit(1))
+    aggs.append(n.cast("bigint").alias("arrivals"))
     return lines.groupBy(*key).agg(*aggs)
 
 
@@ -76,3 +78,26 @@ def revision_bumps(lines: DataFrame, batch_col: str = "batch_id", seq: str = "se
     ch = merge_changes(lines, seq)
     per_batch = ch.where("changed").select("experiment_id", batch_col).distinct()
     return per_batch.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("revision_bump"))
+
+
+def metric_state(lines: DataFrame, seq: str = "seq", key=KEY) -> DataFrame:
+    """Mergeable form of W1: per key, each column's last non-null value *and*
+    the seq it came from, the final flag and the arrival count.  Merging states
+    (:func:`merge_metric_state`) in any grouping of the arrivals gives the same
+    answer as one merge over all of them."""
+    _require_seq(lines, seq)
+    aggs = []
+    for c in VALUE_COLUMNS:
+        aggs += [_last_non_null(c, seq).alias(c), F.max(F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_{c}_seq")]
+    aggs += [F.coalesce(F.bool_or("is_final_step"), F.lit(False)).alias("is_final_step"),
+             F.count(F.lit(1)).cast("bigint").alias("arrivals")]
+    return lines.groupBy(*key).agg(*aggs)
+
+
+def merge_metric_state(states: DataFrame, key=KEY) -> DataFrame:
+    aggs = []
+    for c in VALUE_COLUMNS:
+        aggs += [F.max_by(F.col(c), F.col(f"_{c}_seq")).alias(c), F.max(f"_{c}_seq").alias(f"_{c}_seq")]
+    aggs += [F.coalesce(F.bool_or("is_final_step"), F.lit(False)).alias("is_final_step"),
+             F.sum("arrivals").cast("bigint").alias("arrivals")]
+    return states.groupBy(*key).agg(*aggs)

@@ -48,42 +48,55 @@ def script_stem(script: Column) -> Column:
     return F.regexp_extract(script, r"([^/]*?)(\.[^./]*)?$", 1)
 
 
-def fold_mappings(records: DataFrame, has_final: DataFrame, existing: DataFrame | None = None,
-                  seq: str = "seq") -> DataFrame:
-    """Mapping records (session, seq order) -> run rows.
-
-    A new id is created from its first record (status or 'running'; name = the
-    record's name or the script stem).  Every later record with a known status
-    applies it through the gate of :func:`status_gate`; non-null metadata
-    fields overwrite (last non-null wins).  The first failed record carrying a
-    crash log stores it.
-
-    Closed form of the gated fold: the final status is the last known status
-    observed after creation, except that 'completed' sticks once reached when
-    the run has a final metric.
-    """
-    r = records
-    first = F.min_by(F.struct(*[F.col(c) for c in ("status", "name", "script", "track", "gpus", "gpu_type")]),
-                     F.col(seq))
-    known_later = F.col("status").isin(*OBSERVED)
-    last_non_null = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(seq)))
-    g = r.groupBy("experiment_id").agg(
-        first.alias("_first"), F.min(seq).alias("_first_seq"),
-        F.max_by(F.col("status"), F.when(known_later, F.col(seq))).alias("_last_known"),
-        F.max(F.when(known_later, F.col(seq))).alias("_last_known_seq"),
-        F.min(F.when(F.col("status") == "completed", F.col(seq))).alias("_first_completed_seq"),
+META = ("code_hash", "tmux_window", "run_id", "started_at", "finished_at", "git_commit", "parent_hash",
+        "kernels_path")
+
+
+def mapping_state(records: DataFrame, seq: str = "seq") -> DataFrame:
+    """Per-id partial state of the mapping fold -- mergeable aggregates only
+    (first / last / min / count, each with the seq that orders it)."""
+    known = F.col("status").isin(*OBSERVED)
+    crash = (F.col("status") == "failed") & F.col("crash_log").isNotNull()
+    s = F.col(seq)
+    meta = []
+    for c in META:
+        meta += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), s)).alias(c),
+                 F.max(F.when(F.col(c).isNotNull(), s)).alias(f"_{c}_seq")]
+    return records.groupBy("experiment_id").agg(
+        F.min_by(F.struct("status", "name", "script", "track", "gpus", "gpu_type"), s).alias("_first"),
+        F.min(s).alias("_first_seq"),
+        F.max_by(F.col("status"), F.when(known, s)).alias("_last_known"),
+        F.max(F.when(known, s)).alias("_last_known_seq"),
+        F.min(F.when(F.col("status") == "completed", s)).alias("_first_completed_seq"),
         F.count(F.lit(1)).alias("n_records"),
-        F.min_by(F.col("crash_log"), F.when((F.col("status") == "failed") & F.col("crash_log").isNotNull(),
-                                            F.col(seq))).alias("crash_log"),
-        *[last_non_null(c).alias(c) for c in ("code_hash", "tmux_window", "run_id", "started_at",
-                                              "finished_at", "git_commit", "parent_hash", "kernels_path")],
-    )
+        F.min_by(F.col("crash_log"), F.when(crash, s)).alias("crash_log"),
+        F.min(F.when(crash, s)).alias("_crash_seq"),
+        *meta)
+
+
+def merge_mapping_state(states: DataFrame) -> DataFrame:
+    """Combine partial states of the same ids (stored state + a new batch)."""
+    meta = []
+    for c in META:
+        meta += [F.max_by(F.col(c), F.col(f"_{c}_seq")).alias(c), F.max(f"_{c}_seq").alias(f"_{c}_seq")]
+    return states.groupBy("experiment_id").agg(
+        F.min_by("_first", "_first_seq").alias("_first"), F.min("_first_seq").alias("_first_seq"),
+        F.max_by("_last_known", "_last_known_seq").alias("_last_known"),
+        F.max("_last_known_seq").alias("_last_known_seq"),
+        F.min("_first_completed_seq").alias("_first_completed_seq"),
+        F.sum("n_records").cast("bigint").alias("n_records"),
+        F.min_by("crash_log", "_crash_seq").alias("crash_log"), F.min("_crash_seq").alias("_crash_seq"),
+        *meta)
+
+
+def finish_fold(g: DataFrame, has_final: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Run rows from the mapping-fold state (see :func:`fold_mappings`)."""
     g = g.join(has_final.select("experiment_id", F.lit(True).alias("_final")), "experiment_id", "left")
     if existing is not None:
         g = g.join(existing.select(F.col("id").alias("experiment_id"), F.col("status").alias("_existing")),
                    "experiment_id", "left")
         initial = F.coalesce(F.col("_existing"), F.col("_first.status"), F.lit("running"))
-        later = F.col("_last_known_seq") > F.when(F.col("_existing").isNotNull(), F.lit(-1)).otherwise(
+        later = F.col("_last_known_seq") > F.when(F.col("_existing").isNotNull(), F.lit(-(1 << 62))).otherwise(
             F.col("_first_seq"))
     else:
         initial = F.coalesce(F.col("_first.status"), F.lit("running"))
@@ -98,7 +111,26 @@ def fold_mappings(records: DataFrame, has_final: DataFrame, existing: DataFrame
         F.col("_first.track").alias("track"),
         F.coalesce(F.col("_first.gpus"), F.lit(1)).alias("gpus"),
         F.coalesce(F.col("_first.gpu_type"), F.lit("H100")).alias("gpu_type"),
-        "code_hash", "run_id", "started_at", "finished_at", "n_records", "crash_log")
+        "code_hash", "run_id", "started_at", "finished_at", F.col("n_records").cast("bigint").alias("n_records"),
+        "crash_log")
+
+
+def fold_mappings(records: DataFrame, has_final: DataFrame, existing: DataFrame | None = None,
+                  seq: str = "seq") -> DataFrame:
+    """Mapping records (session, seq order) -> run rows.
+
+    A new id is created from its first record (status or 'running'; name = the
+    record's name or the script stem).  Every later record with a known status
+    applies it through the gate of :func:`status_gate`; non-null metadata
+    fields overwrite (last non-null wins).  The first failed record carrying a
+    crash log stores it.
+
+    Closed form of the gated fold: the final status is the last known status
+    observed after creation, except that 'completed' sticks once reached when
+    the run has a final metric.  The state is made of mergeable aggregates, so
+    the streaming form (E2) folds each micro-batch into the stored state.
+    """
+    return finish_fold(mapping_state(records, seq), has_final, existing)
 
 
 def create_runs(existing: DataFrame, creates: DataFrame, seq: str = "seq") -> DataFrame:
@@ -203,8 +235,8 @@ def accepted_snapshot(snapshots: DataFrame, session: str = "session", seq: str =
     that does not parse as text."""
     t = snapshots.where(F.col("ts").isNotNull() & (F.col("ts") != ""))
     key = F.struct(F.col("ts").try_cast("timestamp_ntz").alias("t"), F.col("ts"), (-F.col(seq)).alias("first"))
-    return t.groupBy(session).agg(F.max_by(F.struct("ts", "queue"), key).alias("_s")) \
-        .select(session, "_s.ts", "_s.queue")
+    return t.groupBy(session).agg(F.max_by(F.struct("ts", "queue", seq), key).alias("_s")) \
+        .select(session, "_s.ts", "_s.queue", F.col(f"_s.{seq}").alias(seq))
 
 
 def queue_reconcile(runs: DataFrame, accepted: DataFrame, session_col: str = "session") -> DataFrame:

@@ -157,9 +157,19 @@ FROM runs"""),
 SELECT *, coalesce(code_hash, '_no_hash_' || CAST(id AS VARCHAR)) AS g_hash, coalesce(track, '') AS g_track,
        coalesce(raw_gpu_type, 'H100') AS g_gpu_type
 FROM summaries_full"""),
+    # P1 over the printed log lines (DuckDB regex parse), see quire.plans.logs
+    "parsed_metrics": (("log_lines", "runs"), None),
 }
 
 
+def _body(name: str) -> str:
+    text = VIEWS[name][1]
+    if text is None and name == "parsed_metrics":
+        from quire.plans.logs import PARSE_SQL
+        text = PARSE_SQL
+    return text
+
+
 def with_views(body: str, *names: str) -> str:
     """``WITH`` clause holding ``names`` and their dependencies, then ``body``."""
     order: list[str] = []
@@ -174,7 +184,7 @@ def with_views(body: str, *names: str) -> str:
 
     for n in names:
         visit(n)
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n][1].strip()})" for n in order)
+    ctes = ",\n".join(f"{n} AS ({_body(n).strip()})" for n in order)
     body = body.strip()
     if not ctes:
         return body
