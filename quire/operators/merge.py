@@ -87,7 +87,7 @@ def metric_state(lines: DataFrame, seq: str = "seq", key=KEY) -> DataFrame:
     answer as one merge over all of them."""
     _require_seq(lines, seq)
     aggs = []
-    for c in VALUE_COLUMNS:
+    for c in [c for c in VALUE_COLUMNS if c in lines.columns]:
         aggs += [_last_non_null(c, seq).alias(c), F.max(F.when(F.col(c).isNotNull(), F.col(seq))).alias(f"_{c}_seq")]
     aggs += [F.coalesce(F.bool_or("is_final_step"), F.lit(False)).alias("is_final_step"),
              F.count(F.lit(1)).cast("bigint").alias("arrivals")]
@@ -96,7 +96,7 @@ def metric_state(lines: DataFrame, seq: str = "seq", key=KEY) -> DataFrame:
 
 def merge_metric_state(states: DataFrame, key=KEY) -> DataFrame:
     aggs = []
-    for c in VALUE_COLUMNS:
+    for c in [c for c in VALUE_COLUMNS if c in states.columns]:
         aggs += [F.max_by(F.col(c), F.col(f"_{c}_seq")).alias(c), F.max(f"_{c}_seq").alias(f"_{c}_seq")]
     aggs += [F.coalesce(F.bool_or("is_final_step"), F.lit(False)).alias("is_final_step"),
              F.sum("arrivals").cast("bigint").alias("arrivals")]

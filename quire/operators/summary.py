@@ -61,13 +61,16 @@ def run_summaries(runs: DataFrame, metrics: DataFrame, include_deleted: bool = F
                                  F.when(has_train, F.lit("train_loss"))), lambda x: x.isNotNull())
     keep = [c for c in runs.columns if c not in ("gpu_type", "env_vars", "dependencies",
                                                  "revision", "metrics_revision")]
+    have = set(runs.columns)
+    opt = lambda c, default: F.col(c) if c in have else default
+    empty = F.create_map().cast("map<string,string>")
     return j.select(
         *keep,
-        gpu_type_or_default("gpu_type").alias("gpu_type"),
-        F.coalesce("env_vars", F.create_map().cast("map<string,string>")).alias("env_vars"),
-        F.coalesce("dependencies", F.create_map().cast("map<string,string>")).alias("dependencies"),
-        F.coalesce("revision", F.lit(0)).cast("bigint").alias("revision"),
-        F.coalesce("metrics_revision", F.lit(0)).cast("bigint").alias("metrics_revision"),
+        gpu_type_or_default(opt("gpu_type", F.lit(None).cast("string"))).alias("gpu_type"),
+        F.coalesce(opt("env_vars", empty), empty).alias("env_vars"),
+        F.coalesce(opt("dependencies", empty), empty).alias("dependencies"),
+        F.coalesce(opt("revision", F.lit(0)), F.lit(0)).cast("bigint").alias("revision"),
+        F.coalesce(opt("metrics_revision", F.lit(0)), F.lit(0)).cast("bigint").alias("metrics_revision"),
         F.col("progress.step").alias("current_step"),
         F.col("progress.total_steps").alias("total_steps"),
         F.col("lv.val_loss").alias("val_loss"),

@@ -62,6 +62,9 @@ def sweep_heatmap(runs: DataFrame, scope=(), selected: list[str] | None = None)
     itself -- built by an equi join on the selection, not a cross join.
     """
     scope = list(scope)
+    if not scope:  # one selection: a constant key keeps every join an equi join
+        out = sweep_heatmap(runs.withColumn("_sel", F.lit(0)), ["_sel"], selected)
+        return out.drop("_sel")
     sk = swept_keys(runs, scope)
     if selected:
         sk = sk.where(F.col("key").isin(selected))
@@ -102,8 +105,7 @@ def sweep_heatmap(runs: DataFrame, scope=(), selected: list[str] | None = None)
     out = g.join(c, cond, "left").select(
         *[F.col(f"g.{k}") for k in grid.columns], "c.mean_loss",
         F.coalesce(F.col("c.n_runs"), F.lit(0)).alias("n_runs"), "c.first_run")
-    out = out.join(bounds, scope, "left") if scope else out.join(
-        bounds.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k"), "left").drop("_k")
+    out = out.join(bounds, scope, "left")
     best = F.row_number().over(Window.partitionBy(*scope).orderBy(
         F.col("mean_loss").asc_nulls_last(), F.col("y_idx").asc_nulls_first(), F.col("x_idx")))
     out = out.withColumn("_b", best)
