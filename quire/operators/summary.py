@@ -16,9 +16,13 @@ from quire.functions.columns import gpu_type_or_default, live, primary_loss
 
 
 def _top(fields: list[str], where=None, order="step"):
-    s = F.struct(*[F.col(f) for f in fields])
+    """``max_by(struct(fields), order)`` as one scalar ``max_by`` per field.
+
+    (run, step) is unique in merged metrics, so the fields come from the same
+    row; scalar numeric buffers keep the aggregate a HashAggregate (a struct
+    value would force a sort-based aggregate)."""
     o = F.col(order) if where is None else F.when(where, F.col(order))
-    return F.max_by(s, o)
+    return F.struct(*[F.max_by(F.col(f), o).alias(f) for f in fields])
 
 
 def metric_tops(metrics: DataFrame) -> DataFrame:
