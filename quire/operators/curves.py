@@ -34,62 +34,78 @@ def reference_curve(spark) -> DataFrame:
 
 def loss_curve(metrics: DataFrame, run: str = "experiment_id") -> DataFrame:
     """Primary series of each run: val_loss if the run has any, else train_loss;
-    rows without that series are not points.  Adds ``loss`` and ``loss_metric``."""
-    has_val = F.bool_or(F.col("val_loss").isNotNull()).over(Window.partitionBy(run))
-    m = metrics.withColumn("loss_metric", F.when(has_val, "val_loss").otherwise("train_loss"))
+    rows without that series are not points.  Adds ``loss`` and ``loss_metric``.
+
+    The per-run flag is an aggregate joined back (partial aggregation; a hot
+    run is split by AQE's skew join), not a window over the whole run."""
+    flag = metrics.groupBy(run).agg(F.bool_or(F.col("val_loss").isNotNull()).alias("_has_val"))
+    m = metrics.join(flag, run)
+    m = m.withColumn("loss_metric", F.when(F.col("_has_val"), "val_loss").otherwise("train_loss")).drop("_has_val")
     m = m.withColumn("loss", F.when(F.col("loss_metric") == "val_loss", F.col("val_loss"))
                      .otherwise(F.col("train_loss")))
     return m.where(F.col("loss").isNotNull())
 
 
+def _extremes(points: DataFrame, keys: list[str], pos: str, value: str) -> DataFrame:
+    """Per bucket: the position of the minimum and of the maximum value, ties to
+    the lowest position -- aggregates, so a large bucket is combined map-side."""
+    g = points.groupBy(*keys).agg(
+        F.min_by(F.col(pos), F.struct(F.col(value), F.col(pos))).alias("_lo"),
+        F.min_by(F.col(pos), F.struct(-F.col(value), F.col(pos))).alias("_hi"))
+    return g.select(*keys[:1], F.explode(F.array("_lo", "_hi")).alias(pos)).distinct()
+
+
 def downsample_step(curve: DataFrame, max_points: int, run: str = "experiment_id",
                     value: str = "loss") -> DataFrame:
     """Keep first and last points; interior points go to step buckets
     ``trunc((step-min-1) * B / max(1, max-min-1))`` with ``B = max(1, (n-2)//2)``;
     each bucket keeps its min and max (ties -> lowest step); cut to ``max_points``
-    by step.  Curves with at most ``max_points`` points are returned whole."""
+    by step.  Curves with at most ``max_points`` points are returned whole.
+
+    Run statistics and bucket extremes are aggregates; only the kept points
+    (at most ``max_points + 2`` per run) see a window."""
     if not MAX_POINTS_MIN <= max_points <= MAX_POINTS_MAX:
         raise ValueError("max_points must be within 4..1200")
     c = curve.where(F.col(value).isNotNull())
-    wr = Window.partitionBy(run)
-    c = c.select("*", F.count(F.lit(1)).over(wr).alias("_n"), F.min("step").over(wr).alias("_lo"),
-                 F.max("step").over(wr).alias("_hi"))
+    stats = c.groupBy(run).agg(F.count(F.lit(1)).alias("_n"), F.min("step").alias("_lo"),
+                               F.max("step").alias("_hi"))
+    c = c.join(stats, run)
     b = max(1, (max_points - 2) // 2)
     denom = F.greatest(F.col("_hi") - F.col("_lo") - 1, F.lit(1))
     bucket = ((F.col("step") - F.col("_lo") - 1) * b / denom).cast("bigint")
-    c = c.withColumn("_b", F.when((F.col("step") > F.col("_lo")) & (F.col("step") < F.col("_hi")), bucket))
-    wb = Window.partitionBy(run, "_b")
-    lo_rank = F.row_number().over(wb.orderBy(F.col(value).asc(), F.col("step").asc()))
-    hi_rank = F.row_number().over(wb.orderBy(F.col(value).desc(), F.col("step").asc()))
-    c = c.withColumn("_lr", lo_rank).withColumn("_hr", hi_rank)
-    keep = ((F.col("_n") <= max_points) | F.col("_b").isNull() | (F.col("_lr") == 1) | (F.col("_hr") == 1))
-    kept = c.where(keep).drop("_lr", "_hr")
+    interior = (F.col("step") > F.col("_lo")) & (F.col("step") < F.col("_hi"))
+    c = c.withColumn("_b", F.when(interior, bucket))
+    small_or_end = c.where((F.col("_n") <= max_points) | ~interior).select(run, "step")
+    ext = _extremes(c.where((F.col("_n") > max_points) & interior), [run, "_b"], "step", value)
+    keep = small_or_end.unionByName(ext).distinct()
+    kept = curve.join(keep, [run, "step"], "left_semi")
     pos = F.row_number().over(Window.partitionBy(run).orderBy("step"))
-    return kept.withColumn("_pos", pos).where(F.col("_pos") <= max_points).drop("_n", "_lo", "_hi", "_b", "_pos")
+    return kept.withColumn("_pos", pos).where(F.col("_pos") <= max_points).drop("_pos")
 
 
 def downsample_index(curve: DataFrame, max_points: int, run: str = "experiment_id",
                      value: str = "loss", order: str = "step") -> DataFrame:
     """min/max per index bucket ``[1+floor(b*m/B), 1+floor((b+1)*m/B))``,
     ``m = n-2``, ``B = (max_points-2)//2``; ties -> first index; endpoints kept;
-    output in source order (no final cut)."""
+    output in source order (no final cut).  The point index comes from the
+    distributed prefix sums, bucket extremes from aggregates."""
     if max_points < 4:
         raise ValueError("max_points must be at least 4")
+    from quire.plans.prefix import prefix_sums
     bcount = (max_points - 2) // 2
-    w = Window.partitionBy(run).orderBy(order)
-    c = curve.select("*", (F.row_number().over(w) - 1).cast("bigint").alias("_i"),
-                     F.count(F.lit(1)).over(Window.partitionBy(run)).alias("_n"))
+    idx = prefix_sums(curve.select(run, order, F.lit(1).cast("bigint").alias("_one")), [run], [order],
+                      {"_one": "index"}).select(run, order, "index")
+    stats = curve.groupBy(run).agg(F.count(F.lit(1)).alias("_n"))
+    c = curve.join(idx, [run, order]).join(stats, run)
     m = F.col("_n") - 2
     # greatest b with b*m < i*B  <=>  b = floor((i*B - 1) / m)
-    bucket = F.floor((F.col("_i") * bcount - 1) / m).cast("bigint")
-    interior = (F.col("_i") >= 1) & (F.col("_i") <= F.col("_n") - 2)
+    bucket = F.floor((F.col("index") * bcount - 1) / m).cast("bigint")
+    interior = (F.col("index") >= 1) & (F.col("index") <= F.col("_n") - 2)
     c = c.withColumn("_b", F.when(interior, bucket))
-    wb = Window.partitionBy(run, "_b")
-    lo_rank = F.row_number().over(wb.orderBy(F.col(value).asc(), F.col("_i").asc()))
-    hi_rank = F.row_number().over(wb.orderBy(F.col(value).desc(), F.col("_i").asc()))
-    c = c.withColumn("_lr", lo_rank).withColumn("_hr", hi_rank)
-    keep = (F.col("_n") <= max_points) | ~interior | (F.col("_lr") == 1) | (F.col("_hr") == 1)
-    return c.where(keep).drop("_n", "_b", "_lr", "_hr").withColumnRenamed("_i", "index")
+    small_or_end = c.where((F.col("_n") <= max_points) | ~interior).select(run, "index")
+    ext = _extremes(c.where((F.col("_n") > max_points) & interior), [run, "_b"], "index", value)
+    keep = small_or_end.unionByName(ext).distinct()
+    return c.join(keep, [run, "index"], "left_semi").drop("_n", "_b")
 
 
 def mean_curve(curves: DataFrame, keys=("step",)) -> DataFrame:
