@@ -1,71 +1,55 @@
 """Distributed prefix sums (stream positions) without a single-task window.
 
 ``Window.partitionBy(domain).orderBy(pos)`` puts a whole domain -- possibly a
-third of the corpus -- into one task.  Instead:
-
-1. range-partition by (keys, order) and sort within partitions;
-2. per partition, running sums per key with pandas ``cumsum`` (Arrow batches);
-3. the partial result is checkpointed (reliable checkpoint in the cluster's
-   ``spark.checkpoint.dir``) so both branches below read the same partition
-   ids, and an executor loss cannot re-partition one branch differently;
-4. per (partition, key) totals -- at most #partitions + #keys rows -- turned
-   into offsets by a window over that small table, joined back (Spark
-   broadcasts them when measured small).
-
-Each step is partitioned work; no step holds a whole key.  Pass a narrow
-frame (keys, order, values): it is materialized once.
+third of the corpus -- into one task.  Instead the order axis is cut into
+blocks at approximate quantiles of the first order column:
+
+1. ``approxQuantile`` gives at most ``blocks - 1`` boundaries (a short list on
+   the driver); ``_blk`` = number of boundaries <= the order value, a
+   deterministic column expression;
+2. running sums inside each (key, block) -- a window partitioned by both, so
+   a hot key is spread over many tasks;
+3. per (key, block) totals -- at most #keys x #blocks rows -- become block
+   offsets by a window over that small table;
+4. offsets join back on (key, block) (Spark broadcasts them when measured small).
+
+Everything is Catalyst expressions; the result depends on the data only, not
+on partition ids, so a recomputed task (executor loss) gives the same numbers.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def prefix_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str],
-                partitions: int | None = None) -> DataFrame:
+                blocks: int | None = None) -> DataFrame:
     """Add exclusive running sums: ``values`` maps input column -> output column.
 
-    Output column = sum of the input column over earlier rows of the same key
-    in ``order`` (0 for the first row).  ``order`` must be unique within a key.
+    Output = sum of the input column over earlier rows of the same key in
+    ``order`` (0 for the first row).  ``order`` must be unique within a key;
+    its first column must be numeric.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nb = blocks or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first = order[0]
+    probs = [i / nb for i in range(1, nb)]
+    bounds = sorted(set(df.approxQuantile(first, probs, 1.0 / (4 * nb)))) if nb > 1 else []
+    blk = F.lit(0)
+    if bounds:
+        blk = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0),
+                          lambda acc, b: acc + F.when(F.col(first) >= b, 1).otherwise(0))
+    d = df.withColumn("_blk", blk)
     cols = list(values)
-    r = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
-    r = r.withColumn("_pid", F.spark_partition_id())
-    schema = T.StructType(list(r.schema.fields) + [T.StructField(f"_loc_{c}", T.LongType(), False) for c in cols])
-
-    def local(batches):
-        # batches of one partition arrive sorted by (keys, order)
-        last_key, carry = None, {c: 0 for c in cols}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            kt = list(pdf[keys].itertuples(index=False, name=None))
-            codes = pd.factorize(pd.Series(kt, dtype=object))[0]
-            same = np.fromiter((k == last_key for k in kt), dtype=bool, count=len(kt))
-            for c in cols:
-                v = pdf[c].fillna(0).astype("int64").to_numpy()
-                cs = pd.Series(v).groupby(codes).cumsum().to_numpy() - v
-                cs = cs + np.where(same, carry[c], 0)
-                pdf[f"_loc_{c}"] = cs
-                carry[c] = int(cs[-1] + v[-1])
-            last_key = kt[-1]
-            yield pdf
-
-    from quire.session import checkpoint_dir
-    checkpoint_dir(spark)
-    loc = r.mapInPandas(local, schema).checkpoint(eager=True)
-    tot = loc.groupBy("_pid", *keys).agg(*[F.sum(F.coalesce(F.col(c).cast("bigint"), F.lit(0))).alias(f"_tot_{c}")
-                                           for c in cols])
-    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_tot_{c}").over(w), F.lit(0)).alias(f"_off_{c}")
+    w = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    loc = d.select("*", *[F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))).over(w), F.lit(0)).alias(f"_loc_{c}")
+                          for c in cols])
+    tot = d.groupBy(*keys, "_blk").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0))).alias(f"_tot_{c}") for c in cols])
+    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*keys, "_blk", *[F.coalesce(F.sum(f"_tot_{c}").over(wb), F.lit(0)).alias(f"_off_{c}")
                                       for c in cols])
-    out = loc.join(off, ["_pid", *keys], "inner")
+    out = loc.join(off, [*keys, "_blk"], "inner")
     for c, o in values.items():
         out = out.withColumn(o, (F.col(f"_off_{c}") + F.col(f"_loc_{c}")).cast("bigint"))
-    return out.drop("_pid", *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])
+    return out.drop("_blk", *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])
