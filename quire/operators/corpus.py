@@ -52,7 +52,8 @@ def bpe_tokenize(corpus: DataFrame, encoding_file: str, bos: int = GPT2_BOS,
     text = F.coalesce(F.col("text"), F.lit(""))
     src = corpus if keep_empty else corpus.where(F.length(text) > 0)
     src = src.withColumn("text", text)
-    out_schema = src.drop("text").schema.add("tokens", "array<int>")
+    from pyspark.sql import types as T
+    out_schema = src.drop("text").schema.add("tokens", T.ArrayType(T.IntegerType()))
 
     def run(batches):
         import base64

@@ -188,3 +188,19 @@ def q_doc_of_token(spark, d):
     return tok.groupBy("domain", "doc_no").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"),
         F.sum("token").cast("bigint").alias("tok_sum"))
+
+
+BPE_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # a tiktoken rank file shipped with the environment
+
+
+def _bpe_available() -> bool:
+    import os
+    return os.path.exists(BPE_FILE)
+
+
+if _bpe_available():
+    @register("tokenize_bpe")
+    def q_tokenize_bpe(spark, d):
+        """P7 plug-in: real BPE over every document (mapInPandas, one encoder per worker)."""
+        t = cp.bpe_tokenize(fx.corpus(spark, d), BPE_FILE)
+        return t.select("domain", "doc_pos", F.size("tokens").cast("bigint").alias("n_tokens"))

@@ -190,3 +190,28 @@ def test_detect_run_id_byte_windows(spark):
     df = spark.createDataFrame([(1, head), (2, tail), (3, middle)], "k long, content string")
     got = {r.k: r.run_id for r in logs.detect_run_id(df).collect()}
     assert got == {1: uid, 2: uid, 3: None}
+
+
+def test_bpe_plugin_matches_in_process_encoding(spark):
+    import os
+
+    import pytest
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        pytest.skip("no BPE rank file")
+    import base64
+
+    import tiktoken
+    ranks = {}
+    with open(path, "rb") as fh:
+        for line in fh:
+            if line.strip():
+                t, r = line.split()
+                ranks[base64.b64decode(t)] = int(r)
+    enc = tiktoken.Encoding(name="t", pat_str=r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+                            mergeable_ranks=ranks, special_tokens={})
+    texts = ["Hello world, it's 2024.", "Élan vital\nsecond line"]
+    c = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "domain string, doc_pos long, text string")
+    got = {r.doc_pos: r.tokens for r in cp.bpe_tokenize(c, path).collect()}
+    assert got[0] == [50256] + enc.encode_ordinary(texts[0])
+    assert got[1] == [50256] + enc.encode_ordinary(texts[1])
