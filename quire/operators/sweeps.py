@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.columns import exact_mean
+from quire.session import materialize
 
 # A value counts as numeric when it starts like a float (JavaScript parseFloat).
 NUMERIC_PREFIX = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"
@@ -65,6 +66,11 @@ def sweep_heatmap(runs: DataFrame, scope=(), selected: list[str] | None = None)
     if not scope:  # one selection: a constant key keeps every join an equi join
         out = sweep_heatmap(runs.withColumn("_sel", F.lit(0)), ["_sel"], selected)
         return out.drop("_sel")
+    loss = F.coalesce("final_loss", "final_val_loss")
+    # every branch below reads the completed runs: compute them once
+    runs = materialize(runs.where(F.col("status") == "completed").select(
+        *scope, "id", "started_at", "status", "env_vars", loss.alias("final_loss"),
+        F.lit(None).cast("double").alias("final_val_loss")))
     sk = swept_keys(runs, scope)
     if selected:
         sk = sk.where(F.col("key").isin(selected))
@@ -115,7 +121,7 @@ def sweep_heatmap(runs: DataFrame, scope=(), selected: list[str] | None = None)
 def partial_vars(runs: DataFrame, scope=()) -> DataFrame:
     """With >= 2 completed runs, keys present in some but not all of them."""
     scope = list(scope)
-    comp = runs.where(F.col("status") == "completed")
+    comp = materialize(runs.where(F.col("status") == "completed").select(*scope, "id", "started_at", "env_vars"))
     n = comp.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
     kc = env_rows(comp, scope).groupBy(*scope, "key").agg(F.count(F.lit(1)).alias("c"))
     j = kc.join(n, scope) if scope else kc.join(n.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k"))
@@ -128,6 +134,7 @@ def fill_partial_vars(runs: DataFrame, defaults: DataFrame, scope=(),
     default (``defaults``: code_hash, key, default), else '(default)'.
     Returns the filled entries (scope, id, key, value)."""
     scope = list(scope)
+    runs = materialize(runs.select(*scope, "id", "started_at", "status", "env_vars", default_key))
     pv = partial_vars(runs, scope)
     have = env_rows(runs, scope).select(*scope, "id", "key")
     need = runs.select(*scope, "id", default_key).join(pv, scope) if scope else \
@@ -145,6 +152,7 @@ def differing_keys(runs: DataFrame, scope=()) -> DataFrame:
     Per key: distinct present values, plus '' when some run lacks the key and
     no run holds '' -- counted without pairing runs with keys."""
     scope = list(scope)
+    runs = materialize(runs.select(*scope, "id", "started_at", "env_vars"))
     n = runs.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
     k = env_rows(runs, scope).groupBy(*scope, "key").agg(
         F.count(F.lit(1)).alias("present"), F.count_distinct("value").alias("nv"),

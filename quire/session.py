@@ -72,3 +72,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One driver table (one parquet file or folder) by name."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def materialize(df):
+    """Cut lineage: write ``df`` once to the cluster's checkpoint folder and
+    read it back (reliable ``checkpoint``; never a machine-local one).  Use on
+    a narrow intermediate that several branches of one plan reuse."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
