@@ -36,12 +36,16 @@ rng AS (SELECT split, domain, shard, b.batch, rk.rank, b.batch * {B} + rk.rank *
 
 
 def pieces_and_sizes(spark, d, clip: int | None = None):
+    from quire.session import materialize
     t = doc_tokens(spark, d)
     if clip:
         t = cp.clip_docs(t, clip)
+    # the tokenized corpus and the shard contents are the persisted layers of
+    # this pipeline: each is computed once, then read by every branch
+    t = materialize(t.select("domain", "doc_pos", "tokens"))
     pos = cp.stream_positions(cp.doc_lengths(t))
     rows = cp.assign_shards(cp.split_contiguous(pos, VAL, TRAIN), SHARD)
-    p = bt.shard_pieces(rows, t, SHARD)
+    p = materialize(bt.shard_pieces(rows, t, SHARD))
     return p, bt.shard_sizes(p)
 
 
