@@ -92,9 +92,11 @@ def stream_positions(lengths: DataFrame, keys=("domain",), order="doc_pos") -> D
     """Per document: ``start`` (stream position of its BOS) and ``doc_no``
     (documents before it), by distributed prefix sums.  ``order`` is a column
     name or a list of names (unique within a key)."""
+    from quire.session import materialize
     order = [order] if isinstance(order, str) else list(order)
-    return prefix_sums(lengths.withColumn("_one", F.lit(1).cast("bigint")), list(keys), order,
-                       {"n_tokens": "start", "_one": "doc_no"}).drop("_one")
+    pos = prefix_sums(lengths.withColumn("_one", F.lit(1).cast("bigint")), list(keys), order,
+                      {"n_tokens": "start", "_one": "doc_no"}).drop("_one")
+    return materialize(pos)  # the position table: narrow, read by every split/shard branch
 
 
 def bos_positions(lengths: DataFrame, keys=("domain",), order: str = "doc_pos") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.columns import exact_mean, primary_loss
+from quire.session import materialize
 
 # The optimizer track's reference validation curve.
 REFERENCE_VAL_BY_STEP = {
@@ -66,7 +67,8 @@ def downsample_step(curve: DataFrame, max_points: int, run: str = "experiment_id
     (at most ``max_points + 2`` per run) see a window."""
     if not MAX_POINTS_MIN <= max_points <= MAX_POINTS_MAX:
         raise ValueError("max_points must be within 4..1200")
-    c = curve.where(F.col(value).isNotNull())
+    curve = materialize(curve.where(F.col(value).isNotNull()))  # read by three branches below
+    c = curve
     stats = c.groupBy(run).agg(F.count(F.lit(1)).alias("_n"), F.min("step").alias("_lo"),
                                F.max("step").alias("_hi"))
     c = c.join(stats, run)
@@ -93,6 +95,7 @@ def downsample_index(curve: DataFrame, max_points: int, run: str = "experiment_i
         raise ValueError("max_points must be at least 4")
     from quire.plans.prefix import prefix_sums
     bcount = (max_points - 2) // 2
+    curve = materialize(curve)  # read by the index, the statistics and the output
     idx = prefix_sums(curve.select(run, order, F.lit(1).cast("bigint").alias("_one")), [run], [order],
                       {"_one": "index"}).select(run, order, "index")
     stats = curve.groupBy(run).agg(F.count(F.lit(1)).alias("_n"))
@@ -143,6 +146,7 @@ def step_interval(curves: DataFrame, run: str = "experiment_id", scope=(),
     """Most frequent positive step gap of the first run (by ``run_order``)
     that has one; ties -> the smaller gap; ``default`` when none."""
     scope = list(scope)
+    curves = materialize(curves.select(*scope, run, "step"))
     w = Window.partitionBy(*scope, run).orderBy("step")
     g = curves.select(*scope, run, (F.col("step") - F.lag("step").over(w)).alias("gap")).where(F.col("gap") > 0)
     order = run_order if run_order is not None else F.col(run)

@@ -246,6 +246,8 @@ def queue_reconcile(runs: DataFrame, accepted: DataFrame, session_col: str = "se
     'queued'; ids owned by another session are ignored.  Queued runs of the
     session missing from the snapshot -> 'unknown'.  Output (session, id,
     action, status)."""
+    from quire.session import materialize
+    accepted = materialize(accepted)  # one row per session, read by three branches
     items = accepted.select(session_col, F.posexplode("queue").alias("pos", "item")) \
         .select(session_col, F.col("item.experiment_id").alias("id"), "item.name", "item.script") \
         .where(F.col("id") > 0)
@@ -300,6 +302,8 @@ def queue_history(lines: DataFrame, session: str | None = None, n: int = 20,
         p = p.where(F.col("session") == session)
     ids = F.transform("queue", lambda x: x["experiment_id"])
     p = p.withColumn("_key", F.struct(F.col("session"), ids.alias("ids")))
+    from quire.session import materialize
+    p = materialize(p)  # parsed entries feed the index, the lag join and the output
     idx = prefix_sums(p.select(F.lit(0).alias("_g"), order, F.lit(1).cast("bigint").alias("_one")),
                       ["_g"], [order], {"_one": "_idx"}).select(order, "_idx")
     p = p.join(idx, order)
