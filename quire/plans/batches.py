@@ -177,15 +177,54 @@ def packed_segments(spark, d):
     return p, bt.batches_packed(p, sz, B, MAX_SEQ, R)
 
 
-@register("batches_packed")
+PACK_SQL = SHARD_TOKENS_SQL + f""",
+bos AS (SELECT split, domain, shard, pos AS s,
+               row_number() OVER (PARTITION BY split, domain, shard ORDER BY pos) - 1 AS i,
+               lead(pos) OVER (PARTITION BY split, domain, shard ORDER BY pos) AS nxt
+        FROM st WHERE token = 50256),
+pdocs AS (SELECT b.split, b.domain, b.shard, b.i, b.s, coalesce(b.nxt, z.n) AS e
+         FROM bos b JOIN sizes z USING (split, domain, shard)),
+rec AS (
+  SELECT split, domain, shard, i, CAST(0 AS BIGINT) AS batch, 0 AS rank, 0 AS seg, s AS start,
+         least(e, s + {MAX_SEQ}, s + {L + 1}) AS "end", least(e, s + {MAX_SEQ}, s + {L + 1}) - s AS cur
+  FROM pdocs WHERE i = 0
+  UNION ALL
+  SELECT d.split, d.domain, d.shard, d.i,
+         CASE WHEN r.cur = {L + 1} AND r.rank = {R - 1} THEN r.batch + 1 ELSE r.batch END,
+         CASE WHEN r.cur = {L + 1} THEN (r.rank + 1) % {R} ELSE r.rank END,
+         CASE WHEN r.cur = {L + 1} THEN 0 ELSE r.seg + 1 END,
+         d.s,
+         least(d.e, d.s + {MAX_SEQ}, d.s + {L + 1} - CASE WHEN r.cur = {L + 1} THEN 0 ELSE r.cur END),
+         CASE WHEN r.cur = {L + 1} THEN 0 ELSE r.cur END
+           + least(d.e, d.s + {MAX_SEQ}, d.s + {L + 1} - CASE WHEN r.cur = {L + 1} THEN 0 ELSE r.cur END) - d.s
+  FROM rec r JOIN pdocs d ON d.split = r.split AND d.domain = r.domain AND d.shard = r.shard AND d.i = r.i + 1),
+full_batches AS (SELECT split, domain, shard, count(*) AS nb FROM rec WHERE rank = {R - 1} AND cur = {L + 1}
+                 GROUP BY ALL),
+segs AS (SELECT r.* FROM rec r JOIN full_batches f USING (split, domain, shard) WHERE r.batch < f.nb)"""
+
+
+@register("batches_packed", PACK_SQL + """
+SELECT g.split, g.domain, g.shard, g.batch, CAST(g.rank AS INTEGER) AS rank, count(*) AS n,
+       CAST(sum(t.token) AS BIGINT) AS tok_sum
+FROM segs g JOIN st t ON t.split = g.split AND t.domain = g.domain AND t.shard = g.shard
+  AND t.pos >= g.start AND t.pos < g."end"
+GROUP BY ALL""", ("corpus",), recursive=True)
 def q_batches_packed(spark, d):
     p, seg = packed_segments(spark, d)
     buf = bt.packed_buffers(p, seg, L + 1)
     return buf.select(*KEY, "batch", "rank", F.size("tokens").cast("bigint").alias("n"),
-                      F.element_at("tokens", 1).alias("first_tok"))
+                      F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("tok_sum"))
 
 
-@register("batch_seqlens")
+@register("batch_seqlens", PACK_SQL + f""",
+c AS (SELECT split, domain, shard, batch, rank, seg,
+             sum("end" - start) OVER (PARTITION BY split, domain, shard, batch, rank ORDER BY seg) AS cum,
+             max(seg) OVER (PARTITION BY split, domain, shard, batch, rank) AS last_seg
+      FROM segs)
+SELECT split, domain, shard, batch, CAST(rank AS INTEGER) AS rank,
+       array_to_string(list_resize(list_concat([0], list(CAST(cum - CASE WHEN seg = last_seg THEN 1 ELSE 0 END AS INTEGER)
+                                                     ORDER BY seg)), {bt.max_num_docs(L)}, {L}), ',') AS cum_seqlens
+FROM c GROUP BY split, domain, shard, batch, rank""", ("corpus",), recursive=True)
 def q_batch_seqlens(spark, d):
     _, seg = packed_segments(spark, d)
     return bt.batch_seqlens(seg, L, [*KEY, "batch", "rank"]).withColumn(

@@ -21,11 +21,15 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
-def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
-    """Decorator: register ``plan(spark, sf_dir)`` under ``name``."""
+def register(name: str, sql: str | None = None, views: tuple[str, ...] = (), recursive: bool = False):
+    """Decorator: register ``plan(spark, sf_dir)`` under ``name``.  ``recursive``
+    marks an oracle that uses a recursive CTE (``WITH RECURSIVE``)."""
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Entry(name, fn, with_views(sql, *views) if sql else None)
+        text = with_views(sql, *views) if sql else None
+        if text and recursive:
+            text = "WITH RECURSIVE " + text[len("WITH "):]
+        REGISTRY[name] = Entry(name, fn, text)
         return fn
     return deco
