@@ -163,9 +163,35 @@ def q_boundary_dataset(spark, d):
 
 
 CLIP = 256  # documents clipped so a 2B window holds R document starts
-
-
-@register("batches_bos_aligned")
+LB = CLIP  # per-rank buffer of the BOS-aligned batches: batch 2*CLIP over R=2 ranks
+CLIPPED_SHARD_SQL = SHARD_TOKENS_SQL.replace(
+    "{TOK_SQL} AS tokens".format(TOK_SQL=__import__("quire.plans.corpus", fromlist=["TOK_SQL"]).TOK_SQL),
+    "list_slice({t}, 1, {n}) AS tokens".format(t=__import__("quire.plans.corpus", fromlist=["TOK_SQL"]).TOK_SQL,
+                                               n=CLIP + 1), 1)
+
+BOS_ALIGNED_SQL = CLIPPED_SHARD_SQL + f""",
+bos2 AS (SELECT split, domain, shard, pos FROM st WHERE token = 50256),
+nx AS (SELECT a.split, a.domain, a.shard, a.pos AS s, min(b.pos) AS nxt
+       FROM bos2 a LEFT JOIN bos2 b ON b.split = a.split AND b.domain = a.domain AND b.shard = a.shard
+         AND b.pos >= a.pos + {LB}
+       GROUP BY ALL),
+first_bos AS (SELECT split, domain, shard, min(pos) AS s FROM bos2 GROUP BY ALL),
+chain AS (
+  SELECT split, domain, shard, 0 AS k, s FROM first_bos
+  UNION ALL
+  SELECT c.split, c.domain, c.shard, c.k + 1, n.nxt
+  FROM chain c JOIN nx n ON n.split = c.split AND n.domain = c.domain AND n.shard = c.shard AND n.s = c.s
+  WHERE n.nxt IS NOT NULL),
+kb AS (SELECT *, k // {R} AS batch, k % {R} AS rank FROM chain),
+bp AS (SELECT split, domain, shard, batch, CASE WHEN batch = 0 THEN 0 ELSE min(s) END AS pos FROM kb
+        GROUP BY split, domain, shard, batch)
+SELECT kb.split, kb.domain, kb.shard, CAST(kb.batch AS BIGINT) AS batch, CAST(kb.rank AS INTEGER) AS rank, kb.s AS start,
+       kb.s + {LB + 1} AS "end"
+FROM kb JOIN bp USING (split, domain, shard, batch) JOIN sizes z USING (split, domain, shard)
+WHERE bp.pos + {2 * 2 * CLIP} + 1 < z.n"""
+
+
+@register("batches_bos_aligned", BOS_ALIGNED_SQL, ("corpus",), recursive=True)
 def q_batches_bos_aligned(spark, d):
     p, sz = pieces_and_sizes(spark, d, CLIP)
     starts = bt.batches_bos_aligned(p, sz, 2 * CLIP, R)
