@@ -44,10 +44,11 @@ def swept_keys(runs: DataFrame, scope) -> DataFrame:
     first-seen order (newest run first, then map order): (scope, key, key_rank)."""
     comp = runs.where(F.col("status") == "completed")
     env = env_rows(comp, scope)
+    h = F.xxhash64("value")  # > 1 distinct value <=> min != max of the 64-bit hash
     ks = env.groupBy(*scope, "key").agg(
-        F.count_distinct("value").alias("nv"), F.max(_newest()).alias("first_run"),
+        F.min(h).alias("_lo"), F.max(h).alias("_hi"), F.max(_newest()).alias("first_run"),
         F.max_by("pos", _newest()).alias("first_pos"))
-    ks = ks.where(F.col("nv") > 1)
+    ks = ks.where(F.col("_lo") != F.col("_hi"))
     w = Window.partitionBy(*scope).orderBy(F.col("first_run").desc(), F.col("first_pos"))
     return ks.select(*scope, "key", F.row_number().over(w).alias("key_rank"))
 
@@ -154,9 +155,11 @@ def differing_keys(runs: DataFrame, scope=()) -> DataFrame:
     scope = list(scope)
     runs = materialize(runs.select(*scope, "id", "started_at", "env_vars"))
     n = runs.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"))
+    h = F.xxhash64("value")  # several distinct values <=> min != max of the 64-bit hash
     k = env_rows(runs, scope).groupBy(*scope, "key").agg(
-        F.count(F.lit(1)).alias("present"), F.count_distinct("value").alias("nv"),
+        F.count(F.lit(1)).alias("present"), F.min(h).alias("_lo"), F.max(h).alias("_hi"),
         F.bool_or(F.col("value") == "").alias("has_empty"))
     j = k.join(n, scope) if scope else k.join(n.withColumn("_k", F.lit(1)), F.lit(1) == F.col("_k"))
-    total = F.col("nv") + F.when((F.col("present") < F.col("n")) & ~F.col("has_empty"), 1).otherwise(0)
-    return j.where(total > 1).select(*scope, "key")
+    # the values plus '' for runs without the key (unless '' is already one of them)
+    differs = (F.col("_lo") != F.col("_hi")) | ((F.col("present") < F.col("n")) & ~F.col("has_empty"))
+    return j.where(differs).select(*scope, "key")
