@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import gzip
 import json
-import os
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources import fs
+
 
 def land_corpus(corpus: DataFrame, dest: str) -> DataFrame:
     """Write ``<dest>/<domain>/<shard_idx:04d>.jsonl.gz``: one gzip JSONL file
@@ -26,14 +26,9 @@ def land_corpus(corpus: DataFrame, dest: str) -> DataFrame:
                 buf.setdefault((dom, int(sh)), []).extend(g["text"].tolist())
         out = []
         for (dom, sh), texts in buf.items():
-            folder = os.path.join(dest, dom)
-            os.makedirs(folder, exist_ok=True)
-            path = os.path.join(folder, f"{sh:04d}.jsonl.gz")
-            tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-            with gzip.open(tmp, "wt", encoding="utf-8") as fh:
-                for t in texts:
-                    fh.write(json.dumps({"text": t}, ensure_ascii=False) + "\n")
-            os.replace(tmp, path)
+            path = fs.join(dest, dom, f"{sh:04d}.jsonl.gz")
+            body = "".join(json.dumps({"text": t}, ensure_ascii=False) + "\n" for t in texts)
+            fs.write_atomic(path, gzip.compress(body.encode("utf-8")))
             out.append((dom, sh, path, len(texts)))
         yield pd.DataFrame(out, columns=["domain", "shard_idx", "path", "n_docs"])
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import pandas as pd
@@ -10,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.session import checkpoint_dir
+from quire.sources import fs
 
 
 def landing_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location."""
     base = checkpoint_dir(spark)
-    path = os.path.join(base, "quire-landing", f"{name}-{uuid.uuid4().hex[:12]}")
+    path = fs.join(base, "quire-landing", f"{name}-{uuid.uuid4().hex[:12]}")
     return path
 
 
@@ -30,18 +30,14 @@ def land_log_files(log_lines: DataFrame, dest: str, partitions: int | None = Non
     df = df.sortWithinPartitions("run_id", "line_no")
 
     def write(batches):
-        os.makedirs(dest, exist_ok=True)
         buf: dict[str, list[str]] = {}
         for pdf in batches:
             for rid, grp in pdf.groupby("run_id", sort=False):
                 buf.setdefault(rid, []).extend(grp["line"].tolist())
         out = []
         for rid, lines in buf.items():
-            path = os.path.join(dest, f"{rid}.txt")
-            tmp = path + f".tmp-{uuid.uuid4().hex[:8]}"
-            with open(tmp, "w", encoding="utf-8") as fh:
-                fh.write("\n".join(lines) + "\n")
-            os.replace(tmp, path)  # a retried task rewrites the same file atomically
+            path = fs.join(dest, f"{rid}.txt")
+            fs.write_atomic(path, ("\n".join(lines) + "\n").encode("utf-8"))  # retried task: same file
             out.append((rid, path, len(lines)))
         yield pd.DataFrame(out, columns=["run_id", "path", "n_lines"])
 
@@ -77,12 +73,7 @@ def land_text(lines: DataFrame, dest: str, path_col: str = "relpath", order: str
                 buf.setdefault(rel, []).extend(grp["line"].tolist())
         out = []
         for rel, ls in buf.items():
-            path = os.path.join(dest, rel)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            tmp = path + f".tmp-{uuid.uuid4().hex[:8]}"
-            with open(tmp, "w", encoding="utf-8") as fh:
-                fh.write("\n".join(ls) + "\n")
-            os.replace(tmp, path)
+            fs.write_atomic(fs.join(dest, rel), ("\n".join(ls) + "\n").encode("utf-8"))
             out.append((rel, len(ls)))
         yield pd.DataFrame(out, columns=["relpath", "n_lines"])
 

@@ -17,24 +17,20 @@ name, written to a temporary name and renamed (a retried task rewrites it).
 
 from __future__ import annotations
 
-import glob
-import os
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, InputPartition,
                                     WriterCommitMessage)
 
 from quire.functions.columns import SHARD_HEADER_INTS, SHARD_MAGIC, SHARD_VERSION
+from quire.sources import fs
 
 HEADER_BYTES = SHARD_HEADER_INTS * 4
 
 
 def read_header(path: str) -> tuple[int, int, int, int]:
-    with open(path, "rb") as fh:
-        head = np.frombuffer(fh.read(HEADER_BYTES), dtype="<i4")
-    size = os.path.getsize(path)
+    size = fs.size(path)
+    head = np.frombuffer(fs.read_range(path, 0, min(HEADER_BYTES, size) // 4 * 4), dtype="<i4")
     if head.size < 3:
         raise ValueError(f"{path}: short header")
     return int(head[0]), int(head[1]), int(head[2]), size
@@ -65,10 +61,7 @@ class _Reader(DataSourceReader):
         self.row_tokens = int(options.get("row_tokens", 1 << 16))
 
     def _files(self) -> list[str]:
-        pat = self.pattern
-        if os.path.isdir(pat):
-            pat = os.path.join(pat, "*.bin")
-        return sorted(glob.glob(pat))
+        return fs.glob(self.pattern)
 
     def partitions(self):
         files = self._files()
@@ -89,11 +82,12 @@ class _Reader(DataSourceReader):
             yield (partition.path, magic, version, n, size)
             return
         check_header(partition.path)
-        body = np.memmap(partition.path, dtype="<u2", mode="r", offset=HEADER_BYTES)
-        end = partition.start + partition.count
-        for s in range(partition.start, end, self.row_tokens):
-            e = min(s + self.row_tokens, end)
-            yield (partition.path, s, body[s:e].astype(np.int32).tolist())
+        # one ranged read per slice (local file, HDFS or object store alike)
+        raw = fs.read_range(partition.path, HEADER_BYTES + 2 * partition.start, 2 * partition.count)
+        body = np.frombuffer(raw, dtype="<u2")
+        for s in range(0, partition.count, self.row_tokens):
+            e = min(s + self.row_tokens, partition.count)
+            yield (partition.path, partition.start + s, body[s:e].astype(np.int32).tolist())
 
 
 class _Commit(WriterCommitMessage):
@@ -106,7 +100,6 @@ class _Writer(DataSourceWriter):
         self.dest = options["path"]
 
     def write(self, rows):
-        os.makedirs(self.dest, exist_ok=True)
         written = []
         cur, parts = None, []
 
@@ -116,12 +109,7 @@ class _Writer(DataSourceWriter):
                 raise ValueError(f"{name}: token ids must fit in uint16")
             header = np.zeros(SHARD_HEADER_INTS, dtype="<i4")
             header[0], header[1], header[2] = SHARD_MAGIC, SHARD_VERSION, toks.size
-            path = os.path.join(self.dest, name)
-            tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
-            with open(tmp, "wb") as fh:
-                fh.write(header.tobytes())
-                fh.write(toks.astype("<u2").tobytes())
-            os.replace(tmp, path)
+            fs.write_atomic(fs.join(self.dest, name), header.tobytes() + toks.astype("<u2").tobytes())
             written.append((name, int(toks.size)))
 
         for row in rows:
