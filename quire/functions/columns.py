@@ -37,8 +37,11 @@ def exact_mean(c, scale: int = 6) -> Column:
     bits from run to run; this one cannot.
     """
     c = col(c)
-    s = F.sum(c.cast(f"decimal(18,{scale})")).cast("double")
-    return s / F.count(c)
+    # 38 digits: no ANSI overflow for any realistic magnitude; NaN/inf have no
+    # decimal form, so they fall back to a plain double mean
+    nonfinite = F.coalesce(F.bool_or(F.isnan(c) | (F.abs(c) == float("inf"))), F.lit(False))
+    s = F.sum(c.try_cast(f"decimal(38,{scale})")).cast("double")
+    return F.when(~nonfinite, s / F.count(c)).otherwise(F.avg(c))
 
 
 def primary_loss(val="val_loss", train="train_loss") -> Column:
