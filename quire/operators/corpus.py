@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.columns import GPT2_BOS, SHARD_SIZE, tokenize_text
+from quire.functions.columns import GPT2_BOS, SHARD_SIZE, tokenize_text, words
 from quire.plans.prefix import prefix_sums
 
 
@@ -84,6 +84,16 @@ def clip_docs(doc_tokens: DataFrame, max_doc_tokens: int = 4096) -> DataFrame:
     return doc_tokens.withColumn("tokens", F.slice("tokens", 1, max_doc_tokens + 1))
 
 
+def token_counts(corpus: DataFrame, keep_empty: bool = False, keys=("domain",),
+                 order: str = "doc_pos") -> DataFrame:
+    """Token counts of the default word tokenizer (one token per word, plus
+    BOS) without building the token arrays: what positions, budgets, splits
+    and length statistics need.  Equal to ``doc_lengths(tokenize(corpus))``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    src = corpus if keep_empty else corpus.where(F.length(text) > 0)
+    return src.select(*keys, order, (F.size(words(text)) + 1).cast("bigint").alias("n_tokens"))
+
+
 def doc_lengths(doc_tokens: DataFrame, keys=("domain",), order: str = "doc_pos") -> DataFrame:
     return doc_tokens.select(*keys, order, F.size("tokens").cast("bigint").alias("n_tokens"))
 

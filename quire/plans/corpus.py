@@ -32,7 +32,7 @@ def doc_tokens(spark, d):
 
 
 def positions(spark, d):
-    return cp.stream_positions(cp.doc_lengths(doc_tokens(spark, d)))
+    return cp.stream_positions(cp.token_counts(fx.corpus(spark, d)))
 
 
 @register("scan_corpus", """
@@ -94,8 +94,7 @@ SELECT domain, CASE WHEN n_bos >= 2 THEN num_sequences END AS num_sequences, tot
   CASE WHEN n_bos >= 2 THEN CAST(mx AS BIGINT) END AS max_len
 FROM s""", ("corpus",))
 def q_seq_len_stats(spark, d):
-    lens = cp.doc_lengths(doc_tokens(spark, d))
-    return cp.seq_len_stats(lens)
+    return cp.seq_len_stats(cp.token_counts(fx.corpus(spark, d)))
 
 
 @register("corpus_summary", DOCS_SQL + """
@@ -103,7 +102,7 @@ SELECT domain, count(*) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FRO
 UNION ALL
 SELECT 'TOTAL', count(*), CAST(sum(n_tokens) AS BIGINT) FROM lens""", ("corpus",))
 def q_corpus_summary(spark, d):
-    return cp.corpus_summary(cp.doc_lengths(doc_tokens(spark, d)))
+    return cp.corpus_summary(cp.token_counts(fx.corpus(spark, d)))
 
 
 @register("token_budget", DOCS_SQL + f"""
@@ -174,7 +173,7 @@ def q_shuffle_docs(spark, d):
 
 @register("bos_positions", DOCS_SQL + "\nSELECT domain, doc_pos, start AS bos_pos FROM pos", ("corpus",))
 def q_bos_positions(spark, d):
-    return cp.bos_positions(cp.doc_lengths(doc_tokens(spark, d)))
+    return cp.bos_positions(cp.token_counts(fx.corpus(spark, d)))
 
 
 @register("doc_of_token", DOCS_SQL + """

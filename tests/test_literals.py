@@ -215,3 +215,11 @@ def test_bpe_plugin_matches_in_process_encoding(spark):
     got = {r.doc_pos: r.tokens for r in cp.bpe_tokenize(c, path).collect()}
     assert got[0] == [50256] + enc.encode_ordinary(texts[0])
     assert got[1] == [50256] + enc.encode_ordinary(texts[1])
+
+
+def test_token_counts_equal_tokenized_lengths(spark):
+    from quire.sources import fixtures as fx
+    c = fx.corpus(spark, "/root/testdata/sf0.001")
+    a = {(r.domain, r.doc_pos): r.n_tokens for r in cp.token_counts(c).collect()}
+    b = {(r.domain, r.doc_pos): r.n_tokens for r in cp.doc_lengths(cp.tokenize(c)).collect()}
+    assert a == b and len(a) > 0
