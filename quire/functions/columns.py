@@ -18,6 +18,8 @@ SHARD_VERSION = 1
 SHARD_HEADER_INTS = 256
 SHARD_SIZE = 100_000_000
 TERMINAL_STATUSES = ("completed", "failed", "crashed", "killed", "timeout", "cancelled")
+SHARD_NAME_FORMAT = "dolma_%s_%s_%04d.bin"  # split, domain, shard number
+JOB_ID_ENV_KEY = "_iris_job_id"  # env var carrying a run's external job id
 
 
 def col(c) -> Column:

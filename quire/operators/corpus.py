@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.columns import GPT2_BOS, SHARD_SIZE, tokenize_text, words
+from quire.functions.columns import GPT2_BOS, SHARD_NAME_FORMAT, SHARD_SIZE, tokenize_text, words
 from quire.plans.prefix import prefix_sums
 
 
@@ -213,8 +213,8 @@ def assign_shards(split_rows: DataFrame, shard_size: int = SHARD_SIZE) -> DataFr
 
 
 def shard_name(split: Column, domain: Column, shard: Column) -> Column:
-    """``dolma_{split}_{domain}_{i:04d}.bin``"""
-    return F.format_string("dolma_%s_%s_%04d.bin", split, domain, shard.cast("int"))
+    """Shard file name (``SHARD_NAME_FORMAT``: split, domain, 4-digit number)."""
+    return F.format_string(SHARD_NAME_FORMAT, split, domain, shard.cast("int"))
 
 
 def shuffle_docs(corpus: DataFrame, seed: int = 42, id_col: str = "doc_id") -> DataFrame:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.columns import JOB_ID_ENV_KEY
+
 # Statuses a remote observation may set.
 TERMINAL = ("completed", "failed", "cancelled")
 OBSERVED = TERMINAL + ("queued", "running", "unknown")
@@ -318,7 +320,7 @@ def recent_crashes(crashes: DataFrame, n: int = 20, session: str = "session_name
     return crashes.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= n)
 
 
-def job_state_diff(runs: DataFrame, jobs: DataFrame, key: str = "_iris_job_id") -> DataFrame:
+def job_state_diff(runs: DataFrame, jobs: DataFrame, key: str = JOB_ID_ENV_KEY) -> DataFrame:
     """Runs carrying an external job id, left-joined to the job list's
     mapped state; a known state that differs from the run's is a transition."""
     r = runs.select("id", "status", F.col("env_vars")[key].alias("name")).where(F.col("name").isNotNull())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators import batches as bt
 from quire.operators import corpus as cp
 from quire.plans.corpus import CONTIG_SQL, DOCS_SQL, SHARD, TRAIN, VAL, doc_tokens, positions
+from quire.functions.columns import SHARD_NAME_FORMAT
 from quire.plans.registry import register
 
 B, R = 1024, 2
@@ -269,10 +270,10 @@ def land_shards(spark, d):
     return dest
 
 
-NAME_RX = r"dolma_([^_]+)_(.+)_(\d{4})\.bin$"
-SHARD_SIZES_SQL = SHARD_TOKENS_SQL + """
+NAME_RX = r"^[^_]+_([^_]+)_(.+)_(\d{4})\.bin$"  # SHARD_NAME_FORMAT parsed back
+SHARD_SIZES_SQL = SHARD_TOKENS_SQL + f"""
 SELECT split, domain, shard, count(*) AS n, CAST(sum(token) AS BIGINT) AS tok_sum,
-       printf('dolma_%s_%s_%04d.bin', split, domain, shard) AS name
+       printf('{SHARD_NAME_FORMAT}', split, domain, shard) AS name
 FROM st GROUP BY split, domain, shard"""
 
 

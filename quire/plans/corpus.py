@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import corpus as cp
+from quire.functions.columns import SHARD_NAME_FORMAT
 from quire.plans.registry import register
 from quire.sources import corpus as csrc
 from quire.sources import fixtures as fx
@@ -147,7 +148,7 @@ e AS (SELECT r.*, UNNEST(range(split_pos // {SHARD}, (split_pos + ln - 1) // {SH
 SELECT domain, doc_pos, split, shard,
        from_tok + greatest(split_pos, shard * {SHARD}) - split_pos AS shard_from,
        from_tok + least(split_pos + ln, (shard + 1) * {SHARD}) - split_pos AS shard_to,
-       printf('dolma_%s_%s_%04d.bin', split, domain, shard) AS name
+       printf('{SHARD_NAME_FORMAT}', split, domain, shard) AS name
 FROM e""", ("corpus",))
 def q_assign_shards(spark, d):
     a = cp.assign_shards(cp.split_contiguous(positions(spark, d), VAL, TRAIN), SHARD)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions.columns import JOB_ID_ENV_KEY
 from quire.operators import state as st
 from quire.plans.registry import register
 from quire.plans.telemetry import merged, summaries
@@ -184,7 +185,7 @@ def q_job_state_diff(spark, d):
     from quire.plans.logs import jobs
     r = fx.runs(spark, d)
     r = r.withColumn("env_vars", F.when(F.col("id") % 5 == 0, F.map_concat(
-        "env_vars", F.create_map(F.lit("_iris_job_id"), F.concat(F.lit("user/job-"), (F.col("id") - 1).cast("string"))))
+        "env_vars", F.create_map(F.lit(JOB_ID_ENV_KEY), F.concat(F.lit("user/job-"), (F.col("id") - 1).cast("string"))))
     ).otherwise(F.col("env_vars")))
     return st.job_state_diff(r, logs.job_states(jobs(spark, d)))
 
