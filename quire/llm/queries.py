@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quire.llm import url_filter
+from quire.llm import packing, token_counts, token_records, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op4_packing": packing.op4_packing,
+    "op8_token_records": token_records.op8_token_records,
 }
 ORACLES = {"op1_url_filter": url_filter.ORACLE}
