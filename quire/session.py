@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -69,8 +71,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: Python functions in plans are
+    pickled by module name, and a worker need not start in the folder that holds the package."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quire_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="quire-package-"), "quire-package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(target)
+    sc._quire_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One driver table (one parquet file or folder) by name."""
+    ship_package(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
