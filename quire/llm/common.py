@@ -7,10 +7,12 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quire.session import checkpoint_dir, table
 
-__all__ = ["ASCII_UPPER", "ASCII_LOWER", "table", "stage", "scratch_path", "fold", "column_of", "columns_free_of"]
+__all__ = ["ASCII_UPPER", "ASCII_LOWER", "table", "stage", "scratch_path", "fold", "column_of", "append_columns",
+           "labelled_sample"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -39,7 +41,25 @@ def column_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def columns_free_of(df: DataFrame, names) -> DataFrame:
-    """Drop input columns whose names an operator is about to produce."""
-    clash = {n.lower() for n in names}
-    return df.drop(*[c for c in df.columns if c.lower() in clash])
+def append_columns(df: DataFrame, columns: dict[str, str], compute) -> DataFrame:
+    """``df`` with new columns (name -> type) that ``compute(texts) -> list of Arrow arrays`` derives
+    from its ``text`` column, batch by batch.  ``compute`` is made once per task by calling it
+    without arguments: ``compute() -> function``."""
+    names = list(columns)
+
+    def run(batches):
+        f = compute()
+        for b in batches:
+            arrays = f(column_of(b, "text"))
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, *names])
+
+    added = [StructField(n, StructType.fromDDL(f"x {t}")["x"].dataType) for n, t in columns.items()]
+    return df.mapInArrow(run, StructType([*df.schema.fields, *added]))
+
+
+def labelled_sample(labels: DataFrame, label: str, train, bound: int) -> DataFrame:
+    """(doc_id, label) of at most ``bound`` labelled rows for which ``train`` holds, chosen by a hash
+    of the id; repeated ids count once, with their larger label."""
+    return (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).filter(train)
+            .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
