@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
-from quire.llm import packing, token_counts, token_records, url_filter
+from quire.llm import (
+    decontamination,
+    html_extract,
+    ngram_join,
+    packing,
+    quality,
+    token_counts,
+    token_records,
+    toxicity,
+    url_filter,
+)
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_packing": packing.op4_packing,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality": quality.op7_quality,
     "op8_token_records": token_records.op8_token_records,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 ORACLES = {"op1_url_filter": url_filter.ORACLE}
