@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quire.llm import (
     decontamination,
+    embedding_dedup,
     html_extract,
     ngram_join,
     packing,
@@ -23,6 +24,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_quality": quality.op7_quality,
     "op8_token_records": token_records.op8_token_records,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_html_extract": html_extract.op10_html_extract,
 }
 ORACLES = {"op1_url_filter": url_filter.ORACLE}
