@@ -2,7 +2,8 @@
 
 A text becomes a sequence of template tokens: words lower-cased without punctuation, numbers as a
 number slot, units behind a number as a unit slot, and names -- capitalised words that do not begin
-a sentence, neighbours joined -- as a name slot.  Windows of ``WINDOW`` template tokens are hashed;
+a sentence, neighbours joined -- as a name slot.  (Items are also taken with their names as words, to
+meet documents in other case.)  Windows of ``WINDOW`` template tokens are hashed;
 document windows meet benchmark windows in a hash join.  Matches on one diagonal (the same shift
 between document and item) belong together: their slots must map the item's values to the
 document's one to one, or the match is refused.  So a passage is found word for word, with other
@@ -84,8 +85,9 @@ class Tokens(dict):
             setattr(self, k, np.concatenate([a, np.zeros(max(0, n - len(a)), a.dtype)]))
 
 
-def template(text: str, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """(template token hashes, slot values): a slot value is 0 where the token is a word."""
+def template(text: str, tokens: Tokens, names: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(template token hashes, slot values): a slot value is 0 where the token is a word.  Without
+    ``names``, names are words."""
     rows = tokens.rows(text)
     before = np.concatenate([[0], np.cumsum(tokens.ends[rows])])
     kept = np.flatnonzero(~tokens.skip[rows])
@@ -99,7 +101,7 @@ def template(text: str, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     number = tokens.number[rows]
     unit = np.zeros(len(rows), bool)
     unit[1:] = tokens.unit[rows][1:] & number[:-1]
-    name = tokens.name[rows] & ~start & ~unit
+    name = tokens.name[rows] & ~start & ~unit & names
     slot = number | unit | name
     token = np.where(number, np.uint64(_NUMBER), np.where(unit, np.uint64(_UNIT), np.where(name, np.uint64(_NAME), value)))
     run_on = np.zeros(len(rows), bool)  # a name that goes on
@@ -124,7 +126,7 @@ def windows(token: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     words = np.concatenate([[0], np.cumsum(value == 0)])
-    return h, words[size:] - words[:-size] >= max(min(5, size), math.ceil(MIN_LITERAL * size))
+    return h, words[size:] - words[:-size] >= max(5, math.ceil(MIN_LITERAL * size))
 
 
 _OUT = [("hash", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("slots", pa.list_(pa.int64()))]
@@ -148,15 +150,17 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     def run(batches):
         tokens = Tokens()
         for b in batches:
-            ids, lengths, rows = column_of(b, "item_id"), [], []
-            for i, text in enumerate(column_of(b, "text")):
-                token, value = template(text or "", tokens)
-                lengths.append(len(token))
-                if len(token):
-                    size = min(WINDOW, len(token))
-                    h, good = windows(token, value, size)
-                    at = np.flatnonzero(good)
-                    rows.append((i, h[at], size, at, value))
+            ids, lengths, rows = [], [], []
+            for item_id, text in zip(column_of(b, "item_id"), column_of(b, "text")):
+                for names in (True, False):  # a document in other case has no names
+                    token, value = template(text or "", tokens, names)
+                    if len(token):
+                        size = min(WINDOW, len(token))
+                        h, good = windows(token, value, size)
+                        at = np.flatnonzero(good)
+                        rows.append((len(ids), h[at], size, at, value))
+                        ids.append(item_id)
+                        lengths.append(len(token))
             yield _batch([ids, lengths], [("item_id", b.schema.field("item_id").type), ("n_tokens", pa.int32())], rows)
 
     kind = benchmark.schema["item_id"].dataType.simpleString()

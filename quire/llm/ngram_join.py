@@ -404,7 +404,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def similarity_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, component_id (the smallest doc_id
-    reachable by links, its own included)."""
+    reachable by links, its own included), root (names the component; null without a set)."""
     rows = stage(document_sets(docs), "document-sets")
     sets = rows.filter("n is not null").drop("shingle", "times")
     n_docs = sets.count()
@@ -434,21 +434,32 @@ def similarity_components(docs: DataFrame) -> DataFrame:
 
     reached = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = reached.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = reached.join(smallest, "root").select("node", "component_id")
+    of_node = reached.join(smallest, "root").select("node", "component_id", "root")
     return (sets.join(of_node, "node", "left")
             .select("doc_id", "text_hash", F.col("n").alias("n_shingles"),
-                    F.coalesce("component_id", "doc_id").alias("component_id")))
+                    F.coalesce("component_id", "doc_id").alias("component_id"), "root"))
 
 
 def op5_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return similarity_components(table(spark, sf_dir, "documents")).drop("text_hash")
+    return similarity_components(table(spark, sf_dir, "documents")).drop("text_hash", "root")
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id (one of its rows, where
-    the id repeats), all columns kept; a document without an id stays if it is alone."""
-    classes = similarity_components(docs)
-    drop = (classes.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("__drop_id"), F.col("text_hash").alias("__drop_text")).distinct())
-    same = (F.xxhash64("text") == F.col("__drop_text")) & F.col("doc_id").eqNullSafe(F.col("__drop_id"))
-    return docs.join(drop, same, "left_anti")
+    """Pipeline stage: of each component one row stays, of the document with the smallest id (an id
+    before none, then the smaller hash of the text), all columns kept.  Documents without a set
+    all stay."""
+    classes = stage(similarity_components(docs).filter("root is not null").groupBy("root", "doc_id", "text_hash")
+                    .agg(F.count("*").alias("n")), "classes")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = classes.groupBy("root").agg(F.min(rank).alias("best"))
+    marked = (classes.join(best, "root").withColumn("stays", rank == F.col("best"))
+              .filter("not stays or n > 1")
+              .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("stays").alias("__one")))
+    marked = stage(marked, "marked")
+    same = (F.xxhash64("text") == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    out = docs.join(marked, same, "left_anti")
+    repeated = marked.filter("__one")
+    if not repeated.isEmpty():  # the row that stays is there more than once
+        again = docs.join(repeated, same).withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+        out = out.unionByName(again.select(docs.columns))
+    return out
