@@ -17,7 +17,6 @@ SHARD_MAGIC = 20240520
 SHARD_VERSION = 1
 SHARD_HEADER_INTS = 256
 SHARD_SIZE = 100_000_000
-TERMINAL_STATUSES = ("completed", "failed", "crashed", "killed", "timeout", "cancelled")
 SHARD_NAME_FORMAT = "dolma_%s_%s_%04d.bin"  # split, domain, shard number
 JOB_ID_ENV_KEY = "_iris_job_id"  # env var carrying a run's external job id
 
@@ -31,21 +30,6 @@ def live(deleted="deleted") -> Column:
     return F.coalesce(col(deleted), F.lit(0)) == 0
 
 
-def exact_mean(c, scale: int = 6) -> Column:
-    """Mean whose value does not depend on partitioning or summation order.
-
-    Sums at fixed decimal precision (micro-units by default) and divides once
-    in double.  A float ``avg`` over a shuffled input can change in its last
-    bits from run to run; this one cannot.
-    """
-    c = col(c)
-    # 38 digits: no ANSI overflow for any realistic magnitude; NaN/inf have no
-    # decimal form, so they fall back to a plain double mean
-    nonfinite = F.coalesce(F.bool_or(F.isnan(c) | (F.abs(c) == float("inf"))), F.lit(False))
-    s = F.sum(c.try_cast(f"decimal(38,{scale})")).cast("double")
-    return F.when(~nonfinite, s / F.count(c)).otherwise(F.avg(c))
-
-
 def primary_loss(val="val_loss", train="train_loss") -> Column:
     """Primary loss of a metric row: validation wins when both are present."""
     return F.coalesce(col(val), col(train))

@@ -2,8 +2,8 @@
 
 A shard is a key (split, domain, shard) and its token stream, held as
 *pieces*: rows (key, shard_pos, tokens, bos_start) of document pieces.  Batch
-layouts are computed from positions only (arithmetic, or a per-shard greedy
-over BOS positions / document lengths in ``applyInPandas``); tokens are
+layouts are computed from positions only (arithmetic, or per shard by sorted
+searches over its document starts in ``applyInPandas``); tokens are
 attached afterwards by :func:`gather`, an equi join on fixed-width position
 buckets -- each piece is pre-cut into bucket-aligned chunks, so every token
 travels once and every output range is bounded by its own length.
@@ -15,7 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.columns import BIGRAM_VOCAB, GPT2_BOS, int32_wrap
@@ -141,12 +141,13 @@ def batch_seqlens_unaligned(inputs: Column, local_tokens: int, bos: int = GPT2_B
 
 def batch_seqlens(segments: DataFrame, local_tokens: int, rid: list[str]) -> DataFrame:
     """Cumulative segment lengths of each packed buffer (the last segment
-    shortened by 1 for the target shift), padded to the document slots."""
-    g = segments.groupBy(*rid).agg(F.array_sort(F.collect_list(F.struct("seg", "start", "end"))).alias("_s"))
-    lens = F.transform("_s", lambda s, i: (s["end"] - s["start"] - F.when(i == F.size("_s") - 1, 1).otherwise(0)))
-    cum = F.transform(lens, lambda x, i: F.aggregate(F.slice(lens, 1, i + 1), F.lit(0).cast("bigint"),
-                                                    lambda a, b: a + b))
-    return g.select(*rid, pad_seqlens(cum, local_tokens).alias("cum_seqlens"))
+    shortened by 1 for the target shift), padded to the document slots.  The
+    running sum is a window over one buffer's segments."""
+    w = Window.partitionBy(*rid).orderBy("seg")
+    last = F.lead("seg").over(w).isNull().cast("bigint")
+    s = segments.select(*rid, "seg", (F.sum(F.col("end") - F.col("start")).over(w) - last).alias("_cum"))
+    g = s.groupBy(*rid).agg(F.array_sort(F.collect_list(F.struct("seg", "_cum"))).alias("_s"))
+    return g.select(*rid, pad_seqlens(F.transform("_s", lambda x: x["_cum"]), local_tokens).alias("cum_seqlens"))
 
 
 def bos_index(pieces: DataFrame, key=SHARD_KEY) -> DataFrame:
@@ -154,28 +155,37 @@ def bos_index(pieces: DataFrame, key=SHARD_KEY) -> DataFrame:
     return pieces.where("bos_start").select(*key, F.col("shard_pos").alias("bos_pos"))
 
 
-def _starts_per_shard(pdf: pd.DataFrame, n: int, local_batch: int, ranks: int) -> list[tuple]:
-    bos = np.sort(pdf["bos_pos"].to_numpy(dtype=np.int64))
-    span = 2 * local_batch * ranks
-    out, pos, batch = [], 0, 0
-    while pos + span + 1 < n:
-        window = bos[(bos >= pos) & (bos < pos + span)]
-        if len(window) == 0:
-            raise RuntimeError("no document start in the batch window; raise the span")
-        start, starts = int(window[0]), []
-        end = None
-        for e in window[1:]:
-            if e - start >= local_batch:
-                starts.append(start)
-                if len(starts) == ranks:
-                    end = int(e)
-                    break
-                start = int(e)
-        if end is None:
-            raise RuntimeError("batch window holds too few documents; raise the span")
-        out.extend((batch, r, s) for r, s in enumerate(starts))
-        pos, batch = end, batch + 1
-    return out
+def chain_from_start(follow: np.ndarray) -> np.ndarray:
+    """Indexes reached from index 0 when ``i`` leads to ``follow[i]`` > i (the
+    length of ``follow`` ends the chain), by pointer doubling."""
+    n = len(follow)
+    hop = np.append(follow, n)
+    seen = np.zeros(n + 1, dtype=bool)
+    seen[0] = True
+    for _ in range(n.bit_length()):
+        seen[hop[seen]] = True
+        hop = hop[hop]
+    return np.flatnonzero(seen[:n])
+
+
+def aligned_starts(bos: np.ndarray, n: int, local_batch: int, ranks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """B2 in one shard of ``n`` tokens with document starts ``bos``: (batch, rank, start).
+
+    A start is followed by the first document start at least ``local_batch``
+    later, found for all of them by one sorted search; the buffers' starts are
+    the chain of followers, R of them a batch.  A batch is due while
+    its window of 2B tokens and one more lie inside the shard, and must be
+    complete within that window."""
+    bos = np.sort(bos)
+    chain = bos[chain_from_start(np.searchsorted(bos, bos + local_batch))]
+    window = 2 * local_batch * ranks
+    begin = np.append(0, chain[ranks::ranks])
+    due = int(np.searchsorted(begin + window + 1, n))
+    end = chain[ranks::ranks][:due]
+    if len(end) < due or (end >= begin[:due] + window).any():
+        raise RuntimeError("a batch window holds too few document starts; raise the span")
+    k = np.arange(due * ranks)
+    return k // ranks, k % ranks, chain[k]
 
 
 def batches_bos_aligned(pieces: DataFrame, sizes: DataFrame, batch_tokens: int, ranks: int,
@@ -189,38 +199,38 @@ def batches_bos_aligned(pieces: DataFrame, sizes: DataFrame, batch_tokens: int,
     b = bos_index(pieces, key).join(sizes, key)
 
     def per_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _starts_per_shard(pdf, int(pdf["n"].iloc[0]), L, ranks)
-        kv = {k: pdf[k].iloc[0] for k in key}
-        return pd.DataFrame([{**kv, "batch": bt, "rank": r, "start": s, "end": s + L + 1} for bt, r, s in rows],
-                            columns=[*key, "batch", "rank", "start", "end"])
+        batch, rank, start = aligned_starts(pdf["bos_pos"].to_numpy(dtype=np.int64), int(pdf["n"].iloc[0]), L, ranks)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, "batch": batch, "rank": rank, "start": start,
+                             "end": start + L + 1}, columns=[*key, "batch", "rank", "start", "end"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in b.schema.fields if f.name in key)
     return b.groupBy(*key).applyInPandas(per_shard, f"{schema}, batch long, rank int, start long, end long")
 
 
-def _pack_shard(starts: np.ndarray, n: int, local_tokens: int, max_seq: int, ranks: int) -> list[tuple]:
-    """Greedy packing of one shard: (batch, rank, seg, start, end)."""
+def packed_segments(starts: np.ndarray, n: int, local_tokens: int, max_seq: int,
+                    ranks: int) -> dict[str, np.ndarray]:
+    """B3 in one shard: batch, rank, seg, start, end of every segment.
+
+    With documents clipped to ``max_seq``, the buffer that begins at document i
+    ends in the document where the prefix sum of clipped lengths first reaches
+    ``local_tokens + 1`` more -- one sorted search for all i; the buffers are the
+    chain of those ends, and the document that fills one gives only what is
+    missing.  Buffers that stay open, and those of an open batch, are dropped."""
     starts = np.sort(starts)
-    ends_doc = np.append(starts[1:], n)
-    out, idx, batch, nd = [], 0, 0, len(starts)
-    while True:
-        rows, i = [], idx
-        try:
-            for r in range(ranks):
-                cur_len, seg = 0, 0
-                while cur_len <= local_tokens:
-                    if i >= nd:
-                        raise StopIteration
-                    cur = int(starts[i])
-                    end = min(int(ends_doc[i]), cur + max_seq, cur + local_tokens - cur_len + 1)
-                    rows.append((batch, r, seg, cur, end))
-                    i += 1
-                    seg += 1
-                    cur_len += end - cur
-        except StopIteration:
-            return out  # incomplete batch at the shard end is dropped
-        out.extend(rows)
-        idx, batch = i, batch + 1
+    clipped = np.minimum(np.append(starts[1:], n) - starts, max_seq)
+    before = np.append(0, np.cumsum(clipped))
+    full = local_tokens + 1
+    after = np.searchsorted(before, before[:-1] + full)  # the document after the filling one
+    first = chain_from_start(np.minimum(after, len(starts)))
+    first = first[after[first] <= len(starts)]
+    first = first[:len(first) // ranks * ranks]
+    count = after[first] - first
+    buffer = np.repeat(np.arange(len(first)), count)
+    seg = np.arange(len(buffer)) - np.repeat(np.cumsum(count) - count, count)
+    doc = first[buffer] + seg
+    room = full - (before[doc] - before[first[buffer]])
+    return {"batch": buffer // ranks, "rank": buffer % ranks, "seg": seg, "start": starts[doc],
+            "end": starts[doc] + np.minimum(clipped[doc], room)}
 
 
 def batches_packed(pieces: DataFrame, sizes: DataFrame, batch_tokens: int, max_seq_len: int,
@@ -234,10 +244,8 @@ def batches_packed(pieces: DataFrame, sizes: DataFrame, batch_tokens: int, max_s
     b = bos_index(pieces, key).join(sizes, key)
 
     def per_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _pack_shard(pdf["bos_pos"].to_numpy(dtype=np.int64), int(pdf["n"].iloc[0]), L, max_seq_len, ranks)
-        kv = {k: pdf[k].iloc[0] for k in key}
-        return pd.DataFrame([{**kv, "batch": bt, "rank": r, "seg": s, "start": a, "end": e}
-                             for bt, r, s, a, e in rows],
+        rows = packed_segments(pdf["bos_pos"].to_numpy(dtype=np.int64), int(pdf["n"].iloc[0]), L, max_seq_len, ranks)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in key}, **rows},
                             columns=[*key, "batch", "rank", "seg", "start", "end"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in b.schema.fields if f.name in key)
@@ -254,17 +262,37 @@ def packed_buffers(pieces: DataFrame, segments: DataFrame, width: int, key=SHARD
 
 
 def boundary_dataset(stream_docs: DataFrame, bos: int = GPT2_BOS, seq_size: int = 2049,
-                     keys=("domain", "split")) -> DataFrame:
-    """K2: validation of a (tokens, doc_starts) dataset per stream: refuse an
-    empty stream, first start 0, every start a BOS, ``num_seqs = n // seq``.
+                     keys=("domain", "split"), streams: DataFrame | None = None) -> DataFrame:
+    """K2: properties of a (tokens, doc_starts) dataset per stream, refusing --
+    by an error -- an empty stream, a first start other than 0 and a document
+    that does not start with BOS; ``num_seqs = n // seq``.
 
-    ``stream_docs``: keys, start (stream position), tokens (kept piece)."""
+    ``stream_docs``: keys, start (stream position), tokens (kept piece);
+    ``streams``: the streams that must be there (one without documents is empty)."""
     g = stream_docs.groupBy(*keys).agg(
         F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"),
         F.count(F.lit(1)).alias("n_docs"),
         F.min("start").alias("first_start"),
-        F.bool_and(F.element_at("tokens", 1) == bos).alias("starts_are_bos"))
-    return g.select(*keys, "n_tokens", "n_docs", (F.col("n_tokens") / seq_size).cast("bigint").alias("num_seqs"),
-                    "first_start", "starts_are_bos",
-                    F.when(F.col("n_tokens") == 0, F.raise_error(F.lit("refusing to write an empty token stream")))
+        F.bool_and(F.coalesce(F.try_element_at("tokens", F.lit(1)), F.lit(-1)) == bos).alias("starts_are_bos"))
+    if streams is not None:
+        g = streams.select(*keys).distinct().join(g, list(keys), "left")
+    n = F.coalesce("n_tokens", F.lit(0).cast("bigint"))
+    refuse = lambda why: F.raise_error(F.lit(why)).cast("boolean")
+    return g.select(*keys, n.alias("n_tokens"), F.coalesce("n_docs", F.lit(0).cast("bigint")).alias("n_docs"),
+                    F.floor(n / seq_size).alias("num_seqs"), "first_start", "starts_are_bos",
+                    F.when(n == 0, refuse("refusing to write an empty token stream"))
+                    .when(F.col("first_start") != 0, refuse("the first document must start at 0"))
+                    .when(~F.col("starts_are_bos"), refuse("a document does not start with BOS"))
                     .otherwise(F.lit(True)).alias("ok"))
+
+
+def write_boundary_dataset(stream_docs: DataFrame, dest: str, bos: int = GPT2_BOS, seq_size: int = 2049,
+                           keys=("domain", "split"), streams: DataFrame | None = None) -> DataFrame:
+    """K2 as a sink: checks first, then ``dest/data`` (keys, doc_start, tokens; Parquet partitioned by
+    the keys, ascending starts in a file) and ``dest/properties``.  Returns the properties."""
+    spark = stream_docs.sparkSession
+    boundary_dataset(stream_docs, bos, seq_size, keys, streams).write.mode("errorifexists").parquet(f"{dest}/properties")
+    (stream_docs.select(*keys, F.col("start").alias("doc_start"), "tokens")
+     .repartitionByRange(*keys, "doc_start").sortWithinPartitions(*keys, "doc_start")
+     .write.mode("errorifexists").partitionBy(*keys).parquet(f"{dest}/data"))
+    return spark.read.parquet(f"{dest}/properties")

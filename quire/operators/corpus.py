@@ -36,8 +36,7 @@ def tokenize(corpus: DataFrame, bos: int = GPT2_BOS, keep_empty: bool = False,
 
     Empty or missing text is dropped (blend) unless ``keep_empty`` (the
     boundary dataset keeps it as ``[BOS]``).  ``tokenizer`` maps a text column
-    to an ``ARRAY<INT>`` column; the default is the native word tokenizer.  A
-    real BPE runs as :func:`bpe_tokenize` (``mapInPandas``).
+    to an ``ARRAY<INT>`` column; the default is the native word tokenizer.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     src = corpus if keep_empty else corpus.where(F.length(text) > 0)
@@ -45,37 +44,6 @@ def tokenize(corpus: DataFrame, bos: int = GPT2_BOS, keep_empty: bool = False,
     return src.withColumn("tokens", F.concat(F.array(F.lit(bos)), tok)).drop("text")
 
 
-def bpe_tokenize(corpus: DataFrame, encoding_file: str, bos: int = GPT2_BOS,
-                 keep_empty: bool = False) -> DataFrame:
-    """P7 plug-in: a tiktoken BPE (``.tiktoken`` rank file), loaded once per
-    Python worker, applied to Arrow batches of documents (``encode_ordinary``)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    src = corpus if keep_empty else corpus.where(F.length(text) > 0)
-    src = src.withColumn("text", text)
-    from pyspark.sql import types as T
-    out_schema = src.drop("text").schema.add("tokens", T.ArrayType(T.IntegerType()))
-
-    def run(batches):
-        import base64
-
-        import tiktoken
-        ranks = {}
-        with open(encoding_file, "rb") as fh:
-            for line in fh:
-                if line.strip():
-                    tok, rank = line.split()
-                    ranks[base64.b64decode(tok)] = int(rank)
-        enc = tiktoken.Encoding(name="plugin", pat_str=r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
-                                mergeable_ranks=ranks, special_tokens={})
-        for pdf in batches:
-            toks = enc.encode_ordinary_batch(pdf["text"].tolist())
-            pdf = pdf.drop(columns=["text"])
-            pdf["tokens"] = [[bos] + t for t in toks]
-            yield pdf
-
-    return src.mapInPandas(run, out_schema)
-
-
 def clip_docs(doc_tokens: DataFrame, max_doc_tokens: int = 4096) -> DataFrame:
     """Clip each document's tokens (after BOS) to ``max_doc_tokens``;
     stored length <= max + 1.  0 disables."""
@@ -165,25 +133,30 @@ def token_budget(positions: DataFrame, budget: int) -> DataFrame:
     return kept.withColumn("keep", F.least(F.col("n_tokens"), F.lit(budget) - F.col("start")))
 
 
-def split_contiguous(positions: DataFrame, val_tokens: int, train_tokens: int) -> DataFrame:
-    """val = stream tokens [0, V), train = [V, V+T); a document on the
-    boundary is cut in two (train may start inside a document).  Returns one
-    row per (document, split) with the token range inside the document."""
+def split_contiguous(positions: DataFrame, val_tokens: int, train_tokens: int | None = None) -> DataFrame:
+    """val = stream tokens [0, V), train = [V, V+T), or the rest of the
+    stream without ``train_tokens``; a document on the boundary is cut in two
+    (train may start inside a document).  Returns one row per (document, split)
+    with the token range inside the document."""
     s, e = F.col("start"), F.col("start") + F.col("n_tokens")
 
     def part(name, lo, hi):
         a = F.greatest(s, F.lit(lo))
-        b = F.least(e, F.lit(hi))
-        return positions.where((e > lo) & (s < hi)).select(
+        b = e if hi is None else F.least(e, F.lit(hi))
+        inside = e > lo if hi is None else (e > lo) & (s < hi)
+        return positions.where(inside).select(
             "*", F.lit(name).alias("split"), (a - s).alias("from_tok"), (b - s).alias("to_tok"),
             (a - F.lit(lo)).alias("split_pos"))
 
-    return part("val", 0, val_tokens).unionByName(part("train", val_tokens, val_tokens + train_tokens))
+    end = None if train_tokens is None else val_tokens + train_tokens
+    return part("val", 0, val_tokens).unionByName(part("train", val_tokens, end))
 
 
-def split_by_doc(positions: DataFrame, val_tokens: int, train_tokens: int, keys=("domain",)) -> DataFrame:
+def split_by_doc(positions: DataFrame, val_tokens: int, train_tokens: int | None = None,
+                 keys=("domain",)) -> DataFrame:
     """One iterator, val first: documents until V tokens (the last cut,
-    its remainder **lost**), then train from the next document until T."""
+    its remainder **lost**), then train from the next document until T (to the
+    end of the stream without ``train_tokens``)."""
     s, e = F.col("start"), F.col("start") + F.col("n_tokens")
     val = positions.where(s < val_tokens).select(
         "*", F.lit("val").alias("split"), F.lit(0).cast("bigint").alias("from_tok"),
@@ -192,9 +165,10 @@ def split_by_doc(positions: DataFrame, val_tokens: int, train_tokens: int, keys=
     cut = positions.where(e >= val_tokens).groupBy(*keys).agg(F.min(e).alias("_t0"))
     t = positions.join(cut, list(keys)).where(s >= F.col("_t0"))
     ts = s - F.col("_t0")
-    train = t.where(ts < train_tokens).select(
+    left = F.col("n_tokens") if train_tokens is None else F.least(F.col("n_tokens"), F.lit(train_tokens) - ts)
+    train = (t if train_tokens is None else t.where(ts < train_tokens)).select(
         *positions.columns, F.lit("train").alias("split"), F.lit(0).cast("bigint").alias("from_tok"),
-        F.least(F.col("n_tokens"), F.lit(train_tokens) - ts).alias("to_tok"), ts.alias("split_pos"))
+        left.alias("to_tok"), ts.alias("split_pos"))
     return val.unionByName(train)
 
 
@@ -204,9 +178,9 @@ def assign_shards(split_rows: DataFrame, shard_size: int = SHARD_SIZE) -> DataFr
     touches: (…, shard, shard_from, shard_to) token offsets within the piece."""
     length = F.col("to_tok") - F.col("from_tok")
     p0 = F.col("split_pos")
-    first = (p0 / shard_size).cast("bigint")
-    lastp = ((p0 + length - 1) / shard_size).cast("bigint")
-    r = split_rows.where(length > 0).withColumn("shard", F.explode(F.sequence(first, lastp)))
+    # whole-number division (``div``): positions pass 2^53 in no double
+    first, last = (F.expr(f"({c}) div {int(shard_size)}") for c in ("split_pos", "split_pos + to_tok - from_tok - 1"))
+    r = split_rows.where(length > 0).withColumn("shard", F.explode(F.sequence(first, last)))
     lo = F.greatest(p0, F.col("shard") * shard_size)
     hi = F.least(p0 + length, (F.col("shard") + 1) * shard_size)
     return r.withColumn("shard_from", F.col("from_tok") + lo - p0).withColumn("shard_to", F.col("from_tok") + hi - p0)

@@ -7,12 +7,10 @@ per-step statistics are aggregates keyed by step.  No global window.
 
 from __future__ import annotations
 
-from itertools import accumulate
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.columns import exact_mean
 from quire.session import materialize
 
 # The optimizer track's reference validation curve.
@@ -115,9 +113,9 @@ def mean_curve(curves: DataFrame, keys=("step",)) -> DataFrame:
     """Per step, mean loss / time / step average over their non-null values;
     ``n`` = number of losses."""
     return curves.groupBy(*keys).agg(
-        exact_mean("loss").alias("loss"),
+        F.avg("loss").alias("loss"),
         F.avg("train_time_ms").alias("train_time_ms"),
-        exact_mean("step_avg_ms").alias("step_avg_ms"),
+        F.avg("step_avg_ms").alias("step_avg_ms"),
         F.count("loss").alias("n"))
 
 
@@ -219,13 +217,15 @@ def event_retention(feed: DataFrame, now: Column, max_rows: int = 10_000, max_ag
 
 
 def stage_boundaries(durations: list[float], scheduled: int, extension: int) -> list[tuple[int, int]]:
-    """Stage (start, end) steps: rounded cumulative durations of all but the
-    extension stage (Python ``round``: halves to even), then the extension."""
-    total = scheduled + extension
-    ends = [0, *[round(c * scheduled) for c in accumulate(durations[:-1])], total]
-    if ends[-2] != scheduled:
+    """Stage (start, end) steps.  A stage ends at its share of the scheduled
+    steps, summed up and rounded half to even; the last stage is the extension
+    and ends ``extension`` steps after them."""
+    shares = np.cumsum(np.asarray(durations, dtype=float)[:-1])
+    cuts = np.rint(shares * scheduled).astype(int)
+    if not len(cuts) or cuts[-1] != scheduled:
         raise ValueError("stage durations before the extension must sum to 1")
-    return list(zip(ends[:-1], ends[1:]))
+    edge = np.concatenate([[0], cuts, [scheduled + extension]]).tolist()
+    return [(edge[i], edge[i + 1]) for i in range(len(durations))]
 
 
 def stage_lookup(steps: DataFrame, names: list[str], durations: list[float], scheduled: int,

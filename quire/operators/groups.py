@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.columns import DEFAULT_GPU_TYPE, exact_mean, group_hash, live
+from quire.functions.columns import DEFAULT_GPU_TYPE, group_hash, live
 
 GROUP_KEYS = ("g_hash", "g_track", "gpus", "g_gpu_type")
 
@@ -230,7 +230,7 @@ def group_cards(summaries: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_runs"),
         F.bool_or(F.col("status") == "running").alias("any_running"),
         F.bool_or(F.col("status") == "completed").alias("any_completed"),
-        exact_mean("loss").alias("loss"),
+        F.avg("loss").alias("loss"),
         F.avg("train_time_ms").alias("train_time_ms"),
         F.min(F.when(has_loss, F.col("loss_metric"))).alias("lm_min"),
         F.max(F.when(has_loss, F.col("loss_metric"))).alias("lm_max"),
@@ -267,7 +267,7 @@ def final_stats(summaries: DataFrame, keys=GROUP_KEYS) -> DataFrame:
     fl = F.coalesce("final_loss", "final_val_loss")
     return s.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_completed"),
-        exact_mean(fl).alias("mean_loss"), F.min(fl).alias("min_loss"), F.max(fl).alias("max_loss"),
+        F.avg(fl).alias("mean_loss"), F.min(fl).alias("min_loss"), F.max(fl).alias("max_loss"),
         F.avg("final_train_time_ms").alias("mean_time_ms"),
         F.min("final_train_time_ms").alias("min_time_ms"),
         F.max("final_train_time_ms").alias("max_time_ms"),

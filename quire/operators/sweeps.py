@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.columns import exact_mean
 from quire.session import materialize
 
 # A value counts as numeric when it starts like a float (JavaScript parseFloat).
@@ -76,8 +75,9 @@ def sweep_heatmap(runs: DataFrame, scope=(), selected: list[str] | None = None)
     if selected:
         sk = sk.where(F.col("key").isin(selected))
         sk = sk.withColumn("key_rank", F.row_number().over(Window.partitionBy(*scope).orderBy("key_rank")))
-    act = sk.where(F.col("key_rank") <= 2)
-    comp = runs.where(F.col("status") == "completed")
+    # read by the axes, the grid and the cells: at most two rows per selection
+    act = materialize(sk.where(F.col("key_rank") <= 2))
+    comp = runs
     env = env_rows(comp, scope)
     vals = _sorted_values(env, scope, act.select(*scope, "key"))
     vals = vals.join(act, [*scope, "key"])
@@ -101,7 +101,7 @@ def sweep_heatmap(runs: DataFrame, scope=(), selected: list[str] | None = None)
     cr = cr.join(dims, scope).where(F.col("x_val").isNotNull() & ((F.col("dim") == 1) | F.col("y_val").isNotNull()))
     cr = cr.withColumn("y_val", F.when(F.col("dim") == 2, F.col("y_val")))
     cells = cr.groupBy(*scope, "x_val", "y_val").agg(
-        exact_mean("cell_loss").alias("mean_loss"), F.count(F.lit(1)).alias("n_runs"),
+        F.avg("cell_loss").alias("mean_loss"), F.count(F.lit(1)).alias("n_runs"),
         F.max_by("id", _newest()).alias("first_run"))
     bounds = comp.where(loss.isNotNull()).groupBy(*scope).agg(
         F.min(loss).alias("min_loss"), F.max(loss).alias("max_loss"))
@@ -112,11 +112,13 @@ def sweep_heatmap(runs: DataFrame, scope=(), selected: list[str] | None = None)
     out = g.join(c, cond, "left").select(
         *[F.col(f"g.{k}") for k in grid.columns], "c.mean_loss",
         F.coalesce(F.col("c.n_runs"), F.lit(0)).alias("n_runs"), "c.first_run")
-    out = out.join(bounds, scope, "left")
-    best = F.row_number().over(Window.partitionBy(*scope).orderBy(
-        F.col("mean_loss").asc_nulls_last(), F.col("y_idx").asc_nulls_first(), F.col("x_idx")))
-    out = out.withColumn("_b", best)
-    return out.withColumn("is_best", (F.col("_b") == 1) & F.col("mean_loss").isNotNull()).drop("_b", "dim")
+    # a selection whose completed runs carry no loss has no heatmap
+    out = out.join(bounds, scope)
+    rank = F.struct("mean_loss", F.coalesce("y_idx", F.lit(-1).cast("bigint")), "x_idx")
+    best = out.where(F.col("mean_loss").isNotNull()).groupBy(*scope).agg(F.min(rank).alias("_best"))
+    out = out.join(best, scope, "left")
+    return out.withColumn("is_best", F.coalesce(F.col("mean_loss").isNotNull() & (rank == F.col("_best")), F.lit(False))) \
+        .drop("_best", "dim")
 
 
 def partial_vars(runs: DataFrame, scope=()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import batches as bt
 from quire.operators import corpus as cp
-from quire.plans.corpus import CONTIG_SQL, DOCS_SQL, SHARD, TRAIN, VAL, doc_tokens, positions
+from quire.plans.corpus import CONTIG_SQL, DOCS_SQL, SHARD, VAL, doc_tokens, positions
 from quire.functions.columns import SHARD_NAME_FORMAT
 from quire.plans.registry import register
 
@@ -36,16 +36,14 @@ rng AS (SELECT split, domain, shard, b.batch, rk.rank, b.batch * {B} + rk.rank *
         WHERE n - {B} - 1 > 0)"""
 
 
-def pieces_and_sizes(spark, d, clip: int | None = None):
+def pieces_and_sizes(spark, d):
     from quire.session import materialize
     t = doc_tokens(spark, d)
-    if clip:
-        t = cp.clip_docs(t, clip)
     # the tokenized corpus and the shard contents are the persisted layers of
     # this pipeline: each is computed once, then read by every branch
     t = materialize(t.select("domain", "doc_pos", "tokens"))
     pos = cp.stream_positions(cp.doc_lengths(t))
-    rows = cp.assign_shards(cp.split_contiguous(pos, VAL, TRAIN), SHARD)
+    rows = cp.assign_shards(cp.split_contiguous(pos, VAL), SHARD)
     p = materialize(bt.shard_pieces(rows, t, SHARD))
     return p, bt.shard_sizes(p)
 
@@ -141,62 +139,85 @@ def q_fixed_sequences(spark, d):
                     .alias("tok_sum"), F.size("tokens").cast("bigint").alias("n"))
 
 
-@register("boundary_dataset", DOCS_SQL + f""",
+BOUNDARY_SQL = DOCS_SQL + f""",
 cut AS (SELECT domain, min(start + n_tokens) AS t0 FROM pos WHERE start + n_tokens >= {VAL} GROUP BY domain),
 sd AS (
   SELECT p.domain, 'val' AS split, p.start AS start, list_slice(d.tokens, 1, least(p.n_tokens, {VAL} - p.start)) AS t
   FROM pos p JOIN docs d USING (domain, doc_pos) WHERE p.start < {VAL}
   UNION ALL
-  SELECT p.domain, 'train', p.start - c.t0, list_slice(d.tokens, 1, least(p.n_tokens, {TRAIN} - (p.start - c.t0)))
+  SELECT p.domain, 'train', p.start - c.t0, d.tokens
   FROM pos p JOIN cut c USING (domain) JOIN docs d USING (domain, doc_pos)
-  WHERE p.start >= c.t0 AND p.start - c.t0 < {TRAIN})
+  WHERE p.start >= c.t0)"""
+
+
+def boundary_docs(spark, d):
+    t = doc_tokens(spark, d)
+    sp = cp.split_by_doc(positions(spark, d), VAL)
+    return sp.join(t.select("domain", "doc_pos", "tokens"), ["domain", "doc_pos"]).select(
+        "domain", "split", F.col("split_pos").alias("start"),
+        F.slice("tokens", 1, F.col("to_tok").cast("int")).alias("tokens"))
+
+
+@register("boundary_dataset", BOUNDARY_SQL + """
 SELECT domain, split, CAST(sum(len(t)) AS BIGINT) AS n_tokens, count(*) AS n_docs,
        CAST(sum(len(t)) // 2049 AS BIGINT) AS num_seqs, min(start) AS first_start,
        bool_and(t[1] = 50256) AS starts_are_bos, true AS ok
 FROM sd GROUP BY domain, split""", ("corpus",))
 def q_boundary_dataset(spark, d):
-    t = doc_tokens(spark, d)
-    sp = cp.split_by_doc(positions(spark, d), VAL, TRAIN)
-    docs = sp.join(t.select("domain", "doc_pos", "tokens"), ["domain", "doc_pos"]).select(
-        "domain", "split", F.col("split_pos").alias("start"),
-        F.slice("tokens", 1, F.col("to_tok").cast("int")).alias("tokens"))
-    return bt.boundary_dataset(docs)
-
-
-CLIP = 256  # documents clipped so a 2B window holds R document starts
-LB = CLIP  # per-rank buffer of the BOS-aligned batches: batch 2*CLIP over R=2 ranks
-CLIPPED_SHARD_SQL = SHARD_TOKENS_SQL.replace(
-    "{TOK_SQL} AS tokens".format(TOK_SQL=__import__("quire.plans.corpus", fromlist=["TOK_SQL"]).TOK_SQL),
-    "list_slice({t}, 1, {n}) AS tokens".format(t=__import__("quire.plans.corpus", fromlist=["TOK_SQL"]).TOK_SQL,
-                                               n=CLIP + 1), 1)
-
-BOS_ALIGNED_SQL = CLIPPED_SHARD_SQL + f""",
-bos2 AS (SELECT split, domain, shard, pos FROM st WHERE token = 50256),
-nx AS (SELECT a.split, a.domain, a.shard, a.pos AS s, min(b.pos) AS nxt
-       FROM bos2 a LEFT JOIN bos2 b ON b.split = a.split AND b.domain = a.domain AND b.shard = a.shard
-         AND b.pos >= a.pos + {LB}
-       GROUP BY ALL),
-first_bos AS (SELECT split, domain, shard, min(pos) AS s FROM bos2 GROUP BY ALL),
+    return bt.boundary_dataset(boundary_docs(spark, d))
+
+
+@register("boundary_write", BOUNDARY_SQL + """
+SELECT domain, split, count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_tokens, CAST(sum(list_sum(t)) AS BIGINT) AS tok_sum,
+       CAST(sum(start) AS BIGINT) AS start_sum
+FROM sd GROUP BY domain, split""", ("corpus",))
+def q_boundary_write(spark, d):
+    """K2 as a sink: the dataset is written, then read back."""
+    from quire.sources.logs import landing_dir
+    dest = landing_dir(spark, "boundary")
+    bt.write_boundary_dataset(boundary_docs(spark, d), dest)
+    return spark.read.parquet(f"{dest}/data").groupBy("domain", "split").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"),
+        F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)).cast("bigint").alias("tok_sum"),
+        F.sum("doc_start").cast("bigint").alias("start_sum"))
+
+
+#: B2 reads the corpus as one stream ('all') in shards of this many tokens; the per-rank buffer is as
+#: long as the longest document, so that a window of two batches always holds enough starts.
+ALIGNED_SHARD = 1 << 19
+
+BOS_ALIGNED_SQL = DOCS_SQL.replace("WITH docs AS (SELECT domain,", "WITH docs AS (SELECT 'all' AS domain,") + f""",
+span AS (SELECT max(n_tokens) AS l FROM lens),
+bos2 AS (SELECT start // {ALIGNED_SHARD} AS shard, start % {ALIGNED_SHARD} AS pos FROM pos),
+total AS (SELECT sum(n_tokens) AS n FROM lens),
+sizes AS (SELECT shard, least({ALIGNED_SHARD}, total.n - shard * {ALIGNED_SHARD}) AS n
+          FROM (SELECT DISTINCT shard FROM bos2), total),
+nx AS (SELECT shard, pos AS s, (SELECT min(b.pos) FROM bos2 b WHERE b.shard = a.shard AND b.pos >= a.pos + span.l) AS nxt
+       FROM bos2 a, span),
 chain AS (
-  SELECT split, domain, shard, 0 AS k, s FROM first_bos
+  SELECT shard, 0 AS k, min(pos) AS s FROM bos2 GROUP BY shard
   UNION ALL
-  SELECT c.split, c.domain, c.shard, c.k + 1, n.nxt
-  FROM chain c JOIN nx n ON n.split = c.split AND n.domain = c.domain AND n.shard = c.shard AND n.s = c.s
-  WHERE n.nxt IS NOT NULL),
+  SELECT c.shard, c.k + 1, n.nxt FROM chain c JOIN nx n ON n.shard = c.shard AND n.s = c.s WHERE n.nxt IS NOT NULL),
 kb AS (SELECT *, k // {R} AS batch, k % {R} AS rank FROM chain),
-bp AS (SELECT split, domain, shard, batch, CASE WHEN batch = 0 THEN 0 ELSE min(s) END AS pos FROM kb
-        GROUP BY split, domain, shard, batch)
-SELECT kb.split, kb.domain, kb.shard, CAST(kb.batch AS BIGINT) AS batch, CAST(kb.rank AS INTEGER) AS rank, kb.s AS start,
-       kb.s + {LB + 1} AS "end"
-FROM kb JOIN bp USING (split, domain, shard, batch) JOIN sizes z USING (split, domain, shard)
-WHERE bp.pos + {2 * 2 * CLIP} + 1 < z.n"""
+bp AS (SELECT shard, batch, CASE WHEN batch = 0 THEN 0 ELSE min(s) END AS pos FROM kb GROUP BY shard, batch)
+SELECT 'train' AS split, 'all' AS domain, CAST(kb.shard AS BIGINT) AS shard, CAST(kb.batch AS BIGINT) AS batch,
+       CAST(kb.rank AS INTEGER) AS rank, kb.s AS start, kb.s + span.l + 1 AS "end"
+FROM kb JOIN bp USING (shard, batch) JOIN sizes z USING (shard), span
+WHERE bp.pos + {2 * R} * span.l + 1 < z.n"""
 
 
 @register("batches_bos_aligned", BOS_ALIGNED_SQL, ("corpus",), recursive=True)
 def q_batches_bos_aligned(spark, d):
-    p, sz = pieces_and_sizes(spark, d, CLIP)
-    starts = bt.batches_bos_aligned(p, sz, 2 * CLIP, R)
-    return starts.select(*KEY, "batch", "rank", "start", "end")
+    from quire.sources import fixtures as fx
+    from quire.session import materialize
+    lens = materialize(cp.token_counts(fx.corpus(spark, d).withColumn("domain", F.lit("all"))))
+    longest = lens.agg(F.max("n_tokens")).first()[0] or 1  # one number
+    rows = cp.assign_shards(cp.split_contiguous(cp.stream_positions(lens), 0), ALIGNED_SHARD)
+    size = (F.col("shard_to") - F.col("shard_from")).alias("size")
+    pieces = rows.select(*KEY, (F.col("split_pos") - F.col("shard") * ALIGNED_SHARD).alias("shard_pos"), size,
+                         (F.col("shard_from") == 0).alias("bos_start"))
+    sizes = pieces.groupBy(*KEY).agg(F.sum("size").alias("n"))
+    return bt.batches_bos_aligned(pieces, sizes, longest * R, R).select(*KEY, "batch", "rank", "start", "end")
 
 
 def packed_segments(spark, d):

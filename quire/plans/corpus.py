@@ -12,7 +12,7 @@ from quire.sources import fixtures as fx
 from quire.sources.logs import landing_dir
 
 BUDGET = 5000
-VAL, TRAIN = 3000, 12000
+VAL = 3000  # validation tokens per domain; train is the rest of the stream
 SHARD = 4096
 CLIP = 4096
 DOMAINS = ["src1", "src3", "src5", "src7"]
@@ -37,7 +37,8 @@ def positions(spark, d):
 
 
 @register("scan_corpus", """
-SELECT domain, shard_idx, doc_pos - shard_idx * 16 + 1 AS line_no, coalesce(text, '') AS text FROM corpus""",
+SELECT domain, shard_idx, row_number() OVER (PARTITION BY domain, shard_idx ORDER BY doc_pos) AS line_no,
+       coalesce(text, '') AS text FROM corpus""",
           ("corpus",))
 def q_scan_corpus(spark, d):
     dest = landing_dir(spark, "corpus")
@@ -120,14 +121,13 @@ sp AS (
          least(start + n_tokens, {VAL}) - start AS to_tok, greatest(start, 0) AS split_pos
   FROM pos WHERE start + n_tokens > 0 AND start < {VAL}
   UNION ALL
-  SELECT domain, doc_pos, 'train', greatest(start, {VAL}) - start, least(start + n_tokens, {VAL + TRAIN}) - start,
-         greatest(start, {VAL}) - {VAL}
-  FROM pos WHERE start + n_tokens > {VAL} AND start < {VAL + TRAIN})"""
+  SELECT domain, doc_pos, 'train', greatest(start, {VAL}) - start, n_tokens, greatest(start, {VAL}) - {VAL}
+  FROM pos WHERE start + n_tokens > {VAL})"""
 
 
 @register("split_contiguous", CONTIG_SQL + "\nSELECT * FROM sp", ("corpus",))
 def q_split_contiguous(spark, d):
-    return cp.split_contiguous(positions(spark, d), VAL, TRAIN).select(*SPLIT_COLS)
+    return cp.split_contiguous(positions(spark, d), VAL).select(*SPLIT_COLS)
 
 
 @register("split_by_doc", DOCS_SQL + f""",
@@ -136,10 +136,10 @@ SELECT domain, doc_pos, 'val' AS split, CAST(0 AS BIGINT) AS from_tok, least(n_t
        start AS split_pos
 FROM pos WHERE start < {VAL}
 UNION ALL
-SELECT p.domain, p.doc_pos, 'train', 0, least(p.n_tokens, {TRAIN} - (p.start - c.t0)), p.start - c.t0
-FROM pos p JOIN cut c USING (domain) WHERE p.start >= c.t0 AND p.start - c.t0 < {TRAIN}""", ("corpus",))
+SELECT p.domain, p.doc_pos, 'train', 0, p.n_tokens, p.start - c.t0
+FROM pos p JOIN cut c USING (domain) WHERE p.start >= c.t0""", ("corpus",))
 def q_split_by_doc(spark, d):
-    return cp.split_by_doc(positions(spark, d), VAL, TRAIN).select(*SPLIT_COLS)
+    return cp.split_by_doc(positions(spark, d), VAL).select(*SPLIT_COLS)
 
 
 @register("assign_shards", CONTIG_SQL + f""",
@@ -151,7 +151,7 @@ SELECT domain, doc_pos, split, shard,
        printf('{SHARD_NAME_FORMAT}', split, domain, shard) AS name
 FROM e""", ("corpus",))
 def q_assign_shards(spark, d):
-    a = cp.assign_shards(cp.split_contiguous(positions(spark, d), VAL, TRAIN), SHARD)
+    a = cp.assign_shards(cp.split_contiguous(positions(spark, d), VAL), SHARD)
     return a.select("domain", "doc_pos", "split", "shard", "shard_from", "shard_to",
                     cp.shard_name(F.col("split"), F.col("domain"), F.col("shard")).alias("name"))
 
@@ -166,9 +166,7 @@ SELECT domain, doc_id, shuffle_key,
                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
 FROM k""", ("corpus",))
 def q_shuffle_docs(spark, d):
-    sh = cp.shuffle_docs(fx.corpus(spark, d))
-    t = cp.tokenize(sh)
-    lens = t.select("domain", "doc_id", "shuffle_key", F.size("tokens").cast("bigint").alias("n_tokens"))
+    lens = cp.token_counts(cp.shuffle_docs(fx.corpus(spark, d)), keys=("domain", "shuffle_key"), order="doc_id")
     return cp.stream_positions(lens, order=["shuffle_key", "doc_id"]).select("domain", "doc_id", "shuffle_key", "start")
 
 
@@ -188,19 +186,3 @@ def q_doc_of_token(spark, d):
     return tok.groupBy("domain", "doc_no").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"),
         F.sum("token").cast("bigint").alias("tok_sum"))
-
-
-BPE_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # a tiktoken rank file shipped with the environment
-
-
-def _bpe_available() -> bool:
-    import os
-    return os.path.exists(BPE_FILE)
-
-
-if _bpe_available():
-    @register("tokenize_bpe")
-    def q_tokenize_bpe(spark, d):
-        """P7 plug-in: real BPE over every document (mapInPandas, one encoder per worker)."""
-        t = cp.bpe_tokenize(fx.corpus(spark, d), BPE_FILE)
-        return t.select("domain", "doc_pos", F.size("tokens").cast("bigint").alias("n_tokens"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import curves
-from quire.plans.registry import register
+from quire.plans.registry import nine_digits, register
 from quire.sources import fixtures as fx
 
 MAX_POINTS = 20
@@ -56,13 +56,13 @@ def q_downsample_index(spark, d):
 
 
 @register("mean_curve", CURVE_VIEW + """
-SELECT step, CAST(sum(CAST(loss AS DECIMAL(18,6))) AS DOUBLE) / count(loss) AS loss,
+SELECT step, round(avg(loss), 9) AS loss,
        avg(train_time_ms) AS train_time_ms,
-       CAST(sum(CAST(step_avg_ms AS DECIMAL(18,6))) AS DOUBLE) / count(step_avg_ms) AS step_avg_ms,
+       round(avg(step_avg_ms), 9) AS step_avg_ms,
        count(loss) AS n
 FROM dc GROUP BY step""", ("dense",))
 def q_mean_curve(spark, d):
-    return curves.mean_curve(dense_curves(spark, d))
+    return nine_digits(curves.mean_curve(dense_curves(spark, d)), "loss", "step_avg_ms")
 
 
 @register("residual_curves", CURVE_VIEW + """,
@@ -98,12 +98,12 @@ def q_step_interval(spark, d):
 
 
 @register("reference_gap", CURVE_VIEW + """
-SELECT dc.experiment_id, dc.step, dc.loss, r.ref_loss, dc.loss - r.ref_loss AS gap
+SELECT dc.experiment_id, dc.step, dc.loss, round(r.ref_loss, 9) AS ref_loss, round(dc.loss - r.ref_loss, 9) AS gap
 FROM dc JOIN ref_curve r USING (step)""", ("dense", "ref_curve"))
 def q_reference_gap(spark, d):
     dn = fx.dense(spark, d)
-    return curves.reference_gap(curves.loss_curve(dn), fx.ref_curve(dn)).select(
-        "experiment_id", "step", "loss", "ref_loss", "gap")
+    return nine_digits(curves.reference_gap(curves.loss_curve(dn), fx.ref_curve(dn)).select(
+        "experiment_id", "step", "loss", "ref_loss", "gap"), "ref_loss", "gap")
 
 
 @register("early_stop_screen", CURVE_VIEW + f""",
@@ -118,11 +118,11 @@ s AS (SELECT *, CASE WHEN bad THEN row_number() OVER (PARTITION BY experiment_id
 h AS (SELECT * FROM s WHERE cat OR streak >= {SCREEN['patience']})
 SELECT experiment_id, min(step) AS step,
        arg_min(CASE WHEN cat THEN 'catastrophic_gap' ELSE 'patience_gap' END, step) AS reason,
-       arg_min(gap, step) AS gap, arg_min(streak, step) AS bad_points
+       round(arg_min(gap, step), 9) AS gap, arg_min(streak, step) AS bad_points
 FROM h GROUP BY experiment_id""", ("dense", "ref_curve"))
 def q_early_stop_screen(spark, d):
     dn = fx.dense(spark, d)
-    return curves.early_stop_screen(curves.loss_curve(dn), fx.ref_curve(dn), **SCREEN)
+    return nine_digits(curves.early_stop_screen(curves.loss_curve(dn), fx.ref_curve(dn), **SCREEN), "gap")
 
 
 @register("target_reached", CURVE_VIEW + f"""

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from quire.operators import groups
-from quire.plans.registry import register
+from quire.plans.registry import nine_digits, register
 from quire.plans.telemetry import summaries
 from quire.session import table
 from quire.sources import fixtures as fx
@@ -172,7 +172,7 @@ g AS (
     arg_max({'id': id, 'name': name, 'script': script, 'status': status, 'started_at': started_at}, newest) AS rep,
     arg_max({'c': current_step, 't': total_steps}, newest) FILTER (WHERE current_step IS NOT NULL) AS prog,
     count(*) AS n_runs, bool_or(status = 'running') AS any_running, bool_or(status = 'completed') AS any_completed,
-    CAST(sum(CAST(loss AS DECIMAL(18,6))) AS DOUBLE) / count(loss) AS loss,
+    round(avg(loss), 9) AS loss,
     avg(train_time_ms) AS train_time_ms,
     min(loss_metric) FILTER (WHERE loss IS NOT NULL) AS lm_min,
     max(loss_metric) FILTER (WHERE loss IS NOT NULL) AS lm_max,
@@ -188,19 +188,18 @@ FROM g"""
 
 @register("group_cards", CARDS_SQL, ("sgroups",))
 def q_group_cards(spark, d):
-    return groups.group_cards(summaries(spark, d))
+    return nine_digits(groups.group_cards(summaries(spark, d)), "loss", "val_loss")
 
 
 @register("final_stats", """
 SELECT g_hash, g_track, gpus, g_gpu_type, count(*) AS n_completed,
-  CAST(sum(CAST(coalesce(final_loss, final_val_loss) AS DECIMAL(18,6))) AS DOUBLE)
-    / count(coalesce(final_loss, final_val_loss)) AS mean_loss,
+  round(avg(coalesce(final_loss, final_val_loss)), 9) AS mean_loss,
   min(coalesce(final_loss, final_val_loss)) AS min_loss, max(coalesce(final_loss, final_val_loss)) AS max_loss,
   avg(final_train_time_ms) AS mean_time_ms, min(final_train_time_ms) AS min_time_ms,
   max(final_train_time_ms) AS max_time_ms
 FROM sgroups WHERE status = 'completed' GROUP BY ALL""", ("sgroups",))
 def q_final_stats(spark, d):
-    return groups.final_stats(summaries(spark, d))
+    return nine_digits(groups.final_stats(summaries(spark, d)), "mean_loss")
 
 
 @register("runs_table", """

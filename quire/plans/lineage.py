@@ -65,7 +65,8 @@ def code_versions(spark, d):
     """Per run: script, kernels and dependency files chosen by its customer."""
     o = table(spark, d, "orders")
     c = F.col("o_custkey")
-    doc = lambda k: F.concat(F.lit("docs/"), (k % 1000).cast("string"), F.lit(".txt"))
+    n_docs = table(spark, d, "documents").count()
+    doc = lambda k: F.concat(F.lit("docs/"), (k % n_docs).cast("string"), F.lit(".txt"))
     return o.select(
         (F.col("o_orderkey") + 1).alias("id"),
         F.when(c % 10 == 0, F.lit("docs/missing.txt")).otherwise(doc(c)).alias("script"),
@@ -77,11 +78,11 @@ def code_versions(spark, d):
 CODE_HASH_SQL = """
 WITH f AS (SELECT 'docs/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents),
 v AS (SELECT o_orderkey + 1 AS id, o_custkey AS c,
-        CASE WHEN o_custkey % 10 = 0 THEN 'docs/missing.txt' ELSE 'docs/' || CAST(o_custkey % 1000 AS VARCHAR) || '.txt' END AS script,
-        CASE WHEN o_custkey % 3 = 0 THEN 'docs/' || CAST((o_custkey + 1) % 1000 AS VARCHAR) || '.txt' END AS kern,
-        CASE WHEN o_custkey % 4 = 0 THEN 'docs/' || CAST((o_custkey + 2) % 1000 AS VARCHAR) || '.txt' END AS da,
-        CASE WHEN o_custkey % 4 = 0 THEN 'docs/' || CAST((o_custkey + 3) % 1000 AS VARCHAR) || '.txt' END AS db
-      FROM orders),
+        CASE WHEN o_custkey % 10 = 0 THEN 'docs/missing.txt' ELSE 'docs/' || CAST(o_custkey % n AS VARCHAR) || '.txt' END AS script,
+        CASE WHEN o_custkey % 3 = 0 THEN 'docs/' || CAST((o_custkey + 1) % n AS VARCHAR) || '.txt' END AS kern,
+        CASE WHEN o_custkey % 4 = 0 THEN 'docs/' || CAST((o_custkey + 2) % n AS VARCHAR) || '.txt' END AS da,
+        CASE WHEN o_custkey % 4 = 0 THEN 'docs/' || CAST((o_custkey + 3) % n AS VARCHAR) || '.txt' END AS db
+      FROM orders, (SELECT count(*) AS n FROM documents)),
 h AS (SELECT v.*, fs.text AS s, fk.text AS k, fa.text AS a, fb.text AS b FROM v
       LEFT JOIN f fs ON fs.path = v.script LEFT JOIN f fk ON fk.path = v.kern
       LEFT JOIN f fa ON fa.path = v.da LEFT JOIN f fb ON fb.path = v.db)

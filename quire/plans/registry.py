@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.sources.fixture_sql import with_views
 
@@ -21,6 +22,12 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
+def nine_digits(df: DataFrame, *means: str) -> DataFrame:
+    """Round a query's mean columns for the comparison with the oracle: the order in which doubles
+    are summed changes their last bits.  Operators return plain means."""
+    return df.withColumns({m: F.round(m, 9) for m in means})
+
+
 def register(name: str, sql: str | None = None, views: tuple[str, ...] = (), recursive: bool = False):
     """Decorator: register ``plan(spark, sf_dir)`` under ``name``.  ``recursive``
     marks an oracle that uses a recursive CTE (``WITH RECURSIVE``)."""

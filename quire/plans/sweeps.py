@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import groups, sweeps
-from quire.plans.registry import register
+from quire.plans.registry import nine_digits, register
 from quire.plans.telemetry import summaries
 
 G = "g_hash, g_track, gpus, g_gpu_type"
@@ -54,7 +54,7 @@ cr AS (SELECT c.g_hash, c.g_track, c.gpus, c.g_gpu_type, c.id, c.started_at,
        FROM comp c JOIN rv USING ({G}, id) JOIN dims d USING ({G})
        WHERE rv.x_val IS NOT NULL AND (d.dim = 1 OR rv.y_val IS NOT NULL)),
 cells AS (SELECT {G}, x_val, y_val,
-            CAST(sum(CAST(cell_loss AS DECIMAL(18,6))) AS DOUBLE) / count(cell_loss) AS mean_loss,
+            round(avg(cell_loss), 9) AS mean_loss,
             count(*) AS n_runs, arg_max(id, (started_at IS NOT NULL, started_at, id)) AS first_run
           FROM cr GROUP BY {G}, x_val, y_val),
 bounds AS (SELECT {G}, min(coalesce(final_loss, final_val_loss)) AS min_loss,
@@ -65,7 +65,7 @@ o AS (SELECT grid.*, cells.mean_loss, coalesce(cells.n_runs, 0) AS n_runs, cells
       LEFT JOIN cells ON cells.g_hash = grid.g_hash AND cells.g_track = grid.g_track AND cells.gpus = grid.gpus
         AND cells.g_gpu_type = grid.g_gpu_type AND cells.x_val = grid.x_val
         AND cells.y_val IS NOT DISTINCT FROM grid.y_val
-      LEFT JOIN bounds b ON b.g_hash = grid.g_hash AND b.g_track = grid.g_track AND b.gpus = grid.gpus
+      JOIN bounds b ON b.g_hash = grid.g_hash AND b.g_track = grid.g_track AND b.gpus = grid.gpus
         AND b.g_gpu_type = grid.g_gpu_type)
 SELECT *, (row_number() OVER (PARTITION BY {G} ORDER BY mean_loss ASC NULLS LAST, y_idx ASC NULLS FIRST, x_idx) = 1
            AND mean_loss IS NOT NULL) AS is_best
@@ -74,7 +74,7 @@ FROM o"""
 
 @register("sweep_heatmap", HEATMAP_SQL, ("sgroups",))
 def q_sweep_heatmap(spark, d):
-    return sweeps.sweep_heatmap(grouped(spark, d), SCOPE)
+    return nine_digits(sweeps.sweep_heatmap(grouped(spark, d), SCOPE), "mean_loss")
 
 
 @register("partial_vars", f"""

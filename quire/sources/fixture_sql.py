@@ -71,13 +71,11 @@ SELECT experiment_id, step, total_steps, val_loss, train_loss,
        step = total_steps AS is_final_step, event_id, ts
 FROM dense_base"""),
     "ref_curve": (("dense",), """
-SELECT step, CAST(sum(CAST(val_loss AS DECIMAL(18,6))) AS DOUBLE) / count(val_loss) AS ref_loss
+SELECT step, avg(val_loss) AS ref_loss
 FROM dense WHERE step % 125 = 0 AND val_loss IS NOT NULL GROUP BY step"""),
     "corpus": ((), """
 SELECT source AS domain, doc_id, 0 AS source_idx,
-       CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS doc_pos,
-       text,
-       CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 16 AS INTEGER) AS shard_idx
+       doc_id AS doc_pos, text, CAST(doc_id // 320 AS INTEGER) AS shard_idx
 FROM documents"""),
     # one row per (document, word position) of the default tokenizer; pos 0 = BOS
     "corpus_words": (("corpus",), """

@@ -12,14 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions.columns import GPT2_BOS, tokenize_text
 from quire.session import table
 
 # Fixed values of the fixture rules.
 TOTAL_STEPS = 875
 STEP_UNIT = 125
 DENSE_STEP_UNIT = 25
-CORPUS_SHARD_DOCS = 16
+CORPUS_SHARD_IDS = 320
 TRACK_DESCRIPTION = "fixture track"
 
 
@@ -141,9 +140,8 @@ def dense(spark: SparkSession, d: str) -> DataFrame:
 
 def ref_curve(dense_df: DataFrame) -> DataFrame:
     """Reference curve: mean val_loss over all runs at steps divisible by 125."""
-    from quire.functions.columns import exact_mean
     return (dense_df.where((F.col("step") % 125 == 0) & F.col("val_loss").isNotNull())
-            .groupBy("step").agg(exact_mean("val_loss").alias("ref_loss")))
+            .groupBy("step").agg(F.avg("val_loss").alias("ref_loss")))
 
 
 def tracks(runs_df: DataFrame) -> DataFrame:
@@ -153,22 +151,12 @@ def tracks(runs_df: DataFrame) -> DataFrame:
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as a blend corpus: domain = source, position = doc_id order."""
-    docs = table(spark, d, "documents")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    pos = (F.row_number().over(w) - 1).cast("bigint")
-    return docs.select(
-        F.col("source").alias("domain"), "doc_id",
-        F.lit(0).alias("source_idx"),
-        pos.alias("doc_pos"), "text",
-    ).withColumn("shard_idx", (F.col("doc_pos") / CORPUS_SHARD_DOCS).cast("int"))
-
-
-def doc_tokens(corpus_df: DataFrame, bos: int = GPT2_BOS, keep_empty: bool = False) -> DataFrame:
-    """(domain, doc_pos, tokens) with BOS first; empty texts dropped unless kept."""
-    src = corpus_df if keep_empty else corpus_df.where(F.length(F.coalesce("text", F.lit(""))) > 0)
-    return src.select("domain", "doc_pos", "doc_id",
-                      F.concat(F.array(F.lit(bos)), tokenize_text(F.coalesce("text", F.lit("")))).alias("tokens"))
+    """Documents as a blend corpus: domain = source, order = doc_id, one corpus
+    shard per ``CORPUS_SHARD_IDS`` ids of a domain.  A narrow projection: no
+    operator needs the documents numbered."""
+    return table(spark, d, "documents").select(
+        F.col("source").alias("domain"), "doc_id", F.lit(0).alias("source_idx"), F.col("doc_id").alias("doc_pos"), "text",
+        F.expr(f"CAST(doc_id div {CORPUS_SHARD_IDS} AS INT)").alias("shard_idx"))
 
 
 def doc_pairs(spark: SparkSession, d: str) -> DataFrame:

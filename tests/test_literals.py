@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+import numpy as np
+import pytest
+
 from quire.operators import batches as bt
 from quire.operators import corpus as cp
 from quire.operators import curves, logs, merge, state, summary, sweeps
@@ -152,17 +155,69 @@ def test_contiguous_batches(spark):
     assert [r.start for r in b] == [0, 4]
 
 
-def test_packing(spark):
-    rows = bt._pack_shard(__import__("numpy").array([0, 5, 8]), 17, 6, 8, 1)
-    assert rows[0][3:] == (0, 5) and rows[1][3:] == (5, 7)  # 5 tokens, then 2 of document 2
-    assert sum(e - s for *_, s, e in rows[:2]) == 7  # exactly L + 1
+def test_packing():
+    rows = bt.packed_segments(np.array([0, 5, 8]), 17, 6, 8, 1)
+    assert rows["start"].tolist() == [0, 5] and rows["end"].tolist() == [5, 7]  # 5 tokens, then 2 of document 2
+    assert rows["batch"].tolist() == [0, 0] and rows["seg"].tolist() == [0, 1]  # the third document leaves its buffer open
+    two = bt.packed_segments(np.array([0, 5, 8]), 17, 6, 8, 2)
+    assert not len(two["start"])  # an open batch is dropped
+
+
+def greedy(starts, n, local, longest, ranks):
+    """Fill buffers document by document."""
+    docs = [min(e - s, longest) for s, e in zip(starts, [*starts[1:], n])]
+    buffers, room, cur = [], local + 1, []
+    for s, size in zip(starts, docs):
+        take = min(size, room)
+        cur.append((s, s + take))
+        room -= take
+        if not room:
+            buffers.append(cur)
+            room, cur = local + 1, []
+    return [x for b in buffers[:len(buffers) // ranks * ranks] for x in b]
+
+
+def test_packing_equals_filling_one_by_one():
+    rnd = np.random.default_rng(0)
+    for _ in range(200):
+        sizes = rnd.integers(1, 30, rnd.integers(1, 60))
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        local, longest, ranks = int(rnd.integers(1, 40)), int(rnd.integers(1, 25)), int(rnd.integers(1, 4))
+        rows = bt.packed_segments(starts, int(sizes.sum()), local, longest, ranks)
+        assert list(zip(rows["start"], rows["end"])) == greedy(starts.tolist(), int(sizes.sum()), local, longest, ranks)
 
 
 def test_bos_aligned_starts():
-    import pandas as pd
-    pdf = pd.DataFrame({"bos_pos": [0, 3, 5, 9, 12, 20, 30, 41, 50, 60]})
-    rows = bt._starts_per_shard(pdf, 25, 4, 2)  # span 2*B = 16; the next window would pass the shard end
-    assert rows == [(0, 0, 0), (0, 1, 5)]  # 0 confirmed by 5, 5 by 9
+    bos = np.array([0, 3, 5, 9, 12, 20, 30, 41, 50, 60])
+    batch, rank, start = bt.aligned_starts(bos, 25, 4, 2)  # span 2*B = 16; the next window would pass the shard end
+    assert list(zip(batch, rank, start)) == [(0, 0, 0), (0, 1, 5)]  # 0 confirmed by 5, 5 by 9
+    assert not len(bt.aligned_starts(bos, 17, 4, 2)[0])
+    with pytest.raises(RuntimeError):
+        bt.aligned_starts(np.array([0, 3, 30]), 40, 4, 2)
+
+
+def test_boundary_dataset_refuses(spark):
+    schema = "domain string, split string, start long, tokens array<int>"
+    good = spark.createDataFrame([("d", "val", 0, [50256, 1]), ("d", "val", 2, [50256])], schema)
+    row = bt.boundary_dataset(good).first()
+    assert (row.n_tokens, row.n_docs, row.num_seqs, row.ok) == (3, 2, 0, True)
+    streams = spark.createDataFrame([("d", "val"), ("d", "train")], "domain string, split string")
+    bad = [(good, streams), (spark.createDataFrame([("d", "val", 1, [50256])], schema), None),
+           (spark.createDataFrame([("d", "val", 0, [7])], schema), None), (spark.createDataFrame([("d", "val", 0, [])], schema), None)]
+    for docs, want in bad:
+        with pytest.raises(Exception, match="refusing|must start|does not start"):
+            bt.boundary_dataset(docs, streams=want).collect()
+
+
+def test_means_keep_small_values(spark):
+    df = spark.createDataFrame([(1, 1e-7, 1e-7, 1), (1, 3e-7, 3e-7, 1)], "step long, loss double, step_avg_ms double, train_time_ms long")
+    assert curves.mean_curve(df).first().loss == pytest.approx(2e-7, rel=1e-12)
+
+
+def test_stage_boundaries():
+    assert curves.stage_boundaries([0.35, 0.35, 0.3, 0.0], 1440, 40) == [(0, 504), (504, 1008), (1008, 1440), (1440, 1480)]
+    with pytest.raises(ValueError):
+        curves.stage_boundaries([0.5, 0.4, 0.0], 100, 10)
 
 
 def test_empty_text(spark):
@@ -192,31 +247,6 @@ def test_detect_run_id_byte_windows(spark):
     assert got == {1: uid, 2: uid, 3: None}
 
 
-def test_bpe_plugin_matches_in_process_encoding(spark):
-    import os
-
-    import pytest
-    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-    if not os.path.exists(path):
-        pytest.skip("no BPE rank file")
-    import base64
-
-    import tiktoken
-    ranks = {}
-    with open(path, "rb") as fh:
-        for line in fh:
-            if line.strip():
-                t, r = line.split()
-                ranks[base64.b64decode(t)] = int(r)
-    enc = tiktoken.Encoding(name="t", pat_str=r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
-                            mergeable_ranks=ranks, special_tokens={})
-    texts = ["Hello world, it's 2024.", "Élan vital\nsecond line"]
-    c = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "domain string, doc_pos long, text string")
-    got = {r.doc_pos: r.tokens for r in cp.bpe_tokenize(c, path).collect()}
-    assert got[0] == [50256] + enc.encode_ordinary(texts[0])
-    assert got[1] == [50256] + enc.encode_ordinary(texts[1])
-
-
 def test_token_counts_equal_tokenized_lengths(spark):
     from quire.sources import fixtures as fx
     c = fx.corpus(spark, "/root/testdata/sf0.001")

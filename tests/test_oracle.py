@@ -45,7 +45,7 @@ def test_query_matches_oracle(spark, con, name):
     df = se.queries()[name](spark, SF)
     rows = df.collect()
     if name not in SQLS:
-        assert len(rows) >= 0
+        assert rows  # tests/llm holds these against brute force
         return
     cur = con.execute(SQLS[name])
     ocols = [c[0] for c in cur.description]
