@@ -50,6 +50,14 @@ def verify_checksums(files: DataFrame, expected: DataFrame) -> DataFrame:
     return j.select("name", "actual", status.alias("status"))
 
 
+def ascii_json(text):
+    """JSON text with every non-ASCII character as ``\\uXXXX`` escapes of its UTF-16 units."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), 0)
+    escaped = F.transform(units, lambda u: F.when(u < "0080", F.char(F.conv(u, 16, 10).cast("bigint")))
+                          .otherwise(F.concat(F.lit("\\u"), F.lower(u))))
+    return F.when(text.rlike("[^\\x00-\\x7F]"), F.array_join(escaped, "")).otherwise(text)
+
+
 def code_hash(versions: DataFrame, files: DataFrame) -> DataFrame:
     """H2: code identity of (script, kernels_path, dependencies) versions:
     sha256(script ‖ KERNELS_SEP ‖ kernels ‖ for each module in sorted order:
@@ -59,7 +67,8 @@ def code_hash(versions: DataFrame, files: DataFrame) -> DataFrame:
     Each *distinct* version is hashed once (dependencies as sorted entries);
     the result joins back on (script, kernels_path, dep_entries)."""
     entries = F.array_sort(F.map_entries(F.coalesce("dependencies", F.create_map().cast("map<string,string>"))))
-    v = versions.select("script", "kernels_path", entries.alias("dep_entries")).distinct() \
+    kernels = F.nullif(F.col("kernels_path"), F.lit(""))  # an empty path is none
+    v = versions.select("script", kernels.alias("kernels_path"), entries.alias("dep_entries")).distinct() \
         .withColumn("_vid", F.sha2(F.to_json(F.struct("script", "kernels_path", "dep_entries")), 256))
     fc = files.select("path", "content")
     j = v.join(fc.withColumnRenamed("path", "script").withColumnRenamed("content", "_script"), "script", "left")
@@ -69,7 +78,7 @@ def code_hash(versions: DataFrame, files: DataFrame) -> DataFrame:
         "_vid", F.col("e.key").alias("module"), F.col("e.value").alias("dpath"))
     deps = deps.join(fc.withColumnRenamed("path", "dpath"), "dpath", "left")
     rec = F.concat(F.lit(DEPENDENCY_SEP).cast("binary"),
-                   F.to_json(F.struct(F.col("module"), F.col("dpath").alias("path"))).cast("binary"),
+                   ascii_json(F.to_json(F.struct(F.col("module"), F.col("dpath").alias("path")))).cast("binary"),
                    F.lit("\n").cast("binary"), F.col("content"))
     dg = deps.groupBy("_vid").agg(  # one row per dependency of one version: bounded by its module count
         F.count(F.lit(1)).alias("_nd"), F.count("content").alias("_found"),
@@ -93,5 +102,6 @@ def attach_code_hash(runs: DataFrame, hashes: DataFrame) -> DataFrame:
     r = runs.withColumn("dep_entries", entries)
     h = hashes.select(F.col("script").alias("_s"), F.col("kernels_path").alias("_k"),
                       F.col("dep_entries").alias("_d"), F.col("code_hash").alias("computed_hash"))
-    cond = (r["script"] == h["_s"]) & r["kernels_path"].eqNullSafe(h["_k"]) & (r["dep_entries"] == h["_d"])
+    kernels = F.nullif(r["kernels_path"], F.lit(""))
+    cond = (r["script"] == h["_s"]) & kernels.eqNullSafe(h["_k"]) & (r["dep_entries"] == h["_d"])
     return r.join(h, cond, "left").drop("_s", "_k", "_d", "dep_entries")

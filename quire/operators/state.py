@@ -51,7 +51,9 @@ def script_stem(script: Column) -> Column:
 
 
 META = ("code_hash", "tmux_window", "run_id", "started_at", "finished_at", "git_commit", "parent_hash",
-        "kernels_path")
+        "kernels_path", "dependencies", "session")
+#: Set when the run is created, never by a later record.
+AT_CREATION = ("name", "script", "track", "env_vars", "gpus", "gpu_type")
 
 
 def mapping_state(records: DataFrame, seq: str = "seq") -> DataFrame:
@@ -60,15 +62,20 @@ def mapping_state(records: DataFrame, seq: str = "seq") -> DataFrame:
     known = F.col("status").isin(*OBSERVED)
     crash = (F.col("status") == "failed") & F.col("crash_log").isNotNull()
     s = F.col(seq)
+    maps = ("env_vars", "dependencies")
+    absent = {c: F.lit(None).cast("map<string,string>" if c in maps else "string")
+              for c in (*META, *AT_CREATION) if c not in records.columns}
+    records = records.withColumns(absent) if absent else records
     meta = []
     for c in META:
         meta += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), s)).alias(c),
                  F.max(F.when(F.col(c).isNotNull(), s)).alias(f"_{c}_seq")]
     return records.groupBy("experiment_id").agg(
-        F.min_by(F.struct("status", "name", "script", "track", "gpus", "gpu_type"), s).alias("_first"),
+        F.min_by(F.struct("status", *AT_CREATION), s).alias("_first"),
         F.min(s).alias("_first_seq"),
         F.max_by(F.col("status"), F.when(known, s)).alias("_last_known"),
         F.max(F.when(known, s)).alias("_last_known_seq"),
+        F.max(F.when(known & ~F.col("status").isin(*TERMINAL), s)).alias("_last_open_seq"),
         F.min(F.when(F.col("status") == "completed", s)).alias("_first_completed_seq"),
         F.count(F.lit(1)).alias("n_records"),
         F.min_by(F.col("crash_log"), F.when(crash, s)).alias("crash_log"),
@@ -84,41 +91,72 @@ def merge_mapping_state(states: DataFrame) -> DataFrame:
     return states.groupBy("experiment_id").agg(
         F.min_by("_first", "_first_seq").alias("_first"), F.min("_first_seq").alias("_first_seq"),
         F.max_by("_last_known", "_last_known_seq").alias("_last_known"),
-        F.max("_last_known_seq").alias("_last_known_seq"),
+        F.max("_last_known_seq").alias("_last_known_seq"), F.max("_last_open_seq").alias("_last_open_seq"),
         F.min("_first_completed_seq").alias("_first_completed_seq"),
         F.sum("n_records").cast("bigint").alias("n_records"),
         F.min_by("crash_log", "_crash_seq").alias("crash_log"), F.min("_crash_seq").alias("_crash_seq"),
         *meta)
 
 
-def finish_fold(g: DataFrame, has_final: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Run rows from the mapping-fold state (see :func:`fold_mappings`)."""
+def infer_track(scripts: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Track of each script path: the one whose directory is its nearest
+    ancestor.  ``scripts``: script; ``tracks``: name, directory -> (script, track)."""
+    parts = F.split("script", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    up = scripts.select("script").distinct().where(F.size(parts) > 1).select("script", F.explode(above).alias("directory"))
+    found = up.join(tracks.select("directory", F.col("name").alias("track")), "directory")
+    return found.groupBy("script").agg(F.max_by("track", F.length("directory")).alias("track"))
+
+
+def finish_fold(g: DataFrame, has_final: DataFrame, existing: DataFrame | None = None,
+                tracks: DataFrame | None = None) -> DataFrame:
+    """Run rows from the mapping-fold state (see :func:`fold_mappings`).
+
+    A stored run (``existing``: id, status and any of the creation columns and
+    finished_at) keeps its name, script, track, env and GPUs; the feed changes
+    its status and metadata only.  A change to a status that is not terminal
+    clears the finish time; a record that carries one sets it again.  Without a
+    track of its own a new run takes that of its script's nearest directory in
+    ``tracks``."""
     g = g.join(has_final.select("experiment_id", F.lit(True).alias("_final")), "experiment_id", "left")
+    stored = {}
     if existing is not None:
-        g = g.join(existing.select(F.col("id").alias("experiment_id"), F.col("status").alias("_existing")),
-                   "experiment_id", "left")
+        kept = [c for c in (*AT_CREATION, "finished_at") if c in existing.columns]
+        g = g.join(existing.select(F.col("id").alias("experiment_id"), F.col("status").alias("_existing"),
+                                   *[F.col(c).alias(f"_old_{c}") for c in kept]), "experiment_id", "left")
+        stored = {c: F.col(f"_old_{c}") for c in kept}
         initial = F.coalesce(F.col("_existing"), F.col("_first.status"), F.lit("running"))
-        later = F.col("_last_known_seq") > F.when(F.col("_existing").isNotNull(), F.lit(-(1 << 62))).otherwise(
-            F.col("_first_seq"))
+        known = F.col("_existing").isNotNull()
+        later = F.col("_last_known_seq") > F.when(known, F.lit(-(1 << 62))).otherwise(F.col("_first_seq"))
     else:
-        initial = F.coalesce(F.col("_first.status"), F.lit("running"))
+        initial, known = F.coalesce(F.col("_first.status"), F.lit("running")), F.lit(False)
         later = F.col("_last_known_seq") > F.col("_first_seq")
     plain = F.when(later, F.col("_last_known")).otherwise(initial)
     reached_completed = (initial == "completed") | F.col("_first_completed_seq").isNotNull()
-    status = F.when(F.coalesce(F.col("_final"), F.lit(False)) & reached_completed, F.lit("completed")).otherwise(plain)
-    script = F.coalesce(F.col("_first.script"), F.lit("unknown"))
+    held = F.coalesce(F.col("_final"), F.lit(False)) & reached_completed  # completed, whatever is observed later
+    status = F.when(held, F.lit("completed")).otherwise(plain)
+    new = {"script": F.coalesce(F.col("_first.script"), F.lit("unknown")), "track": F.col("_first.track"),
+           "env_vars": F.col("_first.env_vars"), "gpus": F.coalesce(F.col("_first.gpus"), F.lit(1)),
+           "gpu_type": F.coalesce(F.col("_first.gpu_type"), F.lit("H100"))}
+    new["name"] = F.coalesce(F.col("_first.name"), script_stem(new["script"]))
+    if tracks is not None:
+        inferred = infer_track(g.select(new["script"].alias("script")), tracks).select(
+            F.col("script").alias("_script"), F.col("track").alias("_inferred"))
+        g = g.join(inferred, new["script"] == F.col("_script"), "left")
+        new["track"] = F.coalesce(new["track"], F.col("_inferred"))
+    creation = {c: F.when(known, stored[c]).otherwise(new[c]) if c in stored else new[c] for c in AT_CREATION}
+    cleared = ~held & (F.col("_last_open_seq") > F.coalesce(F.col("_finished_at_seq"), F.lit(-(1 << 62))))
+    finished = F.coalesce(F.col("finished_at"), stored["finished_at"].cast("string")) if "finished_at" in stored \
+        else F.col("finished_at")
     return g.select(
-        "experiment_id", status.alias("status"), script.alias("script"),
-        F.coalesce(F.col("_first.name"), script_stem(script)).alias("name"),
-        F.col("_first.track").alias("track"),
-        F.coalesce(F.col("_first.gpus"), F.lit(1)).alias("gpus"),
-        F.coalesce(F.col("_first.gpu_type"), F.lit("H100")).alias("gpu_type"),
-        "code_hash", "run_id", "started_at", "finished_at", F.col("n_records").cast("bigint").alias("n_records"),
-        "crash_log")
+        "experiment_id", status.alias("status"), *[creation[c].alias(c) for c in AT_CREATION],
+        "code_hash", "run_id", "started_at", F.when(~F.coalesce(cleared, F.lit(False)), finished).alias("finished_at"),
+        "git_commit", "parent_hash", "kernels_path", "dependencies", "tmux_window", "session",
+        F.col("n_records").cast("bigint").alias("n_records"), "crash_log")
 
 
 def fold_mappings(records: DataFrame, has_final: DataFrame, existing: DataFrame | None = None,
-                  seq: str = "seq") -> DataFrame:
+                  seq: str = "seq", tracks: DataFrame | None = None) -> DataFrame:
     """Mapping records (session, seq order) -> run rows.
 
     A new id is created from its first record (status or 'running'; name = the
@@ -132,7 +170,7 @@ def fold_mappings(records: DataFrame, has_final: DataFrame, existing: DataFrame
     the run has a final metric.  The state is made of mergeable aggregates, so
     the streaming form (E2) folds each micro-batch into the stored state.
     """
-    return finish_fold(mapping_state(records, seq), has_final, existing)
+    return finish_fold(mapping_state(records, seq), has_final, existing, tracks)
 
 
 def create_runs(existing: DataFrame, creates: DataFrame, seq: str = "seq") -> DataFrame:
@@ -147,7 +185,7 @@ def apply_status(runs: DataFrame, changes: DataFrame, seq: str = "seq", at: str
     """Status changes (id, seq, status, at) applied in order.
 
     A change is effective when the status differs from the current one (or a
-    terminal status lacks its finish time, or 'running' still has one).
+    terminal status lacks its finish time, or any other still has one).
     Terminal -> finished_at = change time; running -> started_at kept or set,
     finished_at cleared; other -> finished_at cleared.  revision += effective
     changes.  Returns the runs with the new status, times and revision.
@@ -158,8 +196,7 @@ def apply_status(runs: DataFrame, changes: DataFrame, seq: str = "seq", at: str
     first = F.row_number().over(w) == 1
     cur = F.when(first, F.col("_s0")).otherwise(F.lag("status").over(w))
     eff = (~F.col("status").eqNullSafe(cur)) | (
-        first & ((F.col("status").isin(*TERMINAL) & F.col("_f0").isNull())
-                 | ((F.col("status") == "running") & F.col("_f0").isNotNull())))
+        first & (F.col("status").isin(*TERMINAL) == F.col("_f0").isNull()))
     c = c.withColumn("_eff", eff).drop("_s0", "_f0")
     e = c.where("_eff")
     agg = e.groupBy("id").agg(
@@ -233,37 +270,54 @@ def latest_queue(snapshot_lines: DataFrame, session: str = "session") -> DataFra
 
 def accepted_snapshot(snapshots: DataFrame, session: str = "session", seq: str = "seq") -> DataFrame:
     """Last writer wins by ``ts``: strictly newer wins, an equal ts is a
-    no-op (the first arrival stays).  Times are compared as timestamps, text
-    that does not parse as text."""
+    no-op (the first arrival stays).  Times are compared as instants (an offset
+    counts; without one the session's zone), text that does not parse as text.
+
+    With a ``connected`` column the flag is kept as well: an explicit value
+    counts even on a stale snapshot, the last arrival wins, and a session that
+    never said is connected.  ``session_id`` is carried along if present."""
     t = snapshots.where(F.col("ts").isNotNull() & (F.col("ts") != ""))
-    key = F.struct(F.col("ts").try_cast("timestamp_ntz").alias("t"), F.col("ts"), (-F.col(seq)).alias("first"))
-    return t.groupBy(session).agg(F.max_by(F.struct("ts", "queue", seq), key).alias("_s")) \
-        .select(session, "_s.ts", "_s.queue", F.col(f"_s.{seq}").alias(seq))
+    at = F.col("ts").try_cast("timestamp")
+    key = F.struct(at.alias("t"), F.when(at.isNull(), F.col("ts")).alias("text"), (-F.col(seq)).alias("first"))
+    carried = ["ts", "queue", seq, *[c for c in ("session_id",) if c in snapshots.columns]]
+    aggs = [F.max_by(F.struct(*carried), key).alias("_s")]
+    if "connected" in snapshots.columns:
+        said = F.max_by("connected", F.when(F.col("connected").isNotNull(), F.col(seq)))
+        aggs.append(F.coalesce(said, F.lit(True)).alias("connected"))
+    return t.groupBy(session).agg(*aggs).select(
+        session, *[F.col(f"_s.{c}").alias(c) for c in carried], *(["connected"] if len(aggs) > 1 else []))
 
 
 def queue_reconcile(runs: DataFrame, accepted: DataFrame, session_col: str = "session") -> DataFrame:
     """Project an accepted snapshot per session onto runs.
 
     Ids in the queue: unknown -> created as 'queued'; status 'unknown' ->
-    'queued'; ids owned by another session are ignored.  Queued runs of the
-    session missing from the snapshot -> 'unknown'.  Output (session, id,
-    action, status)."""
+    'queued'; ids owned by another session -- another name, or another
+    incarnation's ``session_id`` -- are ignored.  Queued runs of this
+    incarnation (of this name, if they carry no session id) missing from the
+    snapshot -> 'unknown'.  ``accepted`` without ``session_id`` stands for
+    sessions whose id is their name.  Output (session, id, action, status)."""
     from quire.session import materialize
+    if "session_id" not in accepted.columns:
+        accepted = accepted.withColumn("session_id", F.col(session_col))
     accepted = materialize(accepted)  # one row per session, read by three branches
-    items = accepted.select(session_col, F.posexplode("queue").alias("pos", "item")) \
-        .select(session_col, F.col("item.experiment_id").alias("id"), "item.name", "item.script") \
+    items = accepted.select(session_col, F.col("session_id").alias("_sid"), F.posexplode("queue").alias("pos", "item")) \
+        .select(session_col, "_sid", F.col("item.experiment_id").alias("id"), "item.name", "item.script") \
         .where(F.col("id") > 0)
-    r = runs.select("id", F.col("status").alias("cur"), F.col("session_name").alias("owner"))
+    r = runs.select("id", F.col("status").alias("cur"), F.col("session_name").alias("owner"),
+                    F.col("session_id").alias("owner_id"))
     j = items.join(r, "id", "left")
-    mine = F.col("owner").isNull() | (F.col("owner") == F.col(session_col))
-    conf = j.where(mine)
+    same = lambda c, own: (F.coalesce(F.col(c), F.lit("")) == "") | (F.col(c) == F.col(own))
+    conf = j.where(same("owner", session_col) & same("owner_id", "_sid"))
     created = conf.where(F.col("cur").isNull()).select(session_col, "id", F.lit("create").alias("action"),
                                                        F.lit("queued").alias("status"))
     requeued = conf.where(F.col("cur") == "unknown").select(session_col, "id", F.lit("requeue").alias("action"),
                                                             F.lit("queued").alias("status"))
-    queued = runs.where(F.col("status") == "queued").select(
-        F.col("session_name").alias(session_col), "id")
-    queued = queued.join(accepted.select(session_col), session_col, "left_semi")
+    waiting = runs.where(F.col("status") == "queued").select("id", "session_name", F.col("session_id").alias("_sid"))
+    ids = accepted.select(session_col, F.col("session_id").alias("_sid"))
+    queued = waiting.join(ids, "_sid").select(session_col, "id").unionByName(
+        waiting.where(F.col("_sid").isNull()).withColumnRenamed("session_name", session_col)
+        .join(ids.select(session_col), session_col).select(session_col, "id"))
     gone = queued.join(conf.select(session_col, "id"), [session_col, "id"], "left_anti").select(
         session_col, "id", F.lit("lost").alias("action"), F.lit("unknown").alias("status"))
     return created.unionByName(requeued).unionByName(gone)

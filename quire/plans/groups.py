@@ -191,6 +191,12 @@ def q_group_cards(spark, d):
     return nine_digits(groups.group_cards(summaries(spark, d)), "loss", "val_loss")
 
 
+@register("group_members", """
+SELECT g_hash, g_track, gpus, g_gpu_type, id, started_at FROM sgroups""", ("sgroups",))
+def q_group_members(spark, d):
+    return groups.group_members(summaries(spark, d))
+
+
 @register("final_stats", """
 SELECT g_hash, g_track, gpus, g_gpu_type, count(*) AS n_completed,
   round(avg(coalesce(final_loss, final_val_loss)), 9) AS mean_loss,

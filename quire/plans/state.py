@@ -111,35 +111,55 @@ def reconcile_runs(spark, d):
     r = fx.runs(spark, d)
     st_ = (F.when((F.col("status") == "running") & (F.col("id") % 13 == 0), "queued")
            .when((F.col("status") == "running") & (F.col("id") % 17 == 0), "unknown").otherwise(F.col("status")))
-    return r.withColumn("status", st_)
+    # every seventh run belongs to an older incarnation of its session, every fifth to none
+    sid = F.when(F.col("id") % 5 == 0, F.lit(None).cast("string")).when(
+        F.col("id") % 7 == 0, F.concat(F.col("session_name"), F.lit("-old"))).otherwise(F.concat("session_name", F.lit("-now")))
+    return r.withColumn("status", st_).withColumn("session_id", sid)
 
 
 def accepted(spark, d):
     s = snapshots(spark, d).withColumn("seq", F.col("snapshot_id"))
+    # the same instants, written with offsets that a text order would get wrong
+    at = F.col("ts").cast("timestamp_ntz")
+    odd = F.date_format(at + F.expr("INTERVAL 5 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    s = s.withColumn("ts", F.when(F.col("seq") % 2 == 1, F.concat(odd, F.lit("+05:00")))
+                     .otherwise(F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))))
+    s = s.withColumn("session_id", F.concat("session", F.lit("-now"))) \
+        .withColumn("connected", F.when(F.col("seq") % 3 == 0, F.col("seq") % 2 == 0))
     return st.accepted_snapshot(s)
 
 
 ACCEPT_SQL = SNAP_SQL + """,
 acc AS (SELECT session, arg_max(ids, (ts, -snapshot_id)) AS ids FROM snaps GROUP BY session),
 items AS (SELECT session, unnest(ids) AS id FROM acc),
-r2 AS (SELECT id, session_name, CASE WHEN status = 'running' AND id % 13 = 0 THEN 'queued'
+r2 AS (SELECT id, session_name, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 7 = 0 THEN session_name || '-old'
+                                     ELSE session_name || '-now' END AS sid, CASE WHEN status = 'running' AND id % 13 = 0 THEN 'queued'
                                      WHEN status = 'running' AND id % 17 = 0 THEN 'unknown' ELSE status END AS status
        FROM runs)"""
 
 
 @register("queue_reconcile", ACCEPT_SQL + """,
 conf AS (SELECT i.session, i.id, r.status AS cur FROM items i LEFT JOIN r2 r ON r.id = i.id
-         WHERE i.id > 0 AND (r.session_name IS NULL OR r.session_name = i.session))
+         WHERE i.id > 0 AND (r.session_name IS NULL OR r.session_name = i.session)
+           AND (r.sid IS NULL OR r.sid = i.session || '-now'))
 SELECT session, id, 'create' AS action, 'queued' AS status FROM conf WHERE cur IS NULL
 UNION ALL SELECT session, id, 'requeue', 'queued' FROM conf WHERE cur = 'unknown'
 UNION ALL
 SELECT r.session_name, r.id, 'lost', 'unknown' FROM r2 r
-WHERE r.status = 'queued' AND r.session_name IN (SELECT session FROM acc)
+WHERE r.status = 'queued' AND r.session_name IN (SELECT session FROM acc) AND (r.sid IS NULL OR r.sid = r.session_name || '-now')
   AND NOT EXISTS (SELECT 1 FROM conf c WHERE c.session = r.session_name AND c.id = r.id)""", ("runs",))
 def q_queue_reconcile(spark, d):
     return st.queue_reconcile(reconcile_runs(spark, d), accepted(spark, d))
 
 
+@register("queue_connected", SNAP_SQL + """
+SELECT session, coalesce(arg_max(snapshot_id % 2 = 0, snapshot_id) FILTER (WHERE snapshot_id % 3 = 0), true) AS connected,
+       arg_max(snapshot_id, (ts, -snapshot_id)) AS snapshot_id
+FROM snaps GROUP BY session""")
+def q_queue_connected(spark, d):
+    return accepted(spark, d).select("session", "connected", F.col("seq").alias("snapshot_id"))
+
+
 @register("queue_view", ACCEPT_SQL.replace(SNAP_SQL, SNAP_SQL + ",\nsm AS (SELECT * FROM summaries_full)", 1) + """,
 pos AS (SELECT session, unnest(ids) AS id, generate_subscripts(ids, 1) AS position FROM acc)
 SELECT session_name AS session, id, name, 'running' AS state, CAST(NULL AS BIGINT) AS position, current_step,
@@ -173,6 +193,12 @@ def q_crash_logs(spark, d):
                     F.length("tail_2k").cast("bigint").alias("tail_2k"))
 
 
+@register("crash_logs_replaced", """
+SELECT experiment_id, arg_max(content, seq) AS content FROM crash_events GROUP BY experiment_id""", ("crash_events",))
+def q_crash_logs_replaced(spark, d):
+    return st.crash_logs(fx.crash_events(fx.runs(spark, d)), "replace").select("experiment_id", "content")
+
+
 @register("job_state_diff", """
 WITH j AS (SELECT 'user/job-' || CAST(o_orderkey AS VARCHAR) AS name,
                   ['queued','queued','running','completed','failed','cancelled','failed','failed','',''][o_orderkey % 10 + 1] AS state

@@ -157,10 +157,10 @@ def test_contiguous_batches(spark):
 
 def test_packing():
     rows = bt.packed_segments(np.array([0, 5, 8]), 17, 6, 8, 1)
-    assert rows["start"].tolist() == [0, 5] and rows["end"].tolist() == [5, 7]  # 5 tokens, then 2 of document 2
-    assert rows["batch"].tolist() == [0, 0] and rows["seg"].tolist() == [0, 1]  # the third document leaves its buffer open
-    two = bt.packed_segments(np.array([0, 5, 8]), 17, 6, 8, 2)
-    assert not len(two["start"])  # an open batch is dropped
+    assert rows["start"].tolist() == [0, 5, 8] and rows["end"].tolist() == [5, 7, 15]  # 5 + 2 tokens, then 7 of the third
+    assert rows["batch"].tolist() == [0, 0, 1] and rows["seg"].tolist() == [0, 1, 0]
+    assert bt.packed_segments(np.array([0, 5, 8]), 17, 6, 8, 2)["rank"].tolist() == [0, 0, 1]
+    assert not len(bt.packed_segments(np.array([0, 5, 8]), 10, 6, 8, 2)["start"])  # an open batch is dropped
 
 
 def greedy(starts, n, local, longest, ranks):
@@ -253,3 +253,99 @@ def test_token_counts_equal_tokenized_lengths(spark):
     a = {(r.domain, r.doc_pos): r.n_tokens for r in cp.token_counts(c).collect()}
     b = {(r.domain, r.doc_pos): r.n_tokens for r in cp.doc_lengths(cp.tokenize(c)).collect()}
     assert a == b and len(a) > 0
+
+
+def _snapshots(spark, rows):
+    item = "array<struct<experiment_id:bigint,name:string,script:string>>"
+    return spark.createDataFrame(rows, f"session string, session_id string, ts string, seq long, connected boolean, queue {item}")
+
+
+def test_snapshots_compare_instants_and_keep_the_flag(spark):
+    s = _snapshots(spark, [
+        ("a", "a1", "2024-01-01T01:00:00+02:00", 1, None, [(1, "n", "s")]), ("a", "a1", "2024-01-01T00:30:00+00:00", 2, None, [(2, "n", "s")]),
+        ("a", "a1", "2024-01-01T02:30:00+02:00", 3, False, [(3, "n", "s")]), ("b", "b1", "2024-01-01T00:00:00", 1, None, []),
+        ("b", "b1", "", 2, False, [])])
+    got = {r.session: r for r in state.accepted_snapshot(s).collect()}
+    assert got["a"].seq == 2 and got["a"].connected is False  # equal instant: the first stays; the flag counts
+    assert got["b"].seq == 1 and got["b"].connected is True
+
+
+def test_reconcile_looks_at_incarnations(spark):
+    acc = state.accepted_snapshot(_snapshots(spark, [("s", "s-2", "2024-01-01", 1, None, [(i, "n", "x") for i in (1, 2, 3, 9)])]))
+    runs = spark.createDataFrame([
+        (1, "unknown", "s", "s-1"), (2, "unknown", "s", "s-2"), (3, "unknown", "t", None), (4, "queued", "s", "s-1"),
+        (5, "queued", "s", "s-2"), (6, "queued", "s", None), (7, "queued", "t", None), (8, "queued", "renamed", "s-2")],
+        "id long, status string, session_name string, session_id string")
+    got = {(r.id, r.action) for r in state.queue_reconcile(runs, acc).collect()}
+    assert got == {(9, "create"), (2, "requeue"), (5, "lost"), (6, "lost"), (8, "lost")}
+
+
+def _records(spark, *recs):
+    import json
+    rows = [("s", i, json.dumps(r)) for i, r in enumerate(recs)]
+    return state.parse_mappings(spark.createDataFrame(rows, "session string, seq long, line string"))
+
+
+def test_fold_clears_and_keeps(spark):
+    rec = _records(
+        spark, {"experiment_id": 1, "status": "failed", "finished_at": "T1", "script": "exp/a/x.py", "env_vars": {"LR": "1"}},
+        {"experiment_id": 1, "status": "running", "dependencies": {"m": "p"}}, {"experiment_id": 2, "status": "running"},
+        {"experiment_id": 2, "status": "failed", "finished_at": "T2", "name": "feed", "script": "feed.py", "track": "feed"},
+        {"experiment_id": 3, "status": "completed", "finished_at": "T3"}, {"experiment_id": 3, "status": "running"})
+    final = spark.createDataFrame([(3,)], "experiment_id long")
+    old = spark.createDataFrame([(2, "queued", "mine", "own.py", None, None)],
+                                "id long, status string, name string, script string, track string, finished_at string")
+    tracks = spark.createDataFrame([("far", "exp"), ("near", "exp/a")], "name string, directory string")
+    got = {r.experiment_id: r for r in state.fold_mappings(rec, final, old, tracks=tracks).collect()}
+    assert (got[1].status, got[1].finished_at, got[1].track) == ("running", None, "near")
+    assert got[1].env_vars == {"LR": "1"} and got[1].dependencies == {"m": "p"} and got[1].session == "s"
+    assert (got[2].status, got[2].finished_at, got[2].name, got[2].script, got[2].track) == ("failed", "T2", "mine", "own.py", None)
+    assert (got[3].status, got[3].finished_at) == ("completed", "T3")
+
+
+def test_status_with_a_stray_finish_time(spark):
+    runs = spark.createDataFrame([(1, "queued", "t0", "t1", 1), (2, "queued", "t0", None, 1)],
+                                 "id long, status string, started_at string, finished_at string, revision long")
+    ch = spark.createDataFrame([(1, 1, "queued", "t9"), (2, 1, "queued", "t9")], "id long, seq long, status string, at string")
+    got = {r.id: (r.finished_at, r.revision) for r in state.apply_status(runs, ch).collect()}
+    assert got == {1: (None, 2), 2: (None, 1)}
+
+
+def test_external_totals_of_zero_and_bad_runtimes(spark):
+    ev = spark.createDataFrame([("a", 0, "10", 1.0, "x"), ("a", 1, "20", 2.0, None), ("b", 0, "5", 1.0, "2.5")],
+                               "run string, idx int, _step string, loss double, runtime string")
+    tr = spark.createDataFrame([], "run string, idx int, _step string, loss double, duration double")
+    cf = spark.createDataFrame([("a", "0", "0"), ("b", "0", "8")], "run string, config_total string, summary_step string")
+    got = {(r.run, r.step): (r.total_steps, r.train_time_ms) for r in logs.external_history(ev, tr, cf).collect()}
+    assert got == {("a", 20): (20, 0), ("b", 5): (8, 2500)}
+
+
+def test_overlong_steps_do_not_fail(spark):
+    big = "9" * 20
+    lines = spark.createDataFrame([("1", 1, f"step:{big}/5 val_loss:1"), ("2", 1, f"step:3/{big} val_loss:1")],
+                                  "run_id string, line_no long, line string")
+    runs = spark.createDataFrame([(1,), (2,)], "id long")
+    got = {r.experiment_id: r.outcome for r in logs.classify_outcome(runs, lines, lines.limit(0)).collect()}
+    assert got == {1: "completed", 2: "failed"}
+    assert {r.step for r in logs.last_metric_step(lines).collect()} == {None, 3}
+
+
+def test_code_hash_layout(spark):
+    import hashlib
+    import json
+
+    from quire.operators import lineage
+    files = {"a.py": b"A", "k.cu": b"K", "d\u00e9\U0001F600.py": b"D"}
+    fdf = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary")
+    v = spark.createDataFrame([(1, "a.py", "", {}), (2, "a.py", None, {"m\u00fc": "d\u00e9\U0001F600.py"}), (3, "a.py", "k.cu", {})],
+                              "id long, script string, kernels_path string, dependencies map<string,string>")
+    got = {r.id: r.computed_hash for r in lineage.attach_code_hash(v, lineage.code_hash(v, fdf)).collect()}
+    dep = json.dumps({"module": "m\u00fc", "path": "d\u00e9\U0001F600.py"}, sort_keys=True, separators=(",", ":")).encode()
+    want = {1: b"A", 2: b"A\n---DEPENDENCY---\n" + dep + b"\nD", 3: b"A\n---KERNELS---\nK"}
+    assert got == {k: hashlib.sha256(x).hexdigest()[:12] for k, x in want.items()}
+
+
+def test_heatmap_needs_a_loss(spark):
+    runs = spark.createDataFrame([(i, i, "completed", {"LR": str(i)}, None, None) for i in (1, 2)],
+                                 "id long, started_at long, status string, env_vars map<string,string>, final_loss double, final_val_loss double")
+    assert sweeps.sweep_heatmap(runs).count() == 0
