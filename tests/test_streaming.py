@@ -1,20 +1,73 @@
+import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import merge
-from quire.streaming.tables import BucketedTable
-
-
-def test_upsert_replay_is_noop_and_batches_commute(spark):
-    path = tempfile.mkdtemp(prefix="quire-table-") + "/t"
-    t = BucketedTable(spark, path, ["experiment_id", "step"], buckets=4)
-    rows = lambda data: merge.metric_state(spark.createDataFrame(
-        data, "experiment_id long, step long, seq long, val_loss double").withColumn("is_final_step", F.lit(False)))
-    b0 = rows([(1, 1, 2, 5.0), (2, 1, 1, 1.0)])
-    b1 = rows([(1, 1, 1, 9.0), (1, 1, 3, None)])  # an older arrival delivered later
-    assert t.upsert(b0, 0, merge.merge_metric_state)
-    assert not t.upsert(b0, 0, merge.merge_metric_state)  # replay: no-op
-    assert t.upsert(b1, 1, merge.merge_metric_state)
-    got = {(r.experiment_id, r.step): (r.val_loss, r.arrivals) for r in t.read().collect()}
-    assert got == {(1, 1): (5.0, 3), (2, 1): (1.0, 1)}
+from quire.streaming import streams, tables
+
+
+def _land(folder, chunk, lines):
+    path = os.path.join(folder, f"chunk-{chunk:03d}")
+    os.makedirs(path, exist_ok=True)
+    with open(os.path.join(path, "part-000.tsv"), "w") as f:
+        f.writelines(f"{run}\t{no}\t{text}\n" for run, no, text in lines)
+
+
+def _runs(spark):
+    from quire.sources import fixtures as fx
+    r = fx.runs(spark, "/root/testdata/sf0.001").limit(2)
+    ids = [x.id for x in r.select("id").collect()]
+    return r.withColumn("id", F.when(F.col("id") == ids[0], 1).otherwise(2).cast("long")).withColumn(
+        "revision", F.lit(3).cast("long")).withColumn("metrics_revision", F.lit(5).cast("long")).withColumn(
+        "deleted", F.lit(None).cast("int"))
+
+
+def _events(spark, path):
+    rows = streams.read_batches(spark, path, streams.EVENT_ROW).select(
+        "batch_id", "entity_id", F.get_json_object("payload", "$.revision").cast("int").alias("r"),
+        F.get_json_object("payload", "$.metrics_revision").cast("int").alias("m"),
+        F.get_json_object("payload", "$.summary.name").alias("name")).collect()
+    return sorted((x.batch_id, x.entity_id, x.r, x.m) for x in rows if x.name)
+
+
+def test_metrics_survive_a_crash_between_write_and_commit(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="quire-stream-")
+    src, out, ev, ckpt = (os.path.join(base, x) for x in ("src", "table", "events", "ckpt"))
+    runs = _runs(spark)
+    _land(src, 0, [(1, 1, "step:1/9 val_loss:5.0"), (2, 1, "step:1/9 val_loss:7.0")])
+    run = lambda: streams.stream_metrics(spark, src, out, runs, events_path=ev, ckpt=ckpt)
+    run()
+    # the second batch changes run 1 and repeats a value of run 2; it dies after its writes
+    _land(src, 1, [(1, 2, "step:2/9 val_loss:4.0"), (2, 2, "step:1/9 val_loss:7.0")])
+    real = streams.metrics_changed
+
+    def dies(*a):
+        real(*a)
+        raise RuntimeError("killed before the commit")
+
+    monkeypatch.setattr(streams, "metrics_changed", dies)
+    with pytest.raises(Exception, match="killed"):
+        run()
+    monkeypatch.setattr(streams, "metrics_changed", real)
+    run()  # the batch is tried again
+    got = {(r.experiment_id, r.step): (r.val_loss, r.arrivals) for r in streams.metrics_table(spark, out).collect()}
+    assert got == {(1, 1): (5.0, 1), (1, 2): (4.0, 1), (2, 1): (7.0, 2)}
+    assert _events(spark, ev) == [(0, "1", 4, 6), (0, "2", 4, 6), (1, "1", 5, 7)]
+
+
+def test_a_batch_replaces_its_own_folder(spark):
+    path = tempfile.mkdtemp(prefix="quire-sink-") + "/t"
+    rows = lambda v: spark.createDataFrame([(1, v)], "k long, v string")
+    tables.write_batch(rows("a"), path, 0)
+    tables.write_batch(rows("b"), path, 1)
+    tables.write_batch(rows("c"), path, 1)
+    assert [tuple(r) for r in tables.latest(spark.read.parquet(path), ["k"]).collect()] == [(1, "c")]
+    assert tables.read_batches(spark, path, "k long, v string", before=1).collect()[0].v == "a"
+
+
+def test_queue_events(spark):
+    schema = "session string, queue array<int>, connected boolean"
+    a = spark.createDataFrame([("s", [1], True), ("t", [2], True), ("u", [3], True)], schema)
+    b = spark.createDataFrame([("s", [1], True), ("t", [2], False), ("u", [4], True), ("v", [], True)], schema)
+    assert {r.entity_id for r in streams.queue_events(a, b).collect()} == {"t", "u", "v"}
