@@ -72,6 +72,7 @@ def stream_positions(lengths: DataFrame, keys=("domain",), order="doc_pos") -> D
     name or a list of names (unique within a key)."""
     from quire.session import materialize
     order = [order] if isinstance(order, str) else list(order)
+    lengths = materialize(lengths)  # narrow; the quantiles, block totals and running sums read it, not the texts
     pos = prefix_sums(lengths.withColumn("_one", F.lit(1).cast("bigint")), list(keys), order,
                       {"n_tokens": "start", "_one": "doc_no"}).drop("_one")
     return materialize(pos)  # the position table: narrow, read by every split/shard branch

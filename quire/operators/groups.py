@@ -48,6 +48,9 @@ def newest_first() -> list[Column]:
     return [F.col("started_at").desc_nulls_last(), F.col("id").desc()]
 
 
+MAX_GROUPS = 500
+
+
 def list_runs(runs: DataFrame, track: str | None = None, status: str | None = None,
               search: str | None = None, limit: int = 50,
               session_name: str | None = None) -> DataFrame:
@@ -132,7 +135,9 @@ def discover_groups(runs: DataFrame, track: str | None = None, status: str | Non
     filters.  Returns (members, page_info) where page_info holds ``has_more``
     and the next cursor.
     """
-    limit = max(1, min(int(limit), 500))
+    if not 1 <= int(limit) <= MAX_GROUPS:
+        raise ValueError(f"a page holds 1 to {MAX_GROUPS} groups")
+    limit = int(limit)
     vis = group_identity(runs.where(live()))
     m = vis
     if track:
@@ -168,17 +173,18 @@ def discover_groups(runs: DataFrame, track: str | None = None, status: str | Non
 
 
 def expand_group(runs: DataFrame, requested: DataFrame) -> DataFrame:
-    """Each requested run id -> every live member of its group.
+    """The live members of every requested run's group, each group once.
 
     A run without a code hash matches only itself (the coalesced key does it).
-    Output (requested_id, id, started_at).  The requested side is the small
-    side of the join; the members come from one equi join on the group key.
+    Output (group keys, id, started_at, requested): ``requested`` marks the
+    members that were asked for, so a request finds its group by its own row
+    and no request is paired with every member.
     """
-    g = group_identity(runs.where(live()))
-    req = requested.select(F.col("id").alias("requested_id")).distinct()
-    keys = g.join(req, g["id"] == req["requested_id"], "inner").select("requested_id", *GROUP_KEYS)
-    return keys.join(g.select(*GROUP_KEYS, "id", "started_at"), list(GROUP_KEYS), "inner") \
-        .select("requested_id", "id", "started_at")
+    asked = requested.select("id").distinct().withColumn("requested", F.lit(True))
+    g = group_identity(runs.where(live())).select(*GROUP_KEYS, "id", "started_at") \
+        .join(asked, "id", "left").withColumn("requested", F.coalesce("requested", F.lit(False)))
+    keys = g.where("requested").select(*GROUP_KEYS).distinct()
+    return g.join(keys, list(GROUP_KEYS)).select(*GROUP_KEYS, "id", "started_at", "requested")
 
 
 def run_flags(runs: DataFrame, crash_logs: DataFrame, metrics: DataFrame) -> DataFrame:

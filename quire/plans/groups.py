@@ -116,8 +116,8 @@ req AS (
   (SELECT id FROM live ORDER BY started_at DESC NULLS LAST, id DESC LIMIT 1)
   UNION
   (SELECT id FROM live WHERE code_hash IS NULL ORDER BY started_at DESC NULLS LAST, id DESC LIMIT 1)),
-k AS (SELECT l.id AS requested_id, l.g_hash, l.g_track, l.gpus, l.g_gpu_type FROM live l JOIN req USING (id))
-SELECT k.requested_id, m.id, m.started_at
+k AS (SELECT DISTINCT l.g_hash, l.g_track, l.gpus, l.g_gpu_type FROM live l JOIN req USING (id))
+SELECT m.g_hash, m.g_track, m.gpus, m.g_gpu_type, m.id, m.started_at, m.id IN (SELECT id FROM req) AS requested
 FROM k JOIN live m ON m.g_hash = k.g_hash AND m.g_track = k.g_track AND m.gpus = k.gpus
   AND m.g_gpu_type = k.g_gpu_type"""
 

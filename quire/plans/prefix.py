@@ -36,11 +36,13 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[s
     first = order[0]
     probs = [i / nb for i in range(1, nb)]
     bounds = sorted(set(df.approxQuantile(first, probs, 1.0 / (4 * nb)))) if nb > 1 else []
-    blk = F.lit(0)
-    if bounds:
-        blk = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0),
-                          lambda acc, b: acc + F.when(F.col(first) >= b, 1).otherwise(0))
-    d = df.withColumn("_blk", blk)
+    def block(lo: int, hi: int):  # number of boundaries <= the order value, by halving
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(first) >= F.lit(bounds[mid]), block(mid + 1, hi)).otherwise(block(lo, mid))
+
+    d = df.withColumn("_blk", block(0, len(bounds)))
     cols = list(values)
     w = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     loc = d.select("*", *[F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))).over(w), F.lit(0)).alias(f"_loc_{c}")

@@ -53,9 +53,9 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the operator (a shared file system path);
-    only when it is unset -- tests and local runs -- a fresh scratch folder is
-    created and registered.
+    On a cluster this must be set by the operator (a shared file system path),
+    else this fails: executors could not see a folder of the driver's machine.
+    Only a local master (tests, one-machine runs) gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -66,6 +66,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="quire-ckpt-")
     sc.setCheckpointDir(local)
     return local

@@ -2,37 +2,22 @@
 
 from __future__ import annotations
 
-import gzip
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources import fs
+from quire.sources.logs import land_text
 
 
 def land_corpus(corpus: DataFrame, dest: str) -> DataFrame:
     """Write ``<dest>/<domain>/<shard_idx:04d>.jsonl.gz``: one gzip JSONL file
-    per (domain, shard), documents in ``doc_pos`` order.  One writer task per
-    hash partition of shards; atomic rename, so a retried task is harmless."""
-    df = (corpus.select("domain", "shard_idx", "doc_pos", "text")
-          .repartition("domain", "shard_idx").sortWithinPartitions("domain", "shard_idx", "doc_pos"))
-
-    def write(batches):
-        buf: dict = {}
-        for pdf in batches:
-            for (dom, sh), g in pdf.groupby(["domain", "shard_idx"], sort=False):
-                buf.setdefault((dom, int(sh)), []).extend(g["text"].tolist())
-        out = []
-        for (dom, sh), texts in buf.items():
-            path = fs.join(dest, dom, f"{sh:04d}.jsonl.gz")
-            body = "".join(json.dumps({"text": t}, ensure_ascii=False) + "\n" for t in texts)
-            fs.write_atomic(path, gzip.compress(body.encode("utf-8")))
-            out.append((dom, sh, path, len(texts)))
-        yield pd.DataFrame(out, columns=["domain", "shard_idx", "path", "n_docs"])
-
-    return df.mapInPandas(write, "domain string, shard_idx int, path string, n_docs long")
+    per (domain, shard), documents in ``doc_pos`` order, streamed by one writer
+    task per hash partition of shards.  A null text is written as null."""
+    rows = corpus.select(F.format_string("%s/%04d.jsonl.gz", "domain", "shard_idx").alias("relpath"), "doc_pos",
+                         F.to_json(F.struct("text"), {"ignoreNullFields": "false"}).alias("line"))
+    out = land_text(rows, dest, order="doc_pos", compress=True)
+    return out.select(F.regexp_extract("relpath", "^(.*)/", 1).alias("domain"),
+                      F.regexp_extract("relpath", r"/(\d+)\.jsonl", 1).cast("int").alias("shard_idx"),
+                      F.concat(F.lit(dest.rstrip("/") + "/"), "relpath").alias("path"), F.col("n_lines").alias("n_docs"))
 
 
 def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,7 +37,7 @@ def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
     body = F.regexp_replace("value", r"\n\z", "")
     lines = raw.select(domain.alias("domain"), shard.alias("shard_idx"),
                        F.posexplode(F.split(body, "\n")).alias("pos", "line"))
-    lines = lines.repartition("domain", "shard_idx")
+    lines = lines.hint("rebalance")  # later stages are not bound to the files
     doc = F.from_json("line", "text string", {"mode": "FAILFAST"})
     return lines.select("domain", "shard_idx", (F.col("pos") + 1).cast("bigint").alias("line_no"),
                         F.coalesce(doc["text"], F.lit("")).alias("text"))

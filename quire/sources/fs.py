@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import fnmatch
 import uuid
+from contextlib import contextmanager
 
 from pyarrow import fs as pafs
 
@@ -43,19 +44,32 @@ def read_range(uri: str, offset: int, nbytes: int) -> bytes:
         return f.read_at(nbytes, offset)
 
 
-def glob(pattern: str) -> list[str]:
-    """Files matching a pattern whose wildcards are in the last path part; a
-    directory means all its ``*.bin`` files."""
+@contextmanager
+def stream_atomic(uri: str):
+    """A stream to a temporary name next to the target, renamed when the block
+    ends well: a retried task rewrites the same file."""
+    fs, path = resolve(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    tmp = f"{path}.tmp-{uuid.uuid4().hex[:8]}"
+    with fs.open_output_stream(tmp) as out:
+        yield out
+    fs.move(tmp, path)
+
+
+def listing(pattern: str) -> list[tuple[str, int]]:
+    """(file, bytes) of the files matching a pattern whose wildcards are in the
+    last path part; a directory means all its ``*.bin`` files.  One listing, no
+    file is opened."""
     fs, path = resolve(pattern)
     info = fs.get_file_info(path)
     if info.type == pafs.FileType.Directory:
         folder, pat = path, "*.bin"
     elif info.type == pafs.FileType.File:
-        return [_uri(pattern, path)]
+        return [(_uri(pattern, path), info.size)]
     else:
         folder, pat = path.rsplit("/", 1)
     found = fs.get_file_info(pafs.FileSelector(folder, recursive=False))
-    return sorted(_uri(pattern, f.path) for f in found
+    return sorted((_uri(pattern, f.path), f.size) for f in found
                   if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, pat))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import itertools
 import uuid
 
 import pandas as pd
@@ -21,27 +23,11 @@ def landing_dir(spark: SparkSession, name: str) -> str:
 
 def land_log_files(log_lines: DataFrame, dest: str, partitions: int | None = None) -> DataFrame:
     """Write ``<run_id>.txt`` per run under ``dest`` (one writer task per hash
-    partition of runs, lines in ``line_no`` order); returns (run_id, path, n_lines).
-
-    Local-filesystem writes: ``dest`` must be a shared mount on a cluster.
-    """
-    df = log_lines.select("run_id", "line_no", "line")
-    df = (df.repartition(partitions, "run_id") if partitions else df.repartition("run_id"))
-    df = df.sortWithinPartitions("run_id", "line_no")
-
-    def write(batches):
-        buf: dict[str, list[str]] = {}
-        for pdf in batches:
-            for rid, grp in pdf.groupby("run_id", sort=False):
-                buf.setdefault(rid, []).extend(grp["line"].tolist())
-        out = []
-        for rid, lines in buf.items():
-            path = fs.join(dest, f"{rid}.txt")
-            fs.write_atomic(path, ("\n".join(lines) + "\n").encode("utf-8"))  # retried task: same file
-            out.append((rid, path, len(lines)))
-        yield pd.DataFrame(out, columns=["run_id", "path", "n_lines"])
-
-    return df.mapInPandas(write, "run_id string, path string, n_lines long")
+    partition of runs, lines in ``line_no`` order); returns (run_id, path, n_lines)."""
+    files = log_lines.select(F.concat("run_id", F.lit(".txt")).alias("relpath"), "line_no", "line")
+    out = land_text(files, dest, partitions=partitions)
+    return out.select(F.regexp_extract("relpath", r"^(.*)\.txt$", 1).alias("run_id"),
+                      F.concat(F.lit(dest.rstrip("/") + "/"), "relpath").alias("path"), "n_lines")
 
 
 def scan_logs(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,21 +46,28 @@ def scan_logs(spark: SparkSession, folder: str) -> DataFrame:
         .select("run_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
-def land_text(lines: DataFrame, dest: str, path_col: str = "relpath", order: str = "line_no") -> DataFrame:
-    """Write text files ``<dest>/<relpath>`` from (relpath, line_no, line) rows,
-    lines in ``line_no`` order, one writer per hash partition of files."""
+def land_text(lines: DataFrame, dest: str, path_col: str = "relpath", order: str = "line_no",
+              partitions: int | None = None, compress: bool = False) -> DataFrame:
+    """Write text files ``<dest>/<relpath>`` (gzip with ``compress``) from
+    (relpath, line_no, line) rows, lines in ``line_no`` order, one writer per
+    hash partition of files.  Lines stream to the file; none are held."""
     df = lines.select(F.col(path_col).alias("relpath"), F.col(order).alias("line_no"), "line")
-    df = df.repartition("relpath").sortWithinPartitions("relpath", "line_no")
+    df = df.repartition(partitions, "relpath") if partitions else df.repartition("relpath")
+    df = df.sortWithinPartitions("relpath", "line_no")
 
     def write(batches):
-        buf: dict[str, list[str]] = {}
-        for pdf in batches:
-            for rel, grp in pdf.groupby("relpath", sort=False):
-                buf.setdefault(rel, []).extend(grp["line"].tolist())
+        rows = (r for pdf in batches for r in zip(pdf["relpath"], pdf["line"]))
         out = []
-        for rel, ls in buf.items():
-            fs.write_atomic(fs.join(dest, rel), ("\n".join(ls) + "\n").encode("utf-8"))
-            out.append((rel, len(ls)))
+        for rel, group in itertools.groupby(rows, key=lambda r: r[0]):
+            n = 0
+            with fs.stream_atomic(fs.join(dest, rel)) as raw:
+                sink = gzip.GzipFile(fileobj=raw, mode="wb", mtime=0) if compress else raw
+                for _, line in group:
+                    sink.write((line + "\n").encode("utf-8"))
+                    n += 1
+                if compress:
+                    sink.close()
+            out.append((rel, n))
         yield pd.DataFrame(out, columns=["relpath", "n_lines"])
 
     return df.mapInPandas(write, "relpath string, n_lines long")

@@ -4,9 +4,9 @@ File = 256 little-endian int32 header (magic 20240520, version 1, token
 count, zeros) + the tokens as little-endian uint16.
 
 Read: ``spark.read.format("token_bin").load(glob)``.  Partitions are
-(file, token range) slices of ``chunk_tokens`` tokens, so one 100M-token shard
-is read by many tasks; every slice re-checks its file's header and size.
-Rows are (path, start, tokens ARRAY<INT>) of at most ``row_tokens`` tokens.
+(file, token range) slices of ``chunk_tokens`` tokens from a file listing, so
+one 100M-token shard is read by many tasks and small files share one; the
+tasks open the files and check header and size.  Rows are (path, start, tokens ARRAY<INT>) of at most ``row_tokens`` tokens.
 With ``.option("header_only", "true")`` it reads only the headers:
 (path, magic, version, num_tokens, file_bytes).
 
@@ -17,8 +17,12 @@ name, written to a temporary name and renamed (a retried task rewrites it).
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, InputPartition,
                                     WriterCommitMessage)
 
@@ -47,10 +51,12 @@ def check_header(path: str) -> int:
     return n
 
 
-class _Slice(InputPartition):
-    def __init__(self, path: str, start: int, count: int):
-        super().__init__((path, start, count))
-        self.path, self.start, self.count = path, start, count
+class _Slices(InputPartition):
+    """(path, first token, tokens) slices that one task reads."""
+
+    def __init__(self, slices: list[tuple[str, int, int]]):
+        super().__init__(tuple(slices))
+        self.slices = slices
 
 
 class _Reader(DataSourceReader):
@@ -59,35 +65,44 @@ class _Reader(DataSourceReader):
         self.header_only = str(options.get("header_only", "false")).lower() == "true"
         self.chunk = int(options.get("chunk_tokens", 1 << 24))
         self.row_tokens = int(options.get("row_tokens", 1 << 16))
-
-    def _files(self) -> list[str]:
-        return fs.glob(self.pattern)
+        self.files_per_task = int(options.get("files_per_task", 256))
 
     def partitions(self):
-        files = self._files()
+        """Slices from one listing with sizes; no file is opened here."""
+        files = fs.listing(self.pattern)
         if self.header_only:
-            return [_Slice(f, 0, 0) for f in files] or [_Slice("", 0, 0)]
-        parts = []
-        for f in files:
-            n = check_header(f)
-            for s in range(0, n, self.chunk):
-                parts.append(_Slice(f, s, min(self.chunk, n - s)))
-        return parts or [_Slice("", 0, 0)]
-
-    def read(self, partition: _Slice):
-        if not partition.path:
-            return
+            names = [(f, 0, 0) for f, _ in files]
+            return [_Slices(names[i:i + self.files_per_task]) for i in range(0, len(names), self.files_per_task)] or [_Slices([])]
+        parts: list[list] = []
+        room = 0
+        for f, size in files:
+            n = max(0, size - HEADER_BYTES) // 2
+            for s in range(0, max(n, 1), self.chunk):  # a file without tokens is checked too
+                count = min(self.chunk, n - s)
+                if count > room or len(parts[-1]) >= self.files_per_task:
+                    parts.append([])
+                    room = self.chunk
+                parts[-1].append((f, s, count))
+                room -= count
+        return [_Slices(p) for p in parts] or [_Slices([])]
+
+    def read(self, partition: _Slices):
         if self.header_only:
-            magic, version, n, size = read_header(partition.path)
-            yield (partition.path, magic, version, n, size)
+            for path, _, _ in partition.slices:
+                yield (path, *read_header(path))
             return
-        check_header(partition.path)
-        # one ranged read per slice (local file, HDFS or object store alike)
-        raw = fs.read_range(partition.path, HEADER_BYTES + 2 * partition.start, 2 * partition.count)
-        body = np.frombuffer(raw, dtype="<u2")
-        for s in range(0, partition.count, self.row_tokens):
-            e = min(s + self.row_tokens, partition.count)
-            yield (partition.path, partition.start + s, body[s:e].astype(np.int32).tolist())
+        for path, start, count in partition.slices:
+            check_header(path)
+            # ranged reads of a row group each (local file, HDFS or object store alike)
+            step = self.row_tokens * max(1, (1 << 20) // self.row_tokens)
+            for at in range(start, start + count, step):
+                n = min(step, start + count - at)
+                body = np.frombuffer(fs.read_range(path, HEADER_BYTES + 2 * at, 2 * n), dtype="<u2").astype(np.int32)
+                starts = np.arange(0, n, self.row_tokens)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, n), pa.int32()), pa.array(body))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(starts)), pa.array(starts + at, pa.int64()), lists],
+                    names=["path", "start", "tokens"])
 
 
 class _Commit(WriterCommitMessage):
@@ -101,25 +116,22 @@ class _Writer(DataSourceWriter):
 
     def write(self, rows):
         written = []
-        cur, parts = None, []
-
-        def flush(name, chunks):
-            toks = np.concatenate(chunks) if chunks else np.zeros(0, dtype=np.int64)
-            if toks.size and (toks.min() < 0 or toks.max() > 65535):
-                raise ValueError(f"{name}: token ids must fit in uint16")
+        for name, group in itertools.groupby(rows, key=lambda row: row["name"]):
+            first = next(group)
+            total, count = int(first["n_tokens"]), 0
             header = np.zeros(SHARD_HEADER_INTS, dtype="<i4")
-            header[0], header[1], header[2] = SHARD_MAGIC, SHARD_VERSION, toks.size
-            fs.write_atomic(fs.join(self.dest, name), header.tobytes() + toks.astype("<u2").tobytes())
-            written.append((name, int(toks.size)))
-
-        for row in rows:
-            if row["name"] != cur:
-                if cur is not None:
-                    flush(cur, parts)
-                cur, parts = row["name"], []
-            parts.append(np.asarray(row["tokens"], dtype=np.int64))
-        if cur is not None:
-            flush(cur, parts)
+            header[:3] = SHARD_MAGIC, SHARD_VERSION, total
+            with fs.stream_atomic(fs.join(self.dest, name)) as out:
+                out.write(header.tobytes())
+                for row in itertools.chain([first], group):
+                    tokens = np.asarray(row["tokens"], dtype=np.int64)
+                    if tokens.size and (tokens.min() < 0 or tokens.max() > 65535):
+                        raise ValueError(f"{name}: token ids must fit in uint16")
+                    out.write(tokens.astype("<u2").tobytes())
+                    count += tokens.size
+                if count != total:
+                    raise ValueError(f"{name}: {count} tokens where {total} were announced")
+            written.append((name, total))
         return _Commit(written)
 
 
@@ -145,9 +157,11 @@ def register(spark: SparkSession) -> None:
 
 
 def write_shards(pieces: DataFrame, dest: str) -> None:
-    """K1: one ``.bin`` file per ``name`` from (name, shard_pos, tokens) rows."""
+    """K1: one ``.bin`` file per ``name`` from (name, shard_pos, tokens) rows.
+    The counts for the headers come first, so a file is streamed piece by piece."""
     register(pieces.sparkSession)
-    (pieces.select("name", "shard_pos", "tokens").repartition("name")
+    counts = pieces.groupBy("name").agg(F.sum(F.size("tokens")).alias("n_tokens"))
+    (pieces.select("name", "shard_pos", "tokens").join(counts, "name").repartition("name")
      .sortWithinPartitions("name", "shard_pos")
      .write.format("token_bin").mode("append").option("path", dest).save())
 
@@ -165,7 +179,6 @@ def shard_inventory(spark: SparkSession, pattern: str) -> DataFrame:
     """Headers only (no body read) -> per file token count and validity."""
     register(spark)
     h = spark.read.format("token_bin").option("header_only", "true").load(pattern)
-    from pyspark.sql import functions as F
     valid = ((F.col("magic") == SHARD_MAGIC) & (F.col("version") == SHARD_VERSION)
              & (F.col("file_bytes") == HEADER_BYTES + 2 * F.col("num_tokens")))
     return h.withColumn("valid", valid)
