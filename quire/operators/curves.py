@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.plans.prefix import prefix_sums
 from quire.session import materialize
 
 # The optimizer track's reference validation curve.
@@ -123,15 +124,20 @@ def residual_curves(curves: DataFrame, run: str = "experiment_id", scope=()) ->
     """Residual of each point to the per-step median across curves.
 
     Steps need at least two points; the median is the middle value or the mean
-    of the two middle values (``percentile(…, 0.5)`` computes exactly that).
-    A selection needs at least two curves.  ``scope`` columns split the input
-    into independent selections (e.g. groups).
+    of the two middle values, picked by rank: points are ranked within a step by
+    prefix sums over blocks of losses, so a step shared by every run is spread
+    over the blocks.  A selection needs at least two curves.  ``scope`` columns
+    split the input into independent selections (e.g. groups).
     """
     scope = list(scope)
+    curves = materialize(curves)
     ncur = curves.groupBy(*scope).agg(F.count_distinct(run).alias("_curves"))
-    med = curves.groupBy(*scope, "step").agg(F.count(F.lit(1)).alias("_pts"),
-                                              F.percentile("loss", 0.5).alias("median"))
-    med = med.where(F.col("_pts") >= 2)
+    key = [*scope, "step"]
+    ranked = prefix_sums(curves.select(*key, "loss", run, F.lit(1).cast("bigint").alias("_one")), key, ["loss", run],
+                         {"_one": "_rank"})
+    pts = curves.groupBy(*key).agg(F.count(F.lit(1)).alias("_pts")).where(F.col("_pts") >= 2)
+    middle = (F.col("_rank") == F.expr("(_pts - 1) div 2")) | (F.col("_rank") == F.expr("_pts div 2"))
+    med = ranked.join(pts, key).where(middle).groupBy(*key).agg((F.sum("loss") / F.count("loss")).alias("median"))
     j = curves.join(med, [*scope, "step"], "inner")
     j = j.join(ncur, scope, "inner") if scope else j.join(ncur.withColumn("_k", F.lit(1)),
                                                           F.lit(1) == F.col("_k"), "inner")

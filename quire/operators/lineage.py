@@ -29,7 +29,8 @@ def lineage_line_diff(pairs: DataFrame, key=("child_id", "parent_id"),
     lines.  Lines are exploded and counted per (pair, line); a full outer join
     of the two counts gives the difference -- no per-pair text diff library."""
     key = list(key)
-    lines = lambda c: F.explode(F.split(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\n\z", ""), "\n"))
+    # a null text has no lines, an empty one the empty line
+    lines = lambda c: F.explode(F.split(F.regexp_replace(F.col(c), r"\n\z", ""), "\n"))
     a = pairs.select(*key, lines(child).alias("line")).groupBy(*key, "line").agg(F.count(F.lit(1)).alias("nc"))
     b = pairs.select(*key, lines(parent).alias("line")).groupBy(*key, "line").agg(F.count(F.lit(1)).alias("np"))
     j = a.join(b, [*key, "line"], "full_outer")
@@ -40,6 +41,37 @@ def lineage_line_diff(pairs: DataFrame, key=("child_id", "parent_id"),
         F.sum(F.least(nc, np_)).cast("bigint").alias("common"))
 
 
+def module_line_diff(pairs: DataFrame, files: DataFrame, key=("child_id", "parent_id")) -> DataFrame:
+    """L2/U5 per module: the modules of a child and its parent side by side (a
+    full outer join by module name; kernels count as module
+    ``triton_kernels``), with the line counts of :func:`lineage_line_diff`.
+    A module one side lacks, or whose file is missing, has no lines there;
+    modules without a difference are left out.
+
+    ``pairs``: key, child_dependencies, parent_dependencies (maps module ->
+    path), child_kernels, parent_kernels (paths or null); ``files``: path, text."""
+    key = list(key)
+
+    def side(who: str) -> DataFrame:
+        kernels = F.nullif(F.col(f"{who}_kernels"), F.lit(""))
+        own = F.map_entries(F.coalesce(f"{who}_dependencies", F.create_map().cast("map<string,string>")))
+        named = F.when(kernels.isNotNull(), F.array(F.struct(F.lit("triton_kernels").alias("key"), kernels.alias("value"))))
+        every = F.concat(own, F.coalesce(named, F.array().cast("array<struct<key:string,value:string>>")))
+        return pairs.select(*key, F.explode(every).alias("e")).select(
+            *key, F.col("e.key").alias("module"), F.col("e.value").alias(f"{who}_path"))
+
+    both = side("child").join(side("parent"), [*key, "module"], "full_outer")
+    for who in ("child", "parent"):
+        f = files.select(F.col("path").alias(f"{who}_path"), F.col("text").alias(f"{who}_text"))
+        both = both.join(f, f"{who}_path", "left")
+    named = F.when(F.coalesce(F.col("child_text"), F.lit("")) != "", F.col("child_text")), \
+        F.when(F.coalesce(F.col("parent_text"), F.lit("")) != "", F.col("parent_text"))
+    both = both.withColumns({"child_text": named[0], "parent_text": named[1]})
+    counts = lineage_line_diff(both, (*key, "module"))
+    paths = both.select(*key, "module", "child_path", "parent_path")
+    return counts.where("added + removed > 0").join(paths, [*key, "module"])
+
+
 def verify_checksums(files: DataFrame, expected: DataFrame) -> DataFrame:
     """H1: sha256 of each file against an expected table: ok / mismatch / unset.
     ``files``: (name, content BINARY); ``expected``: (name, sha256)."""

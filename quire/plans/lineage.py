@@ -39,6 +39,34 @@ def q_lineage_line_diff(spark, d):
     return ln.lineage_line_diff(fx.doc_pairs(spark, d))
 
 
+@register("module_line_diff", """
+WITH n AS (SELECT count(*) AS n FROM documents), f AS (SELECT doc_id, text FROM documents),
+c AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_custkey % 8 = 0),
+m AS (
+  SELECT c, 'modA' AS module, (c + 2) % n AS cd, (c + 6) % n AS pd FROM c, n
+  UNION ALL SELECT c, 'modB', (c + 3) % n, (c + 7) % n FROM c, n
+  UNION ALL SELECT c, 'triton_kernels', CASE WHEN c % 3 = 0 THEN (c + 1) % n END, CASE WHEN (c + 4) % 3 = 0 THEN (c + 5) % n END
+  FROM c, n WHERE c % 3 = 0 OR (c + 4) % 3 = 0),
+t AS (SELECT m.*, nullif(a.text, '') AS ct, nullif(b.text, '') AS pt FROM m LEFT JOIN f a ON a.doc_id = m.cd LEFT JOIN f b ON b.doc_id = m.pd),
+x AS (SELECT c, module, line, count(*) AS nc FROM (SELECT c, module, unnest(string_split(ct, chr(10))) AS line FROM t) GROUP BY ALL),
+y AS (SELECT c, module, line, count(*) AS np FROM (SELECT c, module, unnest(string_split(pt, chr(10))) AS line FROM t) GROUP BY ALL),
+j AS (SELECT coalesce(x.c, y.c) AS c, coalesce(x.module, y.module) AS module, coalesce(nc, 0) AS nc, coalesce(np, 0) AS np
+      FROM x FULL OUTER JOIN y ON x.c = y.c AND x.module = y.module AND x.line = y.line)
+SELECT c AS child_id, c + 4 AS parent_id, module, CAST(sum(greatest(nc - np, 0)) AS BIGINT) AS added,
+       CAST(sum(greatest(np - nc, 0)) AS BIGINT) AS removed, CAST(sum(least(nc, np)) AS BIGINT) AS common
+FROM j GROUP BY c, module HAVING sum(abs(nc - np)) > 0""")
+def q_module_line_diff(spark, d):
+    """Customers as code versions: c against c + 4, with two modules each and kernels every third."""
+    n = table(spark, d, "documents").count()
+    c = F.col("child_id")
+    doc = lambda k: F.concat(F.lit("docs/"), (k % n).cast("string"), F.lit(".txt"))
+    deps = lambda b: F.create_map(F.lit("modB"), doc(b + 3), F.lit("modA"), doc(b + 2))
+    pairs = table(spark, d, "orders").where("o_custkey % 8 = 0").select(F.col("o_custkey").alias("child_id")).distinct().select(
+        "child_id", (c + 4).alias("parent_id"), deps(c).alias("child_dependencies"), deps(c + 4).alias("parent_dependencies"),
+        F.when(c % 3 == 0, doc(c + 1)).alias("child_kernels"), F.when((c + 4) % 3 == 0, doc(c + 5)).alias("parent_kernels"))
+    return ln.module_line_diff(pairs, doc_files(spark, d).select("path", "text")).drop("child_path", "parent_path")
+
+
 def doc_files(spark, d):
     return table(spark, d, "documents").select(
         F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
