@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.session import table
+from quire.plans.prefix import prefix_sums
+from quire.session import materialize, table
 
 # Fixed values of the fixture rules.
 TOTAL_STEPS = 875
@@ -173,11 +174,13 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
     e = (table(spark, d, "events").where(F.col("event_type").isin("signup", "click"))
          .select("event_id", "ts", "event_type",
                  F.concat(F.lit("s"), (F.col("user_id") % 4).cast("string")).alias("session")))
-    w = Window.partitionBy("session").orderBy("ts", "event_id")
-    e = e.withColumn("clicks", F.sum((F.col("event_type") == "click").cast("int")).over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    snaps = e.where(F.col("event_type") == "signup").withColumn(
-        "rn", F.row_number().over(Window.partitionBy("session").orderBy("ts", "event_id")))
+    # four sessions share all events: ranks come from prefix sums, not a window per session
+    is_click = (F.col("event_type") == "click").cast("bigint")
+    e = materialize(e.withColumns({"_us": F.unix_micros(F.col("ts").cast("timestamp")), "_click": is_click, "_signup": 1 - is_click}))
+    e = prefix_sums(e, ["session"], ["_us", "event_id"], {"_click": "_clicks", "_signup": "_signups"})
+    e = e.withColumn("clicks", F.col("_clicks") + F.col("_click")).withColumn("rn", F.col("_signups") + 1) \
+        .drop("_us", "_click", "_signup", "_clicks", "_signups")
+    snaps = e.where(F.col("event_type") == "signup")
     # Bounded expansion: exactly the three click ranks (c-2 .. c) per snapshot.
     want = snaps.select("session", "event_id", "clicks",
                         F.explode(F.sequence(F.col("clicks") - 2, F.col("clicks"))).alias("click_rank"))
@@ -226,9 +229,10 @@ def mapping_lines(spark: SparkSession, d: str) -> DataFrame:
     Per run: a 'running' record at start; a final record (with a crash tail
     for failed runs with id % 3 = 0) unless still running; a stale 'failed'
     record after 'completed' for id % 11 = 0.  Noise: an invalid line for id %
-    97 = 0 and a record without id for id % 89 = 0.  Each session's first 100
-    lines go to the legacy file ``mappings.jsonl``, the rest to 500-line
-    segments ``mappings/mappings-NNNNNN.jsonl``."""
+    97 = 0 and a record without id for id % 89 = 0.  A session's runs up to id
+    200 go to the legacy file ``mappings.jsonl``, the rest to a segment
+    ``mappings/mappings-NNNNNN.jsonl`` per 1,000 ids; lines are numbered
+    within their file."""
     r = runs(spark, d)
     base = dict(
         experiment_id=F.col("id"), run_id=F.col("id").cast("string"), script=F.col("script"),
@@ -255,13 +259,12 @@ def mapping_lines(spark: SparkSession, d: str) -> DataFrame:
     u = rows[0]
     for x in rows[1:]:
         u = u.unionByName(x)
-    w = Window.partitionBy("session_name").orderBy(F.col("id"), F.col("k"))
-    u = u.withColumn("rn", F.row_number().over(w) - 1)
-    file = F.when(F.col("rn") < 100, F.lit("mappings.jsonl")).otherwise(
-        F.format_string("mappings/mappings-%06d.jsonl", ((F.col("rn") - 100) / 500).cast("int")))
-    line_no = F.when(F.col("rn") < 100, F.col("rn")).otherwise((F.col("rn") - 100) % 500) + 1
-    return u.select(F.col("session_name").alias("session"), file.alias("file"),
-                    line_no.cast("bigint").alias("line_no"), "line")
+    file = F.when(F.col("id") <= 200, F.lit("mappings.jsonl")).otherwise(
+        F.format_string("mappings/mappings-%06d.jsonl", F.expr("CAST(id div 1000 AS INT)")))
+    u = u.withColumn("file", file)
+    w = Window.partitionBy("session_name", "file").orderBy("id", "k")
+    return u.select(F.col("session_name").alias("session"), "file", F.row_number().over(w).cast("bigint").alias("line_no"),
+                    "line")
 
 
 def snapshot_lines(snaps: DataFrame) -> DataFrame:
