@@ -10,7 +10,8 @@ bound every block's cosine from above; the blocks with the highest bounds are sc
 every block whose bound exceeds the k-th best cosine so far.  The result is the exact top k.
 
 Score.  The neighbours vote with their squared cosine; a logistic curve fitted to the leave-one-out
-votes of the examples themselves turns the vote and the nearest cosine into a probability.  The
+votes of the examples themselves turns the vote, the nearest cosine and the number of term
+occurrences (which a cosine forgets) into a probability.  The
 evidence of a document is its nearest examples.  Documents without a term get the toxic rate of
 such examples.
 
@@ -145,7 +146,7 @@ class Index:
     example: np.ndarray
     weight: np.ndarray
     block_max: np.ndarray  # (terms, blocks)
-    curve: np.ndarray  # logistic: constant, vote, nearest cosine
+    curve: np.ndarray  # logistic: constant, vote, nearest cosine, occurrences
     rest: float  # score of a document without terms
 
     def vector(self, counts) -> tuple[np.ndarray, np.ndarray]:
@@ -178,10 +179,12 @@ class Index:
         top = top[cosine[top] > 0]
         return top, cosine[top]
 
-    def vote(self, top: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    def vote(self, top: np.ndarray, cosine: np.ndarray, counts) -> np.ndarray:
+        """What the curve is fitted on: the vote, the nearest cosine, how often terms occur."""
         w = cosine**2
         rate = (w @ self.labels[top] + 0.1 * self.labels.mean()) / (w.sum() + 0.1)
-        return np.array([1.0, np.log(rate + 0.01) - np.log(1.01 - rate), cosine[0] if len(cosine) else 0.0])
+        return np.array([1.0, np.log(rate + 0.01) - np.log(1.01 - rate), cosine[0] if len(cosine) else 0.0,
+                         np.log1p(sum(counts.values()))])
 
     def score(self, counts) -> tuple[float, np.ndarray, np.ndarray]:
         none = np.zeros(0, np.intp), np.zeros(0)
@@ -190,7 +193,7 @@ class Index:
         top, cosine = self.nearest(*self.vector(counts), NEIGHBOURS)
         if not len(top):
             return (self.rest, *none)
-        return (float(1 / (1 + np.exp(-self.curve @ self.vote(top, cosine)))), top, cosine)
+        return (float(1 / (1 + np.exp(-self.curve @ self.vote(top, cosine, counts)))), top, cosine)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -214,7 +217,7 @@ def build_index(vocabulary: dict[str, int], df: np.ndarray, n_docs: int, example
     rest = (labels[none].sum() + labels.mean()) / (none.sum() + 1) if len(labels) else 0.0
     terms = len(vocabulary)
     index = Index(vocabulary, idf, [e[0] for e in examples], labels, np.zeros(terms + 1, np.int64), np.zeros(0, np.int64),
-                  np.zeros(0), np.zeros((terms, max(1, -(-len(examples) // BLOCK)))), np.zeros(3), float(rest))
+                  np.zeros(0), np.zeros((terms, max(1, -(-len(examples) // BLOCK)))), np.zeros(4), float(rest))
     vectors = {i: index.vector(e[2]) for i, e in enumerate(examples) if e[2]}
     if not vectors:
         return index
@@ -225,7 +228,7 @@ def build_index(vocabulary: dict[str, int], df: np.ndarray, n_docs: int, example
     term, index.example, index.weight = term[order], example[order], weight[order]
     index.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=terms))])
     np.maximum.at(index.block_max, (term, index.example // BLOCK), index.weight)
-    x = np.array([index.vote(*index.nearest(t, w, NEIGHBOURS, skip=i)) for i, (t, w) in vectors.items()])
+    x = np.array([index.vote(*index.nearest(t, w, NEIGHBOURS, skip=i), examples[i][2]) for i, (t, w) in vectors.items()])
     index.curve = _logistic(x, labels[list(vectors)])
     return index
 
