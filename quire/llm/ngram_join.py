@@ -7,18 +7,19 @@ share such a shingle and lie in neighbouring size bands form a tile.  Within a t
 hashed bit per shingle, about four bits of room each, folded to a common width) are compared: as
 many bits as differ, so many shingles differ at least, which bounds the overlap from above.
 
-A tile first gives a spanning forest of the pairs that pass the bound; those are verified by
-intersecting the sorted shingle arrays of the texts, and the links found are joined into
-components.  Tiles that still hold several components give all their passing pairs between
-components, which are verified as well.  So no pair that could join two components goes untested,
-while a group of copies costs about as many tests as it has members.
+A tile gives a spanning forest of the pairs that pass the bound.  The forests of all tiles are joined
+into candidate components; every similar pair lies within one.  A component is compared once more as
+a whole, each node with its shingles: pairs that pass the bound are verified by intersecting the
+sorted shingle arrays, unless links found before already join them.  So no pair that could join two
+components goes untested, a pair that shares many shingles is tested once, and a group of copies
+costs about as many tests as it has members.
 
 Scale.  Prefix shingles are shuffled as a few binary blocks per task and bucket (17 bytes each).  A
 tile of more than ``TILE`` nodes is cut into chunks and every pair of chunks with neighbouring bands
-is a tile of its own, so no task holds more than two chunks; nothing is dropped.  The list of shared
-shingles holds those found in at least one document in 1000, so at most 1000 times the mean set size;
-it is broadcast as 8-byte hashes.  Texts of candidate nodes are fetched once.  A hub's verifications
-are salted in groups of ``SALT``.
+is a tile of its own, and so is a component of more than ``GROUP``; no task holds more than two
+chunks, and nothing is dropped.  The list of shared shingles holds those found in at least one
+document in 1000, so at most 1000 times the mean set size; it is broadcast as 8-byte hashes.  Texts
+of candidate nodes are fetched once.  Tiles and components return forests, never all pairs.
 
 Shingles are 64-bit hashes of the five words; sets are named by a 64-bit hash of their sorted array.
 
@@ -43,7 +44,7 @@ SHINGLE = 5
 #: Jaccard threshold as a fraction.
 PART, WHOLE = 4, 5
 TILE = 2048
-SALT = 1024
+GROUP = 512
 BUCKETS = 1024
 SHARED = 0.001
 CHUNK_DOCS = 4096
@@ -126,9 +127,16 @@ def prefix_of(shingles: np.ndarray, shared: np.ndarray) -> np.ndarray:
     return shingles[:k]
 
 
-def similar(overlap, na, nb):
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted arrays without repeats."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
+def similar(common, na, nb):
     """100 * intersection >= 80 * union."""
-    return WHOLE * overlap >= PART * (na + nb - overlap)
+    return WHOLE * common >= PART * (na + nb - common)
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
@@ -279,9 +287,9 @@ def _tile_batch(rows) -> pa.RecordBatch:
 class Tile:
     """Nodes of a tile by bitmap width, for comparing one node with all larger ones."""
 
-    def __init__(self, node, side, n, bitmaps, root):
-        order = np.lexsort((node, n))
-        self.node, self.side, self.n, self.root = (np.asarray(x)[order] for x in (node, side, n, root))
+    def __init__(self, node, side, n, bitmaps):
+        self.order = order = np.lexsort((node, n))
+        self.node, self.side, self.n = (np.asarray(x)[order] for x in (node, side, n))
         self.two_sided = bool(self.side.any())
         raw = [bitmaps[i] for i in order]
         width = np.array([len(b) for b in raw])
@@ -298,7 +306,7 @@ class Tile:
             self.groups.append((own, m, k))
 
     def candidates(self):
-        """(position, positions after it) whose bitmaps allow the similarity."""
+        """(position, positions after it) whose bitmaps allow the similarity, the least different first."""
         for own, m, k in self.groups:
             n = self.n[own]
             for i in range(k):
@@ -313,7 +321,7 @@ class Tile:
                     ok &= self.side[own[i + 1:hi]] != self.side[own[i]]
                 hits = own[i + 1:hi][ok]
                 if len(hits):
-                    yield own[i], hits
+                    yield own[i], hits[np.argsort(differ[ok], kind="stable")]
 
     def forest(self):
         """A spanning forest of the candidate pairs."""
@@ -325,81 +333,74 @@ class Tile:
                     yield self.node[i], self.node[j]
                     label[label == other] = label[i]
 
-    def between_roots(self):
+    def links(self, sets: list[np.ndarray]):
+        """A spanning forest of the similar pairs; ``sets`` as given at the start."""
+        label = np.arange(len(self.node))
+        sets = [sets[i] for i in self.order]
         for i, hits in self.candidates():
-            for j in hits[self.root[hits] != self.root[i]]:
-                yield self.node[i], self.node[j]
+            for j in hits[label[hits] != label[i]]:  # the least different first
+                if label[j] != label[i] and similar(overlap(sets[i], sets[j]), self.n[i], self.n[j]):
+                    yield self.node[i], self.node[j]
+                    label[label == label[j]] = label[i]
+
 
+def _pair_batch(pairs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
+                                       pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-def candidate_pairs(rows: DataFrame, forest: bool) -> DataFrame:
-    """(a, b) from rows (tile, side, node, n, bitmap, root)."""
+
+def per_tile(rows: DataFrame, key: list[str], columns: list[str], pairs_of) -> DataFrame:
+    """(a, b) that ``pairs_of(rows of one tile)`` gives; rows of a tile meet in one task, one tile at a
+    time is held."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        name, held = None, []
+        name, held, out = None, [], []
+        for b in batches:
+            for row in zip(*(column_of(b, c) for c in (*key, *columns))):
+                if row[:len(key)] != name:
+                    if len(held) > 1:
+                        out.extend(pairs_of(held))
+                    if len(out) >= 8192:
+                        yield _pair_batch(out)
+                        out = []
+                    name, held = row[:len(key)], []
+                held.append(row[len(key):])
+        if len(held) > 1:
+            out.extend(pairs_of(held))
+        yield _pair_batch(out)
 
-        def done():
-            if len(held) > 1:
-                node, side, n, bits, root = zip(*held)
-                t = Tile(node, side, np.array(n), bits, root)
-                yield from (t.forest() if forest else t.between_roots())
+    return (rows.select(*key, *columns).repartition(parts, *key).sortWithinPartitions(*key)
+            .mapInArrow(run, "a long, b long"))
 
-        def batch(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
-                                               pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
-        out = []
-        for b in batches:
-            for tile, *row in zip(*(column_of(b, c) for c in ("tile", "node", "side", "n", "bitmap", "root"))):
-                if tile != name:
-                    for pair in done():
-                        out.append(pair)
-                        if len(out) >= 8192:
-                            yield batch(out)
-                            out = []
-                    name, held = tile, []
-                held.append(row)
-        for pair in done():
-            out.append(pair)
-            if len(out) >= 8192:
-                yield batch(out)
-                out = []
-        yield batch(out)
-
-    pairs = (rows.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by intersecting sorted arrays; ``texts(node, text)``."""
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
-    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
-    rows = (salted.select("a", "salt", F.col("b").alias("node"))
-            .union(salted.select("a", "salt", F.col("a").alias("node")).distinct())
-            .join(texts, "node").select("a", "salt", "node", "text"))
+def candidate_forest(rows: DataFrame) -> DataFrame:
+    """(a, b) from rows (tile, side, node, n, bitmap): forests of the pairs that pass the bound."""
+
+    def forest(held):
+        node, side, n, bits = zip(*held)
+        return Tile(node, side, np.array(n), bits).forest()
+
+    return per_tile(rows, ["tile"], ["node", "side", "n", "bitmap"], forest)
 
-    def run(batches):
-        group, sets, out = None, None, []
-        hub = np.zeros(0, np.uint64)
-        for b in batches:
-            for a, salt, node, text in zip(*(column_of(b, c) for c in ("a", "salt", "node", "text"))):
-                if (a, salt) != group:
-                    group, sets = (a, salt), set()
-                if node in sets:
-                    continue
-                sets.add(node)
-                s = shingle_set(text)
-                if node == a:
-                    hub = s
-                elif similar(len(np.intersect1d(hub, s, assume_unique=True)), len(hub), len(s)):
-                    out.append((a, node))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()),
-                                              pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
-            out = []
 
-    ordered = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("node") != F.col("a"))
-    return ordered.mapInArrow(run, "a long, b long")
+def verified_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """Forests (a, b) of the similar pairs within each group; ``groups(node, root)``, ``texts(node, text)``."""
+    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks"))
+    c, n = F.col("c"), F.col("chunks")
+    placed = groups.join(sizes, "root").withColumn("c", F.pmod(F.xxhash64("node"), n).cast("int"))
+    spot = lambda left, right, side: F.struct(left.alias("left"), right.alias("right"), F.lit(side).alias("side"))
+    later = F.transform(F.sequence(F.lit(0), n - 1 - c), lambda j: spot(c, c + j, 0))
+    earlier = F.when(c > 0, F.transform(F.sequence(F.lit(0), c - 1), lambda j: spot(j, c, 1))).otherwise(F.array())
+    rows = placed.select("root", "node", F.explode(F.concat(later, earlier)).alias("t")).select("root", "node", "t.*")
+
+    def links(held):
+        held = [*{r[0]: r for r in held}.values()]  # a text that is there twice counts once
+        node, side, texts = zip(*held)
+        sets = [shingle_set(t) for t in texts]
+        return Tile(node, side, np.array([len(s) for s in sets]), [bitmap(s) for s in sets]).links(sets)
+
+    return per_tile(rows.join(texts, "node"), ["root", "left", "right"], ["node", "side", "text"], links)
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -416,21 +417,13 @@ def similarity_components(docs: DataFrame) -> DataFrame:
         F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_hash")).alias("rep"),
         F.min("bitmap").alias("bitmap")))
     nodes = stage(nodes, "nodes")
-    tile_rows = stage(tiles(prefix_blocks(docs, shared)), "tiles")
-    with_bits = tile_rows.join(nodes.select("node", "n", "bitmap"), "node")
-
-    wanted = (tile_rows.select("node").distinct().join(nodes, "node")
+    with_bits = tiles(prefix_blocks(docs, shared)).join(nodes.select("node", "n", "bitmap"), "node")
+    groups = stage(components(candidate_forest(with_bits)), "groups")
+    wanted = (groups.join(nodes, "node")
               .select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_text")))
     same = (F.xxhash64("text") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
     texts = stage(docs.select("doc_id", "text").join(wanted, same).select("node", "text"), "candidate-texts")
-
-    first = stage(verified(candidate_pairs(with_bits.withColumn("root", F.col("node")), True), texts), "links")
-    roots = stage(components(first), "roots")
-    rooted = tile_rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_tiles = rooted.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tile")
-    rest = rooted.join(open_tiles, "tile").join(nodes.select("node", "n", "bitmap"), "node")
-    second = verified(candidate_pairs(rest, False), texts)
-    roots = components(first.union(second))
+    roots = components(verified_links(groups, texts))
 
     reached = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = reached.groupBy("root").agg(F.min("doc_id").alias("component_id"))

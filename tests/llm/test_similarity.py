@@ -85,6 +85,7 @@ def test_ngram_join_on_documents(spark):
 @pytest.mark.parametrize("tile", [2, 2048])
 def test_ngram_join_on_near_copies(spark, monkeypatch, tile):
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "GROUP", tile)
     rows = near_copies(tile)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute_components(rows)
@@ -98,7 +99,7 @@ def test_bound_never_rejects_a_similar_pair():
         base = np.unique(rnd.integers(0, 2**63, 60, dtype=np.uint64))
         sets = [np.unique(np.concatenate([base[rnd.random(len(base)) < 0.9], rnd.integers(0, 2**63, 5, dtype=np.uint64)]))
                 for _ in range(6)]
-        t = ngram_join.Tile(range(6), [0] * 6, np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets], range(6))
+        t = ngram_join.Tile(range(6), [0] * 6, np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets])
         passed = {frozenset((int(t.node[i]), int(t.node[j]))) for i, hits in t.candidates() for j in hits}
         for i in range(6):
             for j in range(i):
