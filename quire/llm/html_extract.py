@@ -15,9 +15,10 @@ repetition on other pages never removes text.
 
 Scale.  The first pass sends one small row per (page, token) into an aggregate by (host, token);
 vectors are compared by order-free sums of page hashes, so a hot host is pre-aggregated in every
-task.  A host's template is bounded: tokens on under one page in a hundred are left out.  The second pass joins the
-templates to the pages by host -- one row per host against the pages, which adaptive execution
-broadcasts if small and otherwise splits where a host is hot -- and extracts page by page.
+task.  A host's template is bounded: tokens on under one page in a hundred are left out.  The second
+pass joins the templates to the pages by host, and extracts page by page; the pages of a host with
+one page in 1000 or more are salted, its template copied for every 64 of them (the list of such
+hosts, 1000 at most, is broadcast).
 
 Defined cases.  A null or empty html gives an empty text.  A page alone on its host is its own
 template.  A null url belongs to the empty host.  Missing closing tags close with their parent; a
@@ -35,11 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_of, table
+from quire.llm.common import column_of, stage, table
 from quire.llm.url_filter import host_of
 
 #: A template token occurs on this share of the host's pages at least.
 MIN_SHARE = 0.01
+#: Pages of a hot host (one with this share of all pages, so there are at most 1000) to one copy of its template.
+HOT_SHARE, PAGES_PER_SALT = 0.001, 64
 #: The main element holds this share of the host's free text, where no article is marked.
 MAIN_SHARE = 0.7
 
@@ -178,14 +181,15 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, elements, main): the ids of the template's elements, and the path of the one that holds
-    the free text (null where nothing stands out)."""
+    """(host, pages, elements, main): the pages of a host, the ids of its template's elements, and the
+    path of the one that holds the free text (null where nothing stands out)."""
     low = F.lit(0x7FFFFFFF).cast("long")
     entry = F.xxhash64("page", "n")
     stats = occurrences(pages).groupBy("host", "element", "closing", "path").agg(
         F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum("free").alias("free"),
         # the occurrence vector, as order-free sums of 31-bit halves of a hash of its entries
         F.sum(entry.bitwiseAND(low)).alias("v1"), F.sum(F.shiftright(entry, 32).bitwiseAND(low)).alias("v2"))
+    stats = stage(stats, "tag-vectors")
     hosts = stats.filter("path is null").select("host", F.col("pages").alias("of"))
     once = (stats.filter("path is not null and total = pages").join(hosts, "host")
             .filter(F.col("pages") >= F.col("of") * MIN_SHARE))
@@ -196,7 +200,8 @@ def templates(pages: DataFrame) -> DataFrame:
                                      F.collect_list(F.struct(F.length("path").alias("depth"), "path", "free")).alias("tree"))
     most = F.array_max(F.transform("tree", lambda e: e["free"]))
     holds = F.filter("tree", lambda e: (e["free"] >= MAIN_SHARE * most) & (e["free"] > 0))
-    return body.select("host", "elements", F.array_max(holds)["path"].alias("main"))
+    return hosts.join(body.select("host", "elements", F.array_max(holds)["path"].alias("main")), "host", "left").select(
+        "host", F.col("of").alias("pages"), "elements", "main")
 
 
 def main_text(page: str, template: frozenset, main: str | None) -> str:
@@ -248,7 +253,16 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` -> page_id, url, text."""
     pages = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
     keyed = pages.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")
-    joined = pages.join(templates(keyed), "host", "left").select("page_id", "url", "html", "elements", "main")
+    found = stage(templates(keyed), "templates")
+    total = found.agg(F.sum("pages")).first()[0] or 0
+    salts = F.when((F.col("pages") >= HOT_SHARE * total) & (F.col("pages") > PAGES_PER_SALT),
+                   F.ceil(F.col("pages") / PAGES_PER_SALT)).otherwise(1).cast("int")
+    found = found.withColumn("salts", salts)
+    hot = found.filter("salts > 1").select("host", "salts")  # at most 1 / HOT_SHARE rows
+    copies = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "pages")
+    spread = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int")
+    joined = (pages.join(F.broadcast(hot), "host", "left").withColumn("salt", spread)
+              .join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "elements", "main"))
     id_type = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches):
