@@ -55,14 +55,12 @@ def log_files(spark, d):
     uid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
                       F.substring(h, 17, 4), F.substring(h, 21, 12))
     marker = F.concat(F.lit("logs/"), uid, F.lit(".txt"))
-    half = (F.char_length("text") / 2).cast("int")
     m4 = F.col("doc_id") % 4
     content = (F.when(m4 == 0, F.concat(marker, F.lit(" "), F.col("text")))
                .when(m4 == 1, F.concat(F.col("text"), F.lit(" "), marker))
                .when(m4 == 2, F.concat(F.expr("substring(text, 1, cast(char_length(text) / 2 as int))"), marker,
                                        F.expr("substring(text, cast(char_length(text) / 2 as int) + 1)")))
                .otherwise(F.col("text")))
-    _ = half
     return docs.select("doc_id", content.alias("content"))
 
 

@@ -349,3 +349,12 @@ def test_heatmap_needs_a_loss(spark):
     runs = spark.createDataFrame([(i, i, "completed", {"LR": str(i)}, None, None) for i in (1, 2)],
                                  "id long, started_at long, status string, env_vars map<string,string>, final_loss double, final_val_loss double")
     assert sweeps.sweep_heatmap(runs).count() == 0
+
+
+def test_whole_file_modes(spark):
+    uid = "0123abcd-0123-4567-89ab-0123456789ab"
+    df = spark.createDataFrame([(1, "x" * 20000 + f" logs/{uid}.txt " + "x" * 20000)], "k long, content string")
+    assert logs.detect_run_id(df).first().run_id is None and logs.detect_run_id(df, window=None).first().run_id == uid
+    lines = spark.createDataFrame([("r", 1, "step:3/9 val_loss:1"), ("r", 2, "y" * 300)], "run_id string, line_no long, line string")
+    assert logs.last_metric_step(lines, tail_bytes=100).count() == 0
+    assert logs.last_metric_step(lines, tail_bytes=None).first().step == 3

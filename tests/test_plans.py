@@ -18,3 +18,12 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "env_vars" not in scan and "script" not in scan  # pruned columns
     g = groups.running_runs(runs, "s1", "s1").select("id")
     assert "EqualTo(status,running)" in g._jdf.queryExecution().executedPlan().toString()
+
+
+def test_corpus_queries_move_no_text(spark):
+    """Numbering a corpus is arithmetic on ids: the texts meet no exchange, no sort and no window."""
+    from quire.plans.catalog import REGISTRY
+    plan = REGISTRY["tokenize"].plan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    lines = fx.mapping_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(session_name" in lines and "file" in lines.split("hashpartitioning(session_name")[1][:60]
