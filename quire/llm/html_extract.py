@@ -109,7 +109,7 @@ def nodes(page: str):
             if any(e.name == name for e in stack):
                 while True:
                     e = stack.pop()
-                    yield "close", e, e.name if e.name != name else name
+                    yield "close", e, e.name
                     if e.name == name:
                         break
             continue
