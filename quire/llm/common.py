@@ -11,7 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 from quire.session import checkpoint_dir, table
 
-__all__ = ["ASCII_UPPER", "ASCII_LOWER", "table", "stage", "scratch_path", "fold", "column_of", "append_columns",
+__all__ = ["ASCII_UPPER", "ASCII_LOWER", "table", "stage", "scratch_path", "fold", "column_of", "append_columns", "maybe_among",
            "labelled_sample"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,6 +32,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the filter below: at most 2^19 rows of (word, bits), about 20 MB, are broadcast.
+KEY_BITS = 1 << 25
+
+
+def maybe_among(df: DataFrame, key, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with a flag ``name``: false where the 64-bit ``key`` is surely not in the one column of
+    ``keys``.  A bitmap of fixed size, whatever the number of keys, joined by a broadcast; rows it
+    lets through need an exact join, the others need not be shuffled for one."""
+    bit = lambda k: k.bitwiseAND(F.lit(KEY_BITS - 1).cast("long"))
+    mask = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    k = F.col(keys.columns[0])
+    words = keys.groupBy(F.shiftright(bit(k), 6).alias("__word")).agg(F.bit_or(mask(k)).alias("__bits"))
+    out = df.withColumn("__word", F.shiftright(bit(key), 6)).join(F.broadcast(words), "__word", "left")
+    found = F.coalesce(F.col("__bits"), F.lit(0).cast("long")).bitwiseAND(mask(key)) != 0
+    return out.withColumn(name, found).drop("__word", "__bits")
+
+
 def fold(id_col, buckets: int):
     """crc32 of the id as text, modulo ``buckets``: the train / held-out split key."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % buckets

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_of, stage, table
+from quire.llm.common import column_of, maybe_among, stage, table
 from quire.llm.components import components
 
 SHINGLE = 5
@@ -419,10 +419,11 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     nodes = stage(nodes, "nodes")
     with_bits = tiles(prefix_blocks(docs, shared)).join(nodes.select("node", "n", "bitmap"), "node")
     groups = stage(components(candidate_forest(with_bits)), "groups")
-    wanted = (groups.join(nodes, "node")
-              .select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_text")))
+    wanted = stage(groups.join(nodes, "node").select(
+        "node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_text")), "wanted")
     same = (F.xxhash64("text") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
-    texts = stage(docs.select("doc_id", "text").join(wanted, same).select("node", "text"), "candidate-texts")
+    maybe = maybe_among(docs.select("doc_id", "text"), F.xxhash64("text"), wanted.select("rep_text"), "__maybe").filter("__maybe")
+    texts = stage(maybe.join(wanted, same).select("node", "text"), "candidate-texts")
     roots = components(verified_links(groups, texts))
 
     reached = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -450,7 +451,10 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
               .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("stays").alias("__one")))
     marked = stage(marked, "marked")
     same = (F.xxhash64("text") == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    out = docs.join(marked, same, "left_anti")
+    # only rows that may be marked are shuffled for the exact join
+    split = maybe_among(docs, F.xxhash64("text"), marked.select("__text"), "__maybe")
+    out = split.filter("not __maybe").select(docs.columns).unionByName(
+        split.filter("__maybe").join(marked, same, "left_anti").select(docs.columns))
     repeated = marked.filter("__one")
     if not repeated.isEmpty():  # the row that stays is there more than once
         again = docs.join(repeated, same).withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])

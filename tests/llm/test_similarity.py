@@ -77,6 +77,18 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(df.limit(0)).count() == 0
 
 
+def test_key_bitmap_lets_every_key_through(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm.common import maybe_among
+    df = spark.range(5000)
+    keys = df.filter("id % 17 = 0").select(F.xxhash64("id").alias("k"))
+    got = maybe_among(df, F.xxhash64("id"), keys, "maybe").collect()
+    assert len(got) == 5000 and all(r.maybe for r in got if r.id % 17 == 0)
+    assert sum(r.maybe for r in got) < 320
+    assert not any(r.maybe for r in maybe_among(df, F.xxhash64("id"), keys.limit(0), "maybe").collect())
+
+
 def test_ngram_join_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     assert got_components(ngram_join.op5_ngram_join(spark, SF)) == brute_components(rows)
