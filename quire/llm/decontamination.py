@@ -1,16 +1,19 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes a sequence of template tokens: words lower-cased without punctuation, numbers as a
-number slot, units behind a number as a unit slot, and names -- capitalised words that do not begin
-a sentence, neighbours joined -- as a name slot.  (Items are also taken with their names as words, to
-meet documents in other case.)  Windows of ``WINDOW`` template tokens are hashed;
-document windows meet benchmark windows in a hash join.  Matches on one diagonal (the same shift
-between document and item) belong together: their slots must map the item's values to the
-document's one to one, or the match is refused.  So a passage is found word for word, with other
-numbers or names put in consistently, or in other case and punctuation.
+number slot, units behind a number as a unit slot, and names -- capitalised words, neighbours joined
+-- as a name slot.  Whether a capitalised word is a name depends on where it stands, so texts on both
+sides are read in several ways: raw words without slots, names as words, names but where a sentence
+begins, all capitalised words as names, and these without joining neighbours.  Windows of ``WINDOW``
+template tokens are hashed; document windows meet benchmark windows in a hash join.  Matches on one
+diagonal (the same shift between document and item, in one reading of each) belong together: their
+slots must map the item's values to the document's one to one, or the match is refused.  So a passage
+is found word for word, with other numbers or names put in consistently, or in other case and
+punctuation, wherever it stands.
 
 An item shorter than a window is one window of its own length.  A window needs ``MIN_LITERAL`` of
-its tokens (rounded up, five at least) to be words; an item without such a window is never matched.
+its tokens (rounded up, five at least) to be words; an item without such a window is matched by its
+raw words only, if it has ``MIN_RAW`` of them.
 
 Scale.  One pass hashes every window of every whole text.  Only windows whose hash is in a bitmap of
 the benchmark's windows leave the task -- the bitmap has 2^24 bits (2 MB) whatever the benchmark --
@@ -38,6 +41,8 @@ WINDOW = 13
 MIN_LITERAL = 0.6
 FILTER_BITS = 1 << 24
 CACHE_ENTRIES = 400_000
+#: Tokens of the shortest item that is matched by its raw words alone.
+MIN_RAW = 3
 
 UNITS = frozenset("""mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms oz
 ounce ounces lb lbs pound pounds ton tons ml cl l liter liters litre litres gallon gallons s sec second seconds min minute
@@ -45,7 +50,10 @@ minutes h hr hour hours day days week weeks month months year years mph kmh hz k
 kb mb gb tb percent degree degrees celsius fahrenheit kelvin dollar dollars euro euros cent cents usd eur""".split())
 _STRIP = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”„‘’…–—·•¿¡ \t\r"
 _NUMBER, _UNIT, _NAME = (xxhash.xxh64_intdigest(f"\x00{k}") for k in ("number", "unit", "name"))
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], np.uint64)
+_RAW = xxhash.xxh64_intdigest("\x00raw")
+#: Readings of a text: raw words; numbers and units as slots; also names within sentences; also
+#: capitalised words that begin one; the same with every name by itself.
+RAW, PLAIN, NAMES, ALL, EACH = range(5)
 
 
 class Tokens(dict):
@@ -85,15 +93,15 @@ class Tokens(dict):
             setattr(self, k, np.concatenate([a, np.zeros(max(0, n - len(a)), a.dtype)]))
 
 
-def template(text: str, tokens: Tokens, names: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(template token hashes, slot values): a slot value is 0 where the token is a word.  Without
-    ``names``, names are words."""
+def template(text: str, tokens: Tokens) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(reading, template token hashes, slot values, whether a word) for every reading of a text that
+    differs from the others.  A slot value is 0 where the token is a word."""
     rows = tokens.rows(text)
     before = np.concatenate([[0], np.cumsum(tokens.ends[rows])])
     kept = np.flatnonzero(~tokens.skip[rows])
     rows = rows[kept]
     if not len(rows):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return []
     ends = before[kept]
     start = np.ones(len(rows), bool)
     start[1:] = ends[1:] > ends[:-1]
@@ -101,71 +109,104 @@ def template(text: str, tokens: Tokens, names: bool = True) -> tuple[np.ndarray,
     number = tokens.number[rows]
     unit = np.zeros(len(rows), bool)
     unit[1:] = tokens.unit[rows][1:] & number[:-1]
-    name = tokens.name[rows] & ~start & ~unit & names
-    slot = number | unit | name
-    token = np.where(number, np.uint64(_NUMBER), np.where(unit, np.uint64(_UNIT), np.where(name, np.uint64(_NAME), value)))
-    run_on = np.zeros(len(rows), bool)  # a name that goes on
-    run_on[1:] = name[1:] & name[:-1]
-    if run_on.any():
-        first = np.flatnonzero(~run_on)
-        place = np.arange(len(rows)) - np.maximum.accumulate(np.where(run_on, 0, np.arange(len(rows))))
-        mixed = value * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1))
-        value, token, slot = np.add.reduceat(mixed, first), token[first], slot[first]
-    return token, np.where(slot, value | np.uint64(1), np.uint64(0))
-
-
-def windows(token: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    plain = np.where(number, np.uint64(_NUMBER), np.where(unit, np.uint64(_UNIT), value))
+    fixed = number | unit
+    none = np.zeros(len(rows), np.uint64)
+    out = [(RAW, value, none, ~fixed), (PLAIN, plain, np.where(fixed, value | np.uint64(1), none), ~fixed)]
+    capital = tokens.name[rows] & ~unit
+    for reading, name in ((NAMES, capital & ~start), (ALL, capital)):
+        if not name.any() or reading == ALL and not (capital & start).any():
+            continue
+        token, slot, mixed = np.where(name, np.uint64(_NAME), plain), fixed | name, value
+        run_on = np.zeros(len(rows), bool)  # a name that goes on
+        run_on[1:] = name[1:] & name[:-1] & ~start[1:]
+        if run_on.any():
+            if reading == ALL or not (capital & start).any():
+                out.append((EACH, token, np.where(slot, value | np.uint64(1), none), ~slot))
+            first = np.flatnonzero(~run_on)
+            place = np.arange(len(rows)) - np.maximum.accumulate(np.where(run_on, 0, np.arange(len(rows))))
+            mixed = np.add.reduceat(value * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)), first)
+            token, slot = token[first], slot[first]
+        out.append((reading, token, np.where(slot, mixed | np.uint64(1), np.uint64(0)), ~slot))
+    return out
+
+
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as the longest text needs."""
+
+    base = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up, self.down = (np.concatenate([a, a * np.uint64(pow(b, k, 1 << 64))])
+                                  for a, b in ((self.up, self.base), (self.down, pow(self.base, -1, 1 << 64))))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = Powers()
+
+
+def windows(reading: int, token: np.ndarray, word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, whether enough words) of all windows of ``size`` template tokens."""
     n = len(token) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = np.zeros(n, np.uint64)
-    for k in range(size):
-        h += token[k:k + n] * _POWERS[k]
+    up, down = _POWERS.first(len(token))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(token * up)])
+    h = (total[size:] - total[:-size]) * down[:n]
+    if reading == RAW:  # no template has its hashes
+        h += np.uint64(_RAW)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    words = np.concatenate([[0], np.cumsum(value == 0)])
+    words = np.concatenate([[0], np.cumsum(word)])
     return h, words[size:] - words[:-size] >= max(5, math.ceil(MIN_LITERAL * size))
 
 
-_OUT = [("hash", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("slots", pa.list_(pa.int64()))]
+_OUT = [("reading", pa.int32()), ("hash", pa.int64()), ("size", pa.int32()), ("pos", pa.int32()), ("slots", pa.list_(pa.int64()))]
 
 
 def _batch(keys: list, key_types, rows: list[tuple]) -> pa.RecordBatch:
-    """``rows``: (key index, hashes, size, positions, values)."""
-    own = np.concatenate([np.full(len(p), i) for i, _, _, p, _ in rows] or [np.zeros(0, int)])
-    slots = [v[p:p + size][v[p:p + size] > 0].astype(np.int64).tolist() for _, _, size, ps, v in rows for p in ps]
+    """``rows``: (key index, reading, hashes, size, positions, values)."""
+    own = np.concatenate([np.full(len(p), i) for i, *_, p, _ in rows] or [np.zeros(0, int)])
+    slots = [v[p:p + size][v[p:p + size] > 0].astype(np.int64).tolist() for *_, size, ps, v in rows for p in ps]
     arrays = [pa.array([k[i] for i in own], t) for k, (_, t) in zip(keys, key_types)]
-    arrays += [pa.array(np.concatenate([h for _, h, *_ in rows] or [np.zeros(0, np.uint64)]).astype(np.int64)),
-               pa.array(np.concatenate([np.full(len(p), s) for _, _, s, p, _ in rows] or [np.zeros(0)]).astype(np.int32)),
+    arrays += [pa.array(np.concatenate([np.full(len(p), r) for _, r, _, _, p, _ in rows] or [np.zeros(0)]).astype(np.int32)),
+               pa.array(np.concatenate([h for _, _, h, *_ in rows] or [np.zeros(0, np.uint64)]).astype(np.int64)),
+               pa.array(np.concatenate([np.full(len(p), s) for *_, s, p, _ in rows] or [np.zeros(0)]).astype(np.int32)),
                pa.array(np.concatenate([p for *_, p, _ in rows] or [np.zeros(0)]).astype(np.int32)),
                pa.array(slots, pa.list_(pa.int64()))]
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in [*key_types, *_OUT]])
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, n_tokens, hash, size, pos, slots): the windows of ``benchmark(item_id, text)``."""
+    """(item_id, n_tokens, reading, hash, size, pos, slots): the windows of ``benchmark(item_id, text)``."""
 
     def run(batches):
         tokens = Tokens()
         for b in batches:
             ids, lengths, rows = [], [], []
             for item_id, text in zip(column_of(b, "item_id"), column_of(b, "text")):
-                for names in (True, False):  # a document in other case has no names
-                    token, value = template(text or "", tokens, names)
-                    if len(token):
-                        size = min(WINDOW, len(token))
-                        h, good = windows(token, value, size)
-                        at = np.flatnonzero(good)
-                        rows.append((len(ids), h[at], size, at, value))
-                        ids.append(item_id)
-                        lengths.append(len(token))
+                found = []
+                for reading, token, value, word in template(text or "", tokens):
+                    size = min(WINDOW, len(token))
+                    h, good = windows(reading, token, word, size)
+                    found.append((reading, h, good, size, value, len(token)))
+                short = not any(good.any() for _, _, good, *_ in found)  # of words: raw words only
+                for reading, h, good, size, value, n in found:
+                    at = np.flatnonzero(good | (short and reading == RAW and n >= MIN_RAW))
+                    rows.append((len(ids), reading, h[at], size, at, value))
+                    ids.append(item_id)
+                    lengths.append(n)
             yield _batch([ids, lengths], [("item_id", b.schema.field("item_id").type), ("n_tokens", pa.int32())], rows)
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
     return (benchmark.select("item_id", "text")
-            .mapInArrow(run, f"item_id {kind}, n_tokens int, hash long, size int, pos int, slots array<long>"))
+            .mapInArrow(run, f"item_id {kind}, n_tokens int, reading int, hash long, size int, pos int, slots array<long>"))
 
 
 def hash_filter(bench: DataFrame) -> np.ndarray:
@@ -179,8 +220,9 @@ def hash_filter(bench: DataFrame) -> np.ndarray:
     return out
 
 
-def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> DataFrame:
-    """(doc_id, text_hash, hash, size, pos, slots): windows of whole texts that pass the bitmap."""
+def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[tuple[bool, int]]) -> DataFrame:
+    """(doc_id, text_hash, reading, hash, size, pos, slots): windows of whole texts that pass the
+    bitmap.  ``sizes``: (whether of raw words, window size)."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
@@ -190,45 +232,48 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int]) -> D
             for i, text in enumerate(column_of(b, "text")):
                 if not text:
                     continue
-                token, value = template(text, tokens)
-                for size in sizes:
-                    h, good = windows(token, value, size)
-                    low = h & np.uint64(FILTER_BITS - 1)
-                    hit = good & ((bits[(low >> np.uint64(6)).astype(np.intp)] >> (low & np.uint64(63))) & np.uint64(1) > 0)
-                    at = np.flatnonzero(hit)
-                    if len(at):
-                        rows.append((i, h[at], size, at, value))
+                for reading, token, value, word in template(text, tokens):
+                    for raw, size in sizes:
+                        if raw != (reading == RAW):
+                            continue
+                        h, good = windows(reading, token, word, size)
+                        low = h & np.uint64(FILTER_BITS - 1)
+                        hit = (bits[(low >> np.uint64(6)).astype(np.intp)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+                        at = np.flatnonzero(hit if raw else hit & good)
+                        if len(at):
+                            rows.append((i, reading, h[at], size, at, value))
             if rows:
                 yield _batch([column_of(b, "doc_id"), column_of(b, "text_hash")],
                              [("doc_id", b.schema.field("doc_id").type), ("text_hash", pa.int64())], rows)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-            .mapInArrow(run, f"doc_id {kind}, text_hash long, hash long, size int, pos int, slots array<long>"))
+            .mapInArrow(run, f"doc_id {kind}, text_hash long, reading int, hash long, size int, pos int, slots array<long>"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, text_hash, item_id, windows (matched
     windows of the best diagonal), coverage (their share of the item's windows), changed (whether
-    any slot has another value than in the item)."""
+    any of its slots has another value than in the item)."""
     bench = stage(benchmark_windows(benchmark), "benchmark-windows")
-    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())  # WINDOW sizes at most
+    sizes = sorted(tuple(r) for r in bench.select(F.col("reading") == RAW, "size").distinct().collect())  # 2 x WINDOW at most
     found = document_windows(docs, hash_filter(bench), sizes).distinct()
-    theirs = bench.select("item_id", "n_tokens", "hash", "size", F.col("pos").alias("item_pos"),
-                          F.col("slots").alias("item_slots")).distinct()
+    theirs = bench.select("item_id", "n_tokens", F.col("reading").alias("item_reading"), "hash", "size",
+                          F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")).distinct()
     pairs = F.arrays_zip("item_slots", "slots")
     matched = (found.join(theirs, ["hash", "size"]).filter(F.size("slots") == F.size("item_slots"))
                .withColumn("pairs", pairs).withColumn("diagonal", F.col("pos") - F.col("item_pos")))
-    together = matched.groupBy("doc_id", "text_hash", "item_id", "n_tokens", "size", "diagonal").agg(
+    together = matched.groupBy("doc_id", "text_hash", "item_id", "n_tokens", "size", "reading", "item_reading", "diagonal").agg(
         F.countDistinct("item_pos").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     n = F.size("pairs")
     one_to_one = ((F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == n)
                   & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == n))
+    same = ~F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
     return (together.filter(one_to_one)
             .groupBy("doc_id", "text_hash", "item_id").agg(
-                F.max("windows").alias("windows"),
-                F.max(F.col("windows") / (F.col("n_tokens") - F.col("size") + 1)).alias("coverage"),
-                F.min(F.exists("pairs", lambda p: p["item_slots"] != p["slots"])).alias("changed")))
+                F.max(F.struct("windows", same.alias("same"))).alias("best"),
+                F.max(F.col("windows") / (F.col("n_tokens") - F.col("size") + 1)).alias("coverage"))
+            .select("doc_id", "text_hash", "item_id", "best.windows", "coverage", (~F.col("best.same")).alias("changed")))
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

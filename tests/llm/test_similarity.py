@@ -235,3 +235,15 @@ def test_decontamination_cases(spark):
     assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 1), (0, 2), (3, 1), (3, 2)]
     assert decontamination.find_leaks(docs.limit(0), bench).count() == 0
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+SHORT = "Tom has 3 apples and 5 pears. How many fruits does Tom have?"
+
+
+def test_capitals_at_sentence_starts(spark):
+    anna = SHORT.replace("Tom", "Anna")
+    texts = [anna, "y ente en eranha " + SHORT, "y ente en Eranha " + SHORT + " Algo", "Bien. " + anna.replace("3", "4"),
+             "y ente en eranha " + anna, "y ente en Eranha " + anna, "y ente " + SHORT.lower(), "Anna has 3 apples and 5 pears."]
+    got = leaks(spark, texts, [SHORT])
+    assert got.keys() == {0, 1, 2, 3, 4, 5, 6}
+    assert [got[i].changed for i in range(7)] == [True, False, False, True, True, True, False]
