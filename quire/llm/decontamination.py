@@ -6,10 +6,10 @@ number slot, units behind a number as a unit slot, and names -- capitalised word
 sides are read in several ways: raw words without slots, names as words, names but where a sentence
 begins, all capitalised words as names, and these without joining neighbours.  Windows of ``WINDOW``
 template tokens are hashed; document windows meet benchmark windows in a hash join.  Matches on one
-diagonal (the same shift between document and item, in one reading of each) belong together: their
-slots must map the item's values to the document's one to one, or the match is refused.  So a passage
-is found word for word, with other numbers or names put in consistently, or in other case and
-punctuation, wherever it stands.
+diagonal (the same shift between document and item, in one reading of each) belong together: the
+longest run of them counts whose slots map the item's values to the document's one to one; a
+conflict ends a run and does not refuse the windows beside it.  So a passage is found word for word,
+with other numbers or names put in consistently, or in other case and punctuation, wherever it stands.
 
 An item shorter than a window is one window of its own length.  A window needs ``MIN_LITERAL`` of
 its tokens (rounded up, five at least) to be words; an item without such a window is matched by its
@@ -27,6 +27,7 @@ An empty benchmark matches nothing.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -251,6 +252,46 @@ def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[tuple[bool
             .mapInArrow(run, f"doc_id {kind}, text_hash long, reading int, hash long, size int, pos int, slots array<long>"))
 
 
+def longest_run(matches: list[tuple[int, list[tuple[int, int]]]]) -> tuple[int, bool]:
+    """(windows, whether all values are the item's) of the longest run of ``matches`` -- (item
+    position, (item's value, document's value) of each slot) -- whose values go one to one."""
+    matches = sorted(matches)
+    best, left = (0, False), 0
+    place = list(itertools.accumulate(int(i > 0 and m[0] != matches[i - 1][0]) for i, m in enumerate(matches)))
+    there: dict[int, list[int]] = {}  # item's value -> [document's value, uses]
+    back: dict[int, int] = {}
+    changed = 0
+
+    def drop(pairs):
+        nonlocal changed
+        for a, b in pairs:
+            changed -= a != b
+            there[a][1] -= 1
+            if not there[a][1]:
+                del there[a], back[b]
+
+    for i, (_, pairs) in enumerate(matches):
+        if len({a for a, _ in pairs}) != len(set(pairs)) or len({b for _, b in pairs}) != len(set(pairs)):
+            while left < i:
+                drop(matches[left][1])
+                left += 1
+            left = i + 1
+            continue
+        while any(a in there and there[a][0] != b or back.get(b, a) != a for a, b in pairs):
+            drop(matches[left][1])
+            left += 1
+        for a, b in pairs:
+            there.setdefault(a, [b, 0])[1] += 1
+            back[b] = a
+            changed += a != b
+        best = max(best, (place[i] - place[left] + 1, not changed))
+    return best
+
+
+def _longest(matches):
+    return longest_run([(m["item_pos"], [(p["item_slots"], p["slots"]) for p in m["pairs"]]) for m in matches])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, text_hash, item_id, windows (matched
     windows of the best diagonal), coverage (their share of the item's windows), changed (whether
@@ -264,15 +305,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     matched = (found.join(theirs, ["hash", "size"]).filter(F.size("slots") == F.size("item_slots"))
                .withColumn("pairs", pairs).withColumn("diagonal", F.col("pos") - F.col("item_pos")))
     together = matched.groupBy("doc_id", "text_hash", "item_id", "n_tokens", "size", "reading", "item_reading", "diagonal").agg(
-        F.countDistinct("item_pos").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    n = F.size("pairs")
-    one_to_one = ((F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_slots"]))) == n)
-                  & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["slots"]))) == n))
-    same = ~F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
-    return (together.filter(one_to_one)
+        F.collect_set(F.struct("item_pos", "pairs")).alias("matches"))
+    runs = together.select("doc_id", "text_hash", "item_id", "n_tokens", "size",
+                           F.udf(_longest, "windows long, same boolean")("matches").alias("run"))
+    return (runs.filter("run.windows > 0")
             .groupBy("doc_id", "text_hash", "item_id").agg(
-                F.max(F.struct("windows", same.alias("same"))).alias("best"),
-                F.max(F.col("windows") / (F.col("n_tokens") - F.col("size") + 1)).alias("coverage"))
+                F.max("run").alias("best"),
+                F.max(F.col("run.windows") / (F.col("n_tokens") - F.col("size") + 1)).alias("coverage"))
             .select("doc_id", "text_hash", "item_id", "best.windows", "coverage", (~F.col("best.same")).alias("changed")))
 
 

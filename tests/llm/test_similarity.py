@@ -247,3 +247,25 @@ def test_capitals_at_sentence_starts(spark):
     got = leaks(spark, texts, [SHORT])
     assert got.keys() == {0, 1, 2, 3, 4, 5, 6}
     assert [got[i].changed for i in range(7)] == [True, False, False, True, True, True, False]
+
+
+def test_conflicts_and_few_words(spark):
+    words = [f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(100)]
+    words[20], words[70] = "40", "75"
+    item = " ".join(words)
+    one = item.replace("75", "40")  # a verbatim passage but for one number that equals another now
+    both = item.replace("40", "41").replace("wcf", "40").replace("75", "41")
+    numbers = "1 2 3 4 5 6 7 8 9 10 11 12 13 14"
+    got = leaks(spark, [one, both, "So, what is 12 + 7? Ha", "what is 12 + 8?", "a " + numbers + " b", "1 2 3 4"],
+                [item, "What is 12 + 7?", numbers])
+    assert got.keys() == {0, 1, 2, 4}
+    assert got[0].windows < 88 and not got[0].changed
+
+
+def test_longest_run():
+    run = decontamination.longest_run
+    assert run([]) == (0, False)
+    assert run([(0, [(1, 1)]), (1, [(1, 1), (2, 2)]), (2, [(2, 1)])]) == (2, True)
+    assert run([(5, [(1, 3), (2, 3)])]) == (0, False)
+    assert run([(0, [(1, 2)]), (1, [(1, 1)]), (2, []), (3, [(2, 2)])]) == (3, True)
+    assert run([(0, [(1, 1)]), (0, [(1, 1), (2, 2)]), (1, [])]) == (2, True)
