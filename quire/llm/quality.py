@@ -6,13 +6,13 @@ log-loss, on at most ``max_rows`` labelled documents -- the only bounded part, c
 the id -- and kept as flat arrays (feature, threshold, leaf value, heap order), so scoring is a few
 vectorised numpy gathers per batch.
 
-Scale: fitting joins the bounded sample to the documents (a broadcast of ``max_rows`` small rows)
-and brings ``max_rows`` x ``N_FEATURES`` numbers to the driver; scoring is one pass without a
+Scale: fitting joins the bounded sample to the documents (a broadcast of ``max_rows`` small rows),
+keeps one row of statistics per doc_id (pre-aggregated in every task) and brings ``max_rows`` x ``N_FEATURES`` numbers to the driver; scoring is one pass without a
 shuffle, the model a broadcast of some kilobytes.
 
 Defined cases.  Null and empty texts have all statistics 0 and are scored like any text.  Without
 labelled rows every score is 0.5; with one class it is that class's smoothed rate.  Repeated rows
-are scored each; a null doc_id passes through; other columns are never read.
+are scored each; a repeated doc_id is fitted on once, by a hash of its statistics; a null doc_id passes through; other columns are never read.
 """
 
 from __future__ import annotations
@@ -139,11 +139,13 @@ def _doubles(x: np.ndarray) -> pa.Array:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train, max_rows: int = MAX_ROWS) -> Trees:
-    """Fit on at most ``max_rows`` rows of ``labels(doc_id, quality)`` for which ``train`` holds."""
+    """Fit on at most ``max_rows`` rows of ``labels(doc_id, quality)`` for which ``train`` holds, with
+    one document each."""
     sample = labelled_sample(labels, "quality", train, max_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     rows = (append_columns(texts, {"x": "array<double>"}, lambda: lambda t: [_doubles(statistics_of(t))])
-            .select("doc_id", "label", "x").orderBy("doc_id", F.xxhash64("x")).limit(max_rows).collect())
+            .groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x"))["x"].alias("x")).collect())
+    rows.sort(key=lambda r: r.doc_id)
     x = np.array([r.x for r in rows], float).reshape(-1, N_FEATURES)
     return fit_trees(x, np.array([r.label for r in rows], float))
 

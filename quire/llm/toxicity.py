@@ -15,11 +15,13 @@ occurrences (which a cosine forgets) into a probability.  The
 evidence of a document is its nearest examples.  Documents without a term get the toxic rate of
 such examples.
 
-Scale: two passes over the documents besides fitting, no shuffle of texts; the index is bounded by
+Scale: two passes over the documents besides fitting; only texts of the ``max_rows`` labelled rows are
+shuffled, one per doc_id after a pre-aggregation in every task; the index is bounded by
 ``MAX_EXAMPLES`` and ``MAX_TERMS`` (a few MB, broadcast).
 
 Defined cases.  Null and empty texts have no term.  Without labelled rows every score is 0, with one
-class its smoothed rate.  Repeated rows are scored each; equal cosines rank the smaller example
+class its smoothed rate.  Repeated rows are scored each; a repeated doc_id is
+fitted on once, by a hash of its text; equal cosines rank the smaller example
 first; a null doc_id passes through; other columns are never read.
 """
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import append_columns, column_of, fold, labelled_sample, table
+from quire.llm.common import append_columns, column_of, fold, labelled_sample, stage, table
 
 #: Labelled rows that choose the vocabulary, examples in the index, terms.
 MAX_ROWS, MAX_EXAMPLES, MAX_TERMS = 20_000, 8_192, 1_024
@@ -236,11 +238,12 @@ def build_index(vocabulary: dict[str, int], df: np.ndarray, n_docs: int, example
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train, max_rows: int = MAX_ROWS, max_examples: int = MAX_EXAMPLES,
                  max_terms: int = MAX_TERMS) -> Index:
     """Fit on rows of ``labels(doc_id, toxic)`` for which ``train`` holds: at most ``max_rows`` of
-    them choose the terms, at most ``max_examples`` of those become examples."""
+    them, with one document each, choose the terms, at most ``max_examples`` of those become examples."""
     docs = docs.select("doc_id", "text")
     sample = labelled_sample(labels, "toxic", train, max_rows)
-    counted = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    texts = docs.join(F.broadcast(sample), "doc_id")
+    texts = stage(docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label")
+                  .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")), "labelled-texts")
+    counted = {r.label: r.n for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = choose_terms(term_votes(texts), counted[1], counted[0], max_terms) if len(counted) == 2 else []
     vocabulary = {t: i for i, t in enumerate(sorted(chosen))}
     df, n = document_frequencies(docs, vocabulary)
@@ -255,9 +258,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, max_rows: int = MAX_
                     pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))]
         return compute
 
-    few = docs.join(F.broadcast(sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)), "doc_id")
-    rows = (append_columns(few, {"t": "array<int>", "c": "array<long>"}, vectors).select("doc_id", "label", "t", "c")
-            .limit(2 * max_examples).collect())
+    rows = (append_columns(texts, {"t": "array<int>", "c": "array<long>"}, vectors).select("doc_id", "label", "t", "c")
+            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples).collect())
     return build_index(vocabulary, df, n, [(r.doc_id, r.label, dict(zip(r.t, r.c))) for r in rows])
 
 

@@ -137,3 +137,20 @@ def test_toxic_words_are_found_in_any_dress(spark):
     assert got[900].score > 0.9 and got[901].score < 0.1
     assert all((got[i].score >= 0.5) == bool(y) for i, _, y in rows)
     assert {e.toxic for e in got[900].evidence} == {1}
+
+
+def test_a_labelled_id_with_very_many_rows(spark):
+    from pyspark.sql import functions as F
+    good = "The committee met on Monday, and its members agreed on the plan for the coming year. "
+    text = lambda i: good * 3 + f"Item {i}." if i % 2 == 0 else "$$$ 11 ## || " * 9 + f"idiot moron {i}"
+    rows = [(i, text(i)) for i in range(40)] + [(0, text(0))] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality(docs, lab, F.lit(True), max_rows=40)
+    good_score, bad_score = model.score(quality.statistics_of([text(0), text(1)]))
+    assert good_score > 0.7 > 0.3 > bad_score
+    index = toxicity.fit_toxicity(docs, lab, F.lit(True), max_rows=40, max_examples=30, max_terms=8)
+    assert {"idiot", "moron"} <= set(index.vocabulary) and "committee" not in index.vocabulary
+    assert len(set(index.doc_ids)) == len(index.doc_ids) == 30
+    again = toxicity.fit_toxicity(docs.repartition(3), lab, F.lit(True), max_rows=40, max_examples=30, max_terms=8)
+    assert again.doc_ids == index.doc_ids
