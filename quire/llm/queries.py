@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from quire.llm import (
+    byte_bpe,
     decontamination,
     embedding_dedup,
     html_extract,
+    merkle,
     ngram_join,
     packing,
     quality,
@@ -13,6 +15,7 @@ from quire.llm import (
     token_records,
     toxicity,
     url_filter,
+    whitening,
 )
 
 QUERIES = {
@@ -26,5 +29,8 @@ QUERIES = {
     "op8_token_records": token_records.op8_token_records,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
-ORACLES = {"op1_url_filter": url_filter.ORACLE}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
