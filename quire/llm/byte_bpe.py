@@ -8,8 +8,9 @@ leaves -- the pair's own, the vanished part's and the part before's -- and walks
 nothing changes: n bytes cost n log n, however long a pre-token is.
 
 Pre-tokens repeat, so texts are first cut at blanks where a pre-token must begin anyway, and the ids of
-a segment are cached (bounded in bytes).  Decoding looks every id up in a table of the vocabulary's
-bytes, whole slices of documents at a time.
+segments and pre-tokens are cached (bounded in bytes).  The new pre-tokens of a slice of documents are
+merged side by side, a segment tree each, in numpy arrays.  Decoding looks every id up in a table of
+the vocabulary's bytes, whole slices of documents at a time.
 
 Scale.  No shuffle; a task reads its documents in slices of bounded size, a very long text in windows.
 
@@ -32,14 +33,18 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from quire.llm.common import table
 
-#: Bytes of cached segments, their ids and bookkeeping per Python worker; a full cache is emptied.
-CACHE_BYTES = 64 << 20
-_ENTRY_BYTES = 200
+#: Bytes that cached segments and pre-tokens, their ids and bookkeeping may take in a Python worker; a
+#: full cache is emptied between slices.
+SEGMENT_CACHE_BYTES, PIECE_CACHE_BYTES = 96 << 20, 48 << 20
+_ENTRY_BYTES = 190
 #: Rows and text bytes of a slice that is worked on and handed on at once.
-SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 2048, 4 << 20
 WINDOW_CHARS = 1 << 20
+#: Pre-tokens of at most this many bytes are merged side by side, so many at a time.
+SIDE_BY_SIDE, _ROWS = 64, 8192
 
 _NONE = 1 << 62
+_BITS, _PLACES = 7, 127
 _PLACE = (1 << 32) - 1
 #: A blank or line feed between two characters that no whitespace rule of any library counts as blank.
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f])[ \n](?=[^\s\x1c-\x1f])")
@@ -108,28 +113,163 @@ def merge_parts(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Encoder(dict):
-    """Whole texts to ids as little-endian unsigned 32-bit bytes.  The dictionary is the cache."""
+class Vocabulary:
+    """Ranks by bytes, and by the two ids that a merge joins."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__()
+    def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.pieces = regex.compile(pattern).findall
-        self.held = 0
+        rank = ranks.get
+        pairs = {}
+        for token, r in ranks.items():
+            for i in range(1, len(token)):
+                left, right = rank(token[:i]), rank(token[i:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = r
+        self.pair = np.array(sorted(pairs), np.int64)
+        self.rank = np.array([pairs[k] for k in self.pair.tolist()], np.int64)
+        self.byte = np.array([rank(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids put together, ``_NONE`` where the vocabulary has none."""
+        if not len(self.pair):
+            return np.full(len(left), _NONE)
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.rank[at], _NONE)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Id bytes of every pre-token.  Short ones are merged side by side, one segment tree per row of
+        an array; a long one has a tree by itself."""
+        out = [b""] * len(pieces)
+        groups: dict[int, list[int]] = {}
+        for i, piece in enumerate(pieces):
+            groups.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
+        for base, members in groups.items():
+            if base > SIDE_BY_SIDE or len(members) < 8:
+                for i in members:
+                    out[i] = np.array(merge_parts(pieces[i], self.ranks), "<u4").tobytes()
+                continue
+            for at in range(0, len(members), _ROWS):
+                some = members[at:at + _ROWS]
+                ids, count = self._merge_rows([pieces[i] for i in some], base)
+                data, end = ids.astype("<u4").tobytes(), 0
+                for i, n in zip(some, (4 * count).tolist()):
+                    out[i] = data[end:end + n]
+                    end += n
+        return out
+
+    def _merge_rows(self, pieces: list[bytes], base: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids per piece) of pieces of at most ``base`` bytes.  Row r of ``node`` is
+        the segment tree of piece r, in the usual layout: children of k at 2k and 2k + 1, leaves from
+        ``base``; a key is rank * 2 ** _BITS + position."""
+        m = len(pieces)
+        n = np.fromiter(map(len, pieces), np.int64, m)
+        raw = np.frombuffer(b"".join(p.ljust(base, b"\0") for p in pieces), np.uint8).reshape(m, base)
+        place = np.arange(base)
+        live = place < n[:, None]
+        part = np.where(live, self.byte[raw], 0)
+        if (part < 0).any():
+            raise KeyError("a byte that the vocabulary lacks")
+        after = np.tile(np.arange(1, base + 1), (m, 1))  # where the next live part begins
+        before = np.tile(np.arange(-1, base), (m, 1))
+        node = np.full((m, 2 * base), _NONE)
+        r, i = np.nonzero(place < n[:, None] - 1)
+        node[r, base + i] = _keys(self.ranks_of(part[r, i], part[r, i + 1]), i)
+        for k in range(base - 1, 0, -1):
+            np.minimum(node[:, 2 * k], node[:, 2 * k + 1], out=node[:, k])
+        r = np.arange(m)
+        while True:
+            best = node[r, 1]
+            going = best < _NONE
+            if not going.any():
+                return part[live], live.sum(1)
+            r, best = r[going], best[going]
+            i = best & _PLACES
+            j = after[r, i]
+            end = after[r, j]
+            part[r, i] = merged = best >> _BITS
+            after[r, i] = end
+            inside = np.flatnonzero(end < base)
+            before[r[inside], end[inside]] = i[inside]
+            live[r, j] = False
+            node[r, base + j] = _NONE
+            # the pair's new key, and that of the part before it
+            key = np.full(len(r), _NONE)
+            more = np.flatnonzero(end < n[r])
+            key[more] = _keys(self.ranks_of(merged[more], part[r[more], end[more]]), i[more])
+            node[r, base + i] = key
+            p = before[r, i]
+            led = np.flatnonzero(p >= 0)
+            pr, p = r[led], p[led]
+            node[pr, base + p] = _keys(self.ranks_of(part[pr, p], merged[led]), p)
+            rows, up = np.concatenate([r, r, pr]), (base + np.concatenate([i, j, p])) >> 1
+            while up[0]:
+                node[rows, up] = np.minimum(node[rows, 2 * up], node[rows, 2 * up + 1])
+                up >>= 1
+
+
+def _keys(rank: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.where(rank < _NONE, rank << _BITS | place, _NONE)
+
+
+class Cache(dict):
+    """Text -> id bytes, emptied when it holds more than ``bound`` bytes."""
+
+    def __init__(self, bound: int):
+        super().__init__()
+        self.bound, self.held = bound, 0
+
+    def add(self, text: str, ids: bytes) -> None:
+        self.held += _ENTRY_BYTES + len(text) + len(ids)
+        self[text] = ids
 
-    def __missing__(self, segment: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces(segment):
+    def trim(self) -> None:
+        if self.held > self.bound:
+            self.clear()
+            self.held = 0
+
+
+class Encoder:
+    """Whole texts to ids as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        self.vocabulary = vocabulary
+        self.pattern = regex.compile(pattern).findall
+        self.of_segment, self.of_piece = Cache(SEGMENT_CACHE_BYTES), Cache(PIECE_CACHE_BYTES)
+
+    def _learn(self, segments: list[str]) -> None:
+        """Put segments that the cache lacks into it: all their new pre-tokens are merged at once."""
+        split = [self.pattern(s) for s in segments]
+        self.of_piece.trim()
+        known, ranks = self.of_piece, self.vocabulary.ranks
+        new = []
+        for piece in {p for pieces in split for p in pieces if p not in known}:
             raw = piece.encode()
-            whole = self.ranks.get(raw)
-            ids.extend((whole,) if whole is not None else merge_parts(raw, self.ranks))
-        out = np.array(ids, "<u4").tobytes()
-        if len(segment) < 256:  # longer ones hardly repeat
-            if self.held > CACHE_BYTES:
-                self.clear()
-                self.held = 0
-            self.held += _ENTRY_BYTES + 4 * len(segment) + len(out)
-            self[segment] = out
+            whole = ranks.get(raw)
+            if whole is None:
+                new.append((piece, raw))
+            else:
+                known.add(piece, whole.to_bytes(4, "little"))
+        for (piece, _), ids in zip(new, self.vocabulary.merge_all([raw for _, raw in new])):
+            known.add(piece, ids)
+        for s, pieces in zip(segments, split):
+            self.of_segment.add(s, known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces]))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts; none for null."""
+        return [b"".join(ids) for ids in self._parts([list(self.windows(t)) if t else [] for t in texts])]
+
+    def _parts(self, texts: list[list[str]]) -> list[list[bytes]]:
+        out = []
+        cache = self.of_segment
+        cache.trim()
+        cut = [[self.segments(w) for w in windows] for windows in texts]
+        new = {s for windows in cut for w in windows for s in w if s not in cache}
+        if new:
+            self._learn(list(new))
+        get = cache.__getitem__
+        for windows in cut:
+            out.append([b"".join(map(get, w)) for w in windows])
         return out
 
     def windows(self, text: str):
@@ -154,12 +294,6 @@ class Encoder(dict):
         out.append(text[at:])
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        get = self.__getitem__
-        return b"".join([b"".join(map(get, self.segments(part))) for part in self.windows(text)])
-
 
 class Decoder:
     """Ids to bytes, by a table of all token bytes."""
@@ -192,7 +326,7 @@ def _vocabulary(path: str, pattern: str | None):
     """One encoder or decoder per worker process and vocabulary."""
     if (path, pattern) not in _held:
         ranks = read_ranks(path)
-        _held[path, pattern] = Encoder(ranks, pattern) if pattern else Decoder(ranks)
+        _held[path, pattern] = Encoder(Vocabulary(ranks), pattern) if pattern else Decoder(ranks)
     return _held[path, pattern]
 
 
@@ -229,10 +363,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
     """``docs`` with ``ids`` (little-endian unsigned 32-bit) and ``n_tokens`` of the whole text."""
 
     def compute():
-        one = _vocabulary(ranks_path, pattern).encode
+        encode_all = _vocabulary(ranks_path, pattern).encode_all
 
         def ids(texts):
-            out = [one(t) for t in texts.to_pylist()]
+            out = encode_all(texts.to_pylist())
             return pa.array(out, pa.binary()), pa.array([len(o) // 4 for o in out], pa.int64())
 
         return ids
