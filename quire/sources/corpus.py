@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.sources.logs import land_text
+from quire.sources.text_files import gzip_lines
 
 
 def land_corpus(corpus: DataFrame, dest: str) -> DataFrame:
@@ -23,21 +24,14 @@ def land_corpus(corpus: DataFrame, dest: str) -> DataFrame:
 def scan_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """``<folder>/<domain>/<shard>.jsonl.gz`` -> (domain, shard_idx, line_no, text).
 
-    gzip is not splittable: a file is one task; ``wholetext`` keeps the line
-    order (line numbers = document positions) and the result is repartitioned
-    so later stages are not bound to the file count.  Bad JSON fails the job
-    (FAILFAST); a missing ``text`` reads as ''.  Undecodable bytes are
-    replaced by the text reader.
+    gzip is not splittable: a file is one task, decompressed as a stream
+    (:func:`quire.sources.text_files.gzip_lines`), so its size does not matter;
+    the result is repartitioned so later stages are not bound to the file
+    count.  Bad JSON fails the job (FAILFAST); a missing ``text`` reads as ''.
+    Undecodable bytes are replaced.
     """
-    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl.gz")
-           .text(folder, wholetext=True)
-           .select("value", F.col("_metadata.file_path").alias("path")))
-    domain = F.regexp_extract("path", r"([^/]+)/[^/]+\.jsonl\.gz$", 1)
-    shard = F.regexp_extract("path", r"/(\d+)\.jsonl\.gz$", 1).cast("int")
-    body = F.regexp_replace("value", r"\n\z", "")
-    lines = raw.select(domain.alias("domain"), shard.alias("shard_idx"),
-                       F.posexplode(F.split(body, "\n")).alias("pos", "line"))
-    lines = lines.hint("rebalance")  # later stages are not bound to the files
+    lines = gzip_lines(spark, folder, "*.jsonl.gz").hint("rebalance")  # later stages are not bound to the files
     doc = F.from_json("line", "text string", {"mode": "FAILFAST"})
-    return lines.select("domain", "shard_idx", (F.col("pos") + 1).cast("bigint").alias("line_no"),
-                        F.coalesce(doc["text"], F.lit("")).alias("text"))
+    return lines.select(F.regexp_extract("path", r"([^/]+)/[^/]+\.jsonl\.gz$", 1).alias("domain"),
+                        F.regexp_extract("path", r"/(\d+)\.jsonl\.gz$", 1).cast("int").alias("shard_idx"),
+                        "line_no", F.coalesce(doc["text"], F.lit("")).alias("text"))

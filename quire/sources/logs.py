@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.session import checkpoint_dir
 from quire.sources import fs
+from quire.sources.text_files import RANGE_BYTES, numbered_lines
 
 
 def landing_dir(spark: SparkSession, name: str) -> str:
@@ -30,20 +31,12 @@ def land_log_files(log_lines: DataFrame, dest: str, partitions: int | None = Non
                       F.concat(F.lit(dest.rstrip("/") + "/"), "relpath").alias("path"), "n_lines")
 
 
-def scan_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """Top-level ``*.txt`` of ``folder`` -> (run_id, line_no, line).
-
-    One row per file (``wholetext``), then ``posexplode`` gives line numbers;
-    files are split across tasks, lines never leave their file's task.  A final
-    newline does not make an extra empty line.
-    """
-    raw = (spark.read.option("recursiveFileLookup", "false")
-           .option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-           .select(F.col("value"), F.col("_metadata.file_name").alias("file_name")))
-    run_id = F.regexp_extract("file_name", r"^(.*)\.txt$", 1)
-    body = F.regexp_replace("value", r"\n\z", "")
-    return raw.select(run_id.alias("run_id"), F.posexplode(F.split(body, "\n")).alias("pos", "line")) \
-        .select("run_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+def scan_logs(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Top-level ``*.txt`` of ``folder`` -> (run_id, line_no, line).  Files are read in byte ranges
+    (:func:`quire.sources.text_files.numbered_lines`), so a long log is several tasks.  A final newline
+    does not make an extra empty line."""
+    run_id = F.regexp_extract("path", r"^(.*)\.txt$", 1)
+    return numbered_lines(spark, folder, "*.txt", False, range_bytes).select(run_id.alias("run_id"), "line_no", "line")
 
 
 def land_text(lines: DataFrame, dest: str, path_col: str = "relpath", order: str = "line_no",
@@ -73,19 +66,23 @@ def land_text(lines: DataFrame, dest: str, path_col: str = "relpath", order: str
     return df.mapInPandas(write, "relpath string, n_lines long")
 
 
-def scan_text_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
-    """(relpath, line_no, line) of every matching file under ``folder``
-    (recursive), line numbers from ``wholetext`` + ``posexplode``."""
-    raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-           .text(folder, wholetext=True)
-           .select("value", F.col("_metadata.file_path").alias("path")))
-    root = folder.rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + _re_escape(root), "")
-    body = F.regexp_replace("value", r"\n\z", "")
-    return raw.select(rel.alias("relpath"), F.posexplode(F.split(body, "\n")).alias("pos", "line")) \
-        .select("relpath", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+def land_files(files: DataFrame, dest: str, path_col: str = "relpath", content: str = "content") -> DataFrame:
+    """Write each row's ``content`` as the file ``<dest>/<relpath>``, byte for byte, replacing what is
+    there; returns (relpath, bytes)."""
+
+    def write(batches):
+        for pdf in batches:
+            sizes = []
+            for rel, text in zip(pdf["relpath"], pdf["content"]):
+                data = (text or "").encode("utf-8")
+                fs.write_atomic(fs.join(dest, rel), data)
+                sizes.append(len(data))
+            yield pd.DataFrame({"relpath": pdf["relpath"], "bytes": sizes})
+
+    return files.select(F.col(path_col).alias("relpath"), F.col(content).alias("content")).mapInPandas(
+        write, "relpath string, bytes long")
 
 
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
+def scan_text_lines(spark: SparkSession, folder: str, glob: str = "*.jsonl", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(relpath, line_no, line) of every matching file under ``folder`` (recursive)."""
+    return numbered_lines(spark, folder, glob, True, range_bytes).select(F.col("path").alias("relpath"), "line_no", "line")
