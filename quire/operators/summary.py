@@ -51,8 +51,12 @@ def run_summaries(runs: DataFrame, metrics: DataFrame, include_deleted: bool = F
         r = r.join(ids.select("id").distinct(), "id", "left_semi")
         metrics = metrics.join(ids.select(F.col("id").alias("experiment_id")).distinct(),
                                "experiment_id", "left_semi")
-    tops = metric_tops(metrics)
-    j = r.join(tops, r["id"] == tops["experiment_id"], "left").drop("experiment_id")
+    return summaries_of(r, metric_tops(metrics))
+
+
+def summaries_of(runs: DataFrame, tops: DataFrame) -> DataFrame:
+    """A2 from the runs' top rows (:func:`metric_tops`); runs without any keep their own columns."""
+    j = runs.join(tops, runs["id"] == tops["experiment_id"], "left").drop("experiment_id")
     has_val = F.col("lv.step").isNotNull()
     has_train = F.col("lt.step").isNotNull()
     primary = F.when(has_val, F.lit("val_loss")).when(has_train, F.lit("train_loss"))

@@ -38,6 +38,18 @@ def size(uri: str) -> int:
     return fs.get_file_info(path).size
 
 
+def exists(uri: str) -> bool:
+    fs, path = resolve(uri)
+    return fs.get_file_info(path).type != pafs.FileType.NotFound
+
+
+def delete_folder(uri: str) -> None:
+    """Delete a folder and what is in it; nothing if it is not there."""
+    fs, path = resolve(uri)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)
+
+
 def read_range(uri: str, offset: int, nbytes: int) -> bytes:
     fs, path = resolve(uri)
     with fs.open_input_file(path) as f:
