@@ -26,6 +26,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -333,7 +334,7 @@ def _vocabulary(path: str, pattern: str | None):
 def _slices(batch: pa.RecordBatch, column: int):
     """The batch in slices of bounded rows and bytes (one row at least)."""
     at, size = 0, 0
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         if i > at and (i - at >= SLICE_ROWS or size + n > SLICE_BYTES):
             yield batch.slice(at, i - at)
