@@ -261,6 +261,13 @@ def packed_buffers(pieces: DataFrame, segments: DataFrame, width: int, key=SHARD
     return g.select(*key, "batch", "rank", F.flatten(F.transform("_s", lambda x: x["tokens"])).alias("tokens"))
 
 
+def buffer_spans(segments: DataFrame, key=SHARD_KEY) -> DataFrame:
+    """The token ranges of each packed buffer in order: (key, batch, rank, spans), one row per buffer; a
+    buffer has at most its own length of segments."""
+    g = segments.groupBy(*key, "batch", "rank").agg(F.array_sort(F.collect_list(F.struct("seg", "start", "end"))).alias("_s"))
+    return g.select(*key, "batch", "rank", F.transform("_s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))
+
+
 def boundary_dataset(stream_docs: DataFrame, bos: int = GPT2_BOS, seq_size: int = 2049,
                      keys=("domain", "split"), streams: DataFrame | None = None) -> DataFrame:
     """K2: properties of a (tokens, doc_starts) dataset per stream, refusing --

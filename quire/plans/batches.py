@@ -36,23 +36,49 @@ rng AS (SELECT split, domain, shard, b.batch, rk.rank, b.batch * {B} + rk.rank *
         WHERE n - {B} - 1 > 0)"""
 
 
-def pieces_and_sizes(spark, d):
-    from quire.session import materialize
-    t = doc_tokens(spark, d)
-    # the tokenized corpus and the shard contents are the persisted layers of
-    # this pipeline: each is computed once, then read by every branch
-    t = materialize(t.select("domain", "doc_pos", "tokens"))
-    pos = cp.stream_positions(cp.doc_lengths(t))
-    rows = cp.assign_shards(cp.split_contiguous(pos, VAL), SHARD)
-    p = materialize(bt.shard_pieces(rows, t, SHARD))
-    return p, bt.shard_sizes(p)
+def shard_rows(spark, d):
+    """Which tokens of which documents make up each shard: positions only, no token."""
+    return cp.assign_shards(cp.split_contiguous(positions(spark, d), VAL), SHARD)
+
+
+def shard_layout(rows, shard=SHARD):
+    """Where each document piece lies in its shard, without tokens, and the shards' sizes."""
+    length = (F.col("shard_to") - F.col("shard_from")).alias("size")
+    # the position in the stream at which the piece begins, from the shard's begin
+    at = (F.col("split_pos") + F.col("shard_from") - F.col("from_tok") - F.col("shard") * shard).alias("shard_pos")
+    pieces = rows.select(*KEY, at, length, (F.col("shard_from") == 0).alias("bos_start"))
+    return pieces, pieces.groupBy(*KEY).agg(F.sum("size").alias("n"))
+
+
+def land_shards(spark, d, rows=None):
+    """K1: the corpus as shard files, tokenized once on the way; returns their folder."""
+    from quire.sources import token_bin
+    from quire.sources.logs import landing_dir
+    rows = shard_rows(spark, d) if rows is None else rows
+    name = cp.shard_name(F.col("split"), F.col("domain"), F.col("shard")).alias("name")
+    counts = shard_layout(rows)[1].select(name, F.col("n").alias("n_tokens"))
+    pieces = bt.shard_pieces(rows, doc_tokens(spark, d), SHARD)
+    dest = landing_dir(spark, "shards")
+    token_bin.write_shards(pieces.select(name, "shard_pos", "tokens"), dest, counts)
+    return dest
+
+
+def from_shards(dest, ranges, spans):
+    """Tokens of ranges (shard key, ...) from the files: one ranged read each."""
+    from quire.sources import token_bin
+    name = cp.shard_name(F.col("split"), F.col("domain"), F.col("shard"))
+    placed = ranges.withColumn("path", F.concat(F.lit(dest + "/"), name)).withColumn("spans", spans)
+    return token_bin.read_ranges(placed).drop("path", "spans")
+
+
+def one_span():
+    return F.array(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")))
 
 
 def contiguous_buffers(spark, d):
-    p, sz = pieces_and_sizes(spark, d)
-    ranges = bt.batches_contiguous(sz, B, R)
-    buf = bt.gather(p, ranges, ["batch", "rank", "start"], L + 1)
-    return buf
+    rows = shard_rows(spark, d)
+    ranges = bt.batches_contiguous(shard_layout(rows)[1], B, R)
+    return from_shards(land_shards(spark, d, rows), ranges, one_span()).drop("end")
 
 
 @register("batches_contiguous", SHARD_TOKENS_SQL + """
@@ -132,9 +158,8 @@ FROM fs f JOIN st t ON t.split = f.split AND t.domain = f.domain AND t.shard = f
   AND t.pos >= f.start AND t.pos < f.start + {SEQ}
 GROUP BY ALL""", ("corpus",))
 def q_fixed_sequences(spark, d):
-    p, sz = pieces_and_sizes(spark, d)
-    seqs = bt.fixed_sequences(sz, SEQ)
-    g = bt.gather(p, seqs, ["seq", "start"], SEQ)
+    rows = shard_rows(spark, d)
+    g = from_shards(land_shards(spark, d, rows), bt.fixed_sequences(shard_layout(rows)[1], SEQ), one_span())
     return g.select(*KEY, "seq", "start", F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)
                     .alias("tok_sum"), F.size("tokens").cast("bigint").alias("n"))
 
@@ -183,15 +208,17 @@ def q_boundary_write(spark, d):
 
 
 #: B2 reads the corpus as one stream ('all') in shards of this many tokens; the per-rank buffer is as
-#: long as the longest document, so that a window of two batches always holds enough starts.
+#: long as the longest document, so that a window of two batches always holds enough starts, and a shard
+#: is long enough for several such windows.
 ALIGNED_SHARD = 1 << 19
+ALIGNED_DOCS = 16
 
 BOS_ALIGNED_SQL = DOCS_SQL.replace("WITH docs AS (SELECT domain,", "WITH docs AS (SELECT 'all' AS domain,") + f""",
-span AS (SELECT max(n_tokens) AS l FROM lens),
-bos2 AS (SELECT start // {ALIGNED_SHARD} AS shard, start % {ALIGNED_SHARD} AS pos FROM pos),
+span AS (SELECT max(n_tokens) AS l, greatest({ALIGNED_SHARD}, {ALIGNED_DOCS} * max(n_tokens)) AS size FROM lens),
+bos2 AS (SELECT start // span.size AS shard, start % span.size AS pos FROM pos, span),
 total AS (SELECT sum(n_tokens) AS n FROM lens),
-sizes AS (SELECT shard, least({ALIGNED_SHARD}, total.n - shard * {ALIGNED_SHARD}) AS n
-          FROM (SELECT DISTINCT shard FROM bos2), total),
+sizes AS (SELECT shard, least(span.size, total.n - shard * span.size) AS n
+          FROM (SELECT DISTINCT shard FROM bos2), total, span),
 nx AS (SELECT shard, pos AS s, (SELECT min(b.pos) FROM bos2 b WHERE b.shard = a.shard AND b.pos >= a.pos + span.l) AS nxt
        FROM bos2 a, span),
 chain AS (
@@ -208,21 +235,24 @@ WHERE bp.pos + {2 * R} * span.l + 1 < z.n"""
 
 @register("batches_bos_aligned", BOS_ALIGNED_SQL, ("corpus",), recursive=True)
 def q_batches_bos_aligned(spark, d):
-    from quire.sources import fixtures as fx
     from quire.session import materialize
+    from quire.sources import fixtures as fx
     lens = materialize(cp.token_counts(fx.corpus(spark, d).withColumn("domain", F.lit("all"))))
+    return aligned_batches(lens)
+
+
+def aligned_batches(lens):
+    """B2 over a whole stream of documents (domain, doc_pos, n_tokens)."""
     longest = lens.agg(F.max("n_tokens")).first()[0] or 1  # one number
-    rows = cp.assign_shards(cp.split_contiguous(cp.stream_positions(lens), 0), ALIGNED_SHARD)
-    size = (F.col("shard_to") - F.col("shard_from")).alias("size")
-    pieces = rows.select(*KEY, (F.col("split_pos") - F.col("shard") * ALIGNED_SHARD).alias("shard_pos"), size,
-                         (F.col("shard_from") == 0).alias("bos_start"))
-    sizes = pieces.groupBy(*KEY).agg(F.sum("size").alias("n"))
+    shard = max(ALIGNED_SHARD, ALIGNED_DOCS * longest)
+    rows = cp.assign_shards(cp.split_contiguous(cp.stream_positions(lens), 0), shard)
+    pieces, sizes = shard_layout(rows, shard)
     return bt.batches_bos_aligned(pieces, sizes, longest * R, R).select(*KEY, "batch", "rank", "start", "end")
 
 
-def packed_segments(spark, d):
-    p, sz = pieces_and_sizes(spark, d)
-    return p, bt.batches_packed(p, sz, B, MAX_SEQ, R)
+def packed_segments(rows):
+    p, sz = shard_layout(rows)
+    return bt.batches_packed(p, sz, B, MAX_SEQ, R)
 
 
 PACK_SQL = SHARD_TOKENS_SQL + f""",
@@ -258,8 +288,8 @@ FROM segs g JOIN st t ON t.split = g.split AND t.domain = g.domain AND t.shard =
   AND t.pos >= g.start AND t.pos < g."end"
 GROUP BY ALL""", ("corpus",), recursive=True)
 def q_batches_packed(spark, d):
-    p, seg = packed_segments(spark, d)
-    buf = bt.packed_buffers(p, seg, L + 1)
+    rows = shard_rows(spark, d)
+    buf = from_shards(land_shards(spark, d, rows), bt.buffer_spans(packed_segments(rows)), F.col("spans"))
     return buf.select(*KEY, "batch", "rank", F.size("tokens").cast("bigint").alias("n"),
                       F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("tok_sum"))
 
@@ -274,23 +304,12 @@ SELECT split, domain, shard, batch, CAST(rank AS INTEGER) AS rank,
                                                      ORDER BY seg)), {bt.max_num_docs(L)}, {L}), ',') AS cum_seqlens
 FROM c GROUP BY split, domain, shard, batch, rank""", ("corpus",), recursive=True)
 def q_batch_seqlens(spark, d):
-    _, seg = packed_segments(spark, d)
-    return bt.batch_seqlens(seg, L, [*KEY, "batch", "rank"]).withColumn(
+    return bt.batch_seqlens(packed_segments(shard_rows(spark, d)), L, [*KEY, "batch", "rank"]).withColumn(
         "cum_seqlens", F.array_join("cum_seqlens", ","))
 
 
 # ---- token_bin shards (K1 write, S3 read, S4 header inventory) -------------
 
-def land_shards(spark, d):
-    from quire.sources import token_bin
-    from quire.sources.logs import landing_dir
-    p, _ = pieces_and_sizes(spark, d)
-    named = p.withColumn("name", cp.shard_name(F.col("split"), F.col("domain"), F.col("shard")))
-    dest = landing_dir(spark, "shards")
-    token_bin.write_shards(named, dest)
-    return dest
-
-
 NAME_RX = r"^[^_]+_([^_]+)_(.+)_(\d{4})\.bin$"  # SHARD_NAME_FORMAT parsed back
 SHARD_SIZES_SQL = SHARD_TOKENS_SQL + f"""
 SELECT split, domain, shard, count(*) AS n, CAST(sum(token) AS BIGINT) AS tok_sum,
@@ -311,7 +330,7 @@ def q_shard_write(spark, d):
 def q_shard_read(spark, d):
     from quire.sources import token_bin
     dest = land_shards(spark, d)
-    rows = token_bin.read_shards(spark, dest, chunk_tokens=1000, row_tokens=300)
+    rows = token_bin.read_shards(spark, dest)
     per = rows.groupBy("path").agg(
         F.sum(F.size("tokens")).cast("bigint").alias("n"),
         F.sum(F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)).cast("bigint").alias("tok_sum"))

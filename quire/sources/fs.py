@@ -50,6 +50,12 @@ def delete_folder(uri: str) -> None:
         fs.delete_dir(path)
 
 
+def open_file(uri: str):
+    """A file open for ranged reads."""
+    fs, path = resolve(uri)
+    return fs.open_input_file(path)
+
+
 def read_range(uri: str, offset: int, nbytes: int) -> bytes:
     fs, path = resolve(uri)
     with fs.open_input_file(path) as f:
