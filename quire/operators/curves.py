@@ -250,3 +250,31 @@ def stage_lookup(steps: DataFrame, names: list[str], durations: list[float], sch
         name = F.when(s < end, F.lit(names[i])).otherwise(name)
         frac = F.when(s < end, (s - F.lit(start)).cast("double") / F.lit(end - start)).otherwise(frac)
     return steps.withColumn("stage", name).withColumn("t", frac)
+
+
+#: Bins that a schedule's steps are cut into for :func:`stage_join`.
+STAGE_BINS = 1024
+
+
+def stage_join(steps: DataFrame, stages: DataFrame, schedule: str = "schedule", step: str = "step") -> DataFrame:
+    """J12 against a table of schedules: ``stages`` (schedule, stage, start, end), any number of them ->
+    the steps with ``stage`` and ``t`` as :func:`stage_lookup` gives them, null before a schedule's
+    first stage or in a gap.
+
+    A range join by bins: a stage is listed in the bins that it touches (:data:`STAGE_BINS` of equal width
+    over its schedule, so at most that many rows and two more), a step has one bin, and the two meet on
+    (schedule, bin).  So a schedule that most steps belong to is as many keys as it has bins."""
+    end = F.col("end")
+    whole = stages.where(end > F.col("start"))
+    over = whole.groupBy(schedule).agg(F.min("start").alias("_lo"), F.max("end").alias("_hi"))
+    over = over.withColumn("_width", F.expr(f"(_hi - _lo + {STAGE_BINS - 1}) div {STAGE_BINS}"))
+    cells = F.sequence(F.expr("(start - _lo) div _width"), F.expr("(end - 1 - _lo) div _width"))
+    placed = whole.join(over, schedule).select(schedule, F.explode(cells).alias("_bin"), "stage", "start", "end")
+    at = F.least(F.col(step), F.col("_hi") - 1)  # beyond the end: the last stage
+    cell = F.when(at >= F.col("_lo"), F.expr(f"(least({step}, _hi - 1) - _lo) div _width"))
+    s = steps.join(over, schedule, "left").withColumns({"_at": at, "_bin": cell})
+    p = placed.withColumnsRenamed({schedule: "_schedule", "_bin": "_cell", "start": "_start", "end": "_end"})
+    met = s.join(p, (s[schedule] == p["_schedule"]) & (s["_bin"] == p["_cell"]) & (s["_at"] >= p["_start"]) & (s["_at"] < p["_end"]), "left")
+    t = F.when(F.col("stage").isNull(), F.lit(None).cast("double")).when(F.col(step) >= F.col("_hi"), F.lit(1.0)).otherwise(
+        (F.col(step) - F.col("_start")).cast("double") / (F.col("_end") - F.col("_start")))
+    return met.select(*steps.columns, "stage", t.alias("t"))

@@ -79,10 +79,9 @@ def select_ids(runs: DataFrame, requested: DataFrame) -> DataFrame:
     "missing ids" of the answer).  No size cap: the request is joined like any
     table, and broadcast only when Spark measures it under the threshold.
     """
-    bad = requested.where(F.col("id") <= 0).limit(1).count()
-    if bad:
-        raise ValueError("ids must be positive")
-    first = requested.groupBy("id").agg(F.min("pos").alias("pos"))
+    positive = F.when(F.col("id") > 0, F.col("id")).otherwise(
+        F.raise_error(F.lit("ids must be positive")).cast("bigint"))  # when the plan runs
+    first = requested.select("pos", positive.alias("id")).groupBy("id").agg(F.min("pos").alias("pos"))
     known = runs.where(live()).select("id", F.lit(True).alias("found"))
     return first.join(known, "id", "left").select(
         "pos", "id", F.coalesce("found", F.lit(False)).alias("found"))
@@ -260,6 +259,26 @@ def group_cards(summaries: DataFrame) -> DataFrame:
     )
 
 
+def full_group_cards(summaries: DataFrame) -> DataFrame:
+    """A3 whole: the cards with the newest member's ``track``, ``code_hash``, ``gpu_type`` and ``env_vars``,
+    the ``group`` they stand for, and the members newest first: ``experiment_ids``, ``losses`` (also as
+    ``val_losses``) and ``train_times``, each without the members that have none.
+
+    The lists are the answer, as long as a group: one row of 24 bytes per member is combined map-side
+    per partition.  Where groups may outgrow a row, take :func:`group_cards` and :func:`group_members`."""
+    s = group_identity(summaries)
+    newest = F.struct(F.col("started_at").isNotNull().alias("has"), F.col("started_at").alias("at"), F.col("id").alias("id"))
+    rep = F.max_by(F.struct("track", "code_hash", "gpu_type", "env_vars"), newest)
+    lists = s.groupBy(*GROUP_KEYS).agg(
+        rep.alias("rep"), F.sort_array(F.collect_list(F.struct(newest.alias("at"), "loss", "train_time_ms")), asc=False).alias("_m"))
+    present = lambda f: F.filter(F.transform("_m", lambda x: x[f]), lambda v: v.isNotNull())
+    lists = lists.select(*GROUP_KEYS, "rep.*", F.transform("_m", lambda x: x["at"]["id"]).alias("experiment_ids"),
+                         present("loss").alias("losses"), present("loss").alias("val_losses"), present("train_time_ms").alias("train_times"))
+    group = F.struct(F.col("code_hash").alias("code_hash"), F.col("track").alias("track"), F.col("gpus").alias("gpus"),
+                     F.col("g_gpu_type").alias("gpu_type"), F.col("id").alias("id"))
+    return group_cards(summaries).join(lists, list(GROUP_KEYS)).withColumn("group", group)
+
+
 def group_members(summaries: DataFrame) -> DataFrame:
     """Member rows of every group (group keys, id, started_at); sort by
     ``newest_first`` where an order is wanted."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.line_diff import ordered_line_diff
+
 # Separators of the code identity byte layout.
 KERNELS_SEP = "\n---KERNELS---\n"
 DEPENDENCY_SEP = "\n---DEPENDENCY---\n"
@@ -41,12 +43,14 @@ def lineage_line_diff(pairs: DataFrame, key=("child_id", "parent_id"),
         F.sum(F.least(nc, np_)).cast("bigint").alias("common"))
 
 
-def module_line_diff(pairs: DataFrame, files: DataFrame, key=("child_id", "parent_id")) -> DataFrame:
+def module_line_diff(pairs: DataFrame, files: DataFrame, key=("child_id", "parent_id"), ordered: bool = False) -> DataFrame:
     """L2/U5 per module: the modules of a child and its parent side by side (a
     full outer join by module name; kernels count as module
     ``triton_kernels``), with the line counts of :func:`lineage_line_diff`.
     A module one side lacks, or whose file is missing, has no lines there;
-    modules without a difference are left out.
+    modules without a difference are left out.  ``ordered`` counts by
+    :func:`quire.operators.line_diff.ordered_line_diff` instead, where moved
+    lines are a difference.
 
     ``pairs``: key, child_dependencies, parent_dependencies (maps module ->
     path), child_kernels, parent_kernels (paths or null); ``files``: path, text."""
@@ -67,16 +71,18 @@ def module_line_diff(pairs: DataFrame, files: DataFrame, key=("child_id", "paren
     named = F.when(F.coalesce(F.col("child_text"), F.lit("")) != "", F.col("child_text")), \
         F.when(F.coalesce(F.col("parent_text"), F.lit("")) != "", F.col("parent_text"))
     both = both.withColumns({"child_text": named[0], "parent_text": named[1]})
-    counts = lineage_line_diff(both, (*key, "module"))
+    counts = (ordered_line_diff if ordered else lineage_line_diff)(both, (*key, "module"))
     paths = both.select(*key, "module", "child_path", "parent_path")
     return counts.where("added + removed > 0").join(paths, [*key, "module"])
 
 
 def verify_checksums(files: DataFrame, expected: DataFrame) -> DataFrame:
     """H1: sha256 of each file against an expected table: ok / mismatch / unset.
-    ``files``: (name, content BINARY); ``expected``: (name, sha256)."""
-    f = files.select("name", F.sha2(F.col("content"), 256).alias("actual"))
-    j = f.join(expected, "name", "left")
+    ``files``: (name, content BINARY), or (name, sha256) as
+    :func:`quire.sources.text_files.file_digests` computes it, block by block;
+    ``expected``: (name, sha256)."""
+    actual = F.sha2(F.col("content"), 256) if "content" in files.columns else F.col("sha256")
+    j = files.select("name", actual.alias("actual")).join(expected, "name", "left")
     status = F.when(F.col("sha256").isNull(), "unset").when(F.col("sha256") == F.col("actual"), "ok") \
         .otherwise("mismatch")
     return j.select("name", "actual", status.alias("status"))

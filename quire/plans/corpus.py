@@ -180,9 +180,7 @@ SELECT p.domain, p.doc_no + 1 AS doc_no, p.n_tokens AS n, p.start AS min_pos, p.
        CAST(list_sum(d.tokens) AS BIGINT) AS tok_sum
 FROM pos p JOIN docs d USING (domain, doc_pos)""", ("corpus",))
 def q_doc_of_token(spark, d):
-    t = doc_tokens(spark, d)
-    pos = cp.stream_positions(cp.doc_lengths(t))
-    tok = cp.doc_of_token(t, pos)
+    tok = cp.doc_of_token(doc_tokens(spark, d), positions(spark, d))  # lengths need no tokens
     return tok.groupBy("domain", "doc_no").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"),
         F.sum("token").cast("bigint").alias("tok_sum"))

@@ -167,3 +167,20 @@ def _stage_sql():
 def q_stage_lookup(spark, d):
     names, durs, sched, ext = STAGES
     return curves.stage_lookup(fx.dense(spark, d).select("experiment_id", "step"), names, durs, sched, ext)
+
+
+@register("stage_join", """
+WITH tot AS (SELECT experiment_id % 5 AS schedule, max(total_steps) AS total FROM dense GROUP BY 1),
+st AS (SELECT schedule, total, k, total * k // 4 AS s, total * (k + 1) // 4 AS e FROM tot, (SELECT unnest(range(4)) AS k))
+SELECT d.experiment_id, d.step, 's' || k AS stage,
+       CASE WHEN d.step >= total THEN CAST(1 AS DOUBLE) ELSE CAST(d.step - s AS DOUBLE) / (e - s) END AS t
+FROM dense d JOIN st ON st.schedule = d.experiment_id % 5 AND least(d.step, total - 1) >= s AND least(d.step, total - 1) < e""", ("dense",))
+def q_stage_join(spark, d):
+    """Five schedules of four stages, each as long as the longest of its runs."""
+    dn = fx.dense(spark, d).select("experiment_id", "step", "total_steps", (F.col("experiment_id") % 5).alias("schedule"))
+    k = F.col("k")
+    stages = dn.groupBy("schedule").agg(F.max("total_steps").alias("n")).select(
+        "schedule", "n", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select(
+        "schedule", F.concat(F.lit("s"), k.cast("string")).alias("stage"),
+        F.expr("n * k div 4").alias("start"), F.expr("n * (k + 1) div 4").alias("end"))
+    return curves.stage_join(dn, stages).select("experiment_id", "step", "stage", "t")

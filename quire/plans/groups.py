@@ -191,6 +191,26 @@ def q_group_cards(spark, d):
     return nine_digits(groups.group_cards(summaries(spark, d)), "loss", "val_loss")
 
 
+@register("full_group_cards", """
+SELECT g_hash, g_track, gpus, g_gpu_type, arg_max(coalesce(code_hash, ''), (started_at IS NOT NULL, started_at, id)) AS code_hash,
+  concat_ws(';', arg_max(coalesce('LR=' || env_lr, ''), (started_at IS NOT NULL, started_at, id)),
+                 arg_max(coalesce('WD=' || env_wd, ''), (started_at IS NOT NULL, started_at, id))) AS env_text,
+  string_agg(CAST(id AS VARCHAR), ',' ORDER BY started_at DESC NULLS LAST, id DESC) AS ids_text,
+  coalesce(string_agg(printf('%.6f', latest_loss), ',' ORDER BY started_at DESC NULLS LAST, id DESC), '') AS losses_text,
+  coalesce(string_agg(CAST(train_time_ms AS VARCHAR), ',' ORDER BY started_at DESC NULLS LAST, id DESC), '') AS times_text,
+  max(id) >= max(id) AS has_group
+FROM sgroups GROUP BY g_hash, g_track, gpus, g_gpu_type""", ("sgroups",))
+def q_full_group_cards(spark, d):
+    c = groups.full_group_cards(summaries(spark, d))
+    env = lambda k: F.coalesce(F.concat(F.lit(k + "="), F.col("env_vars")[k]), F.lit(""))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return c.select("g_hash", "g_track", "gpus", "g_gpu_type", F.coalesce("code_hash", F.lit("")).alias("code_hash"),
+                    F.concat_ws(";", env("LR"), env("WD")).alias("env_text"), text("experiment_ids").alias("ids_text"),
+                    F.array_join(F.transform("losses", lambda x: F.format_string("%.6f", x)), ",").alias("losses_text"),
+                    text("train_times").alias("times_text"),
+                    (F.col("group.id") == F.col("id")).alias("has_group"))
+
+
 @register("group_members", """
 SELECT g_hash, g_track, gpus, g_gpu_type, id, started_at FROM sgroups""", ("sgroups",))
 def q_group_members(spark, d):

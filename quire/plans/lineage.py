@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import lineage as ln
+from quire.operators.line_diff import ordered_line_diff
 from quire.plans.registry import register
 from quire.session import table
 from quire.sources import fixtures as fx
+from quire.sources import logs as txt
+from quire.sources.text_files import file_digests
 
 
 @register("lineage_edges", """
@@ -22,7 +25,7 @@ def q_lineage_edges(spark, d):
 
 @register("lineage_line_diff", r"""
 WITH p AS (SELECT c.doc_id AS child_id, p.doc_id AS parent_id, c.text AS child_text, p.text AS parent_text
-           FROM documents c JOIN documents p ON p.doc_id = c.doc_id + 1 WHERE c.doc_id % 2 = 0),
+           FROM documents c JOIN documents p ON p.doc_id = c.doc_id + 1),
 a AS (SELECT child_id, parent_id, line, count(*) AS nc FROM
         (SELECT child_id, parent_id, unnest(string_split(regexp_replace(coalesce(child_text, ''), '\n$', ''), chr(10))) AS line FROM p)
       GROUP BY ALL),
@@ -39,9 +42,35 @@ def q_lineage_line_diff(spark, d):
     return ln.lineage_line_diff(fx.doc_pairs(spark, d))
 
 
+#: Matches of the two texts' lines by place; ``best`` holds, for each number k of common lines and each
+#: place in the child, the earliest place in the parent where such a run of k can end.
+ORDERED_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT c.doc_id AS child_id, p.doc_id AS parent_id,
+         string_split(regexp_replace(c.text, '\n$', ''), chr(10)) AS a, string_split(regexp_replace(p.text, '\n$', ''), chr(10)) AS b
+  FROM documents c JOIN documents p ON p.doc_id = c.doc_id + 1),
+x AS (SELECT child_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM p),
+y AS (SELECT child_id, unnest(b) AS line, generate_subscripts(b, 1) AS j FROM p),
+m AS (SELECT child_id, i, j FROM x JOIN y USING (child_id, line)),
+best AS (
+  SELECT child_id, 1 AS k, i, min(j) AS j FROM m GROUP BY child_id, i
+  UNION ALL
+  SELECT m.child_id, t.k + 1, m.i, min(m.j) FROM best t JOIN m ON m.child_id = t.child_id AND m.i > t.i AND m.j > t.j
+  GROUP BY m.child_id, t.k, m.i),
+n AS (SELECT child_id, max(k) AS common FROM best GROUP BY child_id)
+SELECT child_id, parent_id, len(a) - coalesce(common, 0) AS added, len(b) - coalesce(common, 0) AS removed,
+       CAST(coalesce(common, 0) AS BIGINT) AS common
+FROM p LEFT JOIN n USING (child_id)"""
+
+
+@register("ordered_line_diff", ORDERED_SQL)
+def q_ordered_line_diff(spark, d):
+    return ordered_line_diff(fx.doc_pairs(spark, d))
+
+
 @register("module_line_diff", """
 WITH n AS (SELECT count(*) AS n FROM documents), f AS (SELECT doc_id, text FROM documents),
-c AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_custkey % 8 = 0),
+c AS (SELECT DISTINCT o_custkey AS c FROM orders),
 m AS (
   SELECT c, 'modA' AS module, (c + 2) % n AS cd, (c + 6) % n AS pd FROM c, n
   UNION ALL SELECT c, 'modB', (c + 3) % n, (c + 7) % n FROM c, n
@@ -61,7 +90,7 @@ def q_module_line_diff(spark, d):
     c = F.col("child_id")
     doc = lambda k: F.concat(F.lit("docs/"), (k % n).cast("string"), F.lit(".txt"))
     deps = lambda b: F.create_map(F.lit("modB"), doc(b + 3), F.lit("modA"), doc(b + 2))
-    pairs = table(spark, d, "orders").where("o_custkey % 8 = 0").select(F.col("o_custkey").alias("child_id")).distinct().select(
+    pairs = table(spark, d, "orders").select(F.col("o_custkey").alias("child_id")).distinct().select(
         "child_id", (c + 4).alias("parent_id"), deps(c).alias("child_dependencies"), deps(c + 4).alias("parent_dependencies"),
         F.when(c % 3 == 0, doc(c + 1)).alias("child_kernels"), F.when((c + 4) % 3 == 0, doc(c + 5)).alias("parent_kernels"))
     return ln.module_line_diff(pairs, doc_files(spark, d).select("path", "text")).drop("child_path", "parent_path")
@@ -86,7 +115,9 @@ def q_verify_checksums(spark, d):
         F.col("path").alias("name"),
         F.when(F.col("doc_id") % 3 == 0, F.sha2(F.col("content"), 256))
         .otherwise(F.sha2(F.concat(F.col("text"), F.lit("x")), 256)).alias("sha256"))
-    return ln.verify_checksums(f.select(F.col("path").alias("name"), "content"), exp)
+    dest = txt.landing_dir(spark, "files")  # the documents as files, each hashed in blocks
+    txt.land_files(f.select(F.col("path").alias("relpath"), F.col("text").alias("content")), dest).count()
+    return ln.verify_checksums(file_digests(spark, dest).withColumnRenamed("path", "name"), exp)
 
 
 def code_versions(spark, d):

@@ -9,6 +9,7 @@ from quire.plans.registry import register
 from quire.session import table
 from quire.sources import fixtures as fx
 from quire.sources import logs as logsrc
+from quire.sources.text_files import file_ends
 
 # DuckDB text of the line grammar (same patterns as quire.operators.logs)
 _NUM = r"\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
@@ -90,7 +91,37 @@ FROM b"""
 
 @register("detect_run_id", DETECT_SQL)
 def q_detect_run_id(spark, d):
-    return logs.detect_run_id(log_files(spark, d)).select("doc_id", "run_id")
+    """The files are landed, and of each only its two ends are read."""
+    n = logs.RUN_ID_WINDOW_BYTES
+    dest = logsrc.landing_dir(spark, "outputs")
+    logsrc.land_files(log_files(spark, d).withColumn("relpath", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))), dest).count()
+    found = logs.detect_run_id_in_files(file_ends(spark, dest, n, n, "*.txt"))
+    return found.select(F.regexp_extract("path", r"^(.*)\.txt$", 1).cast("bigint").alias("doc_id"), "run_id")
+
+
+TAIL_SQL = f"""
+WITH f AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS w, doc_id % 4 AS k,
+         'step:' || (doc_id % 800 + 1) || '/875 val_loss:3.25' AS a, 'step:' || (doc_id % 70 + 801) || '/875 train_loss:1.5e-1' AS b
+  FROM documents),
+g AS (SELECT *, strlen(a) + 1 + 10 * w + 1 AS b0, strlen(a) + 1 + 10 * w + 1 + strlen(b) + 1 + 10 * k * w AS n FROM f)
+SELECT doc_id, CASE WHEN b0 >= n - {logs.LOG_TAIL_BYTES} THEN doc_id % 70 + 801 ELSE doc_id % 800 + 1 END AS step,
+       CAST(875 AS BIGINT) AS total_steps
+FROM g WHERE b0 >= n - {logs.LOG_TAIL_BYTES} OR n <= {logs.LOG_TAIL_BYTES}"""
+
+
+@register("last_metric_step_in_files", TAIL_SQL)
+def q_last_metric_step_in_files(spark, d):
+    """Logs with much text around two metric lines; in the long ones none, one or both are in the tail."""
+    i, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    a = F.concat(F.lit("step:"), (i % 800 + 1).cast("string"), F.lit("/875 val_loss:3.25\n"))
+    b = F.concat(F.lit("\nstep:"), (i % 70 + 801).cast("string"), F.lit("/875 train_loss:1.5e-1\n"))
+    content = F.concat(a, F.repeat(text, F.lit(10)), b, F.repeat(text, (10 * (i % 4)).cast("int")))
+    dest = logsrc.landing_dir(spark, "long-logs")
+    logsrc.land_files(table(spark, d, "documents").select(F.concat(i.cast("string"), F.lit(".txt")).alias("relpath"),
+                                                         content.alias("content")), dest).count()
+    found = logs.last_metric_step_in_files(file_ends(spark, dest, 0, logs.LOG_TAIL_BYTES, "*.txt"))
+    return found.select(F.regexp_extract("path", r"^(.*)\.txt$", 1).cast("bigint").alias("doc_id"), "step", "total_steps")
 
 
 OUTCOME_SQL = r"""

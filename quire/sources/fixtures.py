@@ -161,9 +161,9 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(child, parent) document pairs: even doc_id is the child of doc_id + 1."""
+    """(child, parent) document pairs: every doc_id is the child of doc_id + 1."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    child = docs.where(F.col("doc_id") % 2 == 0).select(
+    child = docs.select(
         F.col("doc_id").alias("child_id"), F.col("text").alias("child_text"))
     parent = docs.select(F.col("doc_id").alias("parent_id"), F.col("text").alias("parent_text"))
     return child.join(parent, parent["parent_id"] == child["child_id"] + 1, "inner")
