@@ -67,6 +67,40 @@ def packed(distinct: DataFrame, d: int) -> DataFrame:
     return distinct.select("x").mapInArrow(run, "n long, block binary")
 
 
+#: Tasks that add the sums of all tasks; the driver adds theirs.
+ADDERS = 8
+
+
+def summed(blocks: DataFrame, d: int, size: int, kind: str, part) -> np.ndarray:
+    """The sum over all blocks of ``part(block)``, ``size`` numbers of numpy type ``kind``: one row per
+    task, added by :data:`ADDERS` tasks and the driver."""
+
+    def run(batches):
+        out = np.zeros(size, kind)
+        for b in batches:
+            for block in column_of(b, "block"):
+                out += np.asarray(part(np.frombuffer(block, "<i8").reshape(-1, d)), kind).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["v"])
+
+    def add(batches):
+        out = np.zeros(size, kind)
+        for b in batches:
+            for v in column_of(b, "v"):
+                out += np.frombuffer(v, kind)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["v"])
+
+    rows = blocks.select("block").mapInArrow(run, "v binary").repartition(ADDERS).mapInArrow(add, "v binary").collect()
+    return sum((np.frombuffer(r.v, kind) for r in rows), np.zeros(size, kind))
+
+
+def _exact_sums(m: np.ndarray) -> list[int]:
+    """Rows, then the exact sum of every dimension in two halves, whose sums over any number of blocks
+    are exact longs."""
+    small = float(np.abs(m.astype(np.float64)).max()) * len(m) < 2**62
+    total = [int(v) for v in (m.sum(0) if small else m.astype(object).sum(0))]
+    return [len(m), *(v >> 31 for v in total), *(v & 0x7FFFFFFF for v in total)]
+
+
 @dataclass
 class FitList:
     """The distinct vectors in blocks: their number, exact sums, and products with their covariance."""
@@ -78,43 +112,16 @@ class FitList:
     jobs: int = 0
 
     def __post_init__(self):
-        d = self.d
-
-        def run(batches):
-            for b in batches:
-                for block in column_of(b, "block"):
-                    m = np.frombuffer(block, "<i8").reshape(-1, d)
-                    small = float(np.abs(m.astype(np.float64)).max()) * len(m) < 2**62
-                    total = m.sum(0) if small else m.astype(object).sum(0)
-                    # two halves, so that their sums over any number of blocks stay exact longs
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(range(d), pa.int32()), pa.array([int(v) >> 31 for v in total], pa.int64()),
-                         pa.array([int(v) & 0x7FFFFFFF for v in total], pa.int64())], names=["i", "high", "low"])
-
-        rows = (self.blocks.mapInArrow(run, "i int, high long, low long").groupBy("i")
-                .agg(F.sum(F.col("high").cast("decimal(38,0)")).alias("high"), F.sum(F.col("low").cast("decimal(38,0)")).alias("low")).collect())
-        self.sums = [0] * d
-        for r in rows:
-            self.sums[r.i] = (int(r.high) << 31) + int(r.low)
-        self.n = self.blocks.agg(F.sum("n")).first()[0] or 0
-        self.mean = np.array([s / self.n for s in self.sums]) if self.n else np.zeros(d)
+        found = [int(v) for v in summed(self.blocks, self.d, 1 + 2 * self.d, "i8", _exact_sums)]
+        self.n = found[0]
+        self.sums = [(high << 31) + low for high, low in zip(found[1:1 + self.d], found[1 + self.d:])]
+        self.mean = np.array([s / self.n for s in self.sums]) if self.n else np.zeros(self.d)
 
     def total(self, shape: tuple[int, ...], part) -> np.ndarray:
         """The sum over all blocks of ``part(centred block)``, an array of ``shape``, divided by n: one job."""
-        d, mean, size = self.d, self.mean, int(np.prod(shape))
-
-        def run(batches):
-            out = np.zeros(size)
-            for b in batches:
-                for block in column_of(b, "block"):
-                    out += np.asarray(part(np.frombuffer(block, "<i8").reshape(-1, d) - mean)).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(out)], names=["i", "v"])
-
+        mean = self.mean
         self.jobs += 1
-        out = np.zeros(size)
-        for r in self.blocks.select("block").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-            out[r.i] = r.v
-        return out.reshape(shape) / self.n
+        return summed(self.blocks, self.d, int(np.prod(shape)), "f8", lambda m: part(m - mean)).reshape(shape) / self.n
 
     def times(self, u: np.ndarray) -> np.ndarray:
         """Covariance times the columns of ``u``."""
