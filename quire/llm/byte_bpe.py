@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from quire.llm.common import table
+from quire.llm.tokens import single_blanks
 
 #: Bytes that cached segments and pre-tokens, their ids and bookkeeping may take in a Python worker; a
 #: full cache is emptied between slices.
-SEGMENT_CACHE_BYTES, PIECE_CACHE_BYTES = 96 << 20, 48 << 20
+SEGMENT_CACHE_BYTES, PIECE_CACHE_BYTES = 64 << 20, 32 << 20
 _ENTRY_BYTES = 190
 #: Rows and text bytes of a slice that is worked on and handed on at once.
-SLICE_ROWS, SLICE_BYTES = 2048, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 2048, 2 << 20
 WINDOW_CHARS = 1 << 20
 #: Pre-tokens of at most this many bytes are merged side by side, so many at a time.
 SIDE_BY_SIDE, _ROWS = 64, 8192
@@ -49,7 +50,6 @@ _BITS, _PLACES = 7, 127
 _PLACE = (1 << 32) - 1
 #: A blank or line feed between two characters that no whitespace rule of any library counts as blank.
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f])[ \n](?=[^\s\x1c-\x1f])")
-_OTHER_BLANKS = re.compile(r"[^\S \n]|[\x1c-\x1f\x85\xa0]|[ \n]{2}|^[ \n]|[ \n]\Z|\x00")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -286,7 +286,7 @@ class Encoder:
 
     def segments(self, text: str) -> list[str]:
         """The text cut before blanks that stand alone: there, every match of the pattern ends."""
-        if _OTHER_BLANKS.search(text) is None:
+        if single_blanks(text):
             return text.replace("\n", "\x00\n").replace(" ", "\x00 ").split("\x00")
         out, at = [], 0
         for m in _CUT.finditer(text):

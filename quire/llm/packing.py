@@ -132,15 +132,16 @@ SCHEMA = ("start long, length long, ids binary, doc_tokens long, sequence_id lon
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, style: str, end_id: int, window: int = 4096,
-                   buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
+                   buffer_tokens: int = BUFFER_TOKENS, plain_specials: bool = True) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per piece: doc_id, start, length, ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset.  Every id of a document, its end id
-    included, lies in exactly one piece; a sequence has at most ``window`` ids."""
+    included, lies in exactly one piece; a sequence has at most ``window`` ids.  ``plain_specials``: as
+    in :class:`quire.llm.tokens.SegmentEncoder`."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(tokenizer_path, style).encode
+        encode = encoder(tokenizer_path, style, plain_specials).encode
         packer, held, base = Packer(window), 0, TaskContext.get().partitionId() << 33
         arrow_id = None
 
@@ -162,13 +163,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, style: str, end_id: int
 
         for b in batches:
             arrow_id = b.schema.field("doc_id").type
-            for doc_id, text in zip(column_of(b, "doc_id"), column_of(b, "text")):
-                ids = encode(text) + end
-                packer.document((doc_id, ids), len(ids) // 4)
-                held += len(ids) // 4
-                if held >= buffer_tokens:
-                    packer.pack()
-                    yield from drain()
+            for at in range(0, b.num_rows, 1024):  # texts of a slice are held, not of a batch
+                part = b.slice(at, 1024)
+                for doc_id, text in zip(column_of(part, "doc_id"), column_of(part, "text")):
+                    ids = encode(text) + end
+                    packer.document((doc_id, ids), len(ids) // 4)
+                    held += len(ids) // 4
+                    if held >= buffer_tokens:
+                        packer.pack()
+                        yield from drain()
         packer.finish()
         if packer.ready:
             yield from drain()
@@ -179,7 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, style: str, end_id: int
 def packed_digest(docs: DataFrame) -> DataFrame:
     """Pieces of 4096-token windows under the word vocabulary, ids as a checksum."""
     import public_tokenizers
-    pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), "words", end_id=2)
+    pieces = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), "words", end_id=2, plain_specials=False)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
 

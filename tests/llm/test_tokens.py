@@ -158,3 +158,25 @@ def test_damaged_frames_are_refused():
             token_records.unframe(memoryview(bytes(bad)))
     with pytest.raises(ValueError):
         token_records.unframe(memoryview(data[:-1]))
+
+
+@pytest.mark.parametrize("file,style", [("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")])
+def test_special_tokens_are_the_librarys_on_demand(file, style):
+    lib, own = Tokenizer.from_file(P.path(file)), encoder(P.path(file), style, plain_specials=False)
+    for x in (" <|endoftext|>", "a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>\n\ny", "<|startoftext|>word, <|END|>"):
+        assert np.frombuffer(own.encode(x), "<u4").tolist() == lib.encode(x, add_special_tokens=False).ids, x
+
+
+def test_files_of_an_id_of_very_many_rows(spark, tmp_path):
+    """One id for half of the rows: several files share it, and rows come back whole and ascending."""
+    rnd = random.Random(8)
+    data = [(5 if i % 2 else i, " ".join(rnd.choice("abc") for _ in range(6))) for i in range(2000)] + [(None, "n"), (None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    m = token_records.write_records(docs, str(tmp_path / "r"), P.path("byte_bpe_50k.json"), "bytes", 0, width=2, files=8)
+    sizes = [r.n_records for r in m.collect()]
+    assert max(sizes) < 800 and sum(sizes) == len(data)
+    got = sorted(token_records.read_records(m, slice_records=100).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])])[:-1].tolist()
+    assert [r.doc_id for r in got] == sorted((d for d, _ in data), key=lambda d: (d is not None, d))
+    t = whole("byte_bpe_50k.json", 0)
+    assert sorted(r.ids for r in got) == sorted(np.array(t(x), "<u4").tobytes() for _, x in data)
