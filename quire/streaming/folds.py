@@ -76,7 +76,7 @@ class RunMetrics(StatefulProcessor):
         self.run = handle.getValueState("run", f"batches long, {TOP_ROW}")
 
     def _load(self) -> tuple[int, dict]:
-        held = self.run.get() if self.run.exists() else None
+        held = self.run.get()
         if held is None:
             return 0, {top: None for top in TOPS}
         tops = {top: {} for top in TOPS}
@@ -108,7 +108,7 @@ class RunMetrics(StatefulProcessor):
         known, changed = batches > 0, False
         none = (None,) * (len(_TOP_FIELDS) + 1)
         for step, t in sorted(touched.items()):
-            old = self.rows.getValue((step,)) if known and self.rows.containsKey((step,)) else None
+            old = self.rows.getValue((step,)) if known else None
             before = dict(zip((*_VALUES, "is_final_step", "arrivals"), old)) if old is not None else None
             row = {c: t[c][1] if c in t else before[c] if before else None for c in _VALUES}
             row["is_final_step"] = t["is_final_step"] or bool(before and before["is_final_step"])
@@ -166,7 +166,7 @@ class MappingFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         names = self.schema.names
-        s = dict(zip(names, self.value.get())) if self.value.exists() else dict.fromkeys(names)
+        s = dict(zip(names, self.value.get() or (None,) * len(names)))
 
         def keep(at: str, seq: int, sign: int, **values) -> None:
             """Take the values if ``seq`` is the first (sign -1) or last (1) so far."""
@@ -241,7 +241,8 @@ class QueueFold(StatefulProcessor):
         return s["at"] is not None, s["at"] or 0, s["ts"] if s["at"] is None else "", -s["seq"]
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = dict(zip(self.names, self.value.get())) if self.value.exists() else None
+        held = self.value.get()
+        held = dict(zip(self.names, held)) if held is not None else None
         for r in rows:
             new = {c: r[c] for c in ("at", "ts", "seq", "queue", "session_id")}
             said = (r.connected, r.seq) if r.connected is not None else (None, None)
@@ -287,7 +288,7 @@ class RevisionGate(StatefulProcessor):
         self.seen = handle.getValueState("seen", "revision long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        seen = self.seen.get()[0] if self.seen.exists() else None
+        seen = (self.seen.get() or (None,))[0]
         for event_id, revision in sorted((r.event_id, r.revision) for r in rows):
             accepted = seen is None or revision > seen
             if accepted:
