@@ -9,10 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quire.session import checkpoint_dir, table
+from quire import session
+from quire.session import checkpoint_dir
 
 __all__ = ["ASCII_UPPER", "ASCII_LOWER", "table", "stage", "scratch_path", "fold", "column_of", "append_columns", "maybe_among",
-           "labelled_sample"]
+           "labelled_sample", "sliced", "fresh"]
+
+#: Rows of an Arrow batch: whole texts are long, and both sides of the pipe hold a batch.
+ARROW_ROWS = 2048
+_ARROW_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus by name; from here on the session makes Arrow batches of at most
+    :data:`ARROW_ROWS` rows."""
+    if not 0 < int(spark.conf.get(_ARROW_ROWS_KEY)) <= ARROW_ROWS:
+        spark.conf.set(_ARROW_ROWS_KEY, str(ARROW_ROWS))
+    return session.table(spark, sf_dir, name)
+
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -32,6 +46,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Bits of the filter below: at most 2^19 rows of (word, bits), about 20 MB, are broadcast.
 KEY_BITS = 1 << 25
 
@@ -43,10 +69,11 @@ def maybe_among(df: DataFrame, key, keys: DataFrame, name: str) -> DataFrame:
     bit = lambda k: k.bitwiseAND(F.lit(KEY_BITS - 1).cast("long"))
     mask = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))
     k = F.col(keys.columns[0])
-    words = keys.groupBy(F.shiftright(bit(k), 6).alias("__word")).agg(F.bit_or(mask(k)).alias("__bits"))
-    out = df.withColumn("__word", F.shiftright(bit(key), 6)).join(F.broadcast(words), "__word", "left")
-    found = F.coalesce(F.col("__bits"), F.lit(0).cast("long")).bitwiseAND(mask(key)) != 0
-    return out.withColumn(name, found).drop("__word", "__bits")
+    word, bits = fresh(df, "__word", "__bits")
+    words = keys.groupBy(F.shiftright(bit(k), 6).alias(word)).agg(F.bit_or(mask(k)).alias(bits))
+    out = df.withColumn(word, F.shiftright(bit(key), 6)).join(F.broadcast(words), word, "left")
+    found = F.coalesce(F.col(bits), F.lit(0).cast("long")).bitwiseAND(mask(key)) != 0
+    return out.withColumn(name, found).drop(word, bits)
 
 
 def fold(id_col, buckets: int):
@@ -58,15 +85,28 @@ def column_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+#: Rows whose texts are Python objects at the same time.
+SLICE_ROWS = 1024
+
+
+def sliced(batches):
+    """The batches in slices of at most :data:`SLICE_ROWS` rows.  A worker that is used again first gives
+    back what the task before has freed."""
+    pa.default_memory_pool().release_unused()
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(at, SLICE_ROWS)
+
+
 def append_columns(df: DataFrame, columns: dict[str, str], compute) -> DataFrame:
     """``df`` with new columns (name -> type) that ``compute(texts) -> list of Arrow arrays`` derives
-    from its ``text`` column, batch by batch.  ``compute`` is made once per task by calling it
+    from its ``text`` column, in slices of batches.  ``compute`` is made once per task by calling it
     without arguments: ``compute() -> function``."""
     names = list(columns)
 
     def run(batches):
         f = compute()
-        for b in batches:
+        for b in sliced(batches):
             arrays = f(column_of(b, "text"))
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, *names])
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import append_columns, fold, labelled_sample, table
+from quire.llm.common import append_columns, fold, fresh, labelled_sample, table
 
 MAX_ROWS = 20_000
 BINS, DEPTH, TREES, RATE, RIDGE, MIN_HESSIAN = 64, 4, 60, 0.15, 1.0, 2.0
@@ -174,5 +174,6 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose score reaches the threshold, all columns kept."""
-    scored = quality_scores(docs, quality_model(spark, docs, sf_dir), "__quality_score")
-    return scored.filter(F.col("__quality_score") >= THRESHOLD).drop("__quality_score")
+    score, = fresh(docs, "__quality_score")
+    scored = quality_scores(docs, quality_model(spark, docs, sf_dir), score)
+    return scored.filter(F.col(score) >= THRESHOLD).drop(score)

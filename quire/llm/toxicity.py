@@ -35,8 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType
 
-from quire.llm.common import append_columns, column_of, fold, labelled_sample, stage, table
+from quire.llm.common import append_columns, column_of, fold, fresh, labelled_sample, stage, table
 
 #: Labelled rows that choose the vocabulary, examples in the index, terms.
 MAX_ROWS, MAX_EXAMPLES, MAX_TERMS = 20_000, 8_192, 1_024
@@ -44,7 +46,7 @@ BEGINNINGS = (5, 7)
 MIN_DOCS, MIN_Z = 3, 4.0
 NEIGHBOURS, BLOCK, FIRST_BLOCKS = 25, 64, 4
 THRESHOLD = 0.5
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -65,7 +67,13 @@ class WordTerms(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        got = tuple(i for t in terms_of_word(word) if (i := self.vocabulary.get(t)) is not None)
+        find = self.vocabulary.get
+        low = word.lower()
+        if low.isalpha():  # nothing to split off
+            terms = (low, *("^" + low[:k] for k in BEGINNINGS if len(low) > k))
+        else:
+            terms = terms_of_word(word)
+        got = tuple([i for t in terms if (i := find(t)) is not None])
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         self[word] = got
@@ -138,6 +146,11 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> tuple[n
     return df, n
 
 
+def _kth(values: np.ndarray, k: int) -> float:
+    """The k-th largest value, 0 if there are fewer."""
+    return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else 0.0
+
+
 @dataclass
 class Index:
     vocabulary: dict[str, int]
@@ -170,15 +183,15 @@ class Index:
         cosine += np.bincount(example[first[block]], gain[first[block]], len(cosine))
         if skip >= 0:
             cosine[skip] = 0.0
-        floor = np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
+        floor = _kth(cosine[cosine > 0], k)
         rest = ~first & (bound * (1 + 1e-12) >= floor) & (bound > 0)
         if rest.any():
             more = rest[block]
             cosine += np.bincount(example[more], gain[more], len(cosine))
             if skip >= 0:
                 cosine[skip] = 0.0
-        top = np.argsort(-cosine, kind="stable")[:k]
-        top = top[cosine[top] > 0]
+        top = np.flatnonzero((cosine > 0) & (cosine >= _kth(cosine[cosine > 0], k)))
+        top = top[np.argsort(-cosine[top], kind="stable")[:k]]
         return top, cosine[top]
 
     def vote(self, top: np.ndarray, cosine: np.ndarray, counts) -> np.ndarray:
@@ -263,14 +276,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, max_rows: int = MAX_
     return build_index(vocabulary, df, n, [(r.doc_id, r.label, dict(zip(r.t, r.c))) for r in rows])
 
 
-EVIDENCE = "array<struct<doc_id: long, cosine: double, toxic: int>>"
-
-
 def toxicity_scores(docs: DataFrame, index: Index, column: str = "score", evidence: str | None = "evidence",
                     n_evidence: int = 3) -> DataFrame:
     """``docs`` with the score (0 to 1) and the nearest examples of every document."""
     held = docs.sparkSession.sparkContext.broadcast(index)
-    columns = {column: "double"} | ({evidence: EVIDENCE} if evidence else {})
+    kind = docs.schema["doc_id"].dataType if evidence else LongType()
+    columns = {column: "double"} | ({evidence: f"array<struct<doc_id: {kind.simpleString()}, cosine: double, toxic: int>>"} if evidence else {})
+    id_type = to_arrow_type(kind)
 
     def make():
         index = held.value
@@ -283,7 +295,7 @@ def toxicity_scores(docs: DataFrame, index: Index, column: str = "score", eviden
                 out.append(pa.array(
                     [[{"doc_id": index.doc_ids[i], "cosine": c, "toxic": int(index.labels[i])}
                       for i, c in zip(top[:n_evidence].tolist(), cos[:n_evidence].tolist())] for _, top, cos in got],
-                    pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))))
+                    pa.list_(pa.struct([("doc_id", id_type), ("cosine", pa.float64()), ("toxic", pa.int32())]))))
             return out
         return compute
 
@@ -307,5 +319,6 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents whose score stays below the threshold, all columns kept."""
-    scored = toxicity_scores(docs, toxicity_index(spark, docs, sf_dir), "__toxic_score", evidence=None)
-    return scored.filter(F.col("__toxic_score") < THRESHOLD).drop("__toxic_score")
+    score, = fresh(docs, "__toxic_score")
+    scored = toxicity_scores(docs, toxicity_index(spark, docs, sf_dir), score, evidence=None)
+    return scored.filter(F.col(score) < THRESHOLD).drop(score)
