@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_of, stage, table
+from quire.llm.common import column_of, fresh, stage, table
+from quire.llm.tokens import OTHER_BLANK as _OTHER_BLANK
 
 WINDOW = 13
 MIN_LITERAL = 0.6
 FILTER_BITS = 1 << 24
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES, KNOWN_ENTRIES = 150_000, 300_000
+#: Rows of a batch that are worked on at once, and hits after which they are handed on.
+SLICE_ROWS, FLUSH_HITS = 512, 1 << 14
 #: Tokens of the shortest item that is matched by its raw words alone.
 MIN_RAW = 3
 
@@ -49,6 +53,7 @@ UNITS = frozenset("""mm cm m km in inch inches ft foot feet yd yard yards mile m
 ounce ounces lb lbs pound pounds ton tons ml cl l liter liters litre litres gallon gallons s sec second seconds min minute
 minutes h hr hour hours day days week weeks month months year years mph kmh hz khz mhz ghz v w kw kwh j kj cal kcal pa kpa
 kb mb gb tb percent degree degrees celsius fahrenheit kelvin dollar dollars euro euros cent cents usd eur""".split())
+_LINE_END = re.compile("\r\n?|[\x0b\x0c\x85\u2028\u2029]")
 _STRIP = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”„‘’…–—·•¿¡ \t\r"
 _NUMBER, _UNIT, _NAME = (xxhash.xxh64_intdigest(f"\x00{k}") for k in ("number", "unit", "name"))
 _RAW = xxhash.xxh64_intdigest("\x00raw")
@@ -57,6 +62,52 @@ _RAW = xxhash.xxh64_intdigest("\x00raw")
 RAW, PLAIN, NAMES, ALL, EACH = range(5)
 
 
+def split(text: str) -> list[str]:
+    """The blank-free tokens of a text, and its line feeds.  Every other kind of blank splits words too,
+    and every other line end is a line feed."""
+    if _OTHER_BLANK.search(text):
+        text = _OTHER_BLANK.sub(" ", _LINE_END.sub("\n", text))
+    return text.replace("\n", " \n ").split(" ")
+
+
+def word_hash(core: str) -> int:
+    return xxhash.xxh64_intdigest(core.lower().encode("utf-8", "surrogatepass"))
+
+
+class Known(dict):
+    """Token -> whether a window that an item has may hold it: 1 for words of the benchmark and whatever
+    may be a slot, 0 for other words, 2 for tokens that are no part of a window (a bounded cache)."""
+
+    def __init__(self, words: np.ndarray):
+        """``words``: bitmap of the benchmark's word hashes."""
+        super().__init__()
+        self.bits = words.astype("<u8").tobytes()
+
+    def __missing__(self, token: str) -> int:
+        core = token if token.isalpha() else token.strip(_STRIP)
+        if not core.strip():
+            code = 2
+        elif not core.isalpha() or core[0].isupper():  # a number, a unit with a sign, a name
+            code = 1
+        else:
+            low = word_hash(core) & (FILTER_BITS - 1)
+            code = self.bits[low >> 3] >> (low & 7) & 1 or int(core.lower() in UNITS)
+        if len(self) >= KNOWN_ENTRIES:
+            self.clear()
+        self[token] = code
+        return code
+
+    def may_match(self, words: list[str], size: int) -> bool:
+        """Whether ``size`` tokens in a row may be in a window.  A text without that has in each of its
+        windows a word that no item has, in every reading; it need not be read further."""
+        code = np.fromiter(map(self.__getitem__, words), np.int8, len(words))
+        code = code[code < 2]
+        if len(code) < size:
+            return False
+        ends = np.flatnonzero(code == 0)
+        return bool(len(ends) == 0 or ends[0] >= size or len(code) - 1 - ends[-1] >= size or (np.diff(ends) > size).any())
+
+
 class Tokens(dict):
     """Blank-free token -> row of the property arrays (a bounded cache)."""
 
@@ -65,21 +116,31 @@ class Tokens(dict):
         self.word = np.zeros(CACHE_ENTRIES, np.uint64)
         self.skip, self.ends, self.number, self.unit, self.name = (np.zeros(CACHE_ENTRIES, bool) for _ in range(5))
 
+    def clear(self) -> None:
+        super().clear()
+        for a in (self.skip, self.ends, self.number, self.unit, self.name):
+            a.fill(False)
+
     def __missing__(self, token: str) -> int:
+        """Properties that a token lacks are left as they are: false since the cache was empty."""
         i = len(self)
-        core = token.strip(_STRIP)
-        digits = core.replace(".", "").replace(",", "")
-        self.word[i] = xxhash.xxh64_intdigest(core.lower().encode("utf-8", "surrogatepass"))
-        self.skip[i] = not core.strip()
-        self.ends[i] = token == "\n" or token.rstrip("\"')]»”’*_").endswith((".", "!", "?", ":", "…"))
-        self.number[i] = digits.isdecimal()
-        self.unit[i] = core.lower() in UNITS or token[:1] in "%€$£°" and not core
-        self.name[i] = len(core) > 1 and core[0].isupper() and core[1:].islower()
         self[token] = i
+        plain = token.isalpha()
+        core = token if plain else token.strip(_STRIP)
+        low = core.lower()
+        self.word[i] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
+        if low in UNITS or token[:1] in "%€$£°" and not core:
+            self.unit[i] = True
+        if not plain:
+            self.skip[i] = not core.strip()
+            self.ends[i] = token == "\n" or token.rstrip("\"')]»”’*_").endswith((".", "!", "?", ":", "…"))
+            self.number[i] = core.replace(".", "").replace(",", "").isdecimal()
+        if core[:1].isupper() and core[1:].islower():
+            self.name[i] = True
         return i
 
     def rows(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " \n ").split(" ")
+        words = split(text)
         if len(self) + len(words) > CACHE_ENTRIES:
             self.clear()
         if len(words) > CACHE_ENTRIES:  # more words than the cache has rows: distinct ones only
@@ -210,8 +271,21 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
             .mapInArrow(run, f"item_id {kind}, n_tokens int, reading int, hash long, size int, pos int, slots array<long>"))
 
 
+def benchmark_words(benchmark: DataFrame) -> DataFrame:
+    """(hash): the benchmark's words."""
+
+    def run(batches):
+        tokens = Tokens()
+        for b in batches:
+            for text in column_of(b, "text"):
+                rows = np.unique(tokens.rows(text or ""))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.word[rows].astype(np.int64))], names=["hash"])
+
+    return benchmark.select("text").mapInArrow(run, "hash long")
+
+
 def hash_filter(bench: DataFrame) -> np.ndarray:
-    """Bitmap of the windows' hashes; at most 2^18 words come to the driver."""
+    """Bitmap of the hashes; at most 2^18 words come to the driver."""
     bit = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
     word = (bench.select(F.shiftright(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63).cast("long")).cast("int").alias("bit"))
             .groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")))
@@ -221,31 +295,40 @@ def hash_filter(bench: DataFrame) -> np.ndarray:
     return out
 
 
-def document_windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[tuple[bool, int]]) -> DataFrame:
+def document_windows(docs: DataFrame, bitmap: np.ndarray, words: np.ndarray, sizes: list[tuple[bool, int]]) -> DataFrame:
     """(doc_id, text_hash, reading, hash, size, pos, slots): windows of whole texts that pass the
-    bitmap.  ``sizes``: (whether of raw words, window size)."""
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+    bitmap.  ``words``: bitmap of the benchmark's words; ``sizes``: (whether of raw words, window size)."""
+    held = docs.sparkSession.sparkContext.broadcast((bitmap, words))
+    least = min((size for _, size in sizes), default=1)
 
     def run(batches):
-        tokens, bits = Tokens(), held.value
-        for b in batches:
-            rows = []
-            for i, text in enumerate(column_of(b, "text")):
-                if not text:
-                    continue
-                for reading, token, value, word in template(text, tokens):
-                    for raw, size in sizes:
-                        if raw != (reading == RAW):
-                            continue
-                        h, good = windows(reading, token, word, size)
-                        low = h & np.uint64(FILTER_BITS - 1)
-                        hit = (bits[(low >> np.uint64(6)).astype(np.intp)] >> (low & np.uint64(63))) & np.uint64(1) > 0
-                        at = np.flatnonzero(hit if raw else hit & good)
-                        if len(at):
-                            rows.append((i, reading, h[at], size, at, value))
-            if rows:
-                yield _batch([column_of(b, "doc_id"), column_of(b, "text_hash")],
-                             [("doc_id", b.schema.field("doc_id").type), ("text_hash", pa.int64())], rows)
+        bits, words = held.value
+        tokens, known = Tokens(), Known(words)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                b = whole.slice(start, SLICE_ROWS)
+                texts, keys = column_of(b, "text"), [column_of(b, "doc_id"), column_of(b, "text_hash")]
+                types = [("doc_id", b.schema.field("doc_id").type), ("text_hash", pa.int64())]
+                rows, hits = [], 0
+                for i, text in enumerate(texts):
+                    if not text or not known.may_match(split(text), least):
+                        continue
+                    for reading, token, value, word in template(text, tokens):
+                        for raw, size in sizes:
+                            if raw != (reading == RAW):
+                                continue
+                            h, good = windows(reading, token, word, size)
+                            low = h & np.uint64(FILTER_BITS - 1)
+                            hit = (bits[(low >> np.uint64(6)).astype(np.intp)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+                            at = np.flatnonzero(hit if raw else hit & good)
+                            if len(at):
+                                rows.append((i, reading, h[at], size, at, value))
+                                hits += len(at)
+                    if hits >= FLUSH_HITS:
+                        yield _batch(keys, types, rows)
+                        rows, hits = [], 0
+                if rows:
+                    yield _batch(keys, types, rows)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -298,7 +381,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     any of its slots has another value than in the item)."""
     bench = stage(benchmark_windows(benchmark), "benchmark-windows")
     sizes = sorted(tuple(r) for r in bench.select(F.col("reading") == RAW, "size").distinct().collect())  # 2 x WINDOW at most
-    found = document_windows(docs, hash_filter(bench), sizes).distinct()
+    found = document_windows(docs, hash_filter(bench), hash_filter(benchmark_words(benchmark)), sizes).distinct()
     theirs = bench.select("item_id", "n_tokens", F.col("reading").alias("item_reading"), "hash", "size",
                           F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")).distinct()
     pairs = F.arrays_zip("item_slots", "slots")
@@ -323,7 +406,8 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents in which no benchmark item is found, all columns kept."""
+    id_, hash_ = fresh(docs, "__leak_id", "__leak_text")
     leaks = (find_leaks(docs, table(spark, sf_dir, "benchmark"))
-             .select(F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_text")).distinct())
-    same = (F.col("doc_id").eqNullSafe(F.col("__leak_id"))) & (F.xxhash64("text") == F.col("__leak_text"))
+             .select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct())
+    same = (F.col("doc_id").eqNullSafe(F.col(id_))) & (F.xxhash64("text") == F.col(hash_))
     return docs.join(leaks, same, "left_anti")
