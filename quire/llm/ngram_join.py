@@ -8,18 +8,23 @@ hashed bit per shingle, about four bits of room each, folded to a common width)
 many bits as differ, so many shingles differ at least, which bounds the overlap from above.
 
 A tile gives a spanning forest of the pairs that pass the bound.  The forests of all tiles are joined
-into candidate components; every similar pair lies within one.  A component is compared once more as
-a whole, each node with its shingles: pairs that pass the bound are verified by intersecting the
-sorted shingle arrays, unless links found before already join them.  So no pair that could join two
-components goes untested, a pair that shares many shingles is tested once, and a group of copies
-costs about as many tests as it has members.
+into candidate components; every similar pair lies within one.  Links are verified by intersecting
+sorted shingle arrays, in two steps.  First, in a few rounds, every group joined so far tests the least
+different of its forest's pairs that lead out of it: a group of N near copies is joined by about N
+tests.  Then each component that is still in several parts is compared as a whole: all pairs of nodes
+in different parts that pass the bound are verified, unless links found meanwhile join them.  So no
+pair that could join two components goes untested.
 
 Scale.  Prefix shingles are shuffled as a few binary blocks per task and bucket (17 bytes each).  A
 tile of more than ``TILE`` nodes is cut into chunks and every pair of chunks with neighbouring bands
-is a tile of its own, and so is a component of more than ``GROUP``; no task holds more than two
-chunks, and nothing is dropped.  The list of shared shingles holds those found in at least one
-document in 1000, so at most 1000 times the mean set size; it is broadcast as 8-byte hashes.  Texts
-of candidate nodes are fetched once.  Tiles and components return forests, never all pairs.
+is a tile of its own; no task holds more than two chunks, and nothing is dropped.  Texts of candidate
+nodes are fetched once.  In the rounds a text moves once per test that its group asks for; a node that
+many ask for meets them in chunks of ``GROUP``.  In the last step a component of more than ``GROUP`` nodes or
+``GROUP_SHINGLES`` shingles is cut into chunks, its largest part apart from the others: chunks of the largest part meet
+those of the others and not each other, so N near copies and a few strangers move N texts, not a
+multiple of them.  The list of shared shingles holds those found in at least one document in 1000,
+so at most 1000 times the mean set size; it is broadcast as 8-byte hashes.  Tiles and components
+return forests, never all pairs.
 
 Shingles are 64-bit hashes of the five words; sets are named by a 64-bit hash of their sorted array.
 
@@ -37,14 +42,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_of, maybe_among, stage, table
+from quire.llm.common import column_of, fresh, maybe_among, sliced, stage, table
 from quire.llm.components import components
 
 SHINGLE = 5
 #: Jaccard threshold as a fraction.
 PART, WHOLE = 4, 5
 TILE = 2048
-GROUP = 512
+GROUP, GROUP_SHINGLES = 2048, 1 << 21
+#: Rounds of the first step; what they leave is left to the second.
+ROUNDS = 3
 BUCKETS = 1024
 SHARED = 0.001
 CHUNK_DOCS = 4096
@@ -161,7 +168,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*nulls, pa.array(h), pa.array(times)], names=names)
 
         names = ["doc_id", *(n for n, _ in types)]
-        for b in batches:
+        for b in sliced(batches):
             id_arrow = b.schema.field("doc_id").type
             sets = [shingle_set(t) for t in column_of(b, "text")]
             yield pa.RecordBatch.from_arrays(
@@ -202,7 +209,7 @@ def prefix_blocks(docs: DataFrame, shared: np.ndarray) -> DataFrame:
                  pa.array([node[p].tobytes() for p in parts], pa.binary()),
                  pa.array([band[p].tobytes() for p in parts], pa.binary())], names=["bucket", "keys", "nodes", "bands"])
 
-        for b in batches:
+        for b in sliced(batches):
             for text in column_of(b, "text"):
                 s = shingle_set(text)
                 if not len(s) or (name := set_name(s)) in seen:
@@ -307,6 +314,11 @@ class Tile:
 
     def candidates(self):
         """(position, positions after it) whose bitmaps allow the similarity, the least different first."""
+        for i, hits, _ in self.near():
+            yield i, hits
+
+    def near(self):
+        """:meth:`candidates` with the share of different bits of each."""
         for own, m, k in self.groups:
             n = self.n[own]
             for i in range(k):
@@ -321,21 +333,23 @@ class Tile:
                     ok &= self.side[own[i + 1:hi]] != self.side[own[i]]
                 hits = own[i + 1:hi][ok]
                 if len(hits):
-                    yield own[i], hits[np.argsort(differ[ok], kind="stable")]
+                    near = np.argsort(differ[ok], kind="stable")
+                    yield own[i], hits[near], (differ[ok] / total[ok])[near]
 
     def forest(self):
-        """A spanning forest of the candidate pairs."""
+        """A spanning forest of the candidate pairs, with their share of different bits."""
         label = np.arange(len(self.node))
-        for i, hits in self.candidates():
+        for i, hits, gap in self.near():
             found, first = np.unique(label[hits], return_index=True)
-            for other, j in zip(found, hits[first]):
+            for other, j, g in zip(found, hits[first], gap[first]):
                 if other != label[i]:
-                    yield self.node[i], self.node[j]
+                    yield self.node[i], self.node[j], float(g)
                     label[label == other] = label[i]
 
-    def links(self, sets: list[np.ndarray]):
-        """A spanning forest of the similar pairs; ``sets`` as given at the start."""
-        label = np.arange(len(self.node))
+    def links(self, sets: list[np.ndarray], parts=None):
+        """A spanning forest of the similar pairs, over the ``parts`` that links already join; ``sets``
+        and ``parts`` as given at the start."""
+        label = np.arange(len(self.node)) if parts is None else np.unique(np.asarray(parts)[self.order], return_inverse=True)[1]
         sets = [sets[i] for i in self.order]
         for i, hits in self.candidates():
             for j in hits[label[hits] != label[i]]:  # the least different first
@@ -344,14 +358,14 @@ class Tile:
                     label[label == label[j]] = label[i]
 
 
-def _pair_batch(pairs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
-                                       pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+def _pair_batch(pairs, names=("a", "b")) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], types[i]) for i in range(len(names))], names=list(names))
 
 
-def per_tile(rows: DataFrame, key: list[str], columns: list[str], pairs_of) -> DataFrame:
-    """(a, b) that ``pairs_of(rows of one tile)`` gives; rows of a tile meet in one task, one tile at a
-    time is held."""
+def per_tile(rows: DataFrame, key: list[str], columns: list[str], pairs_of, names=("a", "b")) -> DataFrame:
+    """(a, b), perhaps with a gap, that ``pairs_of(rows of one tile)`` gives; rows of a tile meet in one
+    task, one tile at a time is held."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -362,45 +376,100 @@ def per_tile(rows: DataFrame, key: list[str], columns: list[str], pairs_of) -> D
                     if len(held) > 1:
                         out.extend(pairs_of(held))
                     if len(out) >= 8192:
-                        yield _pair_batch(out)
+                        yield _pair_batch(out, names)
                         out = []
                     name, held = row[:len(key)], []
                 held.append(row[len(key):])
         if len(held) > 1:
             out.extend(pairs_of(held))
-        yield _pair_batch(out)
+        yield _pair_batch(out, names)
 
     return (rows.select(*key, *columns).repartition(parts, *key).sortWithinPartitions(*key)
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(run, "a long, b long" + (", gap double" if len(names) > 2 else "")))
 
 
 def candidate_forest(rows: DataFrame) -> DataFrame:
-    """(a, b) from rows (tile, side, node, n, bitmap): forests of the pairs that pass the bound."""
+    """(a, b, gap) from rows (tile, side, node, n, bitmap): forests of the pairs that pass the bound."""
 
     def forest(held):
         node, side, n, bits = zip(*held)
         return Tile(node, side, np.array(n), bits).forest()
 
-    return per_tile(rows, ["tile"], ["node", "side", "n", "bitmap"], forest)
-
-
-def verified_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """Forests (a, b) of the similar pairs within each group; ``groups(node, root)``, ``texts(node, text)``."""
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks"))
-    c, n = F.col("c"), F.col("chunks")
-    placed = groups.join(sizes, "root").withColumn("c", F.pmod(F.xxhash64("node"), n).cast("int"))
+    return per_tile(rows, ["tile"], ["node", "side", "n", "bitmap"], forest, ("a", "b", "gap"))
+
+
+def _links_of(held, texts, sides=None, parts=None):
+    sets = [shingle_set(t) for t in texts]
+    return Tile(held, sides or [0] * len(held), np.array([len(s) for s in sets]), [bitmap(s) for s in sets]).links(sets, parts)
+
+
+def _parts_of(rows: DataFrame, node: str, joined: DataFrame | None, name: str) -> DataFrame:
+    """``rows`` with the part (column ``name``) that ``node`` belongs to: itself without links."""
+    if joined is None:
+        return rows.withColumn(name, F.col(node))
+    j = joined.select(F.col("node").alias(node), F.col("root").alias(name))
+    return rows.join(j, node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def nearest_links(edges: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The first step: (a, b) verified links among the candidate pairs ``edges(a, b, gap)``, after rounds in
+    which every part asks for the least different pair that leads out of it, and the parts (node, root)
+    that they join."""
+    pair = lambda e: e.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    found, joined, asked = None, None, None
+    for _ in range(ROUNDS):
+        out = _parts_of(_parts_of(edges, "a", joined, "pa"), "b", joined, "pb").filter("pa <> pb")
+        if asked is not None:
+            out = out.join(asked, (F.least("a", "b") == asked["u"]) & (F.greatest("a", "b") == asked["v"]), "left_anti")
+        ask = lambda part, leaf, hub: out.select(F.col(part).alias("part"), "gap", F.col(leaf).alias("leaf"), F.col(hub).alias("hub"))  # noqa: E731, B023
+        best = ask("pa", "a", "b").union(ask("pb", "b", "a")).groupBy("part").agg(F.min(F.struct("gap", "leaf", "hub")).alias("x"))
+        stars = stage(best.select("x.leaf", "x.hub").distinct(), "stars")
+        if stars.isEmpty():
+            break
+        counts = stars.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks"))
+        rows = stars.join(counts, "hub").select("hub", F.pmod(F.xxhash64("leaf"), "chunks").cast("int").alias("chunk"), F.col("leaf").alias("node"))
+        rows = rows.union(rows.select("hub", "chunk", F.col("hub").alias("node")).distinct())
+        new = stage(per_tile(rows.join(texts, "node"), ["hub", "chunk"], ["node", "text"],
+                             lambda held: _links_of(*zip(*{r[0]: r for r in held}.values()))), "nearest-links")
+        if new.isEmpty():
+            break
+        found = new if found is None else found.union(new)
+        joined = components(found)
+        tested = pair(stars.select(F.col("leaf").alias("a"), F.col("hub").alias("b")))
+        asked = tested if asked is None else asked.union(tested)
+    return found, joined
+
+
+def verified_links(groups: DataFrame, texts: DataFrame, joined: DataFrame | None = None) -> DataFrame:
+    """The second step: forests (a, b) of the similar pairs between different parts of each group;
+    ``groups(node, root, n)``, ``texts(node, text)``, ``joined(node, root)``: parts that links already join.
+    Groups of one part have nothing to compare."""
+    placed = _parts_of(groups, "node", joined, "part")
+    parts = placed.groupBy("root", "part").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+    chunks = lambda n, s: F.ceil(F.greatest(n / GROUP, s / GROUP_SHINGLES)).cast("int")
+    whole = (parts.groupBy("root").agg(F.count("*").alias("parts"), F.max(F.struct("nodes", "part", "shingles")).alias("m"),
+                                       F.sum("nodes").alias("nodes"), F.sum("shingles").alias("shingles"))
+             .filter("parts > 1").withColumn("one", chunks(F.col("nodes"), F.col("shingles")) == 1))
+    # chunks 0 to k - 1 hold the largest part, k to n - 1 the others; a small group is one chunk
+    whole = whole.select("root", F.col("m.part").alias("major"), "one", F.when(F.col("one"), 0).otherwise(chunks(F.col("m.nodes"), F.col("m.shingles"))).alias("k"),
+                         F.when(F.col("one"), 1).otherwise(chunks(F.col("nodes") - F.col("m.nodes"), F.col("shingles") - F.col("m.shingles"))).alias("j"))
+    placed = placed.join(whole, "root")
+    k, n = F.col("k"), F.col("k") + F.col("j")
+    hashed = F.xxhash64("node", F.lit(1))
+    large = ~F.col("one") & (F.col("part") == F.col("major"))
+    placed = placed.withColumn("c", F.when(large, F.pmod(hashed, F.greatest(k, F.lit(1)))).otherwise(k + F.pmod(hashed, "j")).cast("int"))
+    c = F.col("c")
     spot = lambda left, right, side: F.struct(left.alias("left"), right.alias("right"), F.lit(side).alias("side"))
-    later = F.transform(F.sequence(F.lit(0), n - 1 - c), lambda j: spot(c, c + j, 0))
-    earlier = F.when(c > 0, F.transform(F.sequence(F.lit(0), c - 1), lambda j: spot(j, c, 1))).otherwise(F.array())
-    rows = placed.select("root", "node", F.explode(F.concat(later, earlier)).alias("t")).select("root", "node", "t.*")
+    later = F.transform(F.sequence(F.greatest(c, k), n - 1), lambda x: spot(c, x, 0))
+    earlier = F.when((c >= k) & (c > 0), F.transform(F.sequence(F.lit(0), c - 1), lambda x: spot(x, c, 1))).otherwise(F.array())
+    rows = placed.select("root", "node", "part", F.explode(F.concat(later, earlier)).alias("t")).select("root", "node", "part", "t.*")
 
     def links(held):
         held = [*{r[0]: r for r in held}.values()]  # a text that is there twice counts once
-        node, side, texts = zip(*held)
-        sets = [shingle_set(t) for t in texts]
-        return Tile(node, side, np.array([len(s) for s in sets]), [bitmap(s) for s in sets]).links(sets)
+        node, side, part, texts = zip(*held)
+        return _links_of(node, texts, side, part)
 
-    return per_tile(rows.join(texts, "node"), ["root", "left", "right"], ["node", "side", "text"], links)
+    return per_tile(rows.join(texts, "node"), ["root", "left", "right"], ["node", "side", "part", "text"], links)
 
 
 def similarity_components(docs: DataFrame) -> DataFrame:
@@ -418,13 +487,15 @@ def similarity_components(docs: DataFrame) -> DataFrame:
         F.min("bitmap").alias("bitmap")))
     nodes = stage(nodes, "nodes")
     with_bits = tiles(prefix_blocks(docs, shared)).join(nodes.select("node", "n", "bitmap"), "node")
-    groups = stage(components(candidate_forest(with_bits)), "groups")
-    wanted = stage(groups.join(nodes, "node").select(
-        "node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_text")), "wanted")
+    edges = stage(candidate_forest(with_bits), "candidate-forest")
+    groups = stage(components(edges).join(nodes.select("node", "n", "rep"), "node"), "groups")
+    wanted = groups.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_text"))
     same = (F.xxhash64("text") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
     maybe = maybe_among(docs.select("doc_id", "text"), F.xxhash64("text"), wanted.select("rep_text"), "__maybe").filter("__maybe")
     texts = stage(maybe.join(wanted, same).select("node", "text"), "candidate-texts")
-    roots = components(verified_links(groups, texts))
+    near, joined = nearest_links(edges, texts)
+    rest = verified_links(groups.select("node", "root", "n"), texts, joined)
+    roots = components(rest if near is None else rest.union(near))
 
     reached = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = reached.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -446,17 +517,18 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                     .agg(F.count("*").alias("n")), "classes")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     best = classes.groupBy("root").agg(F.min(rank).alias("best"))
+    id_, hash_, one, maybe = fresh(docs, "__id", "__text", "__one", "__maybe")
     marked = (classes.join(best, "root").withColumn("stays", rank == F.col("best"))
               .filter("not stays or n > 1")
-              .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), F.col("stays").alias("__one")))
+              .select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("stays").alias(one)))
     marked = stage(marked, "marked")
-    same = (F.xxhash64("text") == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    same = (F.xxhash64("text") == F.col(hash_)) & F.col("doc_id").eqNullSafe(F.col(id_))
     # only rows that may be marked are shuffled for the exact join
-    split = maybe_among(docs, F.xxhash64("text"), marked.select("__text"), "__maybe")
-    out = split.filter("not __maybe").select(docs.columns).unionByName(
-        split.filter("__maybe").join(marked, same, "left_anti").select(docs.columns))
-    repeated = marked.filter("__one")
+    split = maybe_among(docs, F.xxhash64("text"), marked.select(hash_), maybe)
+    out = split.filter(~F.col(maybe)).select(docs.columns).unionByName(
+        split.filter(maybe).join(marked, same, "left_anti").select(docs.columns))
+    repeated = marked.filter(one)
     if not repeated.isEmpty():  # the row that stays is there more than once
-        again = docs.join(repeated, same).withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+        again = docs.join(repeated, same).withColumn(hash_, F.xxhash64("text")).dropDuplicates(["doc_id", hash_])
         out = out.unionByName(again.select(docs.columns))
     return out

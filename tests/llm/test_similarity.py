@@ -105,6 +105,44 @@ def test_ngram_join_on_near_copies(spark, monkeypatch, tile):
     assert 1 < len({c for _, c in want.values()}) < len(rows)
 
 
+def test_a_group_of_near_copies_moves_each_text_a_few_times(spark, monkeypatch):
+    """Near copies of one text with strangers among their candidates: the rounds join the copies, and the
+    last step moves the large part once and the strangers to its chunks."""
+    rnd = random.Random(12)
+    words = [f"w{rnd.randint(0, 900)}" for _ in range(300)]
+
+    def edited(k):
+        copy = list(words)
+        for _ in range(k):
+            copy[rnd.randrange(300)] = f"x{rnd.randint(0, 10**6)}"
+        return " ".join(copy)
+
+    rows = [(i, edited(1)) for i in range(600)] + [(1000 + i, edited(11)) for i in range(12)]
+    monkeypatch.setattr(ngram_join, "GROUP", 64)
+    moved = []
+    real = ngram_join.per_tile
+
+    def counted(rows, key, columns, pairs_of, names=("a", "b")):
+        if "text" in columns:
+            moved.append(rows.count())
+        return real(rows, key, columns, pairs_of, names)
+
+    monkeypatch.setattr(ngram_join, "per_tile", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similarity_components(df).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows).items()}
+    assert sum(moved) < 5 * len(rows)  # a chunk with every other one would be 10 times
+
+
+def test_last_step_alone_finds_every_link(spark, monkeypatch):
+    """Without rounds, and with chunks of a few nodes, parts and strangers still meet."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "GROUP", 3)
+    rows = near_copies(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_components(ngram_join.similarity_components(df)) == brute_components(rows)
+
+
 def test_bound_never_rejects_a_similar_pair():
     rnd = np.random.default_rng(2)
     for _ in range(40):
@@ -269,3 +307,38 @@ def test_longest_run():
     assert run([(5, [(1, 3), (2, 3)])]) == (0, False)
     assert run([(0, [(1, 2)]), (1, [(1, 1)]), (2, []), (3, [(2, 2)])]) == (3, True)
     assert run([(0, [(1, 1)]), (0, [(1, 1), (2, 2)]), (1, [])]) == (2, True)
+
+
+def test_texts_that_are_not_read_further_have_no_window():
+    """The quick look lets through every text in which the windows of some item occur."""
+    rnd = random.Random(6)
+    alphabet = ["alpha", "beta", "Gamma", "delta,", "12", "3.5", "km", "%", "€", "(x)", "Zürich", "—", "end.", "40km", "\n", "e"]
+    items = [" ".join(rnd.choice(alphabet) for _ in range(30)) for _ in range(4)]
+    tokens = decontamination.Tokens()
+    hashes, bits = set(), np.zeros(decontamination.FILTER_BITS // 64, np.uint64)
+    for item in items:
+        for w in tokens.word[tokens.rows(item)]:
+            low = int(w) & (decontamination.FILTER_BITS - 1)
+            bits[low >> 6] |= np.uint64(1 << (low & 63))
+        for reading, token, _, word in decontamination.template(item, tokens):
+            h, good = decontamination.windows(reading, token, word, 5)
+            hashes |= set(h[good].tolist())
+    known = decontamination.Known(bits)
+    hit = 0
+    for _ in range(400):
+        text = " ".join(rnd.choice(alphabet + ["other", "Name", "words", "99"]) for _ in range(40))
+        found = any(set(h[good].tolist()) & hashes for reading, token, _, word in decontamination.template(text, tokens)
+                    for h, good in [decontamination.windows(reading, token, word, 5)])
+        hit += found
+        assert known.may_match(decontamination.split(text), 5) or not found
+    assert hit
+    assert not known.may_match(decontamination.split("other words only , ( ) here " * 9), 5)
+
+
+def test_every_kind_of_blank_splits_words(spark):
+    item = "the quick brown animal jumps over a lazy dog near the old river bank at dawn today"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "intro\t" + item.replace(" ", "\t") + "\tend"), (2, "x " + item.replace(" ", "\u00a0")), (3, item.replace(" ", "\r\n")),
+         (4, item.replace(" ", "\u200b")), (5, item.replace(" ", "   "))], "doc_id long, text string")
+    assert {r.doc_id for r in decontamination.find_leaks(docs, bench).collect()} == {1, 2, 3, 5}  # U+200B is no blank
