@@ -50,8 +50,8 @@ SHINGLE = 5
 PART, WHOLE = 4, 5
 TILE = 2048
 GROUP, GROUP_SHINGLES = 2048, 1 << 21
-#: Rounds of the first step; what they leave is left to the second.
-ROUNDS = 3
+#: Rounds of the first step at most; they end when fewer than one test in ``YIELD`` gives a link.
+ROUNDS, YIELD = 3, 4
 BUCKETS = 1024
 SHARED = 0.001
 CHUNK_DOCS = 4096
@@ -431,10 +431,13 @@ def nearest_links(edges: DataFrame, texts: DataFrame) -> tuple[DataFrame | None,
         rows = rows.union(rows.select("hub", "chunk", F.col("hub").alias("node")).distinct())
         new = stage(per_tile(rows.join(texts, "node"), ["hub", "chunk"], ["node", "text"],
                              lambda held: _links_of(*zip(*{r[0]: r for r in held}.values()))), "nearest-links")
-        if new.isEmpty():
+        linked = new.count()
+        if not linked:
             break
         found = new if found is None else found.union(new)
         joined = components(found)
+        if linked * YIELD < stars.count():  # most pairs asked for are no links: the second step does the rest
+            break
         tested = pair(stars.select(F.col("leaf").alias("a"), F.col("hub").alias("b")))
         asked = tested if asked is None else asked.union(tested)
     return found, joined
