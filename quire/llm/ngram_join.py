@@ -3,22 +3,24 @@
 Documents with equal sets are one node.  Two nodes with Jaccard similarity 0.8 or more share one of
 their first ``n - ceil(0.8 n) + 1`` shingles in any common order; the order here is by hash, with the
 shingles that many documents share last, so those rarely bring strangers together.  The nodes that
-share such a shingle and lie in neighbouring size bands form a tile.  Within a tile, bitmaps (one
-hashed bit per shingle, about four bits of room each, folded to a common width) are compared: as
-many bits as differ, so many shingles differ at least, which bounds the overlap from above.
+share such a shingle and lie in neighbouring size bands form a tile.  Within a tile, bitmaps are
+compared: every shingle flips the bit that its hash names, of one to two bits of room for each, folded
+to a common width.  As many bits as differ, so many shingles differ at least, which bounds the overlap
+from above.
 
-A tile gives a spanning forest of the pairs that pass the bound.  The forests of all tiles are joined
+A tile gives a spanning forest of the pairs that pass the bound, and each node's least different one
+with a smaller set.  The forests of all tiles are joined
 into candidate components; every similar pair lies within one.  Links are verified by intersecting
-sorted shingle arrays, in two steps.  First, in a few rounds, every group joined so far tests the least
-different of its forest's pairs that lead out of it: a group of N near copies is joined by about N
-tests.  Then each component that is still in several parts is compared as a whole: all pairs of nodes
-in different parts that pass the bound are verified, unless links found meanwhile join them.  So no
-pair that could join two components goes untested.
+sorted shingle arrays, in two steps.  First every node tests the least different of its forest's pairs
+with a smaller set (or an equally large one of a smaller name): at most one test per node, by which a
+group of near copies joins at its smallest ones.  Then each component that is still in several parts is
+compared as a whole: all pairs of nodes in different parts that pass the bound are verified, unless
+links found meanwhile join them.  So no pair that could join two components goes untested.
 
 Scale.  Prefix shingles are shuffled as a few binary blocks per task and bucket (17 bytes each).  A
 tile of more than ``TILE`` nodes is cut into chunks and every pair of chunks with neighbouring bands
 is a tile of its own; no task holds more than two chunks, and nothing is dropped.  Texts of candidate
-nodes are fetched once.  In the rounds a text moves once per test that its group asks for; a node that
+nodes are fetched once.  In the first step a text moves once as the larger one of a test; a node that
 many ask for meets them in chunks of ``GROUP``.  In the last step a component of more than ``GROUP`` nodes or
 ``GROUP_SHINGLES`` shingles is cut into chunks, its largest part apart from the others: chunks of the largest part meet
 those of the others and not each other, so N near copies and a few strangers move N texts, not a
@@ -50,14 +52,14 @@ SHINGLE = 5
 PART, WHOLE = 4, 5
 TILE = 2048
 GROUP, GROUP_SHINGLES = 2048, 1 << 21
-#: Rounds of the first step at most; they end when fewer than one test in ``YIELD`` gives a link.
-ROUNDS, YIELD = 3, 4
+#: Rounds of the first step: 1, or 0 to leave all pairs to the second.
+ROUNDS = 1
 BUCKETS = 1024
 SHARED = 0.001
 CHUNK_DOCS = 4096
 FLUSH_ENTRIES = 1 << 21
 WORDS_AT_ONCE = 1 << 17
-BITS_PER_SHINGLE, MIN_BITS, MAX_BITS = 4, 256, 1 << 15
+MIN_BITS, MAX_BITS = 64, 1 << 15
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -110,11 +112,11 @@ def set_name(shingles: np.ndarray) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """One hashed bit per shingle; the width is a power of two, so that it can be folded."""
-    width = min(MAX_BITS, max(MIN_BITS, 1 << (BITS_PER_SHINGLE * len(shingles) - 1).bit_length()))
-    bits = np.zeros(width, bool)
-    bits[(shingles & np.uint64(width - 1)).astype(np.intp)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+    """The parity of the number of shingles per hashed bit; the width is a power of two, so that it can
+    be folded."""
+    width = min(MAX_BITS, max(MIN_BITS, 1 << (len(shingles) - 1).bit_length()))
+    times = np.bincount((shingles & np.uint64(width - 1)).astype(np.intp), minlength=width)
+    return np.packbits(times & 1, bitorder="little").tobytes()
 
 
 def band_of(n: np.ndarray) -> np.ndarray:
@@ -307,7 +309,7 @@ class Tile:
             nxt = np.flatnonzero(width == 2 * w)
             if len(nxt):  # similar sets differ by one doubling of the width at most
                 f = np.frombuffer(b"".join(raw[i] for i in nxt), np.uint64).reshape(len(nxt), 2, -1)
-                own, m, k = np.concatenate([own, nxt]), np.concatenate([m, f[:, 0] | f[:, 1]]), len(own)
+                own, m, k = np.concatenate([own, nxt]), np.concatenate([m, f[:, 0] ^ f[:, 1]]), len(own)
             else:
                 k = len(own)
             self.groups.append((own, m, k))
@@ -337,14 +339,20 @@ class Tile:
                     yield own[i], hits[near], (differ[ok] / total[ok])[near]
 
     def forest(self):
-        """A spanning forest of the candidate pairs, with their share of different bits."""
+        """A spanning forest of the candidate pairs, with their share of different bits, and for every node the
+        least different pair with one before it."""
         label = np.arange(len(self.node))
+        least, before = np.full(len(label), np.inf), np.zeros(len(label), np.intp)
         for i, hits, gap in self.near():
+            closer = gap < least[hits]
+            least[hits[closer]], before[hits[closer]] = gap[closer], i
             found, first = np.unique(label[hits], return_index=True)
             for other, j, g in zip(found, hits[first], gap[first]):
                 if other != label[i]:
                     yield self.node[i], self.node[j], float(g)
                     label[label == other] = label[i]
+        for j in np.flatnonzero(np.isfinite(least)):
+            yield self.node[before[j]], self.node[j], float(least[j])
 
     def links(self, sets: list[np.ndarray], parts=None):
         """A spanning forest of the similar pairs, over the ``parts`` that links already join; ``sets``
@@ -411,36 +419,15 @@ def _parts_of(rows: DataFrame, node: str, joined: DataFrame | None, name: str) -
     return rows.join(j, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def nearest_links(edges: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """The first step: (a, b) verified links among the candidate pairs ``edges(a, b, gap)``, after rounds in
-    which every part asks for the least different pair that leads out of it, and the parts (node, root)
-    that they join."""
-    pair = lambda e: e.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-    found, joined, asked = None, None, None
-    for _ in range(ROUNDS):
-        out = _parts_of(_parts_of(edges, "a", joined, "pa"), "b", joined, "pb").filter("pa <> pb")
-        if asked is not None:
-            out = out.join(asked, (F.least("a", "b") == asked["u"]) & (F.greatest("a", "b") == asked["v"]), "left_anti")
-        ask = lambda part, leaf, hub: out.select(F.col(part).alias("part"), "gap", F.col(leaf).alias("leaf"), F.col(hub).alias("hub"))  # noqa: E731, B023
-        best = ask("pa", "a", "b").union(ask("pb", "b", "a")).groupBy("part").agg(F.min(F.struct("gap", "leaf", "hub")).alias("x"))
-        stars = stage(best.select("x.leaf", "x.hub").distinct(), "stars")
-        if stars.isEmpty():
-            break
-        counts = stars.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks"))
-        rows = stars.join(counts, "hub").select("hub", F.pmod(F.xxhash64("leaf"), "chunks").cast("int").alias("chunk"), F.col("leaf").alias("node"))
-        rows = rows.union(rows.select("hub", "chunk", F.col("hub").alias("node")).distinct())
-        new = stage(per_tile(rows.join(texts, "node"), ["hub", "chunk"], ["node", "text"],
-                             lambda held: _links_of(*zip(*{r[0]: r for r in held}.values()))), "nearest-links")
-        linked = new.count()
-        if not linked:
-            break
-        found = new if found is None else found.union(new)
-        joined = components(found)
-        if linked * YIELD < stars.count():  # most pairs asked for are no links: the second step does the rest
-            break
-        tested = pair(stars.select(F.col("leaf").alias("a"), F.col("hub").alias("b")))
-        asked = tested if asked is None else asked.union(tested)
-    return found, joined
+def nearest_links(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """The first step: (a, b) verified links among the candidate pairs ``edges(a, b, gap)``, ``a`` the smaller
+    set: every ``b`` tests the least different of its pairs."""
+    stars = stage(edges.groupBy(F.col("b").alias("leaf")).agg(F.min(F.struct("gap", "a"))["a"].alias("hub")), "stars")
+    counts = stars.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks"))
+    rows = stars.join(counts, "hub").select("hub", F.pmod(F.xxhash64("leaf"), "chunks").cast("int").alias("chunk"), F.col("leaf").alias("node"))
+    rows = rows.union(rows.select("hub", "chunk", F.col("hub").alias("node")).distinct())
+    return stage(per_tile(rows.join(texts, "node"), ["hub", "chunk"], ["node", "text"],
+                          lambda held: _links_of(*zip(*{r[0]: r for r in held}.values()))), "nearest-links")
 
 
 def verified_links(groups: DataFrame, texts: DataFrame, joined: DataFrame | None = None) -> DataFrame:
@@ -496,9 +483,9 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     same = (F.xxhash64("text") == F.col("rep_text")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
     maybe = maybe_among(docs.select("doc_id", "text"), F.xxhash64("text"), wanted.select("rep_text"), "__maybe").filter("__maybe")
     texts = stage(maybe.join(wanted, same).select("node", "text"), "candidate-texts")
-    near, joined = nearest_links(edges, texts)
-    rest = verified_links(groups.select("node", "root", "n"), texts, joined)
-    roots = components(rest if near is None else rest.union(near))
+    near = nearest_links(edges, texts) if ROUNDS else None
+    rest = verified_links(groups.select("node", "root", "n"), texts, components(near) if ROUNDS else None)
+    roots = components(rest.union(near) if ROUNDS else rest)
 
     reached = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = reached.groupBy("root").agg(F.min("doc_id").alias("component_id"))
