@@ -7,8 +7,8 @@ at most once on a page and its opening tags bring their closing tags along; vali
 the paths of their tokens and make up the host's template (one part on every page, others on the
 pages that have them).  Between neighbouring template tokens of a page lie its slots.  A slot whose
 template path runs through page furniture -- head, navigation, header, footer, sidebar, form,
-script, notice, advert, reader comments, by element or by the words of class, id and role -- is
-dropped.  If the template has an article (or main) element, the slots inside it are the text; if
+script, notice, advert, reader comments, by element or by the words of class, id and role (not those
+of html, body, main and article, which speak of the layout) -- is dropped.  If the template has an article (or main) element, the slots inside it are the text; if
 not, the innermost template element that holds most of the host's unlinked text outside furniture.
 Furniture that a page has inside its slots is dropped there too.  Whole texts of the remaining slots are kept:
 repetition on other pages never removes text.
@@ -63,6 +63,8 @@ comment comments consent cookie cookies disclaimer footer header login masthead
 notice notices popup promo promoted promotion related replies search share sharing sidebar signup social sponsor sponsored
 subscribe subscription toolbar widget""".split())
 ARTICLES = frozenset(["article", "main"])
+#: Elements that hold a page or its text: class words speak of their layout and do not make them furniture.
+WHOLE = frozenset(["html", "body", *ARTICLES])
 
 
 def _words(attributes: str) -> tuple[str, ...]:
@@ -81,7 +83,8 @@ class Element:
         self.name = name
         self.path = f"{parent.path if parent else ''}/{name}{'.' + '.'.join(words) if words else ''}"
         inside = parent is not None
-        self.furniture = (inside and parent.furniture) or name in FURNITURE or not FURNITURE_WORDS.isdisjoint(words)
+        named = name not in WHOLE and not FURNITURE_WORDS.isdisjoint(words)
+        self.furniture = (inside and parent.furniture) or name in FURNITURE or named
         self.article = (inside and parent.article) or name in ARTICLES or "main" in words and "role" in words
         self.link = (inside and parent.link) or name == "a"
 

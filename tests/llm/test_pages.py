@@ -111,6 +111,14 @@ def test_odd_pages(spark, page, want):
     assert html_extract.main_text(page or "", frozenset(), None) == want
 
 
+@pytest.mark.parametrize("page", [
+    "<html class='no-banner'><body class='has-sidebar'><nav>Home</nav><article>kept</article></body></html>",
+    "<body id=page-with-header><article class='post social'><p>kept</p><div class=social>Share</div></article></body>",
+    "<main class=notices><p>kept<aside>no</aside></main>", "<body class='has-sidebar'><div><p>kept</p></div><div class=sidebar>no</div>"])
+def test_class_words_of_whole_elements_drop_no_page(spark, page):
+    assert extract(spark, [("http://d.org/1", page)]) == ["kept"]
+
+
 def test_extraction_cases(spark):
     rows = [(None, None), ("", ""), ("http://c.org/1", "<p>x"), ("http://c.org/1", "<p>x")]
     assert extract(spark, rows) == ["", "", "x", "x"]
