@@ -108,3 +108,32 @@ def test_a_running_stream_sees_growth_between_batches(spark):
         assert sorted(r.line for r in spark.table("grown").collect()) == ["1", "2", "3"]
     finally:
         q.stop()
+
+
+@pytest.mark.parametrize("query", ["scan_logs", "last_metric_step_in_files"])
+def test_landed_files_are_read_and_deleted_in_slices(spark, monkeypatch, query):
+    """However much is landed in all, the files of one slice are there at a time, and the rows stay the same."""
+    from quire.plans.catalog import REGISTRY
+    from quire.sources import fs
+    base = tempfile.mkdtemp(prefix="quire-slices-")
+    spark.createDataFrame([(k, n, "ANR"[k % 3], "OF"[k % 2], 1000.0 * n + k, 5.0, 0.1 * (k % 2), 0.01 * n, f"1995-01-0{n}", n, k)
+                           for k in range(40) for n in range(1, 1 + k % 7)],
+                          "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_extendedprice double, "
+                          "l_quantity double, l_discount double, l_tax double, l_shipdate string, l_partkey long, l_suppkey long"
+                          ).write.parquet(f"{base}/lineitem.parquet")
+    spark.createDataFrame([(k, "word é\n" * (k * 40) if k % 5 else None) for k in range(40)], "doc_id long, text string").write.parquet(
+        f"{base}/documents.parquet")
+    rows = lambda: sorted(map(tuple, REGISTRY[query].plan(spark, base).collect()))
+    want = rows()
+    most, gone = [], []
+    real = fs.delete_folder
+
+    def delete(folder):
+        most.append(sum(size + logs.FILE_BLOCK for _, size in tf.list_files(folder, "*", True)))
+        real(folder)
+        gone.append(not fs.exists(folder))
+
+    monkeypatch.setattr(fs, "delete_folder", delete)
+    monkeypatch.setattr(logs, "LANDED_BYTES", 100_000)
+    assert rows() == want and want
+    assert len(most) > 1 and all(gone) and max(most) < sum(most)
