@@ -117,10 +117,12 @@ def q_last_metric_step_in_files(spark, d):
     a = F.concat(F.lit("step:"), (i % 800 + 1).cast("string"), F.lit("/875 val_loss:3.25\n"))
     b = F.concat(F.lit("\nstep:"), (i % 70 + 801).cast("string"), F.lit("/875 train_loss:1.5e-1\n"))
     content = F.concat(a, F.repeat(text, F.lit(10)), b, F.repeat(text, (10 * (i % 4)).cast("int")))
-    dest = logsrc.landing_dir(spark, "long-logs")
-    logsrc.land_files(table(spark, d, "documents").select(F.concat(i.cast("string"), F.lit(".txt")).alias("relpath"),
-                                                         content.alias("content")), dest).count()
-    found = logs.last_metric_step_in_files(file_ends(spark, dest, 0, logs.LOG_TAIL_BYTES, "*.txt"))
+    docs = table(spark, d, "documents")
+    files = docs.select(F.concat(i.cast("string"), F.lit(".txt")).alias("relpath"), content.alias("content"))
+    nbytes = F.octet_length(a) + F.octet_length(b) + F.octet_length(text).cast("bigint") * (10 + 10 * (i % 4))
+    size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(nbytes), F.lit(0))).first()  # two scalars
+    read = lambda dest: logs.last_metric_step_in_files(file_ends(spark, dest, 0, logs.LOG_TAIL_BYTES, "*.txt"))
+    found = logsrc.land_and_read(files, "relpath", "long-logs", logsrc.land_files, read, *size)
     return found.select(F.regexp_extract("path", r"^(.*)\.txt$", 1).cast("bigint").alias("doc_id"), "step", "total_steps")
 
 
