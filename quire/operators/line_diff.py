@@ -72,6 +72,15 @@ def ordered_line_diff(pairs: DataFrame, key=("child_id", "parent_id"), child: st
                       parent: str = "parent_text") -> DataFrame:
     """Per pair the lines added, removed and common, in order.  Pairs stay where they are; each is
     compared by itself."""
+    return _compared(pairs, key, child, parent, common_lines)
+
+
+def line_counts(pairs: DataFrame, key=("child_id", "parent_id"), child: str = "child_text", parent: str = "parent_text") -> DataFrame:
+    """Per pair the lines added, removed and common as multisets, whatever their order."""
+    return _compared(pairs, key, child, parent, lambda a, b: (Counter(a) & Counter(b)).total())
+
+
+def _compared(pairs: DataFrame, key, child: str, parent: str, common) -> DataFrame:
     key = list(key)
     schema = StructType([*(pairs.schema[k] for k in key), *(StructField(c, LongType()) for c in ("added", "removed", "common"))])
 
@@ -82,7 +91,7 @@ def ordered_line_diff(pairs: DataFrame, key=("child_id", "parent_id"), child: st
                 counts = []
                 for x, y in zip(b.column(len(key)).to_pylist(), b.column(len(key) + 1).to_pylist()):
                     x, y = lines_of(x), lines_of(y)
-                    same = common_lines(x, y)
+                    same = common(x, y)
                     counts.append((len(x) - same, len(y) - same, same))
                 yield pa.RecordBatch.from_arrays([*b.columns[:len(key)], *(pa.array(c, pa.int64()) for c in zip(*counts))],
                                                  names=schema.names)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.line_diff import ordered_line_diff
+from quire.operators.line_diff import line_counts, ordered_line_diff
 
 # Separators of the code identity byte layout.
 KERNELS_SEP = "\n---KERNELS---\n"
@@ -65,15 +68,36 @@ def module_line_diff(pairs: DataFrame, files: DataFrame, key=("child_id", "paren
             *key, F.col("e.key").alias("module"), F.col("e.value").alias(f"{who}_path"))
 
     both = side("child").join(side("parent"), [*key, "module"], "full_outer")
+    paths = ["child_path", "parent_path"]
+
+    def with_texts(rows: DataFrame) -> DataFrame:
+        for who in ("child", "parent"):
+            f = files.select(F.col("path").alias(f"{who}_path"), F.col("text").alias(f"{who}_text"))
+            rows = rows.join(f, f"{who}_path", "left")
+        return rows.withColumns({f"{who}_text": F.when(F.coalesce(F.col(f"{who}_text"), F.lit("")) != "", F.col(f"{who}_text"))
+                                 for who in ("child", "parent")})
+
+    if ordered:
+        both = with_texts(both)
+        return ordered_line_diff(both, (*key, "module")).where("added + removed > 0").join(
+            both.select(*key, "module", *paths), [*key, "module"])
+    # A key that comes once has the counts of its two files.  Those are read once for all keys that share
+    # them, and no line leaves its task.  Keys and paths that come again are added up line by line.
+    again = files.groupBy("path").agg(F.count(F.lit(1)).alias("_files")).where("_files > 1").select("path", F.lit(1).alias("_again"))
+    both = both.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(*key, "module")))
     for who in ("child", "parent"):
-        f = files.select(F.col("path").alias(f"{who}_path"), F.col("text").alias(f"{who}_text"))
-        both = both.join(f, f"{who}_path", "left")
-    named = F.when(F.coalesce(F.col("child_text"), F.lit("")) != "", F.col("child_text")), \
-        F.when(F.coalesce(F.col("parent_text"), F.lit("")) != "", F.col("parent_text"))
-    both = both.withColumns({"child_text": named[0], "parent_text": named[1]})
-    counts = (ordered_line_diff if ordered else lineage_line_diff)(both, (*key, "module"))
-    paths = both.select(*key, "module", "child_path", "parent_path")
-    return counts.where("added + removed > 0").join(paths, [*key, "module"])
+        both = both.join(again.select(F.col("path").alias(f"{who}_path"), F.col("_again").alias(f"_{who}")), f"{who}_path", "left")
+    once = (F.col("_rows") == 1) & F.col("_child").isNull() & F.col("_parent").isNull()
+    plain, summed = both.where(once).select(*key, "module", *paths), with_texts(both.where(~once).select(*key, "module", *paths))
+    shared = line_counts(with_texts(plain.select(*paths).distinct()), paths)
+    same = [F.col(f"_{c}").eqNullSafe(F.col(c)) for c in paths]
+    counts = shared.where("added + removed > 0").withColumnsRenamed({c: f"_{c}" for c in paths})
+    whole = [F.col(c).isNotNull() for c in key]  # keys with a null have no counts of their own
+    columns = [*key, "module", "added", "removed", "common", *paths]
+    out = plain.where(reduce(and_, whole)).join(counts, reduce(and_, same)).select(*columns)
+    old = lineage_line_diff(summed, (*key, "module")).where("added + removed > 0").join(
+        summed.select(*key, "module", *paths), [*key, "module"])
+    return out.unionByName(old.select(*columns))
 
 
 def verify_checksums(files: DataFrame, expected: DataFrame) -> DataFrame:

@@ -54,3 +54,34 @@ def test_modules_by_order(spark):
     assert lineage.module_line_diff(pairs, files).count() == 0
     r = lineage.module_line_diff(pairs, files, ordered=True).first()
     assert (r.module, r.added, r.removed, r.common) == ("m", 1, 1, 2)
+
+
+def test_modules_share_files_without_moving_lines(spark):
+    """The counts are those of the lines' multisets, for shared, missing and repeated files and repeated keys."""
+    schema = ("child_id long, parent_id long, child_dependencies map<string,string>, parent_dependencies map<string,string>, "
+              "child_kernels string, parent_kernels string")
+    pairs = spark.createDataFrame([
+        (1, 2, {"m": "a", "n": "b"}, {"m": "b", "n": "gone"}, None, "k"), (3, 4, {"m": "a"}, {"m": "b"}, "k", "k"),
+        (5, 6, {"m": "a"}, {"m": "b"}, None, None), (5, 6, {"m": "b"}, {"m": "c"}, None, None),
+        (7, 8, {"m": "twice"}, {"m": "a"}, None, None), (None, 9, {"m": "a"}, {"m": "b"}, None, None)], schema)
+    files = spark.createDataFrame([("a", "1\n2\n2\n"), ("b", "2\n3"), ("c", ""), ("k", "x"), ("twice", "1"), ("twice", "9\n1")],
+                                  "path string, text string")
+    df = lineage.module_line_diff(pairs, files)
+    got = sorted((r.child_id, r.module, r.added, r.removed, r.common, r.child_path, r.parent_path) for r in df.collect())
+    # key 5 comes twice: each module row of one side meets both of the other
+    five = [(5, "m", 6, 0, 4, c, p) for c in "ab" for p in "bc"]
+    assert got == [(1, "m", 2, 1, 1, "a", "b"), (1, "n", 2, 0, 0, "b", "gone"), (1, "triton_kernels", 0, 1, 0, None, "k"),
+                   (3, "m", 2, 1, 1, "a", "b"), *five, *[(7, "m", 1, 4, 2, "twice", "a")] * 2]
+
+
+def test_module_lines_meet_no_exchange(spark, monkeypatch):
+    """Only what comes again (keys or paths) is counted line by line."""
+    seen = []
+    real = lineage.lineage_line_diff
+    monkeypatch.setattr(lineage, "lineage_line_diff", lambda pairs, key: seen.append(pairs.count()) or real(pairs, key))
+    pairs = spark.createDataFrame([(i, i + 1, {"m": "a"}, {"m": "b"}, None, None) for i in range(50)],
+                                  "child_id long, parent_id long, child_dependencies map<string,string>, "
+                                  "parent_dependencies map<string,string>, child_kernels string, parent_kernels string")
+    files = spark.createDataFrame([("a", "1\n2"), ("b", "2")], "path string, text string")
+    got = lineage.module_line_diff(pairs, files).collect()
+    assert len(got) == 50 and {(r.added, r.removed, r.common) for r in got} == {(1, 0, 1)} and seen == [0]
