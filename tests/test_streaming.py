@@ -215,3 +215,57 @@ def test_queue_events(spark):
     a = spark.createDataFrame([("s", [1], True), ("t", [2], True), ("u", [3], True)], schema)
     b = spark.createDataFrame([("s", [1], True), ("t", [2], False), ("u", [4], True), ("v", [], True)], schema)
     assert {r.entity_id for r in streams.queue_events(a, b).collect()} == {"t", "u", "v"}
+
+
+class _Store:
+    """State of one key that counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.held = 0, {}
+
+    def getValueState(self, *names):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        return self.getValue(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+
+def test_runs_of_a_group_share_the_calls_to_the_store():
+    """A call costs far more than a row: their number does not grow with the runs or steps of a batch."""
+    metric = folds.Row("experiment_id", "seq", "step", *folds._VALUES, "is_final_step")
+    rows = [metric(run, step, step, 2000, None if step % 2 else 0.1 * run, 0.5, None, None, step == 2000)
+            for run in range(64) for step in (1, 2, 1023, 1024, 2000)]
+    p, store = folds.RunMetrics(), _Store()
+    p.init(store)
+    first = list(p.handleInputRows((0,), iter(rows), None))
+    assert store.calls <= 4 and len(first) == 64 * 6
+    more = [metric(run, 3000, 2, 2000, None, 0.5 if run else 0.25, None, None, False) for run in range(64)]
+    again = list(p.handleInputRows((0,), iter(more), None))
+    assert store.calls <= 8
+    assert [(r.experiment_id, r.train_loss, r.val_loss, r.arrivals) for r in again if r.kind == "row"] == [
+        (run, 0.5 if run else 0.25, 0.1 * run, 2) for run in range(64)]
+    assert [(r.experiment_id, r.batches, r.lv__step, r.lt__train_loss) for r in again if r.kind == "run"] == [(0, 2, 2000, 0.5)]
+    schema = folds.StructType.fromDDL(", ".join(f"`{c}` string" for c in (
+        "n_records", "_first_seq", "_first_status", "_last_known", "_last_known_seq", "_last_open_seq", "_first_completed_seq", "crash_log",
+        "_crash_seq", *(f"_first_{c}" for c in state.AT_CREATION), *state.META, *(f"_{c}_seq" for c in state.META))))
+    record = folds.Row("experiment_id", "seq", "status", "crash_log", *state.AT_CREATION, *state.META)
+    m, store = folds.MappingFold(schema), _Store()
+    m.init(store)
+    none = (None,) * len(state.META)
+    out = list(m.handleInputRows((0,), iter([record(run, seq, status, None, f"n{run}", *none[:5], *none) for run in range(64)
+                                            for seq, status in ((1, "running"), (2, "completed"))]), None))
+    assert store.calls == 2
+    assert [(r.experiment_id, r.n_records, r._last_known, r._first_name) for r in out] == [(run, 2, "completed", f"n{run}") for run in range(64)]
