@@ -258,9 +258,10 @@ def test_runs_of_a_group_share_the_calls_to_the_store():
     assert [(r.experiment_id, r.train_loss, r.val_loss, r.arrivals) for r in again if r.kind == "row"] == [
         (run, 0.5 if run else 0.25, 0.1 * run, 2) for run in range(64)]
     assert [(r.experiment_id, r.batches, r.lv__step, r.lt__train_loss) for r in again if r.kind == "run"] == [(0, 2, 2000, 0.5)]
-    schema = folds.StructType.fromDDL(", ".join(f"`{c}` string" for c in (
-        "n_records", "_first_seq", "_first_status", "_last_known", "_last_known_seq", "_last_open_seq", "_first_completed_seq", "crash_log",
-        "_crash_seq", *(f"_first_{c}" for c in state.AT_CREATION), *state.META, *(f"_{c}_seq" for c in state.META))))
+    schema = folds.StructType()
+    for c in ("n_records", "_first_seq", "_first_status", "_last_known", "_last_known_seq", "_last_open_seq", "_first_completed_seq",
+              "crash_log", "_crash_seq", *(f"_first_{c}" for c in state.AT_CREATION), *state.META, *(f"_{c}_seq" for c in state.META)):
+        schema = schema.add(c, "string")
     record = folds.Row("experiment_id", "seq", "status", "crash_log", *state.AT_CREATION, *state.META)
     m, store = folds.MappingFold(schema), _Store()
     m.init(store)
