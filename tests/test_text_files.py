@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import os
 import random
+import shutil
 import tempfile
 
 import pytest
@@ -137,3 +138,49 @@ def test_landed_files_are_read_and_deleted_in_slices(spark, monkeypatch, query):
     monkeypatch.setattr(logs, "LANDED_BYTES", 100_000)
     assert rows() == want and want
     assert len(most) > 1 and all(gone) and max(most) < sum(most)
+
+
+def test_logs_are_dealt_out_and_their_rows_computed_once(spark, monkeypatch):
+    """Every writer has a folder of its own, a try that died leaves nothing to read, and slices do not compute
+    the rows again."""
+    base = tempfile.mkdtemp(prefix="quire-dealt-")
+    want = sorted((str(run), n, f"line {n} é") for run in range(30) for n in range(1, 1 + run % 4))
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            computed.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame(want, "run_id string, line_no long, line string").mapInPandas(
+        count, "run_id string, line_no long, line string")
+    landed = logs.land_log_files(rows, f"{base}/logs", deal=True).collect()
+    assert all(os.path.dirname(r.path).startswith(f"{base}/logs/part-") and r.n_lines == int(r.run_id) % 4 for r in landed)
+    writers = {}
+    for r in landed:
+        writers.setdefault(os.path.dirname(r.path), []).append(r.run_id)
+    assert len(writers) > 1 and sorted(x for w in writers.values() for x in w) == sorted({r[0] for r in want})
+    shutil.copytree(os.path.dirname(landed[0].path), f"{base}/logs/_part-00000-dead")
+    assert sorted(map(tuple, logs.scan_logs(spark, f"{base}/logs", dealt=True).collect())) == want
+    before = computed.value
+    monkeypatch.setattr(logs, "LANDED_BYTES", 20_000)
+    got = logs.land_and_read(rows, "run_id", "logs", lambda part, dest: logs.land_log_files(part, dest, deal=True),
+                             lambda dest: logs.scan_logs(spark, dest, dealt=True), 22, 1000, staged=True)
+    assert sorted(map(tuple, got.collect())) == want
+    assert computed.value - before == len(want)
+
+
+def test_files_grow_by_what_is_new_whatever_a_try_before_has_left(spark):
+    base = tempfile.mkdtemp(prefix="quire-growth-")
+    grow = lambda *rows: logs.grow_text(spark.createDataFrame(
+        rows, "relpath string, line_no long, line string, start long"), base).collect()
+    read = lambda: open(f"{base}/a/1.txt", "rb").read()
+    grow(("a/1.txt", 2, "two", 0), ("a/1.txt", 1, "one", 0))
+    inode = os.stat(f"{base}/a/1.txt").st_ino
+    assert read() == b"one\ntwo\n"
+    grow(("a/1.txt", 3, "é", 8))
+    assert read() == "one\ntwo\né\n".encode() and os.stat(f"{base}/a/1.txt").st_ino == inode  # not written again
+    grow(("a/1.txt", 3, "é", 8))  # the same task again
+    assert read() == "one\ntwo\né\n".encode()
+    with pytest.raises(Exception, match="of 99 bytes"):
+        grow(("a/1.txt", 4, "x", 99))
