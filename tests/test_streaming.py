@@ -270,3 +270,50 @@ def test_runs_of_a_group_share_the_calls_to_the_store():
                                             for seq, status in ((1, "running"), (2, "completed"))]), None))
     assert store.calls == 2
     assert [(r.experiment_id, r.n_records, r._last_known, r._first_name) for r in out] == [(run, 2, "completed", f"n{run}") for run in range(64)]
+
+
+def test_state_has_a_few_partitions_per_core_and_the_session_keeps_its_number(spark, monkeypatch):
+    """Each partition costs a Python process and a store per micro-batch; a started checkpoint keeps its number."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(folds, "STATE_WAVES", 1)
+    cores = spark.sparkContext.defaultParallelism
+    src, out, ev, ckpt = _folders()
+    _grow(src, 1, "step:1/9 val_loss:5.0")
+    try:
+        spark.conf.set(key, str(cores + 3))
+        streams.stream_metrics(spark, src, out, _runs(spark), events_path=ev, ckpt=ckpt)
+        assert spark.conf.get(key) == str(cores + 3)
+        with folds.state_partitions(spark):
+            assert spark.conf.get(key) == str(cores)
+        spark.conf.set(key, "1")
+        with folds.state_partitions(spark):
+            assert spark.conf.get(key) == "1"
+    finally:
+        spark.conf.set(key, before)
+    assert len([x for x in os.listdir(os.path.join(ckpt, "state", "0")) if x.isdigit()]) == cores
+
+
+def test_logs_and_segments_grow_by_appending(spark):
+    """A wave lands the new lines only; no file is written again."""
+    from quire.plans import streams as plans
+    seen = []
+
+    def follow(folder):
+        now = {}
+        for top, _, names in os.walk(folder):
+            for n in names:
+                if not n.startswith("."):
+                    with open(os.path.join(top, n), "rb") as f:
+                        now[n] = os.stat(f.name).st_ino, f.read()
+        seen.append(now)
+
+    lines = spark.createDataFrame([("s", f"{n}.jsonl", k, f"é {n} {k}") for n in (5, 9) for k in range(1, n + 1)],
+                                  "session string, file string, line_no long, line string")
+    plans.grow_segments(spark, lines, "grown", follow)
+    assert len(seen) == plans.WAVES
+    for n in (5, 9):
+        assert seen[-1][f"{n}.jsonl"][1] == "".join(f"é {n} {k}\n" for k in range(1, n + 1)).encode()
+        states = [w[f"{n}.jsonl"] for w in seen]
+        assert len({inode for inode, _ in states}) == 1
+        assert all(b.startswith(a) and len(b) > len(a) for (_, a), (_, b) in zip(states, states[1:]))
